@@ -152,8 +152,8 @@ l AS (
 t AS (
   SELECT source, source_size, least(lim, coalesce((SELECT level FROM l f WHERE f.level <= f.ratio ORDER BY f.ratio, f.rank LIMIT 1) * weight, lim)) AS target FROM l),
 m AS (
-  SELECT doc_id, size, source_size, target,
-         sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size + size / 2.0::DOUBLE AS mid
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size + d.size / 2.0::DOUBLE AS mid
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
        (size * ((mid < target)::INT + (mid + source_size < target)::INT))::BIGINT AS taken

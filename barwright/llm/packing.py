@@ -7,11 +7,12 @@ multiples of the sequence length: a document that crosses a multiple leaves a
 boundary record on each side. No document moves between tasks; what grows on
 the driver side is one row for each partition.
 
-Word pieces are found with the vocabulary's own split pattern and their ids are
-kept in a bounded table, because most pieces recur; pieces not in the table go
-to the tokenizer. Texts with characters for which Python's classes and the
-tokenizer's may differ, or with a special token's string, go to the tokenizer
-whole.
+Texts are cut before every space and around every newline. Where no two white
+space characters meet, no token crosses such a cut, so the ids of a text are
+those of its chunks, and the ids of chunks are kept in a bounded table, because
+most recur. New chunks go to the same vocabulary in its ranked form, if that is
+given, else to the tokenizer. Other texts, and texts with a special token's
+string, go to the tokenizer whole.
 
 Defined results: a null text is an empty text; every document, empty ones too,
 ends with the id 0; repeated rows are packed as separate documents; an empty
@@ -20,6 +21,8 @@ table gives no piece.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,57 +36,88 @@ from pyspark.sql import functions as F
 from .common import saved
 
 SEQUENCE = 1024
-#: The split pattern of the byte-level vocabulary for texts without the characters of ODD.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Characters whose class may differ between the two pattern engines, and special tokens.
-ODD = re.compile("[\x1c-\x1f²³¹¼-¾]|[^\x00-ɏ]|<\\|endoftext\\|>")
-#: Pieces kept in the table of one task.
-KEEP = 400_000
+#: Where a cut before spaces and around newlines might change tokens.
+ODD = re.compile("\\s\\s|[\x00\x1c-\x1f]|<\\|endoftext\\|>")
+#: The split pattern of the byte-level vocabulary.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Chunks kept in the table of one Python worker.
+KEEP = 1_000_000
 #: Partition totals that may be broadcast (16 bytes each).
 BROADCAST_PARTITIONS = 1 << 20
 
 
 class Ids:
-    """Token ids of texts, with a table of pieces already seen."""
+    """Token ids of texts, with a table of chunks already seen."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.ranked = ranked(ranks) if ranks else None
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, pieces: list[str]) -> None:
-        encoded = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def learn(self, chunks: list[str]) -> None:
+        if self.ranked:
+            encoded = list(map(self.ranked.encode_ordinary, chunks))
+        else:
+            encoded = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self.code.update(zip(pieces, range(len(self.code), len(self.code) + len(pieces)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in encoded for i in x), np.uint32, int(lengths.sum()))])
+        flat = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(lengths.sum()))
+        at, end = len(self.code), len(self.code) + len(chunks)
+        while end > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.code.update(zip(chunks, range(at, end), strict=True))
+        self.start[at:end], self.length[at:end] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def of(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
         if ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = PIECE.findall(text)
-        if not pieces:
-            return np.zeros(0, np.uint32)
-        if new := set(pieces) - self.code.keys():
+        chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        codes = list(map(self.code.get, chunks))
+        if None in codes:
             if len(self.code) > KEEP:
                 self.clear()
-                new = set(pieces)
-            self.learn(list(new))
-        codes = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
+                codes = [None] * len(chunks)
+            self.learn(list({c for c, k in zip(chunks, codes, strict=True) if k is None}))
+            codes = list(map(self.code.get, chunks))
+        codes = np.array(codes, np.int64)
         lengths = self.length[codes]
         ends = np.cumsum(lengths)
         return self.flat[np.repeat(self.start[codes] - ends + lengths, lengths) + np.arange(ends[-1])]
 
 
-def tokenise(vocabulary: str, end_id: int = 0):
+def ranked(path: str):
+    """The byte-level vocabulary as ranks, with the split pattern that belongs to it."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@functools.cache
+def worker_ids(vocabulary: str, ranks: str | None) -> Ids:
+    """One table for all tasks of a Python worker."""
+    return Ids(vocabulary, ranks)
+
+
+def tokenise(vocabulary: str, ranks: str | None = None, end_id: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, pid, total = Ids(vocabulary), TaskContext.get().partitionId(), 0
+        ids, pid, total = worker_ids(vocabulary, ranks), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -131,10 +165,10 @@ def cut(sequence: int, keep_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, vocabulary: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
     """One row for each piece of a document in a sequence; with keep_ids also its ids (little-endian 32-bit)."""
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = saved(text.mapInArrow(tokenise(vocabulary), "doc_id long, pid int, local long, n long, ids binary"), "packing-ids")
+    tokens = saved(text.mapInArrow(tokenise(vocabulary, ranks), "doc_id long, pid int, local long, n long, ids binary"), "packing-ids")
     totals = tokens.groupBy("pid").agg(F.sum("n").alias("__n"))
     bases = totals.select("pid", (F.sum("__n").over(Window.orderBy("pid")) - F.col("__n")).alias("__base"))
     if tokens.select("pid").distinct().count() <= BROADCAST_PARTITIONS:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path as VOCABULARY
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY("byte_bpe_50k.json"), ranks=VOCABULARY("byte_bpe_50k.tiktoken"))
 
 
 QUERIES = {f.__name__: f for f in (op2_source_mixing, op6_exact_dedup, op7_packing)}
