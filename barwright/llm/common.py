@@ -14,6 +14,7 @@ SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 _scratch: list[tuple[SparkSession, str]] = []
+_at_exit: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; release() or the end of the session removes it."""
-    path = f"{shared_dir(spark).rstrip('/')}/barwright-scratch/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/barwright-scratch/{name}-{run_id()}"
     _scratch.append((spark, path))
     return path
 
@@ -56,10 +57,19 @@ def saved(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
+def run_id() -> str:
+    return uuid.uuid4().hex
+
+
+def later(spark: SparkSession, path: str) -> None:
+    """Delete path when Python ends."""
+    _at_exit.append((spark, path))
+
+
+def release(paths: list[tuple[SparkSession, str]] = _scratch) -> None:
     """Delete all scratch tables made so far. Call it once nothing lazy reads them any more."""
-    while _scratch:
-        spark, path = _scratch.pop()
+    while paths:
+        spark, path = paths.pop()
         try:
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -68,3 +78,4 @@ def release() -> None:
 
 
 atexit.register(release)
+atexit.register(release, _at_exit)

@@ -6,7 +6,7 @@ from public_tokenizers import path as VOCABULARY
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing
+from . import exact, jaccard, mixing, packing, toxicity
 from .common import saved, table, word_count
 
 
@@ -18,6 +18,16 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.col("taken").cast("long").alias("taken"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).drop("text")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
@@ -26,5 +36,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY("byte_bpe_50k.json"), ranks=VOCABULARY("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op6_exact_dedup, op7_packing)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_ngram_jaccard_join, op5_toxicity, op6_exact_dedup, op7_packing)}
 ORACLE = {"op2_source_mixing": mixing.ORACLE, "op6_exact_dedup": exact.ORACLE}

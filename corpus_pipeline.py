@@ -1,8 +1,75 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: five stages over documents, each written and reread before the next.
 
-STAGES: list = []
+run() applies them. The first four return the columns of documents; the last
+returns the pieces of packed sequences.
+"""
+
+from __future__ import annotations
+
+from public_tokenizers import path as vocabulary_path
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barwright.llm import common, exact, jaccard, mixing, packing, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity chain doesn't reject."""
+    chain = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).where(~F.col("toxic")).select(docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    gone = exact.dedup(docs).where(~F.col("kept"))
+    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the Jaccard join."""
+    gone = jaccard.join(docs).where(F.col("doc_id") != F.col("component_id"))
+    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies that the mix takes, in training order; a document taken twice is there twice."""
+    return mixing.training_order(mixing.mix(docs)).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens, in the order of the mix."""
+    return packing.pack(docs, vocabulary=vocabulary_path("byte_bpe_50k.json"), ranks=vocabulary_path("byte_bpe_50k.tiktoken"))
+
+
+def _staged(stage):
+    """Before a stage, the scratch tables of the one before go: its result has been written by then."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release()
+        return stage(spark, docs, sf_dir)
+
+    run_stage.__name__, run_stage.__doc__ = stage.__name__, stage.__doc__
+    return run_stage
+
+
+STAGES = [
+    ("toxicity", _staged(drop_toxic)),
+    ("exact_dedup", _staged(drop_exact_copies)),
+    ("ngram_jaccard_join", _staged(drop_near_copies)),
+    ("source_mixing", _staged(mix_sources)),
+    ("packing", _staged(pack_sequences)),
+]
+
+#: The first stage is a trained model, which SQL can't express; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        path = f"{common.shared_dir(spark)}/barwright-pipeline/{common.run_id()}-{name}"
+        out.write.parquet(path)
+        common.later(spark, path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
