@@ -6,7 +6,7 @@ from public_tokenizers import path as VOCABULARY
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, mixing, packing, toxicity
+from . import exact, jaccard, mixing, packing, quality, tokencount, toxicity, urls
 from .common import saved, table, word_count
 
 
@@ -36,5 +36,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY("byte_bpe_50k.json"), ranks=VOCABULARY("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_ngram_jaccard_join, op5_toxicity, op6_exact_dedup, op7_packing)}
-ORACLE = {"op2_source_mixing": mixing.ORACLE, "op6_exact_dedup": exact.ORACLE}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY("byte_bpe_50k.json"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = saved(quality.measured(table(spark, sf_dir, "documents")), "quality-counts")
+    found = quality.cutoffs(counted, table(spark, sf_dir, "labels"))
+    return quality.judge(counted, found).drop("n_lines", "rule")
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    templates = urls.tree(urls.labelled_by_document(pages, table(spark, sf_dir, "labels")))
+    return urls.judge(pages, templates).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_ngram_jaccard_join, op5_toxicity, op6_exact_dedup, op7_packing, op8_token_counts, op9_quality_rules, op10_url_filters)}
+ORACLE = {"op2_source_mixing": mixing.ORACLE, "op6_exact_dedup": exact.ORACLE, "op9_quality_rules": quality.ORACLE}
