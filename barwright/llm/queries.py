@@ -6,10 +6,14 @@ from public_tokenizers import path as VOCABULARY
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, mixing, packing, quality, tokencount, toxicity, urls
+from . import exact, htmltext, jaccard, mixing, packing, quality, secrets, tokencount, toxicity, urls
 from .common import saved, table, word_count
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.findings(spark)), path_col="source")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "mixing-sizes")
@@ -18,6 +22,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.col("taken").cast("long").alias("taken"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"), htmltext.train(htmltext.training_pages()))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -52,5 +60,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, templates).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_ngram_jaccard_join, op5_toxicity, op6_exact_dedup, op7_packing, op8_token_counts, op9_quality_rules, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_source_mixing, op3_html_extraction, op4_ngram_jaccard_join, op5_toxicity, op6_exact_dedup, op7_packing, op8_token_counts, op9_quality_rules, op10_url_filters)}
 ORACLE = {"op2_source_mixing": mixing.ORACLE, "op6_exact_dedup": exact.ORACLE, "op9_quality_rules": quality.ORACLE}
