@@ -257,18 +257,19 @@ def _small(ids: DataFrame) -> bool:
 
 def _of(texts: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
     """key, doc_id and text of the documents that stand for the sets (more than one where ids repeat)."""
-    ids = nodes.join(keys, "key", "left_semi").select("key", "doc_id")
+    ids = saved(nodes.join(keys, "key", "left_semi").select("key", "doc_id"), "jaccard-ids")
     return texts.join(F.broadcast(ids) if _small(ids) else ids, "doc_id")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, distinct: bool = False) -> DataFrame:
     """The pairs (a, b) of sets that are similar: first by sketches, then by whole sets."""
     end = lambda c, of: of.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    told = pairs.select("a", "b").distinct().join(end("a", nodes), "a").join(end("b", nodes), "b")
+    pairs = pairs.select("a", "b")
+    told = (pairs if distinct else pairs.distinct()).join(end("a", nodes), "a").join(end("b", nodes), "b")
     likely = saved(told.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched, "a long, b long"), "jaccard-likely")
-    keys = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
+    keys = likely.select(F.col("a").alias("key")).union(likely.select("b"))
     sets = _of(texts, nodes, keys).select("key", "text").mapInArrow(_whole, "key long, elements binary")
-    sets = saved(sets.dropDuplicates(["key"]), "jaccard-sets")
+    sets = saved(sets, "jaccard-sets")
     two = likely.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
     return saved(two.select("a", "b", "ea", "eb").mapInArrow(_verified, "a long, b long"), "jaccard-links")
 
@@ -321,12 +322,15 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     def widen(pairs: DataFrame) -> None:
         nonlocal links, labels
-        more = _linked(_labelled(pairs, labels), nodes, texts)
+        pairs = saved(_labelled(pairs, labels).distinct(), "jaccard-pairs")
+        if pairs.isEmpty():
+            return
+        more = _linked(pairs, nodes, texts, distinct=True)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    widen(found.where(F.col("kind") == PAIR).select("a", "b").distinct())
+    widen(found.where(F.col("kind") == PAIR).select("a", "b"))
     large = found.where(F.col("kind") == LARGE).select("a", "b")
     label = labels.select(F.col("node").alias("b"), "label")
     split = large.join(label, "b", "left").groupBy("a").agg(F.min(F.coalesce("label", "b")).alias("lo"), F.max(F.coalesce("label", "b")).alias("hi")).where("lo <> hi")
@@ -335,7 +339,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         keys = large.select(F.col("b").alias("key")).distinct()
         again = saved(nodes.join(keys, "key", "left_semi"), "jaccard-again")
         found = _matches(_of(texts, nodes, keys).select("doc_id", "text"), again.agg(F.sum("n")).first()[0], elements, True)
-        widen(found.where(F.col("kind") == PAIR).select("a", "b").distinct())
+        widen(found.where(F.col("kind") == PAIR).select("a", "b"))
         met = found.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("met"))
         unsafe = saved(again.join(met, "key", "left").where(F.coalesce("met", F.lit(0)) <= F.floor(F.col("n") / 4)).select("key"), "jaccard-unsafe")
         if not unsafe.isEmpty():
