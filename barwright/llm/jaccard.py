@@ -11,16 +11,21 @@ differences that the set's size allows. Those h + 1 one-part subsets are its
 signatures, about 0.4 for each shingle. A set with no more than h parts that
 are not empty signs with all of them and with its single elements.
 
-Sets that share a signature are compared in steps, none of which loses a link:
-1. each signature's sets against one of them (a star); links give components;
-2. all pairs of signatures with up to SMALL sets, if their components differ;
-3. sets under larger signatures whose sets are not all in one component sign
-   again with every single element, and pairs of elements with up to SMALL sets
-   are compared. A set with more than a/4 such elements has met each partner;
-4. for the rest, sets under a large signature are compared in chunks, across
-   components only.
-Before whole sets are fetched, a parity sketch (two bits an element) bounds the
-number of differences from below and drops pairs that cannot be similar.
+Sets that share a signature are compared by a parity sketch first (a bit for
+each of as many residues as the set has elements): it bounds the number of
+differences from below and drops pairs that cannot be similar. Whole sets are
+fetched for the rest: first each set against one other, then pairs whose
+components still differ.
+
+Of a signature with up to SMALL sets all pairs are compared; of a larger one,
+each set with the first, and if its sets are then not all in one component,
+the signature is large. Sets under large signatures sign again, in rounds, with
+the first h + 1 parts whose signatures are not among the HOT largest so far; a
+pair agrees on one of those parts by the argument above, as long as one of the
+two has more than h such parts. Two sets without (thin ones) share one of their
+first a/4 + 1 elements that are not hot, and sign with those. What is left
+after ROUNDS, or has not even so many elements that are not hot, is compared in
+blocks of sets of near sizes, across components only. No step loses a link.
 
 Texts never move: sets are made where texts are read, and only sets of pairs
 that pass the sketch are sent. Equal sets collapse to one node first, within
@@ -54,7 +59,10 @@ SMALL = 48
 BLOCK = 1_500_000
 #: Ids of sets that may be broadcast to pick texts (16 bytes each); beyond that the texts' rows are shuffled.
 BROADCAST_IDS = 1 << 18
-#: Sets of a chunk in step 4.
+#: Large signatures, the largest first, that later rounds skip (8 bytes each), and the number of rounds.
+HOT = 1 << 19
+ROUNDS = 3
+#: Sets in a block of the last step.
 CHUNK = 2048
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
@@ -69,10 +77,17 @@ def band(size: int) -> int:
     return (int(size).bit_length() - 1) // 2
 
 
-def signatures(e: np.ndarray) -> np.ndarray:
+def cold(sig: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Signatures that are not in the sorted array hot, in their order."""
+    if not len(hot):
+        return sig
+    at = np.searchsorted(hot, sig)
+    return sig[hot[np.minimum(at, len(hot) - 1)] != sig]
+
+
+def signatures(e: np.ndarray, hot: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, bool]:
+    """The set's signatures, and whether they don't suffice to meet every partner."""
     a = len(e)
-    if not a:
-        return np.zeros(0, np.uint64)
     h, out, thin = most_differences(a), [], False
     spread = mixed(e)
     for j in {band(a), band(max(a, 4 * a // 3))}:
@@ -81,15 +96,15 @@ def signatures(e: np.ndarray) -> np.ndarray:
         part = part[order]
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         sums = np.add.reduceat(mixed(spread[order] + _U(j + 1)), first)
-        thin |= len(first) <= h
-        out.append(mixed(sums + part[first] * _U(0x9E3779B97F4A7C15) + _U(j))[: h + 1])
+        sig = cold(mixed(sums + part[first] * _U(0x9E3779B97F4A7C15) + _U(j)), hot)
+        thin |= len(sig) <= h
+        out.append(sig[: h + 1])
+    unsafe = False
     if thin:
-        out.append(elements(e))
-    return np.concatenate(out)
-
-
-def elements(e: np.ndarray) -> np.ndarray:
-    return mixed(e ^ _U(0x5851F42D4C957F2D))
+        single = cold(np.sort(mixed(e ^ _U(0x5851F42D4C957F2D))), hot)
+        unsafe = len(single) <= a // 4
+        out.append(single[: a // 4 + 1])
+    return np.concatenate(out), unsafe
 
 
 def node_key(e: np.ndarray) -> int:
@@ -98,8 +113,8 @@ def node_key(e: np.ndarray) -> int:
 
 
 def sketch(e: np.ndarray) -> bytes:
-    """For each of a power of two of residues (twice the size, at least 64), whether an odd number of elements has it."""
-    bits = 1 << max(6, int(2 * len(e) - 1).bit_length())
+    """For each of a power of two of residues (the size or more, at least 64), whether an odd number of elements has it."""
+    bits = 1 << max(6, int(len(e) - 1).bit_length())
     odd = np.bincount((e & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -129,10 +144,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(e) for e in sets], pa.int64()), pa.array(_signed(keys)), pa.array([sketch(e) for e in sets], pa.binary())], names=["doc_id", "n", "key", "sketch"])
 
 
-def _posted(batches: Iterator[pa.RecordBatch], bits: int, sign) -> Iterator[pa.RecordBatch]:
-    """Blocks of postings by range of signatures; equal sets of a task are posted once."""
+def _posted(batches: Iterator[pa.RecordBatch], bits: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings by range of signatures; equal sets of a task are posted once. Bucket -1 names sets that stay unsafe."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
+    unsafe: list[int] = []
     size = 0
 
     def blocks():
@@ -149,7 +165,9 @@ def _posted(batches: Iterator[pa.RecordBatch], bits: int, sign) -> Iterator[pa.R
                 if not len(e) or (key := node_key(e)) in seen:
                     continue
                 seen.add(key)
-                sig = sign(e)
+                sig, lost = signatures(e, hot)
+                if lost:
+                    unsafe.append(key)
                 rows = np.empty(len(sig), POSTING)
                 rows["sig"], rows["key"], rows["n"] = sig, key, len(e)
                 held.append(rows)
@@ -161,23 +179,28 @@ def _posted(batches: Iterator[pa.RecordBatch], bits: int, sign) -> Iterator[pa.R
                 held, size = [], 0
     if held:
         yield blocks()
+    if unsafe:
+        rows = np.zeros(len(unsafe), POSTING)
+        rows["key"] = unsafe
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["bucket", "block"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The postings of each bucket of a partition, sorted by signature and set, without repeats."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket of a partition with its postings, sorted by signature and set, without repeats."""
     held: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for b, block in zip(batch.column("bucket").to_pylist(), batch.column("block"), strict=True):
             held.setdefault(b, []).append(np.frombuffer(block.as_py(), POSTING))
     while held:
-        rows = np.concatenate(held.pop(next(iter(held))))
+        bucket = next(iter(held))
+        rows = np.concatenate(held.pop(bucket))
         rows = rows[np.lexsort((rows["key"], rows["sig"]))]
         if len(rows):
             same = np.concatenate([[False], (rows["sig"][1:] == rows["sig"][:-1]) & (rows["key"][1:] == rows["key"][:-1])])
-            yield rows[~same]
+            yield bucket, rows[~same]
 
 
-def _near(rows: np.ndarray, i: np.ndarray, j: np.ndarray, kind: int):
+def _near(rows: np.ndarray, i: np.ndarray, j: np.ndarray):
     """Distinct pairs whose sizes allow similarity."""
     a, b = rows["n"][i].astype(np.int64), rows["n"][j].astype(np.int64)
     ok = 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
@@ -187,44 +210,49 @@ def _near(rows: np.ndarray, i: np.ndarray, j: np.ndarray, kind: int):
     x, y = x[order], y[order]
     new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)]
     x, y = x[new], y[new]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(x), pa.int32()), pa.array(_signed(x)), pa.array(_signed(y))], names=["kind", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([PAIR] * len(x), pa.int32()), pa.array(_signed(x)), pa.array(_signed(y))], names=["kind", "a", "b"])
 
 
-STAR, PAIR, LARGE, COUNT = 0, 1, 2, 3
+PAIR, LARGE, UNSAFE = 0, 1, 2
 
 
-def _matched(batches: Iterator[pa.RecordBatch], count: bool) -> Iterator[pa.RecordBatch]:
-    """kind STAR or PAIR: sets a and b share a signature; LARGE: signature a has set b; COUNT: set a has b signatures that are not large."""
-    for rows in _groups(batches):
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind PAIR: sets a and b share a signature; LARGE: signature a has set b; UNSAFE: set b."""
+    tell = lambda kind, a, b: pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), pa.array(_signed(a.copy())), pa.array(_signed(b.copy()))], names=["kind", "a", "b"])
+    for bucket, rows in _groups(batches):
+        if bucket < 0:
+            yield tell(UNSAFE, rows["sig"], rows["key"])
+            continue
         first = np.flatnonzero(np.concatenate([[True], rows["sig"][1:] != rows["sig"][:-1]]))
         size = np.diff(np.concatenate([first, [len(rows)]]))
-        group = np.repeat(np.arange(len(first)), size)
-        rank = np.arange(len(rows)) - first[group]
-        if count:
-            keys, n = np.unique(rows["key"][size[group] <= SMALL], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([COUNT] * len(keys), pa.int32()), pa.array(_signed(keys)), pa.array(n.astype(np.int64))], names=["kind", "a", "b"])
-        else:
-            later = np.flatnonzero(rank > 0)
-            yield _near(rows, first[group[later]], later, STAR)
+        held: list[list[np.ndarray]] = [[], []]
+        n = 0
         for g in range(2, SMALL + 1):
             at = first[size == g]
-            if count or g > 2:
-                i, j = np.triu_indices(g, 1)
-                i, j = (i, j) if count else (i[i > 0], j[i > 0])
-                for some in range(0, len(at), max(1, 500_000 // len(i))):
-                    some = at[some : some + max(1, 500_000 // len(i))]
-                    yield _near(rows, (some[:, None] + i).ravel(), (some[:, None] + j).ravel(), PAIR)
-        large = rows[size[group] > SMALL]
-        if not count:
-            yield pa.RecordBatch.from_arrays([pa.array([LARGE] * len(large), pa.int32()), pa.array(_signed(large["sig"].copy())), pa.array(_signed(large["key"].copy()))], names=["kind", "a", "b"])
-
-
-def _matches(texts: DataFrame, shingles: int, sign, count: bool) -> DataFrame:
+            i, j = np.triu_indices(g, 1)
+            for some in range(0, len(at), max(1, 500_000 // len(i))):
+                some = at[some : some + max(1, 500_000 // len(i))]
+                held[0].append((some[:, None] + i).ravel())
+                held[1].append((some[:, None] + j).ravel())
+                n += len(held[0][-1])
+                if n > 2_000_000:  # pairs that share many signatures of the bucket are told once a turn
+                    yield _near(rows, *map(np.concatenate, held))
+                    held, n = [[], []], 0
+        group = np.repeat(np.arange(len(first)), size)
+        large = np.flatnonzero(size[group] > SMALL)
+        held[0].append(first[group[large]])
+        held[1].append(large)
+        i, j = map(np.concatenate, held)
+        yield _near(rows, i[i != j], j[i != j])
+        yield tell(LARGE, rows["sig"][large], rows["key"][large])
+
+
+def _matches(texts: DataFrame, shingles: int, hot: np.ndarray) -> DataFrame:
     """Rows of _matched() for the signatures of texts (doc_id, text) with so many shingles in all."""
     bits = max(4, int(max(1, shingles // BLOCK)).bit_length())
-    blocks = texts.mapInArrow(functools.partial(_posted, bits=bits, sign=sign), "bucket int, block binary")
+    blocks = texts.mapInArrow(functools.partial(_posted, bits=bits, hot=hot), "bucket int, block binary")
     dealt = blocks.repartition(1 << bits, "bucket")
-    return saved(dealt.mapInArrow(functools.partial(_matched, count=count), "kind int, a long, b long"), "jaccard-matches")
+    return saved(dealt.mapInArrow(_matched, "kind int, a long, b long"), "jaccard-matches")
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,16 +289,23 @@ def _of(texts: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if _small(ids) else ids, "doc_id")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, distinct: bool = False) -> DataFrame:
-    """The pairs (a, b) of sets that are similar: first by sketches, then by whole sets."""
-    end = lambda c, of: of.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    pairs = pairs.select("a", "b")
-    told = (pairs if distinct else pairs.distinct()).join(end("a", nodes), "a").join(end("b", nodes), "b")
-    likely = saved(told.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched, "a long, b long"), "jaccard-likely")
-    keys = likely.select(F.col("a").alias("key")).union(likely.select("b"))
-    sets = _of(texts, nodes, keys).select("key", "text").mapInArrow(_whole, "key long, elements binary")
-    sets = saved(sets, "jaccard-sets")
-    two = likely.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that their sketches allow."""
+    end = lambda c: nodes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    told = pairs.select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b")
+    return saved(told.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched, "a long, b long"), "jaccard-likely")
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that are similar, by the whole sets. Each b's set goes to its pairs' a."""
+    used = pairs.select(F.col("a").alias("key"), F.lit(True).alias("at_a")).unionByName(pairs.select(F.col("b").alias("key"), F.lit(False).alias("at_a")))
+    keys = used.groupBy("key").agg(F.max("at_a").alias("is_a"), F.min("at_a").alias("only_a"))
+    rows = _of(texts, nodes, keys)
+    sets = saved(rows.select("key", "text").mapInArrow(_whole, "key long, elements binary"), "jaccard-sets")
+    flags = saved(keys, "jaccard-keys")
+    sets = sets.join(F.broadcast(flags) if _small(flags) else flags, "key")
+    far = pairs.join(sets.where("not only_a").select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
+    two = far.join(sets.where("is_a").select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a")
     return saved(two.select("a", "b", "ea", "eb").mapInArrow(_verified, "a long, b long"), "jaccard-links")
 
 
@@ -278,36 +313,54 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose components differ."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     told = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return told.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(*pairs.columns)
+    return told.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def _folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, longer ones folded to the length of the shortest."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, words), axis=0) for s in sketches])
 
 
-def _chunked(key, rows):
-    """Step 4: sets of one chunk against those of another, across components, by sketch."""
+def _blocked(rows):
+    """Sets of one block against those of another, across components, by sketch."""
     import pandas as pd
 
     left, right = rows[rows.side == 0], rows[rows.side == 1]
-    out = []
-    for k, n, label, s in zip(left.key, left.n, left.label, left.sketch, strict=True):
-        for k2, n2, label2, s2 in zip(right.key, right.n, right.label, right.sketch, strict=True):
-            if label != label2 and 4 * min(n, n2) >= 3 * max(n, n2) and 7 * differ_at_least(s, s2) <= n + n2:
-                out.append((min(k, k2), max(k, k2)))
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
-
-
-def _rest(large: DataFrame, unsafe: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of step 4: under each large signature, sets outside its commonest component against all, in chunks."""
-    some = large.join(unsafe, large.b == unsafe.key, "left_semi").select(F.col("a").alias("sig"), F.col("b").alias("key"))
-    some = some.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    by_label = some.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c"))
-    top = by_label.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    some = some.join(top.select("sig", F.col("top.label").alias("major"), F.ceil((F.col("all") - F.col("top.c")) / CHUNK).alias("cl"), F.ceil(F.col("all") / CHUNK).alias("cr")), "sig")
-    some = some.join(nodes.select("key", "n", "sketch"), "key")
+    out = [np.zeros((0, 2), np.int64)]
+    if len(left) and len(right):
+        words = min(map(len, rows.sketch)) // 8
+        theirs, n, label, key = _folded(list(right.sketch), words), right.n.to_numpy(), right.label.to_numpy(), right.key.to_numpy()
+        for k, size, own, s in zip(left.key, left.n, left.label, _folded(list(left.sketch), words), strict=True):
+            ok = (label != own) & (4 * np.minimum(n, size) >= 3 * np.maximum(n, size))
+            at = np.flatnonzero(ok)
+            at = at[7 * np.bitwise_count(theirs[at] ^ s).sum(axis=1, dtype=np.int64) <= n[at] + size]
+            out.append(np.stack([np.minimum(key[at], k), np.maximum(key[at], k)], axis=1))
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+
+def _rest(unsafe: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of unsafe sets of near sizes (a factor of 4/3 a class, so neighbouring classes meet), in blocks.
+
+    Only sets outside the commonest component of their class look for partners.
+    """
+    some = nodes.join(unsafe, "key", "left_semi").select("key", "n", "sketch").join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
+    some = some.withColumn("label", F.coalesce("label", "key")).withColumn("size", F.floor(F.log("n") / float(np.log(4 / 3)) + 1e-9))
+    counts = some.groupBy("size", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("size").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
+    counts = counts.select("size", F.col("top.label").alias("major"), F.ceil((F.col("all") - F.col("top.c") + 1) / CHUNK).alias("cl"), F.ceil(F.col("all") / CHUNK).alias("cr"))
     mine = lambda c: F.pmod(F.xxhash64("key"), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = some.where("label <> major").withColumn("side", F.lit(0)).withColumn("i", mine("cl")).withColumn("j", every("cr"))
-    right = some.withColumn("side", F.lit(1)).withColumn("j", mine("cr")).withColumn("i", every("cl"))
-    both = left.unionByName(right.select(left.columns)).select("sig", "i", "j", "side", "key", "n", "label", "sketch")
-    return both.groupBy("sig", "i", "j").applyInPandas(_chunked, "a long, b long")
+    theirs = counts.select(F.col("size").alias("to"), F.col("cl").alias("tl"))
+    right = some.join(counts, "size").withColumn("to", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).join(theirs, "to")
+    right = right.withColumn("side", F.lit(1)).withColumn("j", mine("cr")).withColumn("i", every("tl")).withColumn("from", F.col("size"))
+    near = counts.select(F.col("size").alias("from"), F.col("cr").alias("fr"))
+    left = some.join(counts, "size").where("label <> major").withColumn("to", F.col("size")).withColumn("from", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).join(near, "from")
+    left = left.withColumn("side", F.lit(0)).withColumn("i", mine("cl")).withColumn("j", every("fr"))
+    # sets of the commonest component look among the classes beside their own, where another component may be commonest
+    cross = some.join(counts, "size").where("label = major").withColumn("from", F.explode(F.array(F.col("size") - 1, F.col("size") + 1))).join(near.join(counts.select(F.col("size").alias("from"), F.col("major").alias("theirs")), "from"), "from").where("theirs <> major")
+    cross = cross.withColumn("to", F.col("size")).withColumn("side", F.lit(0)).withColumn("i", mine("cl")).withColumn("j", every("fr"))
+    columns = ["to", "from", "i", "j", "side", "key", "n", "label", "sketch"]
+    both = left.select(columns).unionByName(right.select(columns)).unionByName(cross.select(columns))
+    return both.groupBy("to", "from", "i", "j").applyInPandas(_blocked, "a long, b long")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,34 +369,44 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     described = saved(texts.mapInArrow(_describe, "doc_id long, n long, key long, sketch binary"), "jaccard-docs")
     nodes = saved(described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("sketch").alias("sketch")), "jaccard-nodes")
     shingles = nodes.agg(F.sum("n")).first()[0] or 0
-    found = _matches(texts, shingles, signatures, False)
-    links = _linked(found.where(F.col("kind") == STAR), nodes, texts)
-    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    none = nodes.select(F.col("key").alias("node"), F.col("key").alias("label")).limit(0)
+    links, labels = none.select(F.col("node").alias("a"), F.col("label").alias("b")), none
 
-    def widen(pairs: DataFrame) -> None:
+    def verify(pairs: DataFrame) -> None:
         nonlocal links, labels
-        pairs = saved(_labelled(pairs, labels).distinct(), "jaccard-pairs")
         if pairs.isEmpty():
             return
-        more = _linked(pairs, nodes, texts, distinct=True)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    widen(found.where(F.col("kind") == PAIR).select("a", "b"))
-    large = found.where(F.col("kind") == LARGE).select("a", "b")
-    label = labels.select(F.col("node").alias("b"), "label")
-    split = large.join(label, "b", "left").groupBy("a").agg(F.min(F.coalesce("label", "b")).alias("lo"), F.max(F.coalesce("label", "b")).alias("hi")).where("lo <> hi")
-    large = saved(large.join(split, "a", "left_semi"), "jaccard-large")
-    if not large.isEmpty():
-        keys = large.select(F.col("b").alias("key")).distinct()
-        again = saved(nodes.join(keys, "key", "left_semi"), "jaccard-again")
-        found = _matches(_of(texts, nodes, keys).select("doc_id", "text"), again.agg(F.sum("n")).first()[0], elements, True)
-        widen(found.where(F.col("kind") == PAIR).select("a", "b"))
-        met = found.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("met"))
-        unsafe = saved(again.join(met, "key", "left").where(F.coalesce("met", F.lit(0)) <= F.floor(F.col("n") / 4)).select("key"), "jaccard-unsafe")
-        if not unsafe.isEmpty():
-            widen(_rest(large, unsafe, nodes, labels))
+        links = links.unionByName(_linked(pairs, nodes, texts))
+        labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def widen(pairs: DataFrame, first: bool = False) -> None:
+        """Links of likely pairs across components: one a set first, which settles most, then the rest."""
+        likely = _likely(pairs if first else _labelled(pairs, labels), nodes)
+        verify(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        verify(saved(_labelled(likely, labels), "jaccard-pairs"))
+
+    some, amount, hot = texts, shingles, np.zeros(0, np.uint64)
+    unsafe = none.select(F.col("node").alias("key"))
+    for turn in range(ROUNDS):
+        found = _matches(some, amount, hot)
+        widen(found.where(F.col("kind") == PAIR).select("a", "b"), turn == 0)
+        unsafe = unsafe.unionByName(found.where(F.col("kind") == UNSAFE).select(F.col("b").alias("key")))
+        large = found.where(F.col("kind") == LARGE).select(F.col("a").alias("sig"), F.col("b").alias("key"))
+        label = F.coalesce("label", "key")
+        split = large.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").groupBy("sig").agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+        split = saved(split.select("sig", "size"), "jaccard-large")
+        if split.isEmpty():
+            break
+        keys = saved(large.join(split, "sig", "left_semi").select("key").distinct(), "jaccard-again")
+        if turn == ROUNDS - 1:
+            unsafe = unsafe.unionByName(keys)
+            break
+        top = split.orderBy(F.desc("size"), "sig").limit(HOT).select("sig").toPandas()["sig"].to_numpy(np.int64).view(np.uint64)
+        hot = np.union1d(hot, top)[: 2 * HOT] if len(hot) else np.sort(top)
+        some, amount = _of(texts, nodes, keys).select("doc_id", "text"), nodes.join(keys, "key", "left_semi").agg(F.sum("n")).first()[0] or 0
+    unsafe = saved(unsafe.distinct(), "jaccard-unsafe")
+    if not unsafe.isEmpty():
+        widen(_rest(unsafe, nodes, labels))
     label = labels.select(F.col("node").alias("key"), "label")
     placed = described.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
