@@ -1,6 +1,717 @@
-"""Queries by name, and the DuckDB SQL that gives the same rows."""
+"""Queries by name over bars of the events table, and the DuckDB SQL that gives the same rows.
+
+Bars are hourly, one series for each event type, unless a query says otherwise.
+Doubles are rounded to six places on both sides, as sums may be made in any
+order.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import bars as B
+from ..operators import features as X
+from ..operators import learning as M
+from ..operators import levels as Z
+from ..operators import liquidity as L
+from ..operators import pivots as P
+from ..operators import profile as A
+from ..operators import regime as G
+from ..operators import series as V
+from ..operators import strategy as T
+from ..operators import structure as S
+from ..sources.candles import candles_from_events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+KEY = ["symbol", "tf"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            ORACLE[f.__name__] = with_(sql)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+# ---- SQL building blocks: each is named once and pulls in what it names -----------------------------------------
+
+PARTS = {
+    "ev": "SELECT event_type AS symbol, floor(epoch(ts))::BIGINT AS es, value + 100 AS px, ts, event_id FROM events",
+    "bars": """SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY time) - 1)::INT AS i, 60 AS tf FROM (
+        SELECT symbol, es // 3600 * 3600 AS time, arg_min(px, (ts, event_id)) AS open, max(px) AS high, min(px) AS low,
+               arg_max(px, (ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM ev GROUP BY ALL)""",
+    "minutes": """SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY time) - 1)::INT AS i, 1 AS tf FROM (
+        SELECT symbol, es // 60 * 60 AS time, arg_min(px, (ts, event_id)) AS open, max(px) AS high, min(px) AS low,
+               arg_max(px, (ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM ev GROUP BY ALL)""",
+    "tr": """SELECT *, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr
+        FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY i) AS pc FROM bars)""",
+    "atr": """SELECT symbol, 13 AS i, sum(tr) / 14 AS atr FROM tr WHERE i <= 13 GROUP BY symbol HAVING count(*) = 14
+        UNION ALL SELECT a.symbol, t.i, (a.atr * 13 + t.tr) / 14 FROM atr a JOIN tr t ON t.symbol = a.symbol AND t.i = a.i + 1""",
+    "atr_late": """SELECT symbol, 14 AS i, sum(tr) / 14 AS atr FROM tr WHERE i BETWEEN 1 AND 14 GROUP BY symbol HAVING count(*) = 14
+        UNION ALL SELECT a.symbol, t.i, (a.atr * 13 + t.tr) / 14 FROM atr_late a JOIN tr t ON t.symbol = a.symbol AND t.i = a.i + 1""",
+    "atr10": """SELECT symbol, 10 AS i, sum(tr) / 10 AS atr FROM tr WHERE i BETWEEN 1 AND 10 GROUP BY symbol HAVING count(*) = 10
+        UNION ALL SELECT a.symbol, t.i, (a.atr * 9 + t.tr) / 10 FROM atr10 a JOIN tr t ON t.symbol = a.symbol AND t.i = a.i + 1""",
+    "ext": "SELECT * FROM pv9",
+    "levels": """SELECT p.symbol, p.kind, p.i, p.price, p.confirmed_i, CASE WHEN e.i IS NULL THEN 'internal' ELSE 'external' END AS scope,
+               coalesce(e.confirmed_i, p.confirmed_i) AS scope_confirmed_i, CASE p.kind WHEN 'high' THEN 'BSL' ELSE 'SSL' END AS type,
+               CASE p.kind WHEN 'high' THEN 'sh' ELSE 'sl' END AS side
+        FROM pv3 p LEFT JOIN pv9 e USING (symbol, kind, i)""",
+    "sweeps": """SELECT l.symbol, l.kind, l.i, min(b.i) AS swept_i FROM levels l JOIN bars b ON b.symbol = l.symbol AND b.i > l.confirmed_i
+               AND CASE l.kind WHEN 'high' THEN b.high > l.price ELSE b.low < l.price END GROUP BY ALL""",
+    "ends": """SELECT l.*, s.swept_i, r.resolved_i, r.classification FROM levels l LEFT JOIN sweeps s USING (symbol, kind, i)
+        LEFT JOIN (
+          SELECT symbol, kind, i, CASE WHEN o0 AND o1 AND o2 THEN swept_i + 2 WHEN NOT o0 THEN swept_i WHEN NOT o1 THEN swept_i + 1 WHEN NOT o2 THEN swept_i + 2 END AS resolved_i,
+                 CASE WHEN o0 AND o1 AND o2 THEN 'RUN' WHEN NOT o0 THEN 'SWEEP' WHEN NOT o1 OR NOT o2 THEN CASE scope WHEN 'external' THEN 'BIG_GRAB' ELSE 'GRAB' END END AS classification
+          FROM (SELECT l.symbol, l.kind, l.i, l.scope, s.swept_i,
+                       bool_or(b.i = s.swept_i AND CASE l.kind WHEN 'high' THEN b.close > l.price ELSE b.close < l.price END) AS o0,
+                       CASE WHEN bool_or(b.i = s.swept_i + 1) THEN bool_or(b.i = s.swept_i + 1 AND CASE l.kind WHEN 'high' THEN b.close > l.price ELSE b.close < l.price END) END AS o1,
+                       CASE WHEN bool_or(b.i = s.swept_i + 2) THEN bool_or(b.i = s.swept_i + 2 AND CASE l.kind WHEN 'high' THEN b.close > l.price ELSE b.close < l.price END) END AS o2
+                FROM levels l JOIN sweeps s USING (symbol, kind, i) JOIN bars b ON b.symbol = l.symbol AND b.i BETWEEN s.swept_i AND s.swept_i + 2 GROUP BY ALL)
+          WHERE NOT o0 OR NOT o1 OR o2 IS NOT NULL) r USING (symbol, kind, i)""",
+    "fvg": """SELECT symbol, tf, i, i + 1 AS confirmed_i, CASE WHEN up THEN 'bull' ELSE 'bear' END AS direction,
+               CASE WHEN up THEN rl ELSE ll END AS top, CASE WHEN up THEN lh ELSE rh END AS bottom
+        FROM (SELECT *, rl > lh AND close > lh AND d > th AS up, rh < ll AND close < ll AND -d > th AS down FROM (
+          SELECT *, coalesce(2 * avg(abs(d)) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS th FROM (
+            SELECT *, lag(high) OVER w AS lh, lag(low) OVER w AS ll, lead(high) OVER w AS rh, lead(low) OVER w AS rl,
+                   CASE WHEN open <> 0 AND lag(low) OVER w IS NOT NULL AND lead(low) OVER w IS NOT NULL THEN (close - open) / abs(open) END AS d
+            FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY i)))
+          WHERE d IS NOT NULL)
+        WHERE up OR down""",
+    "features": """SELECT *, coalesce(stddev_samp(return_1) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING), 0) AS volatility FROM (
+        SELECT b.symbol, b.tf, b.i, b.time, coalesce(close / lag(close) OVER w - 1, 0) AS return_1, coalesce(close / lag(close, 20) OVER w - 1, 0) AS trend_return,
+               coalesce(abs(atr / close), abs(high - low) / abs(close)) AS atr_pct, volume / avg(volume) OVER (PARTITION BY b.symbol ORDER BY b.i ROWS 19 PRECEDING) AS volume_ratio, b.i >= 20 AS available
+        FROM bars b LEFT JOIN atr USING (symbol, i) WINDOW w AS (PARTITION BY b.symbol ORDER BY b.i))""",
+}
+
+
+def pivot_sql(k: int, ties: bool = False) -> str:
+    eq = "=" if ties else ""
+    return f"""SELECT symbol, tf, kind, i, time, price, i + {k} AS confirmed_i FROM (
+        SELECT *, unnest([{{'kind': 'high', 'price': high, 'ok': high >{eq} lh AND high > rh}}, {{'kind': 'low', 'price': low, 'ok': low <{eq} ll AND low < rl}}], recursive := true) FROM (
+          SELECT *, count(*) OVER (PARTITION BY symbol) AS n, max(high) OVER l AS lh, min(low) OVER l AS ll, max(high) OVER r AS rh, min(low) OVER r AS rl FROM bars
+          WINDOW l AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING), r AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING)))
+        WHERE ok AND i >= {k} AND i + {k} < n"""
+
+
+PARTS |= {"pv3": pivot_sql(3), "pv9": pivot_sql(9), "tied": pivot_sql(5, True)}
+
+
+def with_(body: str) -> str:
+    """The body with the parts that it names, in order of need."""
+    import re
+
+    named: list[str] = []
+
+    def need(text: str) -> None:
+        for part in PARTS:
+            if part not in named and re.search(rf"\b{part}\b", text):
+                rest = PARTS[part].replace(f" {part} ", " ") if f"FROM {part} " in PARTS[part] else PARTS[part]
+                need(re.sub(rf"\b{part}\b", "", rest))
+                named.append(part)
+
+    need(body)
+    return "WITH RECURSIVE " + ",\n".join(f"{p} AS ({PARTS[p]})" for p in named) + "\n" + body
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candles_from_events(spark, sf_dir, 60)
+
+
+def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candles_from_events(spark, sf_dir, 1)
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.indicators(hourly(spark, sf_dir))
+
+
+def external(bars: DataFrame) -> DataFrame:
+    return P.pivots(bars, 9)
+
+
+def breaks(bars: DataFrame) -> DataFrame:
+    return S.breaks(bars, P.pivots(bars, 3), "internal").unionByName(S.breaks(bars, external(bars), "external"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = hourly(spark, sf_dir)
+    return L.with_volume_score(L.levels(bars), bars, B.volume_index(minutes(spark, sf_dir), 60))
+
+
+# ---- bars ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT symbol, tf, i, time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars")
+def r1_ohlcv_1h(spark, sf_dir):
+    return B.resample(minutes(spark, sf_dir), 60).select("symbol", "tf", "i", "time", "open", "high", "low", "close", "volume")
+
+
+@query("""SELECT symbol, tf, (row_number() OVER (PARTITION BY symbol, tf ORDER BY time) - 1)::INT AS i, time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM (
+  SELECT symbol, tf, es // (tf * 60) * tf * 60 AS time, arg_min(px, (ts, event_id)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (ts, event_id)) AS close, count(*)::DOUBLE AS volume
+  FROM ev, unnest([5, 15, 60, 120, 240, 1440, 10080]) AS x(tf) GROUP BY ALL)""")
+def r2_multi_tf(spark, sf_dir):
+    return B.resample_many(minutes(spark, sf_dir))
+
+
+@query("""SELECT symbol, 60 AS tf, time // 3600 * 3600 - 0 AS time, sum(volume) AS volume, min(i) AS source_start, max(i) AS source_end, time // 3600 * 3600 + 3600 AS end_time
+FROM (SELECT symbol, i, volume, (time + 19800) // 3600 * 3600 - 19800 AS time0, (time + 19800) // 3600 * 3600 - 19800 AS t, time FROM minutes) GROUP BY ALL""".replace("time // 3600 * 3600 - 0 AS time", "t AS time").replace("time // 3600 * 3600 + 3600", "t + 3600"))
+def r3_local_offset(spark, sf_dir):
+    bars = minutes(spark, sf_dir).withColumn("tz_offset", F.lit(19800))
+    return B.resample_local(bars, 60).select("symbol", "tf", "time", "volume", "source_start", "source_end", "end_time")
+
+
+@query("""SELECT symbol, 60 AS tf, time // 3600 * 3600 AS time, arg_min(i, (-high, i)) AS high_index, arg_min(i, (low, i)) AS low_index, min(i) AS source_start, max(i) AS source_end
+FROM minutes GROUP BY symbol, time // 3600 * 3600""")
+def r4_extreme_pos(spark, sf_dir):
+    return B.resample_extremes(minutes(spark, sf_dir), 60).select("symbol", "tf", "time", "high_index", "low_index", "source_start", "source_end")
+
+
+@query("""SELECT symbol, time // (m * 60) * m * 60 // 3600 * 3600 AS time, sum(volume) FILTER (m = 1) AS v1m, sum(volume) FILTER (m = 5) AS v5m, sum(volume) FILTER (m = 15) AS v15m
+FROM minutes, unnest([1, 5, 15]) AS x(m) GROUP BY 1, 2""")
+def r5_volume_index(spark, sf_dir):
+    return B.volume_index(minutes(spark, sf_dir), 60)
+
+
+@query("SELECT symbol, tf, i, time, volume FROM bars WHERE i BETWEEN 10 AND 40")
+def r7_slice(spark, sf_dir):
+    return B.rows(hourly(spark, sf_dir), 10, 40).select("symbol", "tf", "i", "time", "volume")
+
+
+@query("SELECT symbol, tf, count(*) AS size, max(i) AS i, max(time) AS time, round(arg_max(close, i), 6) AS close FROM bars WHERE i <= 99 GROUP BY symbol, tf")
+def r8_prefix_last(spark, sf_dir):
+    return B.last_bar(hourly(spark, sf_dir), 99).select("symbol", "tf", "size", "i", "time", "close")
+
+
+@query("""SELECT symbol, tf, i, time, new_day, new_hour FROM (
+  SELECT *, coalesce(time // 86400 <> lag(time // 86400) OVER w, true) AS new_day, coalesce(time // 3600 <> lag(time // 3600) OVER w, true) AS new_hour
+  FROM minutes WINDOW w AS (PARTITION BY symbol ORDER BY i)) WHERE new_day OR new_hour""")
+def r9_time_anchors(spark, sf_dir):
+    return B.time_anchors(minutes(spark, sf_dir))
+
+
+@query("""SELECT symbol, tf, round(min(low) - greatest((max(high) - min(low)) * 0.06, 0.5), 6) AS y_min, round(max(high) + greatest((max(high) - min(low)) * 0.06, 0.5), 6) AS y_max, round(max(volume) * 1.15, 6) AS volume_max
+FROM (SELECT *, max(i) OVER (PARTITION BY symbol) AS n FROM bars) WHERE i > n - 85 GROUP BY symbol, tf""")
+def r12_viewport_range(spark, sf_dir):
+    return B.y_range(B.viewport(hourly(spark, sf_dir), 100))
+
+
+# ---- series -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT symbol, tf, i, round(tr, 6) AS tr FROM tr")
+def v1_true_range(spark, sf_dir):
+    return V.true_range(hourly(spark, sf_dir)).select(*KEY, "i", "tr")
+
+
+@query("SELECT b.symbol, b.tf, b.i, round(atr, 6) AS atr FROM bars b LEFT JOIN atr USING (symbol, i)")
+def v2_atr14(spark, sf_dir):
+    return measured(spark, sf_dir).select(*KEY, "i", "atr")
+
+
+@query("SELECT b.symbol, b.tf, b.i, round(atr, 6) AS atr_late FROM bars b LEFT JOIN atr_late USING (symbol, i)")
+def v3_atr_liquidity(spark, sf_dir):
+    return measured(spark, sf_dir).select(*KEY, "i", "atr_late")
+
+
+@query("SELECT b.symbol, b.tf, b.i, round(coalesce(a.atr, (SELECT x.atr FROM atr10 x WHERE x.symbol = b.symbol AND x.i = 10)), 6) AS atr_zero FROM bars b LEFT JOIN atr10 a USING (symbol, i)")
+def v4_atr_backfill(spark, sf_dir):
+    return V.indicators(hourly(spark, sf_dir), warmup="backfill").select(*KEY, "i", "atr_zero")
+
+
+@query(""", ema AS (SELECT symbol, i, volume AS e FROM bars WHERE i = 0 UNION ALL SELECT b.symbol, b.i, b.volume * 0.2 + e.e * (1 - 0.2) FROM ema e JOIN bars b ON b.symbol = e.symbol AND b.i = e.i + 1)
+SELECT symbol, 60 AS tf, i, round(e, 6) AS ema_volume FROM ema""")
+def v6_ema9_volume(spark, sf_dir):
+    return measured(spark, sf_dir).select(*KEY, "i", "ema_volume")
+
+
+@query("""SELECT symbol, tf, i, round(m, 6) AS volume_average, m > 0 AND volume >= m * 1.35 AS high_volume FROM (
+  SELECT *, avg(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING) AS m FROM bars)""")
+def v7_volume_avg(spark, sf_dir):
+    return V.volume_average(hourly(spark, sf_dir)).select(*KEY, "i", "volume_average", "high_volume")
+
+
+def features(spark, sf_dir):
+    return V.regime_features(measured(spark, sf_dir), F.col("atr"))
+
+
+@query("SELECT symbol, tf, i, round(return_1, 6) AS return_1, round(trend_return, 6) AS trend_return, round(volatility, 6) AS volatility, round(atr_pct, 6) AS atr_pct, round(volume_ratio, 6) AS volume_ratio, available FROM features")
+def v8_regime_features(spark, sf_dir):
+    return features(spark, sf_dir).select(*KEY, "i", *M.FEATURES, "available")
+
+
+@query("""SELECT b.symbol, b.tf, n, round(s, 6) AS slope, round(max(greatest(high - s * i - c, 0)), 6) AS upper, round(max(greatest(s * i + c - low, 0)), 6) AS lower
+FROM bars b JOIN (SELECT symbol, regr_slope(close, i) AS s, regr_intercept(close, i) AS c, count(*) AS n FROM bars WHERE i < 200 GROUP BY symbol) USING (symbol) WHERE i < 200 GROUP BY b.symbol, b.tf, n, s, c""")
+def v9_regression_channel(spark, sf_dir):
+    return V.regression_channel(B.prefix(hourly(spark, sf_dir), 199)).select(*KEY, "n", "slope", "upper", "lower")
+
+
+@query("""SELECT p.symbol, p.tf, n, round(s, 6) AS slope, round(sqrt(sum((price - s * i - c) ** 2) / n), 6) AS sigma
+FROM pv9 p JOIN (SELECT symbol, regr_slope(price, i) AS s, regr_intercept(price, i) AS c, count(*) AS n FROM pv9 GROUP BY symbol HAVING count(*) >= 2) USING (symbol) GROUP BY p.symbol, p.tf, n, s, c""")
+def v10_pivot_regression(spark, sf_dir):
+    return V.pivot_regression(external(hourly(spark, sf_dir))).select(*KEY, "n", "slope", "sigma")
+
+
+# ---- pivots -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT symbol, tf, kind, i, time, round(price, 6) AS price, confirmed_i FROM pv3")
+def p1_pivots_k3(spark, sf_dir):
+    return P.pivots(hourly(spark, sf_dir), 3)
+
+
+@query("SELECT symbol, 60 AS tf, kind, i, scope, scope_confirmed_i FROM levels")
+def p2_external_scope(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return P.scoped(P.pivots(bars, 3), external(bars)).select(*KEY, "kind", "i", "scope", "scope_confirmed_i")
+
+
+@query("SELECT symbol, tf, kind, i, round(price, 6) AS price, confirmed_i FROM tied")
+def p10_internal_pivots(spark, sf_dir):
+    return P.pivots(hourly(spark, sf_dir), 5, left_ties=True).drop("time")
+
+
+@query()
+def p5_zigzag(spark, sf_dir):
+    return P.compress(P.pivots(hourly(spark, sf_dir), 3))
+
+
+@query("""SELECT symbol, tf, kind, i, CASE kind WHEN 'high' THEN CASE WHEN price > b THEN 'HH' ELSE 'LH' END ELSE CASE WHEN price > b THEN 'HL' ELSE 'LL' END END AS label
+FROM (SELECT *, lag(price) OVER (PARTITION BY symbol, kind ORDER BY i) AS b FROM pv9)""")
+def p6_hldv(spark, sf_dir):
+    return P.labelled(external(hourly(spark, sf_dir))).select(*KEY, "kind", "i", "label")
+
+
+@query()
+def p8_segments(spark, sf_dir):
+    return P.segments(P.compress(external(hourly(spark, sf_dir))))
+
+
+@query()
+def p7_developing(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return P.developing(P.compress(external(bars), 150), bars, 150)
+
+
+@query()
+def p12_internal_zigzag(spark, sf_dir):
+    return P.internal_zigzag(measured(spark, sf_dir))
+
+
+@query()
+def p15_missed_pivots(spark, sf_dir):
+    return P.missed_pivots(hourly(spark, sf_dir), 5)
+
+
+@query("""SELECT symbol, 60 AS tf, event_i, CASE WHEN opens THEN last[2] ELSE bar END AS ghost_i, round(abs(CASE WHEN opens THEN last[1] ELSE own END), 6) AS ghost_price, ghost_type, relocation, anchor_i, anchor_type, event_time FROM (
+  SELECT b.symbol, b.i AS event_i, b.time AS event_time, s.anchor AS anchor_i, CASE WHEN s.kind = 'high' THEN 'high' ELSE 'low' END AS anchor_type,
+         CASE WHEN s.kind = 'high' THEN 'low' ELSE 'high' END AS ghost_type, b.i = greatest(s.known, 1) AS opens,
+         CASE WHEN b.i = greatest(s.known, 1) THEN 'appearance' ELSE 'move' END AS relocation,
+         CASE WHEN s.kind = 'high' THEN -b.low ELSE b.high END AS own,
+         (SELECT max(CASE WHEN s.kind = 'high' THEN -x.low ELSE x.high END) FROM bars x WHERE x.symbol = b.symbol AND x.i > s.anchor AND x.i < b.i) AS best,
+         (SELECT max((CASE WHEN s.kind = 'high' THEN -x.low ELSE x.high END, x.i)) FROM bars x WHERE x.symbol = b.symbol AND x.i > s.anchor AND x.i <= b.i) AS last,
+         b.i AS bar
+  FROM bars b ASOF JOIN (
+    SELECT symbol, known, arg_max(anchor, kind = 'low') AS anchor, arg_max(kind, kind = 'low') AS kind FROM (
+      SELECT symbol, confirmed_i AS known, i AS anchor, kind FROM tied) GROUP BY symbol, known
+    UNION ALL SELECT DISTINCT symbol, 0, 0, 'initial' FROM bars) s ON s.symbol = b.symbol AND b.i >= s.known WHERE b.i >= 1)
+WHERE opens OR own > best""")
+def p17_ghost_trace(spark, sf_dir):
+    return P.ghost_trace(hourly(spark, sf_dir), 5)
+
+
+# ---- liquidity ----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT symbol, 60 AS tf, side, i, p_i AS eq_pair, round((p_price + price) / 2, 6) AS eq_price, greatest(p_c, confirmed_i) AS eq_confirmed_i FROM (
+  SELECT n.*, p.i AS p_i, p.price AS p_price, p.confirmed_i AS p_c, row_number() OVER (PARTITION BY n.symbol, n.side, n.i ORDER BY p.i DESC) AS r
+  FROM (SELECT l.*, a.atr FROM levels l JOIN atr_late a USING (symbol, i)) n JOIN (SELECT l.*, a.atr FROM levels l LEFT JOIN atr_late a USING (symbol, i)) p
+    ON p.symbol = n.symbol AND p.side = n.side AND p.i < n.i AND n.i - p.i <= 100
+  WHERE abs(p.price - n.price) <= 0.05 * coalesce((p.atr + n.atr) / 2, n.atr)
+    AND NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = n.symbol AND b.i > p.confirmed_i AND b.i < n.i
+      AND CASE n.side WHEN 'sh' THEN b.high > p.price + 0.05 * coalesce((p.atr + n.atr) / 2, n.atr) ELSE b.low < p.price - 0.05 * coalesce((p.atr + n.atr) / 2, n.atr) END)) WHERE r = 1""")
+def l2_equal_levels(spark, sf_dir):
+    bars = measured(spark, sf_dir)
+    return L.equal_levels(L.base_levels(bars), bars).select(*KEY, "side", "i", "eq_pair", "eq_price", "eq_confirmed_i")
+
+
+@query("SELECT symbol, 60 AS tf, side, l.i, swept_i FROM levels l JOIN sweeps USING (symbol, kind, i)")
+def l3_sweeps(spark, sf_dir):
+    return L.levels(hourly(spark, sf_dir)).where("swept_i is not null").select(*KEY, "side", "i", "swept_i")
+
+
+@query("SELECT symbol, type, scope, coalesce(classification, CASE WHEN swept_i IS NULL THEN 'DETECTED' ELSE 'SWEPT' END) AS outcome, count(*) AS n FROM ends GROUP BY ALL")
+def l4_liquidity_class(spark, sf_dir):
+    outcome = F.coalesce("classification", F.when(F.col("swept_i").isNull(), "DETECTED").otherwise("SWEPT"))
+    return L.levels(hourly(spark, sf_dir)).groupBy("symbol", "type", "scope", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT symbol, 60 AS tf, i, side, scope, swept_i, resolved_i, classification FROM ends")
+def l1_levels(spark, sf_dir):
+    return L.levels(hourly(spark, sf_dir)).select(*KEY, "i", "side", "scope", "swept_i", "resolved_i", "classification")
+
+
+VOLUME = "(SELECT e.*, 3 * b.volume AS volume_score FROM ends e JOIN bars b ON b.symbol = e.symbol AND b.i = coalesce(e.swept_i, e.i))"
+
+
+@query(f"SELECT symbol, 60 AS tf, i, side, volume_score FROM {VOLUME}")
+def l5_volume_score(spark, sf_dir):
+    return scored(spark, sf_dir).select(*KEY, "i", "side", "volume_score")
+
+
+@query(f"""SELECT symbol, 60 AS tf, v.i, v.side, volume_score FROM {VOLUME} v JOIN (
+  SELECT symbol, s[floor((len(s) - 1) * 0.7 + 0.5)::INT + 1] AS least FROM (SELECT symbol, list_sort(list(volume_score)) AS s FROM {VOLUME} GROUP BY symbol)) USING (symbol) WHERE volume_score >= least""")
+def l7_weighted(spark, sf_dir):
+    return L.weighted(scored(spark, sf_dir)).select(*KEY, "i", "side", "volume_score")
+
+
+@query("SELECT symbol, 60 AS tf, i, side, CASE WHEN swept_i <= 120 THEN swept_i END AS swept_i, CASE WHEN resolved_i <= 120 THEN classification END AS classification, CASE WHEN scope_confirmed_i > 120 THEN 'internal' ELSE scope END AS scope FROM ends WHERE confirmed_i <= 120")
+def l8_levels_as_of(spark, sf_dir):
+    return L.as_of(L.levels(hourly(spark, sf_dir)), 120).select(*KEY, "i", "side", "swept_i", "classification", "scope")
+
+
+# ---- structure ----------------------------------------------------------------------------------------------------
+
+
+@query()
+def m1_bos_choch(spark, sf_dir):
+    return breaks(hourly(spark, sf_dir))
+
+
+@query()
+def m2_boosted_breaks(spark, sf_dir):
+    return S.boosted(breaks(hourly(spark, sf_dir)), scored(spark, sf_dir)).select(*KEY, "scope", "direction", "i", "boosted", "probability_weight", "liquidity_signal")
+
+
+@query("SELECT symbol, tf, i, confirmed_i, direction, round(top, 6) AS top, round(bottom, 6) AS bottom FROM fvg")
+def m3_fvg(spark, sf_dir):
+    return S.gaps(hourly(spark, sf_dir))
+
+
+@query("""SELECT f.symbol, f.tf, f.i, f.direction, EXISTS (SELECT 1 FROM ends e WHERE e.symbol = f.symbol AND e.resolved_i BETWEEN f.confirmed_i - 1 AND f.confirmed_i AND e.classification <> 'RUN') AS high_reaction FROM fvg f""")
+def m4_fvg_reaction(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return S.with_reaction(S.gaps(bars), L.levels(bars)).select(*KEY, "i", "direction", "high_reaction")
+
+
+@query("""SELECT symbol, tf, i, direction, end_i, round(coalesce(max(least(greatest(d, 0), 1)), 0), 6) AS fill_ratio, CASE WHEN end_i IS NULL THEN 'active' ELSE 'mitigated' END AS status FROM (
+  SELECT f.*, b.i AS j, CASE direction WHEN 'bull' THEN CASE WHEN b.low <= bottom THEN 1 ELSE (top - b.low) / (top - bottom) END ELSE CASE WHEN b.high >= top THEN 1 ELSE (b.high - bottom) / (top - bottom) END END AS d,
+         min(CASE WHEN CASE direction WHEN 'bull' THEN b.low <= bottom ELSE b.high >= top END THEN b.i END) OVER (PARTITION BY f.symbol, f.i) AS end_i
+  FROM fvg f LEFT JOIN bars b ON b.symbol = f.symbol AND b.i > f.confirmed_i) WHERE end_i IS NULL OR j <= end_i GROUP BY symbol, tf, i, direction, end_i""")
+def m5_fvg_lifecycle(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return S.lifecycle(bars, S.gaps(bars)).select(*KEY, "i", "direction", "end_i", "fill_ratio", "status")
+
+
+@query()
+def m6_order_blocks(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return S.order_blocks(bars, breaks(bars))
+
+
+@query()
+def m7_ob_relevance(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return S.relevance(S.order_blocks(bars, breaks(bars)), bars)
+
+
+@query()
+def m8_ob_lifecycle(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return S.lifecycle(bars, S.order_blocks(bars, breaks(bars))).drop("fills")
+
+
+@query("""SELECT l.symbol, 60 AS tf, l.direction, l.from_i, l.to_i, round(l.slope, 6) AS slope, l.confirmed_i, min(b.i) AS break_i FROM (
+  SELECT *, CASE kind WHEN 'high' THEN 'bear' ELSE 'bull' END AS direction, (price - p0) / (i - i0) AS slope, i0 AS from_i, i AS to_i FROM (
+    SELECT *, lag(i) OVER w AS i0, lag(price) OVER w AS p0 FROM pv3 WINDOW w AS (PARTITION BY symbol, kind ORDER BY i)) WHERE CASE kind WHEN 'high' THEN price < p0 ELSE price > p0 END) l
+LEFT JOIN bars b ON b.symbol = l.symbol AND b.i > l.confirmed_i AND CASE l.kind WHEN 'high' THEN b.close > l.price + l.slope * (b.i - l.to_i) ELSE b.close < l.price + l.slope * (b.i - l.to_i) END
+GROUP BY l.symbol, l.direction, l.from_i, l.to_i, l.slope, l.confirmed_i""")
+def m9_trendlines(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return S.trendlines(P.pivots(bars, 3), bars).select(*KEY, "direction", "from_i", "to_i", "slope", "confirmed_i", "break_i")
+
+
+@query()
+def m10_trailing(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return S.trailing(bars, external(bars), breaks(bars))
+
+
+@query("""SELECT symbol, tf, round(h, 6) AS major_high, round(l, 6) AS major_low, round((h + l) / 2, 6) AS equilibrium FROM (
+  SELECT symbol, tf, arg_max(price, i) FILTER (kind = 'high') AS h, arg_max(price, i) FILTER (kind = 'low') AS l FROM pv9 WHERE confirmed_i <= 150 GROUP BY symbol, tf)""")
+def m12_major_levels(spark, sf_dir):
+    return S.major_levels(external(hourly(spark, sf_dir)), 150)
+
+
+@query()
+def m13_active_zones(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return S.active_zones(S.lifecycle(bars, S.gaps(bars)), 150, 5).drop("fills")
+
+
+@query("""SELECT f.symbol, f.tf, f.i, f.direction, EXISTS (SELECT 1 FROM ends e WHERE e.symbol = f.symbol AND e.resolved_i BETWEEN f.confirmed_i AND f.confirmed_i + 12 AND e.classification <> 'RUN'
+  AND e.side = CASE f.direction WHEN 'bull' THEN 'sl' ELSE 'sh' END) AS reacted FROM fvg f""")
+def m14_matched_reaction(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return S.with_matched_reaction(S.gaps(bars), L.levels(bars)).select(*KEY, "i", "direction", "reacted")
+
+
+# ---- regime, strategy, backtest -----------------------------------------------------------------------------------
+
+
+@query("""SELECT b.symbol, 60 AS tf, b.i, arg_min(e.i, (abs(b.close - e.price), e.i, e.side)) FILTER (NOT o) AS internal_i, arg_min(e.i, (abs(b.close - e.price), e.i, e.side)) FILTER (o) AS external_i
+FROM (SELECT b.*, atr FROM bars b JOIN atr USING (symbol, i) WHERE atr > 0) b JOIN (SELECT * FROM ends) e ON e.symbol = b.symbol AND e.confirmed_i <= b.i AND (e.resolved_i IS NULL OR e.resolved_i > b.i), LATERAL (SELECT e.scope = 'external' AND e.scope_confirmed_i <= b.i AS o)
+WHERE abs(b.close - e.price) <= atr * CASE WHEN o THEN 0.75 ELSE 0.5 END GROUP BY b.symbol, b.i""")
+def g1_nearest_level(spark, sf_dir):
+    bars = measured(spark, sf_dir)
+    return L.nearest(bars, L.levels(bars)).select(*KEY, "i", "internal_i", "external_i")
+
+
+@query()
+def g3_regime(spark, sf_dir):
+    bars = measured(spark, sf_dir)
+    return G.regime(bars, L.levels(bars), breaks(bars))
+
+
+@query(""", st AS (
+  SELECT b.symbol, b.i, b.close, (high + low) / 2 AS up, (high + low) / 2 AS down, 1 AS d FROM bars b WHERE i = 0
+  UNION ALL
+  SELECT symbol, i, close, CASE WHEN bu < up OR pc > up THEN bu ELSE up END, CASE WHEN bl > down OR pc < down THEN bl ELSE down END, CASE WHEN d = -1 AND close > up THEN 1 WHEN d = 1 AND close < down THEN -1 ELSE d END
+  FROM (SELECT b.symbol, b.i, b.close, s.close AS pc, s.up, s.down, s.d, (b.high + b.low) / 2 + 3 * coalesce(a.atr, 0) AS bu, (b.high + b.low) / 2 - 3 * coalesce(a.atr, 0) AS bl
+        FROM st s JOIN bars b ON b.symbol = s.symbol AND b.i = s.i + 1 LEFT JOIN atr10 a ON a.symbol = b.symbol AND a.i = b.i))
+SELECT symbol, 60 AS tf, i, round(CASE d WHEN 1 THEN down ELSE up END, 6) AS st_value, d AS st_direction FROM st""")
+def t1_supertrend(spark, sf_dir):
+    return measured(spark, sf_dir).select(*KEY, "i", "st_value", "st_direction")
+
+
+@query()
+def t2_halftrend(spark, sf_dir):
+    return measured(spark, sf_dir).select(*KEY, "i", "ht_trend", "ht_value", "ht_high", "ht_low", "ht_flipped")
+
+
+@query(""", em AS (SELECT symbol, i, high - low AS e FROM bars WHERE i = 0 UNION ALL SELECT b.symbol, b.i, (b.high - b.low) * (2.0::DOUBLE / 101) + e.e * (1 - 2.0::DOUBLE / 101) FROM em e JOIN bars b ON b.symbol = e.symbol AND b.i = e.i + 1),
+rf AS (
+  SELECT symbol, i, close AS f, 0 AS d FROM bars WHERE i = 0
+  UNION ALL
+  SELECT symbol, i, nf, CASE WHEN nf > f THEN 1 WHEN nf < f THEN -1 ELSE d END FROM (
+    SELECT b.symbol, b.i, r.f, r.d, CASE WHEN b.close > r.f THEN greatest(r.f, b.close - 3 * e.e) WHEN b.close < r.f THEN least(r.f, b.close + 3 * e.e) ELSE r.f END AS nf
+    FROM rf r JOIN bars b ON b.symbol = r.symbol AND b.i = r.i + 1 JOIN em e ON e.symbol = b.symbol AND e.i = b.i))
+SELECT symbol, 60 AS tf, i, round(f, 6) AS rf_value, d AS rf_direction FROM rf""")
+def t3_range_filter(spark, sf_dir):
+    return measured(spark, sf_dir).select(*KEY, "i", "rf_value", "rf_direction")
+
+
+def found_signals(spark, sf_dir):
+    return T.signals(T.directions(measured(spark, sf_dir)), T.SignalConfig(main="halftrend", confirmations=("supertrend",), mode="OR", expiry=5))
+
+
+@query()
+def t5_signals(spark, sf_dir):
+    return found_signals(spark, sf_dir)
+
+
+@query()
+def t8_supply_demand(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return T.supply_demand(S.order_blocks(bars, breaks(bars)), bars)
+
+
+def backtested(spark, sf_dir, curve=False):
+    return T.backtest(measured(spark, sf_dir), found_signals(spark, sf_dir), T.BacktestConfig(commission_bps=2, slippage_bps=1), curve=curve)
+
+
+@query()
+def b1_trades(spark, sf_dir):
+    return backtested(spark, sf_dir).where("row = 'trade'").select(*KEY, "signal_i", "i", "exit_i", "side", "entry_price", "exit_price", "reason", "net_pnl", "equity")
+
+
+@query()
+def b6_skipped(spark, sf_dir):
+    return backtested(spark, sf_dir).where("row = 'skipped'").select(*KEY, "signal_i", "i", "side", "reason")
+
+
+@query()
+def b7_summary(spark, sf_dir):
+    return T.summary(backtested(spark, sf_dir, curve=True))
+
+
+# ---- levels, profiles, vwap ---------------------------------------------------------------------------------------
+
+
+@query()
+def z1_zona(spark, sf_dir):
+    return Z.zone_levels(P.internal_zigzag(measured(spark, sf_dir)), 150)
+
+
+@query()
+def z2_fib(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return Z.fibonacci(P.compress(external(bars)), bars)
+
+
+@query("""SELECT symbol, 60 AS tf, unnest([{'type': 'PDH', 'price': round(h, 6)}, {'type': 'PDL', 'price': round(l, 6)}], recursive := true), available_i FROM (
+  SELECT symbol, min(i) AS available_i, lag(max(high)) OVER w AS h, lag(min(low)) OVER w AS l FROM bars GROUP BY symbol, time // 86400 WINDOW w AS (PARTITION BY symbol ORDER BY time // 86400)) WHERE h IS NOT NULL""")
+def z5_prev_hl(spark, sf_dir):
+    return Z.previous_high_low(hourly(spark, sf_dir), "D").select(*KEY, "type", "price", "available_i")
+
+
+DAYS = "(SELECT *, min(i) OVER (PARTITION BY symbol, time // 86400) AS segment FROM bars)"
+
+
+@query(f"""SELECT symbol, tf, segment, bin, round(sum(CASE WHEN high > low THEN volume * greatest(least(lo + (bin + 1) * step, high) - greatest(lo + bin * step, low), 0) / (high - low) ELSE volume END), 6) AS volume FROM (
+  SELECT d.*, lo, (hi - lo) / 24 AS step, unnest(range(least(greatest(((low - lo) / ((hi - lo) / 24))::BIGINT - (((low - lo) / ((hi - lo) / 24))::BIGINT > (low - lo) / ((hi - lo) / 24))::INT, 0), 23),
+                                          CASE WHEN high > low THEN least(greatest(floor((high - lo) / ((hi - lo) / 24))::BIGINT, 0), 23) ELSE least(greatest(floor((low - lo) / ((hi - lo) / 24))::BIGINT, 0), 23) END + 1)) AS bin
+  FROM {DAYS} d JOIN (SELECT symbol, segment, min(low) AS lo, max(high) AS hi FROM {DAYS} GROUP BY ALL) USING (symbol, segment) WHERE hi > lo) GROUP BY symbol, tf, segment, bin""")
+def a2_volume_profile(spark, sf_dir):
+    binned = A.bins(A.session_segments(hourly(spark, sf_dir)))
+    return binned.where("volume > 0").select(*KEY, "segment", "bin", "volume")
+
+
+@query()
+def a3_value_area(spark, sf_dir):
+    return A.value_area(A.bins(A.session_segments(hourly(spark, sf_dir)))).drop("max_volume")
+
+
+@query()
+def a4_poc_index(spark, sf_dir):
+    days = A.session_segments(hourly(spark, sf_dir))
+    return A.poc_index(A.value_area(A.bins(days)), days).select(*KEY, "segment", "poc", "poc_i")
+
+
+@query(f"""SELECT symbol, tf, i, segment, round(m, 6) AS vwap, round(sqrt(greatest(q - (m - 150) ** 2, 0)), 6) AS sigma FROM (
+  SELECT *, sum(volume * tp) OVER w / sum(volume) OVER w AS m, sum(volume * (tp - 150) ** 2) OVER w / sum(volume) OVER w AS q
+  FROM (SELECT *, (high + low + close) / 3 AS tp FROM {DAYS}) WINDOW w AS (PARTITION BY symbol, segment ORDER BY i))""")
+def a7_vwap(spark, sf_dir):
+    return A.vwap(A.session_segments(hourly(spark, sf_dir))).select(*KEY, "i", "segment", "vwap", F.when(F.col("sigma") < 2e-6, 0.0).otherwise(F.col("sigma")).alias("sigma"))
+
+
+ORACLE["a7_vwap"] = ORACLE["a7_vwap"].replace("round(sqrt(greatest(q - (m - 150) ** 2, 0)), 6)", "round(CASE WHEN sqrt(greatest(q - (m - 150) ** 2, 0)) < 2e-6 THEN 0 ELSE sqrt(greatest(q - (m - 150) ** 2, 0)) END, 6)")
+
+
+@query("""SELECT symbol, 60 AS tf, min(i) AS i, 'session_start' AS source FROM bars GROUP BY symbol, time // 86400
+UNION ALL SELECT symbol, 60, coalesce(min(i) FILTER (time % 86400 >= 34200), min(i)), 'market_open' FROM bars b GROUP BY symbol, time // 86400
+HAVING min(i) FILTER (time % 86400 >= 34200) IS NOT NULL OR time // 86400 < (SELECT max(time // 86400) FROM bars x WHERE x.symbol = b.symbol)""")
+def a8_anchors(spark, sf_dir):
+    return A.anchors(hourly(spark, sf_dir)).drop("metadata")
+
+
+@query()
+def a9_anchor_lines(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    found = A.anchors(bars).unionByName(A.event_anchors(breaks(bars)))
+    return A.lines(bars, A.merged(found, bars)).select(*KEY, "i", "segment", "vwap", "sigma")
+
+
+@query()
+def a10_missed_anchor(spark, sf_dir):
+    return A.missed_anchor(P.missed_pivots(hourly(spark, sf_dir), 5), 150)
+
+
+@query("""SELECT a.symbol, 60 AS tf, a.i AS last, a.i - 19 AS first, round(sum(b.volume * (b.high + b.low + b.close) / 3) / sum(b.volume), 6) AS vwap FROM bars a JOIN bars b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 19 AND a.i WHERE a.i >= 19 GROUP BY a.symbol, a.i""")
+def a12_range_vwap(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return A.range_vwap(bars, bars.where("i >= 19").select(*KEY, F.col("i").alias("last"), (F.col("i") - 19).alias("first")))
+
+
+# ---- features and models ------------------------------------------------------------------------------------------
+
+
+def ghost_events(spark, sf_dir):
+    return P.ghost_trace(hourly(spark, sf_dir), 5)
+
+
+GHOST = "(" + ORACLE["p17_ghost_trace"][ORACLE["p17_ghost_trace"].index("SELECT symbol, 60 AS tf, event_i") :] + ")"
+
+
+@query(f"""SELECT symbol, tf, event_i, """ + ", ".join(f'count(*) OVER (PARTITION BY symbol ORDER BY event_time RANGE BETWEEN 1 FOLLOWING AND {n * 3600} FOLLOWING) AS "Y_{n * 60}m"' for n in (3, 5, 10, 15)) + f""",
+  (SELECT max(time) FROM bars b WHERE b.symbol = g.symbol) >= event_time + 54000 AS complete FROM {GHOST} g""")
+def f2_labels(spark, sf_dir):
+    return X.labels(ghost_events(spark, sf_dir), hourly(spark, sf_dir), (180, 300, 600, 900)).select(*KEY, "event_i", "Y_180m", "Y_300m", "Y_600m", "Y_900m", "complete")
+
+
+@query("""SELECT b.symbol, 60 AS tf, b.i, max(m.i) AS closed_i FROM bars b LEFT JOIN minutes m ON m.symbol = b.symbol AND m.time + 60 <= b.time GROUP BY b.symbol, b.i""")
+def f3_last_closed(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return X.last_closed(bars, minutes(spark, sf_dir), 1, "time").select(*KEY, "i", "closed_i")
+
+
+@query()
+def f8_snapshot_1h(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    blocks = S.lifecycle(bars, S.order_blocks(bars, breaks(bars)))
+    return X.snapshot(ghost_events(spark, sf_dir), bars, L.levels(bars), S.lifecycle(bars, S.gaps(bars)), blocks)
+
+
+@query("""SELECT symbol, 60 AS tf, available_i, round(h, 6) AS resistance, round(l, 6) AS support FROM (
+  SELECT symbol, min(i) AS available_i, lag(max(high)) OVER w AS h, lag(min(low)) OVER w AS l FROM bars GROUP BY symbol, time // 14400 WINDOW w AS (PARTITION BY symbol ORDER BY time // 14400)) WHERE h IS NOT NULL""")
+def f9_sr(spark, sf_dir):
+    return Z.support_resistance(hourly(spark, sf_dir)).select(*KEY, "available_i", "resistance", "support")
+
+
+NUMBERS = ("trend_return", "volatility", "volume_ratio")
+
+
+@query("SELECT symbol, tf, i, " + ", ".join(f"round(({c} - (SELECT avg({c}) FROM features)) / (SELECT stddev_pop({c}) FROM features), 6) AS {c}_z" for c in NUMBERS) + ", (symbol = 'view')::INT AS is_view FROM features")
+def n1_impute_scale(spark, sf_dir):
+    rows = features(spark, sf_dir)
+    out = X.scale(rows, X.fit_scaler(rows, NUMBERS), NUMBERS, {"symbol": ("view",)})
+    return out.select(*KEY, "i", *[f"{c}_z" for c in NUMBERS], F.col("`symbol=view`").alias("is_view"))
+
+
+@query("""SELECT symbol, tf, i, n, round(total, 6) AS total FROM (SELECT symbol, tf, i, count(*) OVER w AS n, sum(volume_ratio + atr_pct) OVER w AS total FROM features WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 15 PRECEDING)) WHERE n = 16""")
+def n2_sequences(spark, sf_dir):
+    out = X.sequences(features(spark, sf_dir), ("volume_ratio", "atr_pct"), "i", 16)
+    return out.select(*KEY, "i", F.size("sequence").cast("long").alias("n"), F.aggregate("sequence", F.lit(0.0), lambda a, x: a + F.get(x, F.lit(0)) + F.get(x, F.lit(1))).alias("total"))
+
+
+@query("SELECT symbol, part, count(*) AS n FROM (SELECT *, CASE WHEN r > floor(c * 0.8) THEN 'validation' WHEN time + 7200 > s THEN 'purged' ELSE 'train' END AS part FROM (SELECT *, min(CASE WHEN r > floor(c * 0.8) THEN time END) OVER (PARTITION BY symbol) AS s FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) AS r, count(*) OVER (PARTITION BY symbol) AS c FROM bars))) GROUP BY ALL")
+def n5_temporal_split(spark, sf_dir):
+    return X.temporal_split(hourly(spark, sf_dir), "time", 0.8, 7200).groupBy("symbol", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT symbol, 60 AS tf, i, least(greatest(y1, 0), 3)::DOUBLE AS y1, least(greatest(least(greatest(y2, 0), 5), least(greatest(y1, 0), 3)), 5)::DOUBLE AS y2 FROM (SELECT symbol, i, round(close - open, 6) AS y1, round(high - close, 6) AS y2 FROM bars)""")
+def n6_constraints(spark, sf_dir):
+    rows = hourly(spark, sf_dir).select(*KEY, "i", F.round(F.col("close") - F.col("open"), 6).alias("y1"), F.round(F.col("high") - F.col("close"), 6).alias("y2"))
+    return X.constrained(rows, ("y1", "y2"), (3, 5))
+
+
+@query("""SELECT symbol, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(100 * avg((abs(round_even(p, 0) - a) = 0)::INT), 6) AS exact, round(100 * avg((abs(round_even(p, 0) - a) <= 1)::INT), 6) AS within_one, round(1 - sum(e * e) / (var_pop(a) * count(*)), 6) AS r2
+FROM (SELECT symbol, volume AS a, m AS p, m - volume AS e FROM (SELECT *, avg(volume) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS m FROM bars) WHERE i >= 20) GROUP BY symbol""")
+def n7_metrics(spark, sf_dir):
+    from ..operators.core import rows_between
+
+    rows = hourly(spark, sf_dir).withColumn("m", F.avg("volume").over(rows_between(-20, -1))).where("i >= 20")
+    return X.metrics(rows, "volume", "m", ("symbol",))
+
+
+@query("SELECT symbol, tf, i, round((return_1 - m) / CASE WHEN s * s > 1e-24 THEN s ELSE 1 END, 6) AS z FROM features JOIN (SELECT symbol, avg(return_1) AS m, stddev_pop(return_1) AS s FROM features WHERE available GROUP BY symbol) USING (symbol)")
+def c1_zscore(spark, sf_dir):
+    rows = features(spark, sf_dir)
+    stats = rows.where("available").groupBy(*KEY).agg(F.avg("return_1").alias("m"), F.stddev_pop("return_1").alias("s"))
+    sd = F.when(F.col("s") * F.col("s") > 1e-24, F.col("s")).otherwise(1.0)
+    return rows.join(stats, KEY).select(*KEY, "i", ((F.col("return_1") - F.col("m")) / sd).alias("z"))
+
+
+@query()
+def c3_kmeans_predict(spark, sf_dir):
+    return M.regimes(features(spark, sf_dir))
+
+
+@query()
+def c8_gmm_hmm(spark, sf_dir):
+    return M.regimes(features(spark, sf_dir), method="gmm_hmm")
+
+
+@query()
+def c8_walk_forward(spark, sf_dir):
+    return M.regimes(features(spark, sf_dir), refit=48)
