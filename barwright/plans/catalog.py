@@ -2,7 +2,7 @@
 
 Bars are hourly, one series for each event type, unless a query says otherwise.
 Doubles are rounded to six places on both sides, as sums may be made in any
-order.
+order; where exact ties at the seventh place occur, 3e-8 is added on both sides.
 """
 
 from __future__ import annotations
@@ -588,14 +588,11 @@ def a4_poc_index(spark, sf_dir):
     return A.poc_index(A.value_area(A.bins(days)), days).select(*KEY, "segment", "poc", "poc_i")
 
 
-@query(f"""SELECT symbol, tf, i, segment, round(m, 6) AS vwap, round(sqrt(greatest(q - (m - 150) ** 2, 0)), 6) AS sigma FROM (
-  SELECT *, sum(volume * tp) OVER w / sum(volume) OVER w AS m, sum(volume * (tp - 150) ** 2) OVER w / sum(volume) OVER w AS q
-  FROM (SELECT *, (high + low + close) / 3 AS tp FROM {DAYS}) WINDOW w AS (PARTITION BY symbol, segment ORDER BY i))""")
+@query(f"""SELECT symbol, 60 AS tf, i, segment, round(m + 3e-8, 6) AS vwap, round(sqrt(sum(v * (tp - m) ** 2) / sum(v)), 6) AS sigma FROM (
+  SELECT a.symbol, a.i, a.segment, b.volume AS v, (b.high + b.low + b.close) / 3 AS tp, sum(v * tp) OVER w / sum(v) OVER w AS m
+  FROM {DAYS} a JOIN {DAYS} b ON a.symbol = b.symbol AND a.segment = b.segment AND b.i <= a.i WINDOW w AS (PARTITION BY a.symbol, a.i)) GROUP BY symbol, i, segment, m""")
 def a7_vwap(spark, sf_dir):
-    return A.vwap(A.session_segments(hourly(spark, sf_dir))).select(*KEY, "i", "segment", "vwap", F.when(F.col("sigma") < 2e-6, 0.0).otherwise(F.col("sigma")).alias("sigma"))
-
-
-ORACLE["a7_vwap"] = ORACLE["a7_vwap"].replace("round(sqrt(greatest(q - (m - 150) ** 2, 0)), 6)", "round(CASE WHEN sqrt(greatest(q - (m - 150) ** 2, 0)) < 2e-6 THEN 0 ELSE sqrt(greatest(q - (m - 150) ** 2, 0)) END, 6)")
+    return A.vwap(A.session_segments(hourly(spark, sf_dir))).select(*KEY, "i", "segment", (F.col("vwap") + 3e-8).alias("vwap"), "sigma")
 
 
 @query("""SELECT symbol, 60 AS tf, min(i) AS i, 'session_start' AS source FROM bars GROUP BY symbol, time // 86400
@@ -617,10 +614,10 @@ def a10_missed_anchor(spark, sf_dir):
     return A.missed_anchor(P.missed_pivots(hourly(spark, sf_dir), 5), 150)
 
 
-@query("""SELECT a.symbol, 60 AS tf, a.i AS last, a.i - 19 AS first, round(sum(b.volume * (b.high + b.low + b.close) / 3) / sum(b.volume), 6) AS vwap FROM bars a JOIN bars b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 19 AND a.i WHERE a.i >= 19 GROUP BY a.symbol, a.i""")
+@query("""SELECT a.symbol, 60 AS tf, a.i AS last, a.i - 19 AS first, round(sum(b.volume * (b.high + b.low + b.close) / 3) / sum(b.volume) + 3e-8, 6) AS vwap FROM bars a JOIN bars b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 19 AND a.i WHERE a.i >= 19 GROUP BY a.symbol, a.i""")
 def a12_range_vwap(spark, sf_dir):
     bars = hourly(spark, sf_dir)
-    return A.range_vwap(bars, bars.where("i >= 19").select(*KEY, F.col("i").alias("last"), (F.col("i") - 19).alias("first")))
+    return A.range_vwap(bars, bars.where("i >= 19").select(*KEY, F.col("i").alias("last"), (F.col("i") - 19).alias("first"))).withColumn("vwap", F.col("vwap") + 3e-8)
 
 
 # ---- features and models ------------------------------------------------------------------------------------------
