@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -14,15 +14,23 @@ def _least(links: DataFrame) -> DataFrame:
     return links.join(least, F.col("u") == F.col("x")).drop("x")
 
 
+def _both(df: DataFrame, first: Column, second: Column) -> DataFrame:
+    """Two links for each row, without reading df twice."""
+    return df.select(F.explode(F.array(first, second)).alias("x")).select("x.u", "x.v")
+
+
+def _link(u: str, v: str) -> Column:
+    return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    m = _least(_both(links, _link("u", "v"), _link("v", "u")))
+    return m.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    m = _least(down)
-    return m.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    m = _least(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    return _both(m, _link("v", "m"), _link("u", "m")).where("u <> v").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -32,9 +40,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     stars of any size take a round or two, a path of n nodes about log n. Each
     round is written to the shared folder, so a lost executor costs one round.
     """
-    links = links.select("u", "v").where("u <> v")
+    links = saved(links.select("u", "v").where("u <> v"), "links")
     for _ in range(rounds):
-        links = saved(_small_star(_large_star(links)), "links")
+        links = saved(_small_star(saved(_large_star(links), "links")), "links")
         if links.join(links.select(F.col("v").alias("x")), F.col("u") == F.col("x"), "left_semi").isEmpty():
             return links.select(F.col("u").alias("node"), F.col("v").alias("label"))
     raise RuntimeError(f"no fixed point of the components after {rounds} rounds")

@@ -345,8 +345,10 @@ def _rest(unsafe: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """
     some = nodes.join(unsafe, "key", "left_semi").select("key", "n", "sketch").join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
     some = some.withColumn("label", F.coalesce("label", "key")).withColumn("size", F.floor(F.log("n") / float(np.log(4 / 3)) + 1e-9))
+    some = saved(some, "jaccard-rest")
     counts = some.groupBy("size", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("size").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
     counts = counts.select("size", F.col("top.label").alias("major"), F.ceil((F.col("all") - F.col("top.c") + 1) / CHUNK).alias("cl"), F.ceil(F.col("all") / CHUNK).alias("cr"))
+    counts = saved(counts, "jaccard-classes")
     mine = lambda c: F.pmod(F.xxhash64("key"), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     theirs = counts.select(F.col("size").alias("to"), F.col("cl").alias("tl"))
@@ -404,7 +406,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         top = split.orderBy(F.desc("size"), "sig").limit(HOT).select("sig").toPandas()["sig"].to_numpy(np.int64).view(np.uint64)
         hot = np.union1d(hot, top)[: 2 * HOT] if len(hot) else np.sort(top)
         some, amount = _of(texts, nodes, keys).select("doc_id", "text"), nodes.join(keys, "key", "left_semi").agg(F.sum("n")).first()[0] or 0
-    unsafe = saved(unsafe.distinct(), "jaccard-unsafe")
+    unsafe = saved(unsafe.distinct(), "jaccard-unsafe")  # the last step looks at them once more
     if not unsafe.isEmpty():
         widen(_rest(unsafe, nodes, labels))
     label = labels.select(F.col("node").alias("key"), "label")
