@@ -712,3 +712,28 @@ def c8_gmm_hmm(spark, sf_dir):
 @query()
 def c8_walk_forward(spark, sf_dir):
     return M.regimes(features(spark, sf_dir), refit=48)
+
+
+@query()
+def t10_trend_channels(spark, sf_dir):
+    from ..operators import channels
+
+    return channels.channels(measured(spark, sf_dir))
+
+
+@query()
+def t11_three_low_channels(spark, sf_dir):
+    from ..operators import channels
+
+    bars = measured(spark, sf_dir)
+    return channels.three_low_channels(bars, P.pivots(bars, 3), atr_share=1.0)
+
+
+@query("""SELECT symbol, tf, i, round(avg(close) OVER w, 6) AS sma, round(stddev_pop(close) OVER w, 6) AS sd, round(max(high) OVER w, 6) AS hi, round(100 * (close - min(low) OVER w) / (max(high) OVER w - min(low) OVER w), 6) AS k,
+  i - max(CASE WHEN close > open THEN i END) OVER (PARTITION BY symbol ORDER BY i) AS since
+FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 13 PRECEDING) QUALIFY count(*) OVER w = 14""")
+def o1_technical(spark, sf_dir):
+    from ..functions import technical as K
+
+    at = hourly(spark, sf_dir).select(*KEY, "i", K.sma("close", 14).alias("sma"), K.stdev("close", 14).alias("sd"), K.highest("high", 14).alias("hi"), K.stoch(14).alias("k"), K.bars_since(F.col("close") > F.col("open")).alias("since"))
+    return at.where("sma is not null")
