@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words
+from .common import SPACE, saved, words
 
 #: Scores by name; a text is rejected when a score is at or above its cutoff.
 RULES = {
@@ -66,10 +66,14 @@ def _with_repeats(rows: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the counts of each text."""
+    """doc_id and the counts of each text, as a written table.
+
+    Written, because filters on the counts would else be pushed below them and
+    compute the arrays of a text again and again.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("__t")).select("doc_id", "__t", words(F.col("__t")).alias("__w"), F.filter(F.split("__t", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "").alias("__l"))
-    return _with_repeats(base).select(
+    counts = _with_repeats(base).select(
         "doc_id",
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("__t", SPACE + "+", "")).cast("long").alias("word_chars"),
@@ -78,6 +82,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.col("__r").cast("long").alias("n_repeat_words"),
         F.size("__l").cast("long").alias("n_lines"),
     )
+    return saved(counts, "quality-counts")
 
 
 def _stratum() -> Column:

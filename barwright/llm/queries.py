@@ -49,7 +49,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = saved(quality.measured(table(spark, sf_dir, "documents")), "quality-counts")
+    counted = quality.measured(table(spark, sf_dir, "documents"))
     found = quality.cutoffs(counted, table(spark, sf_dir, "labels"))
     return quality.judge(counted, found).drop("n_lines", "rule")
 
