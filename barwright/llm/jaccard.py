@@ -55,7 +55,7 @@ from .shingles import mixed, shingle_sets
 _U = np.uint64
 #: Sets of one signature that are compared all with all.
 SMALL = 48
-#: Signatures in a block, about (24 bytes each).
+#: Signatures in a block, about (17 bytes each).
 BLOCK = 1_500_000
 #: Ids of sets that may be broadcast to pick texts (16 bytes each); beyond that the texts' rows are shuffled.
 BROADCAST_IDS = 1 << 18
@@ -66,7 +66,7 @@ ROUNDS = 3
 CHUNK = 2048
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
-POSTING = np.dtype([("sig", "<u8"), ("key", "<u8"), ("n", "<u4")])
+POSTING = np.dtype([("sig", "<u8"), ("key", "<u8"), ("size", "u1")])
 
 
 def most_differences(a: int) -> int:
@@ -77,6 +77,30 @@ def band(size: int) -> int:
     return (int(size).bit_length() - 1) // 2
 
 
+def size_class(n: int) -> int:
+    """Steps of 6 % in size, in a byte; sets that may be similar are at most SIZE_REACH apart."""
+    return min(255, int(np.log(max(n, 1)) / np.log(1.06)))
+
+
+SIZE_REACH = int(np.log(4 / 3) / np.log(1.06)) + 1
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """Postings in order of signature as planes of bytes: steps between signatures leave their high planes zero, which compress away."""
+    step = np.diff(rows["sig"], prepend=_U(0))
+    planes = [np.ascontiguousarray(step).view(np.uint8).reshape(-1, 8).T.tobytes(), np.ascontiguousarray(rows["key"]).tobytes(), rows["size"].tobytes()]
+    return b"".join(planes)
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    n = len(block) // POSTING.itemsize
+    rows = np.empty(n, POSTING)
+    rows["sig"] = np.cumsum(np.ascontiguousarray(np.frombuffer(block, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel())
+    rows["key"] = np.frombuffer(block, np.uint64, n, 8 * n)
+    rows["size"] = np.frombuffer(block, np.uint8, n, 16 * n)
+    return rows
+
+
 def cold(sig: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Signatures that are not in the sorted array hot, in their order."""
     if not len(hot):
@@ -156,7 +180,7 @@ def _posted(batches: Iterator[pa.RecordBatch], bits: int, hot: np.ndarray) -> It
         rows = rows[np.argsort(rows["sig"])]
         bucket = (rows["sig"] >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(rows), np.int64)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        parts = [rows[lo:hi].tobytes() for lo, hi in zip(cuts, [*cuts, len(rows)][1:], strict=True)]
+        parts = [packed(rows[lo:hi]) for lo, hi in zip(cuts, [*cuts, len(rows)][1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "block"])
 
     for batch in batches:
@@ -169,7 +193,7 @@ def _posted(batches: Iterator[pa.RecordBatch], bits: int, hot: np.ndarray) -> It
                 if lost:
                     unsafe.append(key)
                 rows = np.empty(len(sig), POSTING)
-                rows["sig"], rows["key"], rows["n"] = sig, key, len(e)
+                rows["sig"], rows["key"], rows["size"] = sig, key, size_class(len(e))
                 held.append(rows)
                 size += len(rows)
             if len(seen) > 1_000_000:
@@ -182,7 +206,7 @@ def _posted(batches: Iterator[pa.RecordBatch], bits: int, hot: np.ndarray) -> It
     if unsafe:
         rows = np.zeros(len(unsafe), POSTING)
         rows["key"] = unsafe
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["bucket", "block"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([packed(rows)], pa.binary())], names=["bucket", "block"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -190,7 +214,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
     held: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for b, block in zip(batch.column("bucket").to_pylist(), batch.column("block"), strict=True):
-            held.setdefault(b, []).append(np.frombuffer(block.as_py(), POSTING))
+            held.setdefault(b, []).append(unpacked(block.as_py()))
     while held:
         bucket = next(iter(held))
         rows = np.concatenate(held.pop(bucket))
@@ -202,8 +226,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
 
 def _near(rows: np.ndarray, i: np.ndarray, j: np.ndarray):
     """Distinct pairs whose sizes allow similarity."""
-    a, b = rows["n"][i].astype(np.int64), rows["n"][j].astype(np.int64)
-    ok = 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
+    ok = np.abs(rows["size"][i].astype(np.int16) - rows["size"][j]) <= SIZE_REACH
     x, y = rows["key"][i[ok]], rows["key"][j[ok]]
     x, y = np.minimum(x, y), np.maximum(x, y)
     order = np.lexsort((y, x))
@@ -384,7 +407,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     def widen(pairs: DataFrame, first: bool = False) -> None:
         """Links of likely pairs across components: one a set first, which settles most, then the rest."""
         likely = _likely(pairs if first else _labelled(pairs, labels), nodes)
-        verify(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        verify(saved(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-pairs"))
         verify(saved(_labelled(likely, labels), "jaccard-pairs"))
 
     some, amount, hot = texts, shingles, np.zeros(0, np.uint64)
@@ -410,7 +433,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     if not unsafe.isEmpty():
         widen(_rest(unsafe, nodes, labels))
     label = labels.select(F.col("node").alias("key"), "label")
-    placed = described.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    placed = saved(described.join(label, "key", "left").select("doc_id", "n", F.coalesce("label", "key").alias("label")), "jaccard-placed")
     least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "label")
     known = lambda c: F.nullif(c, F.lit(NO_ID))
