@@ -644,9 +644,11 @@ def f3_last_closed(spark, sf_dir):
 
 @query()
 def f8_snapshot_1h(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    blocks = S.lifecycle(bars, S.order_blocks(bars, breaks(bars)))
-    return X.snapshot(ghost_events(spark, sf_dir), bars, L.levels(bars), S.lifecycle(bars, S.gaps(bars)), blocks)
+    # six joins read these tables; kept, each is made once
+    bars = hourly(spark, sf_dir).persist()
+    blocks = S.lifecycle(bars, S.order_blocks(bars, breaks(bars))).persist()
+    events = P.ghost_trace(bars, 5).persist()
+    return X.snapshot(events, bars, L.levels(bars).persist(), S.lifecycle(bars, S.gaps(bars)).persist(), blocks)
 
 
 @query("""SELECT symbol, 60 AS tf, available_i, round(h, 6) AS resistance, round(l, 6) AS support FROM (
