@@ -50,11 +50,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str, **options) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read again, and its path."""
     path = scratch_path(df.sparkSession, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str, **options) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+    return written(df, name, **options)[0]
 
 
 def run_id() -> str:

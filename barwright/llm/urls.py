@@ -1,17 +1,25 @@
 """URL filters: rules first, then a path-template tree of each host.
 
-A host's labelled URLs form a tree of path segments. Segments that look
-variable (numbers, ids, long mixed strings, and those with many siblings) turn
-into wildcards. Sibling branches whose labelled counts a two-proportion test
-cannot tell apart merge into one wildcard branch, from the leaves upwards. A
+A host's labelled URLs form a tree of all their path segments; the end of a
+path is a branch of its own, named "". Segments that look variable (with a
+digit, or long) turn into wildcards. Sibling branches whose labelled counts a
+two-proportion test cannot tell apart merge into one wildcard branch, level by
+level from the deepest upwards; how many siblings there are plays no part. A
 template is rejected when the smoothed share of good labels under it falls
 below a cutoff; the smoothing starts from the host, and the host from the whole
-corpus, so a template with few labels follows its host.
+corpus, so a template with few labels follows its host. A branch that has all
+labels of its parent keeps the parent's share, since they tell nothing new.
 
-The tree is three levels of templates (host; first segment; first two), each
-made by one grouped sum with partial sums before rows move, so a host with a
-third of all URLs sends a row for each template and task. Sibling tests compare
-a branch with all its siblings together, which needs their sums only.
+A URL goes down the tree as far as there are templates: to the branch of its
+segment, else to the wildcard (which stands for siblings that have no branch of
+their own). Where neither is there it stops, and the template ends in "**".
+
+The levels are as many as the longest labelled path has. Each is made by
+grouped sums with partial sums before rows move, so a host with a third of all
+URLs sends a row for each template and task. Sibling tests compare a branch
+with all its siblings together, which needs their sums only. URLs go down as
+distinct (host, templates), a join a level, until none is left; a level costs a
+few jobs, so time grows with the longest path.
 
 Labels: a URL is labelled by the document it shows (the number that ends its
 path), good if that is of quality 1 and not toxic; any table of (url, good)
@@ -27,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, written
 
 #: Host, path prefix and verdict of each rule (fixed values).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -61,10 +69,14 @@ def template(segment: Column) -> Column:
 
 
 def parsed(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """pages with host, path and the first two segments as templates (s1, s2)."""
+    """pages with host, path and all segments as templates."""
     out = pages.withColumn("host", host(F.col(url_col))).withColumn("path", path(F.col(url_col)))
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    return out.withColumn("s1", template(F.get(parts, F.lit(0)))).withColumn("s2", template(F.get(parts, F.lit(1))))
+    return out.withColumn("segments", F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), template))
+
+
+def _key(segs: Column) -> Column:
+    """The segments as one text, each after a slash; none of them has one."""
+    return F.when(F.size(segs) == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(segs, "/")))
 
 
 def _smoothed(good: Column, all_: Column, above: Column) -> Column:
@@ -82,47 +94,89 @@ def _merged(branches: DataFrame, parent: list[str], name: str) -> DataFrame:
     return told.withColumn("to", F.when(F.coalesce(z, F.lit(0.0)) < SAME_Z, F.lit("*")).otherwise(F.col(name))).drop("pg", "pn")
 
 
+def _summed(rows: DataFrame, *by: Column | str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+
+
+def _level(rows: DataFrame, d: int) -> DataFrame:
+    """rows (host, segs, good, n) with the d-th segment replaced by what its branch merges into, and summed."""
+    at = rows.withColumn("up", F.slice("segs", 1, d - 1)).withColumn("name", F.get("segs", F.lit(d - 1)))
+    told = _merged(_summed(at, "host", "up", "name"), ["host", "up"], "name").select("host", "up", "name", "to")
+    segs = F.concat("up", F.array("to"), F.slice("segs", d + 1, 1 << 30))
+    return _summed(at.join(told, ["host", "up", "name"]), "host", segs.alias("segs"))
+
+
 def tree(labelled: DataFrame) -> DataFrame:
-    """host, s1, s2 and purity for each template; '**' stands for whatever has no branch of its own.
+    """host, depth, up, name, key and purity for each template: key is up and name; a host has depth 0 and key "".
 
-    labelled: host, s1, s2, good (0 or 1).
+    labelled: host, segments (or s1, s2 and so on), good (0 or 1).
     """
-    summed = lambda df, *by: df.groupBy(*by).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    leaves = labelled.where("good is not null and host <> ''").groupBy("host", "s1", "s2").agg(F.sum(F.col("good").cast("double")).alias("good"), F.count(F.lit(1)).cast("double").alias("n"))
-    leaves = saved(leaves, "url-leaves")
-    leaves = saved(summed(_merged(leaves, ["host", "s1"], "s2"), "host", "s1", F.col("to").alias("s2")), "url-leaves")
-    branches = saved(summed(leaves, "host", "s1"), "url-branches")
-    branches = _merged(branches, ["host"], "s1").select("host", "s1", "to")
-    leaves = saved(summed(leaves.join(branches, ["host", "s1"]), "host", F.col("to").alias("s1"), "s2"), "url-leaves")
-    level1 = leaves.groupBy("host", "s1").agg(F.sum("good").alias("good1"), F.sum("n").alias("n1"))
-    level0 = level1.groupBy("host").agg(F.sum("good1").alias("good0"), F.sum("n1").alias("n0"))
-    every = level0.agg(F.coalesce(F.sum("good0") / F.sum("n0"), F.lit(1.0)).alias("share"))
-    level0 = level0.join(F.broadcast(every)).withColumn("p0", _smoothed(F.col("good0"), F.col("n0"), F.col("share")))
-    level1 = level1.join(level0.select("host", "p0"), "host").withColumn("p1", _smoothed(F.col("good1"), F.col("n1"), F.col("p0")))
-    level2 = leaves.join(level1.select("host", "s1", "p1"), ["host", "s1"]).withColumn("p2", _smoothed(F.col("good"), F.col("n"), F.col("p1")))
-    out = level2.select("host", "s1", "s2", F.col("p2").alias("purity"))
-    out = out.unionByName(level1.select("host", "s1", F.lit("**").alias("s2"), F.col("p1").alias("purity")))
-    out = out.unionByName(level0.select("host", F.lit("**").alias("s1"), F.lit("**").alias("s2"), F.col("p0").alias("purity")))
-    return saved(out, "url-templates")
+    spark = labelled.sparkSession
+    if "segments" not in labelled.columns:
+        parts = sorted((c for c in labelled.columns if c[:1] == "s" and c[1:].isdigit()), key=lambda c: int(c[1:]))
+        labelled = labelled.withColumn("segments", F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")))
+    leaves = labelled.where("good is not null and host <> ''").groupBy("host", F.concat("segments", F.array(F.lit(""))).alias("segs"))
+    leaves = saved(leaves.agg(F.sum(F.col("good").cast("double")).alias("good"), F.count(F.lit(1)).cast("double").alias("n")), "url-leaves")
+    deepest = leaves.agg(F.max(F.size("segs"))).first()[0] or 0
+    rows = leaves.limit(0)
+    for d in range(deepest, 0, -1):
+        rows = saved(_level(rows.unionByName(leaves.where(F.size("segs") == d)), d), "url-leaves")
+    each = rows.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("segs"))))
+    each = each.withColumn("up", _key(F.slice("segs", F.lit(1), F.col("depth") - 1))).withColumn("name", F.get("segs", F.col("depth") - 1))
+    nodes = saved(_summed(each, "host", "depth", "up", "name"), "url-nodes")
+
+    hosts = _summed(rows, "host")
+    every = hosts.agg(F.coalesce(F.sum("good") / F.sum("n"), F.lit(1.0)).alias("share"))
+    level = hosts.join(F.broadcast(every)).select("host", F.lit(0).alias("depth"), F.lit("").alias("up"), F.lit("").alias("name"), F.lit("").alias("key"), _smoothed(F.col("good"), F.col("n"), F.col("share")).alias("purity"), "n")
+    paths = []
+    for d in range(deepest + 1):
+        if d:
+            above = level.select("host", F.col("key").alias("up"), F.col("purity").alias("__p"), F.col("n").alias("__n"))
+            below = nodes.where(F.col("depth") == d).join(above, ["host", "up"])
+            purity = F.when(F.col("n") == F.col("__n"), F.col("__p")).otherwise(_smoothed(F.col("good"), F.col("n"), F.col("__p")))
+            level = below.select("host", "depth", "up", "name", F.concat("up", F.lit("/"), "name").alias("key"), purity.alias("purity"), "n")
+        level, path_ = written(level, "url-templates")
+        paths.append(path_)
+    return spark.read.schema(level.schema).parquet(*paths).drop("n")
+
+
+def _walked(patterns: DataFrame, templates: DataFrame) -> DataFrame:
+    """patterns (host, segs) of known hosts with the template where each ends, and its purity."""
+    deepest = templates.agg(F.max("depth")).first()[0] or 0
+    live = patterns.join(templates.where("depth = 0").select("host", "key", "purity"), "host").withColumns({"whole": F.lit(False), "done": F.lit(False)})
+    paths = []
+    for d in range(1, deepest + 1):
+        level = templates.where(F.col("depth") == d)
+        own = level.select("host", F.col("up").alias("key"), F.col("name").alias("seg"), F.col("key").alias("__k1"), F.col("purity").alias("__p1"))
+        wild = level.where("name = '*'").select("host", F.col("up").alias("key"), F.col("key").alias("__k2"), F.col("purity").alias("__p2"))
+        at = live.withColumn("seg", F.get("segs", F.lit(d - 1))).join(own, ["host", "key", "seg"], "left").join(wild, ["host", "key"], "left")
+        to, last = F.coalesce("__k1", "__k2"), F.size("segs") <= d
+        at = at.select("host", "segs", F.coalesce(to, "key").alias("key"), F.coalesce("__p1", "__p2", "purity").alias("purity"), (to.isNotNull() & last).alias("whole"), (to.isNull() | last | F.lit(d == deepest)).alias("done"))
+        at, path_ = written(at, "url-walk")
+        paths.append(path_)
+        live = at.where("not done")
+        if live.isEmpty():
+            break
+    ended = patterns.sparkSession.read.schema(live.schema).parquet(*paths).where("done") if paths else live
+    full = F.when(F.col("whole"), F.col("key")).otherwise(F.concat("key", F.lit("/**")))
+    return ended.select("host", _key(F.col("segs")).alias("__segs"), F.substring(full, 2, 1 << 30).alias("template"), "purity")
 
 
 def judge(pages: DataFrame, templates: DataFrame, *, url_col: str = "url", rules=RULES, cutoff: float = CUTOFF) -> DataFrame:
     """pages with host, path, rule, template, purity and verdict; columns of these names are replaced."""
-    pages = pages.drop("host", "path", "rule", "template", "purity", "verdict", "s1", "s2")
+    pages = pages.drop("host", "path", "rule", "template", "purity", "verdict", "segments")
     at = parsed(pages, url_col)
+    segs = F.concat("segments", F.array(F.lit("")))
+    found = _walked(at.select("host", segs.alias("segs")).distinct(), templates)
     name, says = rule(F.col("host"), F.col("path"), rules)
-    known = templates.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "s1", "s2"), "purity"))).alias("__of"))
-    at = at.join(known, "host", "left").withColumn("rule", name)
-    keys = [F.concat_ws("/", a, b) for a in (F.col("s1"), F.lit("*")) for b in (F.col("s2"), F.lit("*"), F.lit("**"))] + [F.lit("**/**")]
-    found = F.coalesce(*[F.when(F.try_element_at("__of", k).isNotNull(), F.struct(k.alias("k"), F.try_element_at("__of", k).alias("p"))) for k in keys])
-    at = at.withColumn("template", found["k"]).withColumn("purity", found["p"])
+    at = at.withColumn("__segs", _key(segs)).join(found, ["host", "__segs"], "left").withColumn("rule", name)
     method = F.when(F.coalesce("purity", F.lit(1.0)) < cutoff, F.lit("block")).otherwise(F.lit("allow"))
-    return at.withColumn("verdict", F.coalesce(says, method)).drop("s1", "s2", "__of")
+    return at.withColumn("verdict", F.coalesce(says, method)).drop("segments", "__segs")
 
 
 def labelled_by_document(pages: DataFrame, labels: DataFrame, url_col: str = "url") -> DataFrame:
-    """host, s1, s2 and good of URLs whose path ends in the number of a labelled document."""
+    """host, segments and good of URLs whose path ends in the number of a labelled document."""
     number = F.regexp_extract(path(F.col(url_col)), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
     shown = parsed(pages.select(url_col), url_col).withColumn("doc_id", F.when(number != "", number).cast("long")).where("doc_id is not null")
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
-    return shown.join(good, "doc_id").select("host", "s1", "s2", "good")
+    return shown.join(good, "doc_id").select("host", "segments", "good")

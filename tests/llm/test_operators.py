@@ -184,6 +184,22 @@ def test_url_rules(spark):
     assert urls.judge(pages.limit(0), urls.tree(labelled.limit(0))).count() == 0
 
 
+def test_url_tree_has_all_segments(spark):
+    deep = [(f"https://h.test/blog/{2000 + k % 20}/{kind}/{k}", int(kind == "news")) for kind in ("casino", "news") for k in range(40)]
+    deep += [(f"https://h.test/a/b/c/d/e/f/{kind}/x/{k}", int(kind == "good")) for kind in ("bad", "good") for k in range(40)]
+    deep += [(f"https://stop.test/{kind}/{k}", int(kind == "good")) for kind in ("bad", "good") for k in range(40)]
+    few = [(f"https://few.test/a/b/c/d/e/f/{k}", 0) for k in range(2)]
+    labelled = urls.parsed(spark.createDataFrame(deep + few, "url string, good int"))
+    asked = ["https://h.test/blog/1999/casino/5", "https://h.test/blog/1999/news/5", "https://h.test/a/b/c/d/e/f/bad/x/9", "https://h.test/a/b/c/d/e/f/good/x/9", "https://h.test/blog/1999/news/5/more/yet", "https://stop.test/other/5", "https://few.test/a/b/c/d/e/f/7", "https://none.test/a"]
+    out = {r.url: r for r in urls.judge(spark.createDataFrame([(u,) for u in asked], "url string"), urls.tree(labelled)).collect()}
+    verdicts = [out[u].verdict for u in asked]
+    assert verdicts[:5] == ["block", "allow", "block", "allow", "allow"]
+    assert len({out[u].purity for u in asked[:2]}) == 2 and out[asked[0]].purity < 0.2 < 0.8 < out[asked[1]].purity
+    assert "casino" in out[asked[0]].template and out[asked[5]].template == "**"
+    # two labels on a long path count once, not again at each of its levels
+    assert out[asked[6]].purity == pytest.approx((0 + 8 * 120 / 242) / 10) and out[asked[7]].template is None
+
+
 def test_html(spark):
     field = htmltext.train(htmltext.training_pages(120))
     right = total = 0
