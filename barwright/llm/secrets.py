@@ -1,9 +1,11 @@
 """Secret scans whose false positives a random forest removes.
 
-Candidates are runs of 16 or more key characters with a digit, one for each
-word of a text. Each has features of its length, its transitions between
+Candidates are all runs of 16 or more key characters with a digit, however many
+a word of the text has. Each has features of its length, its transitions between
 character classes, how much of it dictionary words cover, the path of its
-document or the path it lies in, and the words around it. A forest trained on
+document or the path it lies in, and the text around it: the rest of its word
+and the words beside it, or, where its word has more runs, what lies between
+them, divided at the first separator there is. A forest trained on
 labelled findings gives the probability that it is a secret.
 
 findings() makes labelled findings from a seed in the engine: a bounded number
@@ -32,6 +34,8 @@ from .common import words
 
 CORE = r"[A-Za-z0-9+/_=\-]{16,}"
 FOUND = r"(?=[A-Za-z+/_=\-]*[0-9])" + CORE
+#: What divides fields inside a word.
+FIELD = "[,;&|]"
 #: Words near secrets, words near what only looks like one, and words of code and prose (fixed values).
 NEAR_SECRET = r"(?i)(token|secret|passw|api.?key|\bkey\b|auth|bearer|credential|private|signature)"
 NEAR_OTHER = r"(?i)(sha-?1|sha-?256|md5|commit|digest|checksum|hash|uuid|guid|\bid\b|version|phone|card|order|invoice|isbn|account|page)"
@@ -40,15 +44,28 @@ FEATURES = ("length", "digits", "uppers", "transitions", "kinds", "distinct", "l
 
 
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """doc_id, word_index, finding (the run), word, before (3 words), after (2 words) and path, one row a candidate."""
+    """doc_id, word_index, run_index (in the word), finding (the run), word, before, after and path, one row a candidate.
+
+    A run that is alone in its word has the whole word, 3 words before and 2
+    after. Of several runs each has the text up to its neighbours, so that all
+    of them together hold no part of a word more than twice.
+    """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     text = F.col(text_col).cast("string")
     rows = docs.where(text.rlike(FOUND)).select(F.col(id_col).alias("doc_id"), path.alias("path"), words(text).alias("__w"))
     at = F.filter(F.sequence(F.lit(0), F.size("__w") - 1), lambda i: F.get(F.col("__w"), i).rlike(FOUND))
-    rows = rows.withColumn("word_index", F.explode(at))
-    near = lambda lo, hi: F.concat_ws(" ", *[F.get(F.col("__w"), F.col("word_index") + k) for k in range(lo, hi)])
-    rows = rows.select("doc_id", "path", "word_index", F.get("__w", F.col("word_index")).alias("word"), near(-3, 0).alias("before"), near(1, 3).alias("after"))
-    return rows.withColumn("finding", F.regexp_extract("word", FOUND, 0))
+    near = lambda i, lo, hi: F.concat_ws(" ", *[F.get(F.col("__w"), i + k) for k in range(lo, hi)])
+    found = F.transform(at, lambda i: F.struct(i.alias("i"), F.get(F.col("__w"), i).alias("word"), near(i, -3, 0).alias("before"), near(i, 1, 3).alias("after")))
+    rows = rows.select("doc_id", "path", F.explode(found).alias("__f")).select("doc_id", "path", F.col("__f.i").alias("word_index"), "__f.word", "__f.before", "__f.after")
+    rows = rows.withColumn("__runs", F.regexp_extract_all("word", F.lit(FOUND), F.lit(0))).withColumn("__gaps", F.split("word", FOUND, -1))
+    n = F.size("__runs")
+    parts = F.transform(F.arrays_zip(F.col("__runs").alias("run"), F.slice("__gaps", F.lit(1), n).alias("left"), F.slice("__gaps", F.lit(2), n).alias("right")), lambda x, k: F.struct(x["run"].alias("run"), x["left"].alias("left"), x["right"].alias("right"), F.when(k == 0, F.col("before")).alias("before"), F.when(k == n - 1, F.col("after")).alias("after"), n.alias("n")))
+    rows = rows.select("doc_id", "path", "word_index", F.posexplode(parts).alias("run_index", "__r"))
+    run = F.col("__r")
+    left = F.when(F.col("run_index") == 0, run["left"]).otherwise(F.regexp_replace(run["left"], f"(?s)^[^,;&|]*{FIELD}", ""))
+    right = F.when(F.col("run_index") == run["n"] - 1, run["right"]).otherwise(F.regexp_extract(run["right"], "^[^,;&|]*", 0))
+    before = F.when(run["n"] == 1, run["before"]).otherwise(F.concat_ws(" ", run["before"], left))
+    return rows.select("doc_id", "path", "word_index", "run_index", F.concat(left, run["run"], right).alias("word"), before.alias("before"), F.coalesce(run["after"], F.lit("")).alias("after"), run["run"].alias("finding"))
 
 
 def described(found: DataFrame) -> DataFrame:
@@ -124,7 +141,7 @@ def train(labelled: DataFrame, *, trees: int = 24, depth: int = 7, seed: int = 1
 
 
 def scan(docs: DataFrame, forest: RandomForestClassificationModel, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, word_index, finding, probability and secret for each candidate of each text."""
+    """doc_id, word_index, run_index, finding, probability and secret for each candidate of each text."""
     scored = forest.transform(_vectors(candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col)))
     scored = scored.withColumn("probability", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6))
-    return scored.select("doc_id", "word_index", "finding", "probability", (F.col("probability") >= threshold).alias("secret"))
+    return scored.select("doc_id", "word_index", "run_index", "finding", "probability", (F.col("probability") >= threshold).alias("secret"))

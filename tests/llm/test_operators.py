@@ -223,3 +223,19 @@ def test_secrets(spark, docs, none):
     rows = spark.createDataFrame([(1, 'The token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and more', 1), (2, "call 4913615156729033 now", 1), (3, None, 1)], "doc_id long, text string, finding int")
     assert sorted((r.doc_id, r.secret) for r in secrets.scan(rows, forest).collect()) == [(1, True), (2, False)]
     assert secrets.scan(docs, forest).count() == 0 and secrets.scan(none, forest).count() == 0
+
+
+def test_secrets_of_one_word(spark):
+    forest = secrets.train(secrets.findings(spark, 1200))
+    key, other = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "550e8400-e29b-41d4-a716-446655440000"
+    lines = ['{"request_id":"%s","api_key":"%s"}' % (other, key), f"{other},{key},{key}", "see " + ";".join(f'n{k}="{key[:30]}{k:04d}"' for k in range(500)) + " end", f"x token={key} y"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    want = sorted((d, w, n, m[0]) for d, line in enumerate(lines) for w, word in enumerate(SPACE.split(line)) for n, m in enumerate(re.finditer(secrets.FOUND, word)))
+    near = secrets.candidates(rows).collect()
+    assert sorted((r.doc_id, r.word_index, r.run_index, r.finding) for r in near) == want and len(want) == 2 + 3 + 500 + 1
+    by = {(r.doc_id, r.run_index): r for r in near}
+    assert by[0, 0].word == '{"request_id":"' + other + '"' and by[0, 1].word == '"api_key":"' + key + '"}' and by[0, 1].after == ""
+    assert by[2, 0].before.startswith("see ") and by[2, 499].after == "end" and len(by[2, 7].word) < 50
+    assert (by[3, 0].word, by[3, 0].before, by[3, 0].after) == (f"token={key}", "x", "y")
+    out = secrets.scan(rows, forest).collect()
+    assert len(out) == len(want) and [r.secret for r in out if r.doc_id == 0 and r.run_index == 1] == [True]
