@@ -1,11 +1,16 @@
 """Packing documents into training sequences: concatenate and cut.
 
 Pass 1 tokenises each document once, where it is read, and writes its ids with
-the partition and the offset inside the partition. Pass 2 sums tokens a
-partition, turns the sums into global offsets, and cuts every document at the
-multiples of the sequence length: a document that crosses a multiple leaves a
-boundary record on each side. No document moves between tasks; what grows on
-the driver side is one row for each partition.
+its run and the offset inside the run. Pass 2 sums tokens a run, turns the sums
+into global offsets, and cuts every document at the multiples of the sequence
+length: a document that crosses a multiple leaves a boundary record on each
+side. No document moves between tasks; what grows on the driver side is one row
+for each run.
+
+A run is a partition, in the order of partitions. Spark puts files into
+partitions by size, so for tables whose files are in an order, in_file_order()
+names the place of each row; then a run is what a task reads of a file without
+a gap, in the order of part numbers and rows.
 
 Texts are cut before every space and around every newline. Where no two white
 space characters meet, no token crosses such a cut, so the ids of a text are
@@ -42,8 +47,8 @@ ODD = re.compile("\\s\\s|[\x00\x1c-\x1f]|<\\|endoftext\\|>")
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks kept in the table of one Python worker.
 KEEP = 1_000_000
-#: Partition totals that may be broadcast (16 bytes each).
-BROADCAST_PARTITIONS = 1 << 20
+#: Run totals that may be broadcast (20 bytes each).
+BROADCAST_RUNS = 1 << 20
 
 
 class Ids:
@@ -115,21 +120,38 @@ def worker_ids(vocabulary: str, ranks: str | None) -> Ids:
     return Ids(vocabulary, ranks)
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """docs, as read from Parquet files, with __file and __row: where each row lies."""
+    return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+
 def tokenise(vocabulary: str, ranks: str | None = None, end_id: int = 0):
+    """Batches of doc_id, text and, for runs by file, __file and __row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, pid, total = worker_ids(vocabulary, ranks), TaskContext.get().partitionId(), 0
+        nth, file, row = 0, None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                blobs, counts, offsets = [], [], []
-                for text in part.column(1):
+                n = part.num_rows
+                blobs, counts, offsets, runs = [], [], [], []
+                placed = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True) if part.num_columns > 2 else itertools.repeat((None, None), n)
+                starts = []
+                for text, (f, r) in zip(part.column(1), placed, strict=True):
+                    if f is not None and (f != file or r != row + 1):
+                        nth, total = nth + 1, 0
+                    starts.append((f, r) if total == 0 else (None, None))
+                    file, row = f, r
                     x = np.append(ids.of(text.as_py() or ""), np.uint32(end_id))
                     blobs.append(x.astype("<u2" if x.max() < 65536 else "<u4").tobytes())
                     counts.append(len(x))
                     offsets.append(total)
+                    runs.append(nth)
                     total += len(x)
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pid] * n, pa.int32()), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "pid", "local", "n", "ids"])
+                first_file, first_row = zip(*starts, strict=True)
+                columns = [part.column(0), pa.array([pid] * n, pa.int32()), pa.array(runs, pa.int32()), pa.array(first_file, pa.string()), pa.array(first_row, pa.int64()), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "pid", "run", "file", "row", "local", "n", "ids"])
 
     return run
 
@@ -167,13 +189,16 @@ def cut(sequence: int, keep_ids: bool):
 
 def pack(docs: DataFrame, *, vocabulary: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
     """One row for each piece of a document in a sequence; with keep_ids also its ids (little-endian 32-bit)."""
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = saved(text.mapInArrow(tokenise(vocabulary, ranks), "doc_id long, pid int, local long, n long, ids binary"), "packing-ids")
-    totals = tokens.groupBy("pid").agg(F.sum("n").alias("__n"))
-    bases = totals.select("pid", (F.sum("__n").over(Window.orderBy("pid")) - F.col("__n")).alias("__base"))
-    if tokens.select("pid").distinct().count() <= BROADCAST_PARTITIONS:
+    place = [c for c in ("__file", "__row") if c in docs.columns]
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *place)
+    tokens = saved(text.mapInArrow(tokenise(vocabulary, ranks), "doc_id long, pid int, run int, file string, row long, local long, n long, ids binary"), "packing-ids")
+    totals = tokens.groupBy("pid", "run").agg(F.sum("n").alias("__n"), F.max("file").alias("file"), F.max("row").alias("row"))
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).try_cast("long")
+    order = Window.orderBy(number(r"part-([0-9]+)[^/]*$"), number(r"-c([0-9]+)[^/]*$"), "file", "row", "pid", "run")
+    bases = totals.select("pid", "run", (F.sum("__n").over(order) - F.col("__n")).alias("__base"))
+    if tokens.select("pid", "run").distinct().count() <= BROADCAST_RUNS:
         bases = F.broadcast(bases)
-    placed = tokens.join(bases, "pid").select("doc_id", "n", "ids", (F.col("__base") + F.col("local")).alias("first"))
+    placed = tokens.join(bases, ["pid", "run"]).select("doc_id", "n", "ids", (F.col("__base") + F.col("local")).alias("first"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return placed.mapInArrow(cut(sequence, keep_ids), schema + ", ids binary" * keep_ids)
 

@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens, in the order of the mix."""
-    return packing.pack(docs, vocabulary=vocabulary_path("byte_bpe_50k.json"), ranks=vocabulary_path("byte_bpe_50k.tiktoken"))
+    """Pieces of sequences of 1024 tokens, in the order of the mix, which the files that docs are read from keep."""
+    return packing.pack(packing.in_file_order(docs), vocabulary=vocabulary_path("byte_bpe_50k.json"), ranks=vocabulary_path("byte_bpe_50k.tiktoken"))
 
 
 def _staged(stage):

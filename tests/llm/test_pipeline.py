@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from barwright.llm import mixing
 
 from .test_jaccard import brute
 from .test_operators import brute_dedup
@@ -43,3 +44,32 @@ def test_stages(spark, tmp_path):
     tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
     want = sum(len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in inputs["packing"])
     assert docs.agg(F.sum("length")).first()[0] == want
+
+
+def test_packing_keeps_the_order_of_the_mix(spark, tmp_path):
+    rows = [(k, "w " * (1 + k % 30) + "long " * (400 * (k % 97 == 5)), f"s{k % 5}") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = mixing.training_order(mixing.mix(docs)).select("doc_id", "copies", "position").collect()
+    assert collections.Counter(r.doc_id for r in mixed) == {r.doc_id: r.copies for r in mixed} and max(r.copies for r in mixed) == 2
+    want = [r.doc_id for r in mixed]
+
+    def packed(path):
+        pieces = stages["packing"](spark, spark.read.parquet(path), DATA).where("start = 0").collect()
+        return [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))]
+
+    stages["source_mixing"](spark, docs, DATA).write.parquet(str(tmp_path / "staged"))
+    assert packed(str(tmp_path / "staged")) == want
+    # files that grow: Spark's own order of reading is by falling size
+    text = {k: (t, s) for k, t, s in rows}
+    cuts = [0, 3, 20, 90, 300, len(want)]
+    parts = [[(k, *text[k]) for k in want[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+    unequal = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(lambda p: p), docs.schema)
+    unequal.write.parquet(str(tmp_path / "unequal"))
+    assert packed(str(tmp_path / "unequal")) == want
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert packed(str(tmp_path / "unequal")) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
