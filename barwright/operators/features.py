@@ -38,11 +38,16 @@ def reference_price(events: DataFrame, bars: DataFrame) -> DataFrame:
     return events.join(price, [*KEY, "ghost_i"])
 
 
-def active(points: DataFrame, zones: DataFrame, at: str, lookback: int = 500) -> DataFrame:
-    """Pairs of points and zones (confirmed_i, end_i) that are known and open there, at most `lookback` bars old."""
+def active(points: DataFrame, zones: DataFrame, at: str, lookback: int | None = None) -> DataFrame:
+    """Pairs of points and zones (confirmed_i, end_i) that are known and open there, of any age.
+
+    With lookback at most that many bars old, as structure breaks and resolved
+    levels are taken; blocks, gaps and levels are not.
+    """
     from .joins import within
 
-    spans = zones.withColumn("__to", F.least(F.coalesce(F.col("end_i") - 1, F.col("confirmed_i") + lookback), F.col("confirmed_i") + lookback))
+    to = F.col("end_i") - 1
+    spans = zones.withColumn("__to", to if lookback is None else F.least(to, F.col("confirmed_i") + lookback))
     return within(points, spans, at, "confirmed_i", "__to").drop("__to")
 
 
