@@ -713,7 +713,7 @@ def c8_gmm_hmm(spark, sf_dir):
 
 @query()
 def c8_walk_forward(spark, sf_dir):
-    return M.regimes(features(spark, sf_dir), refit=48)
+    return M.regimes(features(spark, sf_dir), method="gmm_hmm", refit=1)
 
 
 @query()
