@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,17 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def slices(batch: pa.RecordBatch, column: int | str, step: int = 1 << 22, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows whose texts have about `step` bytes in all; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right"))
+        to = min(max(at + 1, to), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see. It is set here only where the cluster has named none."""
     named = spark.conf.get("spark.checkpoint.dir", None)

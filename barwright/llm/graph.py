@@ -9,8 +9,12 @@ from .common import saved
 
 
 def _least(links: DataFrame) -> DataFrame:
-    """links (u, v) with the least neighbour of u, itself included; sums before rows move, so hubs don't gather."""
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
+    """links (u, v) with the least neighbour of u, itself included.
+
+    The least neighbours are summed before rows move, and written: so both
+    sides of the join are plain exchanges, and a hub's links can be split.
+    """
+    least = saved(links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")), "least")
     return links.join(least, F.col("u") == F.col("x")).drop("x")
 
 

@@ -1,39 +1,55 @@
 """N-gram Jaccard join by PartEnum signatures, exact, with components of the links.
 
 Two sets of sizes a <= b with Jaccard similarity of at least 3/4 have b <= 4a/3
-and differ in at most (a + b) / 7 elements. Sets are grouped in size bands (a
-factor of 4); a set signs for the band of its own size and, if that differs,
-for the band of the largest partner. Within a band the feature domain is
-partitioned by hash into about top/2 parts. Each difference spoils at most one
-part, so two similar sets agree on a part that neither has empty and that is
-among the first h + 1 such parts of both, h being the largest number of
-differences that the set's size allows. Those h + 1 one-part subsets are its
-signatures, about 0.4 for each shingle. A set with no more than h parts that
-are not empty signs with all of them and with its single elements.
+and differ in at most k = (a + b) / 7 elements. PartEnum partitions the feature
+domain by hash and signs with subsets of the parts, such that k differences
+cannot spoil all subsets. A subset of more parts holds more elements, so fewer
+sets share it by chance, but there are more subsets. The rule here:
+
+- Sets of up to TINY elements (k of 1 or 2) have a band for each size. The
+  domain has k + 2 parts, and all pairs of parts are enumerated (3 or 6). k
+  differences leave at least two parts alike, so one pair.
+- Larger sets are in bands of a factor of 4. Enumerating pairs would double
+  their signatures or more, so subsets are of one part: the domain has about
+  top/2 parts, and two similar sets agree on a part that neither has empty and
+  that is among the first h + 1 such parts of both, h being the largest k that
+  the set's size allows; about 0.4 signatures for each shingle.
+
+A set signs for the band of its own size and, if that differs, for those of
+larger partners. A set that has not enough parts with elements (a thin one)
+also signs with its first a/4 + 1 single elements, of which two similar sets
+share one.
 
 Sets that share a signature are compared by a parity sketch first (a bit for
 each of as many residues as the set has elements): it bounds the number of
 differences from below and drops pairs that cannot be similar. Whole sets are
 fetched for the rest: first each set against one other, then pairs whose
-components still differ.
-
-Of a signature with up to SMALL sets all pairs are compared; of a larger one,
-each set with the first, and if its sets are then not all in one component,
-the signature is large. Sets under large signatures sign again, in rounds, with
-the first h + 1 parts whose signatures are not among the HOT largest so far; a
-pair agrees on one of those parts by the argument above, as long as one of the
-two has more than h such parts. Two sets without (thin ones) share one of their
-first a/4 + 1 elements that are not hot, and sign with those. What is left
-after ROUNDS, or has not even so many elements that are not hot, is compared in
-blocks of sets of near sizes, across components only. No step loses a link.
-
-Texts never move: sets are made where texts are read, and only sets of pairs
-that pass the sketch are sent. Equal sets collapse to one node first, within
-each task and then for the whole corpus. Signatures travel as packed blocks for
-ranges of the signature space, sized so that a block fits in memory.
+components still differ. New links join components of the links before, so a
+step costs what it adds.
+
+Of a signature's sets each is compared with the first. Where its sets are then
+not all in one component, up to `small` sets are compared across components; a
+larger signature is hot, and its sets sign again, in rounds, with the first
+parts whose signatures are not among the largest so far; a pair agrees on
+one of those by the arguments above, as long as one of the two has enough.
+What is left after the rounds, or has not even so many single elements that are not
+hot, is compared in blocks of sets of near sizes, across components only. No
+step loses a link.
+
+Texts never move: sets are made where texts are read, a bounded number of bytes
+of text at a time, and only sets of pairs that pass the sketch are sent. Equal
+sets collapse to one node first, within each task and then for the whole
+corpus; should two different sets have one 64-bit key (a second 64-bit hash
+tells), keys are made anew with another salt. Signatures travel as packed
+blocks for ranges of the signature space, sized so that a block fits in memory;
+a signature that a block has more than `small` times sends one row of it, and
+the block's own task compares and lists the others, so no key gathers.
+
+Shingles are compared by 64-bit hashes: of n shingles of a pair, two differ and
+are taken for equal with probability n^2 / 2^65 (10^-11 for 20,000 words).
 
 Defined results: null and blank texts have the empty set and are linked with
-nothing; repeated rows have equal sets and so one component; a null doc_id is
+nothing; repeated rows have equal sets and so one component; a null doc_id
 counts as less than any other; an empty table gives no row; other columns are
 not read.
 """
@@ -42,31 +58,41 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, slices
 from .graph import components
 from .shingles import mixed, shingle_sets
 
 _U = np.uint64
-#: Sets of one signature that are compared all with all.
-SMALL = 48
-#: Signatures in a block, about (17 bytes each).
-BLOCK = 1_500_000
-#: Ids of sets that may be broadcast to pick texts (16 bytes each); beyond that the texts' rows are shuffled.
-BROADCAST_IDS = 1 << 18
-#: Large signatures, the largest first, that later rounds skip (8 bytes each), and the number of rounds.
-HOT = 1 << 19
-ROUNDS = 3
-#: Sets in a block of the last step.
-CHUNK = 2048
+#: Largest set that signs with pairs of parts.
+TINY = 10
+
+
+class Limits(NamedTuple):
+    """Sizes that bound memory or steps; results don't depend on them."""
+
+    small: int = 48  # sets of one signature that are compared across components
+    block: int = 1 << 20  # shingles for each range of signatures (7 bytes each)
+    held: int = 1 << 20  # signatures that a task holds (18 bytes each)
+    seen: int = 1 << 17  # keys that a task remembers
+    broadcast: int = 1 << 18  # ids of sets that may be broadcast to pick texts (16 bytes each); beyond that texts' rows are shuffled
+    hot: int = 1 << 19  # large signatures, the largest first, that a round adds to those that later rounds skip (8 bytes each)
+    rounds: int = 3
+    chunk: int = 2048  # sets in a block of the last step
+
+
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
-POSTING = np.dtype([("sig", "<u8"), ("key", "<u8"), ("size", "u1")])
+#: Salts of a set's two hashes lie this far apart; so often keys may be made anew.
+OTHER, SALTS = 1 << 32, 4
+POSTING = np.dtype([("sig", "<u8"), ("key", "<u8"), ("size", "u1"), ("many", "u1")])
 
 
 def most_differences(a: int) -> int:
@@ -88,7 +114,7 @@ SIZE_REACH = int(np.log(4 / 3) / np.log(1.06)) + 1
 def packed(rows: np.ndarray) -> bytes:
     """Postings in order of signature as planes of bytes: steps between signatures leave their high planes zero, which compress away."""
     step = np.diff(rows["sig"], prepend=_U(0))
-    planes = [np.ascontiguousarray(step).view(np.uint8).reshape(-1, 8).T.tobytes(), np.ascontiguousarray(rows["key"]).tobytes(), rows["size"].tobytes()]
+    planes = [np.ascontiguousarray(step).view(np.uint8).reshape(-1, 8).T.tobytes(), np.ascontiguousarray(rows["key"]).tobytes(), rows["size"].tobytes(), rows["many"].tobytes()]
     return b"".join(planes)
 
 
@@ -98,6 +124,7 @@ def unpacked(block: bytes) -> np.ndarray:
     rows["sig"] = np.cumsum(np.ascontiguousarray(np.frombuffer(block, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel())
     rows["key"] = np.frombuffer(block, np.uint64, n, 8 * n)
     rows["size"] = np.frombuffer(block, np.uint8, n, 16 * n)
+    rows["many"] = np.frombuffer(block, np.uint8, n, 17 * n)
     return rows
 
 
@@ -109,12 +136,29 @@ def cold(sig: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return sig[hot[np.minimum(at, len(hot) - 1)] != sig]
 
 
+def pairs_of_parts(spread: np.ndarray, b: int, hot: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Signatures for pairs of sets of which the larger has b elements, and whether all subsets gave one."""
+    n = 2 * b // 7 + 2
+    part = (spread % _U(n)).astype(np.int64)
+    sums = np.zeros(n, np.uint64)
+    np.add.at(sums, part, mixed(spread + _U(b)))
+    p, q = np.triu_indices(n, 1)
+    some = np.bincount(part, minlength=n)[p] + np.bincount(part, minlength=n)[q] > 0
+    name = (b << 8 | p << 4 | q).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)
+    sig = cold(mixed(mixed(sums[p] + name) + sums[q])[some], hot)
+    return sig, len(sig) == len(p)
+
+
 def signatures(e: np.ndarray, hot: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, bool]:
     """The set's signatures, and whether they don't suffice to meet every partner."""
     a = len(e)
     h, out, thin = most_differences(a), [], False
     spread = mixed(e)
-    for j in {band(a), band(max(a, 4 * a // 3))}:
+    for b in range(max(a, 4), min(4 * a // 3, TINY) + 1):  # up to 3, similar sets are equal
+        sig, all_ = pairs_of_parts(spread, b, hot)
+        thin |= not all_
+        out.append(sig)
+    for j in {band(a), band(4 * a // 3)} if 4 * a // 3 > TINY else ():
         part = spread % _U(max(1, (4 << (2 * j)) // 2))
         order = np.argsort(part, kind="stable")
         part = part[order]
@@ -128,12 +172,12 @@ def signatures(e: np.ndarray, hot: np.ndarray = np.zeros(0, np.uint64)) -> tuple
         single = cold(np.sort(mixed(e ^ _U(0x5851F42D4C957F2D))), hot)
         unsafe = len(single) <= a // 4
         out.append(single[: a // 4 + 1])
-    return np.concatenate(out), unsafe
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), unsafe
 
 
-def node_key(e: np.ndarray) -> int:
+def node_key(e: np.ndarray, salt: int = 0) -> int:
     """The set's identity: a hash of all its elements."""
-    return int(mixed(np.array([int(mixed(e + _U(1)).sum(dtype=np.uint64)) ^ (len(e) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)], np.uint64))[0])
+    return int(mixed(np.array([int(mixed(e + _U(1 + salt)).sum(dtype=np.uint64)) ^ (len(e) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)], np.uint64))[0])
 
 
 def sketch(e: np.ndarray) -> bytes:
@@ -155,127 +199,160 @@ def _signed(keys: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _texts(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for at in range(0, batch.num_rows, step):
-        part = batch.slice(at, step)
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of the batch with their sets."""
+    for part in slices(batch, "text"):
         yield part, list(shingle_sets(part.column("text").to_pylist()))
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], salt: int = 0) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, sets in _texts(batch):
-            keys = np.array([node_key(e) for e in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(e) for e in sets], pa.int64()), pa.array(_signed(keys)), pa.array([sketch(e) for e in sets], pa.binary())], names=["doc_id", "n", "key", "sketch"])
+            keys, other = (np.array([node_key(e, k) for e in sets], np.uint64) for k in (salt, salt + OTHER))
+            columns = [part.column("doc_id"), pa.array([len(e) for e in sets], pa.int64()), pa.array(_signed(keys)), pa.array(_signed(other)), pa.array([sketch(e) for e in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "other", "sketch"])
+
+
+def _ordered(held: list[np.ndarray]) -> np.ndarray:
+    """Postings by signature and set, without repeats; of repeats the one that stands for many stays."""
+    rows = np.concatenate(held) if held else np.zeros(0, POSTING)
+    rows = rows[np.lexsort((1 - rows["many"], rows["key"], rows["sig"]))]
+    same = np.concatenate([[False], (rows["sig"][1:] == rows["sig"][:-1]) & (rows["key"][1:] == rows["key"][:-1])])[: len(rows)]
+    return rows[~same]
+
+
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and size of each signature of postings in order."""
+    first = np.flatnonzero(np.concatenate([[True], rows["sig"][1:] != rows["sig"][:-1]]))[: len(rows)]
+    return first, np.diff(np.concatenate([first, [len(rows)]]))
+
 
+#: Kinds of blocks: postings of a range of signatures; sets of signatures that a task has many of; sets that stay unsafe.
+POST, MEMBERS, UNSAFES = 0, 1, 2
 
-def _posted(batches: Iterator[pa.RecordBatch], bits: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blocks of postings by range of signatures; equal sets of a task are posted once. Bucket -1 names sets that stay unsafe."""
+
+def _blocks(held: list[np.ndarray], bits: int, aside: int, small: int) -> pa.RecordBatch:
+    """held as blocks for ranges of signatures, and the sets of signatures that are here more than `small` times as one more."""
+    rows = _ordered(held)
+    first, size = _runs(rows)
+    many = np.repeat(size > small, size)
+    members, lead = rows[many], np.zeros(len(rows), bool)
+    lead[first] = True
+    rows["many"] |= many
+    rows = rows[~many | lead]
+    bucket = (rows["sig"] >> _U(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    parts = [packed(rows[lo:hi]) for lo, hi in zip(cuts, [*cuts, len(rows)][1:], strict=True)]
+    buckets, kinds = bucket[cuts].tolist(), [POST] * len(parts)
+    if len(members):
+        buckets, kinds, parts = [*buckets, aside], [*kinds, MEMBERS], [*parts, packed(members)]
+    return _block_batch(buckets, kinds, parts)
+
+
+def _block_batch(buckets: list[int], kinds: list[int], parts: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(parts, pa.binary())], names=["bucket", "kind", "block"])
+
+
+def _posted(batches: Iterator[pa.RecordBatch], bits: int, hot: np.ndarray, salt: int, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings by range of signatures; equal sets of a task are posted once."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
     unsafe: list[int] = []
     size = 0
-
-    def blocks():
-        rows = np.concatenate(held) if held else np.zeros(0, POSTING)
-        rows = rows[np.argsort(rows["sig"])]
-        bucket = (rows["sig"] >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(rows), np.int64)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        parts = [packed(rows[lo:hi]) for lo, hi in zip(cuts, [*cuts, len(rows)][1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "block"])
-
+    aside = TaskContext.get().partitionId() % (1 << bits)
     for batch in batches:
         for _, sets in _texts(batch):
             for e in sets:
-                if not len(e) or (key := node_key(e)) in seen:
+                if not len(e) or (key := node_key(e, salt)) in seen:
                     continue
                 seen.add(key)
                 sig, lost = signatures(e, hot)
                 if lost:
                     unsafe.append(key)
-                rows = np.empty(len(sig), POSTING)
+                rows = np.zeros(len(sig), POSTING)
                 rows["sig"], rows["key"], rows["size"] = sig, key, size_class(len(e))
                 held.append(rows)
-                size += len(rows)
-            if len(seen) > 1_000_000:
+                size += len(rows) + 8
+                if size > limits.held:
+                    yield _blocks(held, bits, aside, limits.small)
+                    held, size = [], 0
+            if len(seen) > limits.seen:
                 seen.clear()
-            if size > 2_000_000:
-                yield blocks()
-                held, size = [], 0
+            if len(unsafe) > limits.seen:
+                yield _block_batch([aside], [UNSAFES], [_keys_only(unsafe)])
+                unsafe = []
     if held:
-        yield blocks()
+        yield _blocks(held, bits, aside, limits.small)
     if unsafe:
-        rows = np.zeros(len(unsafe), POSTING)
-        rows["key"] = unsafe
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([packed(rows)], pa.binary())], names=["bucket", "block"])
+        yield _block_batch([aside], [UNSAFES], [_keys_only(unsafe)])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket of a partition with its postings, sorted by signature and set, without repeats."""
-    held: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for b, block in zip(batch.column("bucket").to_pylist(), batch.column("block"), strict=True):
-            held.setdefault(b, []).append(unpacked(block.as_py()))
-    while held:
-        bucket = next(iter(held))
-        rows = np.concatenate(held.pop(bucket))
-        rows = rows[np.lexsort((rows["key"], rows["sig"]))]
-        if len(rows):
-            same = np.concatenate([[False], (rows["sig"][1:] == rows["sig"][:-1]) & (rows["key"][1:] == rows["key"][:-1])])
-            yield bucket, rows[~same]
-
-
-def _near(rows: np.ndarray, i: np.ndarray, j: np.ndarray):
-    """Distinct pairs whose sizes allow similarity."""
-    ok = np.abs(rows["size"][i].astype(np.int16) - rows["size"][j]) <= SIZE_REACH
-    x, y = rows["key"][i[ok]], rows["key"][j[ok]]
+def _keys_only(keys: list[int]) -> bytes:
+    rows = np.zeros(len(keys), POSTING)
+    rows["key"] = keys
+    return packed(rows)
+
+
+#: Kinds of findings: sets a and b share a signature; a signature or group a of few or of many sets has set b; set b stays unsafe.
+PAIR, GROUP, LARGE, UNSAFE = 0, 1, 2, 3
+
+
+def _tell(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(_signed(a.copy())), pa.array(_signed(b.copy()))], names=["kind", "a", "b"])
+
+
+def _stars(rows: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs of each signature's first set and another, whose sizes allow similarity."""
+    lead, j = np.repeat(first, size), np.arange(len(rows))
+    ok = (lead != j) & (np.abs(rows["size"][lead].astype(np.int16) - rows["size"]) <= SIZE_REACH)
+    x, y = rows["key"][lead[ok]], rows["key"][j[ok]]
     x, y = np.minimum(x, y), np.maximum(x, y)
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
     new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)]
-    x, y = x[new], y[new]
-    return pa.RecordBatch.from_arrays([pa.array([PAIR] * len(x), pa.int32()), pa.array(_signed(x)), pa.array(_signed(y))], names=["kind", "a", "b"])
-
-
-PAIR, LARGE, UNSAFE = 0, 1, 2
-
-
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind PAIR: sets a and b share a signature; LARGE: signature a has set b; UNSAFE: set b."""
-    tell = lambda kind, a, b: pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), pa.array(_signed(a.copy())), pa.array(_signed(b.copy()))], names=["kind", "a", "b"])
-    for bucket, rows in _groups(batches):
-        if bucket < 0:
-            yield tell(UNSAFE, rows["sig"], rows["key"])
-            continue
-        first = np.flatnonzero(np.concatenate([[True], rows["sig"][1:] != rows["sig"][:-1]]))
-        size = np.diff(np.concatenate([first, [len(rows)]]))
-        held: list[list[np.ndarray]] = [[], []]
-        n = 0
-        for g in range(2, SMALL + 1):
-            at = first[size == g]
-            i, j = np.triu_indices(g, 1)
-            for some in range(0, len(at), max(1, 500_000 // len(i))):
-                some = at[some : some + max(1, 500_000 // len(i))]
-                held[0].append((some[:, None] + i).ravel())
-                held[1].append((some[:, None] + j).ravel())
-                n += len(held[0][-1])
-                if n > 2_000_000:  # pairs that share many signatures of the bucket are told once a turn
-                    yield _near(rows, *map(np.concatenate, held))
-                    held, n = [[], []], 0
-        group = np.repeat(np.arange(len(first)), size)
-        large = np.flatnonzero(size[group] > SMALL)
-        held[0].append(first[group[large]])
-        held[1].append(large)
-        i, j = map(np.concatenate, held)
-        yield _near(rows, i[i != j], j[i != j])
-        yield tell(LARGE, rows["sig"][large], rows["key"][large])
-
-
-def _matches(texts: DataFrame, shingles: int, hot: np.ndarray) -> DataFrame:
+    return _tell(PAIR, x[new], y[new])
+
+
+def _met(rows: np.ndarray, small: int) -> Iterator[pa.RecordBatch]:
+    """What the postings of a range of signatures, in order, tell. Signatures with the same few sets are told once, by a hash of those."""
+    first, size = _runs(rows)
+    if not len(rows):
+        return
+    yield _stars(rows, first, size)
+    many = (size > small) | (np.maximum.reduceat(rows["many"], first) > 0)
+    some = ~many & (size > 2)
+    name = mixed(np.add.reduceat(mixed(rows["key"]), first) + size.astype(np.uint64))
+    _, once = np.unique(name[some], return_index=True)
+    chosen = np.zeros(len(first), bool)
+    chosen[np.flatnonzero(some)[once]] = True
+    at = np.repeat(chosen, size)
+    yield _tell(GROUP, np.repeat(name, size)[at], rows["key"][at])
+    at = np.repeat(many, size)
+    yield _tell(LARGE, rows["sig"][at], rows["key"][at])
+
+
+def _matched(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for bucket, kind, block in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("block"), strict=True):
+            rows = unpacked(block.as_py())
+            if kind == POST:
+                held.setdefault(bucket, []).append(rows)
+            elif kind == MEMBERS:
+                yield _stars(rows, *_runs(rows))
+                yield _tell(LARGE, rows["sig"], rows["key"])
+            else:
+                yield _tell(UNSAFE, rows["sig"], rows["key"])
+    while held:
+        yield from _met(_ordered(held.pop(next(iter(held)))), small)
+
+
+def _matches(texts: DataFrame, shingles: int, hot: np.ndarray, salt: int, limits: Limits) -> DataFrame:
     """Rows of _matched() for the signatures of texts (doc_id, text) with so many shingles in all."""
-    bits = max(4, int(max(1, shingles // BLOCK)).bit_length())
-    blocks = texts.mapInArrow(functools.partial(_posted, bits=bits, hot=hot), "bucket int, block binary")
-    dealt = blocks.repartition(1 << bits, "bucket")
-    return saved(dealt.mapInArrow(_matched, "kind int, a long, b long"), "jaccard-matches")
+    bits = max(4, int(max(1, shingles // limits.block)).bit_length())
+    blocks = texts.mapInArrow(functools.partial(_posted, bits=bits, hot=hot, salt=salt, limits=limits), "bucket int, kind int, block binary")
+    dealt = blocks.repartitionById(1 << bits, "bucket")
+    return saved(dealt.mapInArrow(functools.partial(_matched, small=limits.small), "kind int, a long, b long"), "jaccard-matches")
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,11 +362,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, sets in _texts(batch):
-            sets = [(k, e) for k, e in zip(part.column("key").to_numpy(), sets, strict=True) if np.int64(k).view(np.uint64) == node_key(e)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), pa.array([e.tobytes() for _, e in sets], pa.binary())], names=["key", "elements"])
+        for _, sets in _texts(batch):
+            yield pa.RecordBatch.from_arrays([pa.array([node_key(e, salt) for e in sets], pa.uint64()).view(pa.int64()), pa.array([e.tobytes() for e in sets], pa.binary())], names=["key", "elements"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,41 +378,68 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _small(ids: DataFrame) -> bool:
-    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+def _light(ids: DataFrame, most: int) -> DataFrame:
+    """ids, to be broadcast if there are at most so many."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
-def _of(texts: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, doc_id and text of the documents that stand for the sets (more than one where ids repeat)."""
-    ids = saved(nodes.join(keys, "key", "left_semi").select("key", "doc_id"), "jaccard-ids")
-    return texts.join(F.broadcast(ids) if _small(ids) else ids, "doc_id")
+def _of(texts: DataFrame, nodes: DataFrame, keys: DataFrame, limits: Limits) -> DataFrame:
+    """Documents that stand for the sets; where ids repeat, also others of the same id."""
+    ids = saved(nodes.join(keys, "key", "left_semi").select("doc_id").distinct(), "jaccard-ids")
+    return texts.join(_light(ids, limits.broadcast), "doc_id", "left_semi")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that their sketches allow."""
+    """Distinct pairs (a, b) that their sizes and sketches allow."""
     end = lambda c: nodes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    told = pairs.select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b")
+    told = pairs.select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
     return saved(told.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched, "a long, b long"), "jaccard-likely")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, salt: int, limits: Limits) -> DataFrame:
     """The pairs (a, b) of sets that are similar, by the whole sets. Each b's set goes to its pairs' a."""
     used = pairs.select(F.col("a").alias("key"), F.lit(True).alias("at_a")).unionByName(pairs.select(F.col("b").alias("key"), F.lit(False).alias("at_a")))
-    keys = used.groupBy("key").agg(F.max("at_a").alias("is_a"), F.min("at_a").alias("only_a"))
-    rows = _of(texts, nodes, keys)
-    sets = saved(rows.select("key", "text").mapInArrow(_whole, "key long, elements binary"), "jaccard-sets")
-    flags = saved(keys, "jaccard-keys")
-    sets = sets.join(F.broadcast(flags) if _small(flags) else flags, "key")
+    keys = saved(used.groupBy("key").agg(F.max("at_a").alias("is_a"), F.min("at_a").alias("only_a")), "jaccard-keys")
+    made = _of(texts, nodes, keys, limits).select("text").mapInArrow(functools.partial(_whole, salt=salt), "key long, elements binary")
+    sets = saved(made.join(_light(keys, limits.broadcast), "key"), "jaccard-sets")
+    if sets.count() > keys.count():  # repeated ids
+        sets = sets.dropDuplicates(["key"])
     far = pairs.join(sets.where("not only_a").select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
     two = far.join(sets.where("is_a").select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a")
     return saved(two.select("a", "b", "ea", "eb").mapInArrow(_verified, "a long, b long"), "jaccard-links")
 
 
+def _named(df: DataFrame, columns: tuple[str, ...], labels: DataFrame) -> DataFrame:
+    """df with l<column>, the label of the set that each column names: its own key where it has no link."""
+    for c in columns:
+        df = df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+    return df
+
+
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose components differ."""
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    told = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return told.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    return _named(pairs, ("a", "b"), labels).where("la <> lb").select("a", "b")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after more links between components; only those components are looked at."""
+    ends = _named(links, ("a", "b"), labels).where("la <> lb").select(F.col("la").alias("u"), F.col("lb").alias("v")).distinct()
+    new = components(ends)
+    told = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    return saved(told.select("node", F.coalesce("to", "label").alias("label")).unionByName(new), "jaccard-labels")
+
+
+def _divided(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Groups (a, b) whose sets b are of several components: a, and its number of rows."""
+    return _named(groups, ("b",), labels).groupBy("a").agg(F.min("lb").alias("lo"), F.max("lb").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("a", "size")
+
+
+def _across(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of sets of one group (of `small` at most) that are of different components."""
+    some = groups.select("a", "b").join(_divided(groups, labels).select("a"), "a", "left_semi").distinct()
+    some = saved(_named(some, ("b",), labels), "jaccard-groups")
+    pairs = some.select("a", F.col("b").alias("x"), F.col("lb").alias("lx")).join(some.select("a", F.col("b").alias("y"), F.col("lb").alias("ly")), "a")
+    return pairs.where("x < y and lx <> ly").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _folded(sketches: list[bytes], words: int) -> np.ndarray:
@@ -361,16 +464,16 @@ def _blocked(rows):
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
 
-def _rest(unsafe: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def _rest(unsafe: DataFrame, nodes: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
     """Pairs of unsafe sets of near sizes (a factor of 4/3 a class, so neighbouring classes meet), in blocks.
 
     Only sets outside the commonest component of their class look for partners.
     """
-    some = nodes.join(unsafe, "key", "left_semi").select("key", "n", "sketch").join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
-    some = some.withColumn("label", F.coalesce("label", "key")).withColumn("size", F.floor(F.log("n") / float(np.log(4 / 3)) + 1e-9))
+    some = _named(nodes.join(unsafe, "key", "left_semi").select("key", "n", "sketch"), ("key",), labels).withColumnRenamed("lkey", "label")
+    some = some.withColumn("size", F.floor(F.log("n") / float(np.log(4 / 3)) + 1e-9))
     some = saved(some, "jaccard-rest")
     counts = some.groupBy("size", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("size").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
-    counts = counts.select("size", F.col("top.label").alias("major"), F.ceil((F.col("all") - F.col("top.c") + 1) / CHUNK).alias("cl"), F.ceil(F.col("all") / CHUNK).alias("cr"))
+    counts = counts.select("size", F.col("top.label").alias("major"), F.ceil((F.col("all") - F.col("top.c") + 1) / chunk).alias("cl"), F.ceil(F.col("all") / chunk).alias("cr"))
     counts = saved(counts, "jaccard-classes")
     mine = lambda c: F.pmod(F.xxhash64("key"), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
@@ -388,54 +491,60 @@ def _rest(unsafe: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return both.groupBy("to", "from", "i", "j").applyInPandas(_blocked, "a long, b long")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sets(texts: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """doc_id, n and key of each row; the distinct sets with the least doc_id that stands for each; their shingles; the salt of the keys."""
+    for salt in range(SALTS):
+        described = saved(texts.mapInArrow(functools.partial(_describe, salt=salt), "doc_id long, n long, key long, other long, sketch binary"), "jaccard-docs")
+        least = [F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("sketch").alias("sketch"), (F.min("other") != F.max("other")).alias("clash")]
+        nodes = saved(described.where("n > 0").groupBy("key").agg(*least), "jaccard-nodes")
+        shingles, clash = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("clash"), F.lit(False))).first()
+        if not clash:
+            return described.select("doc_id", "n", "key"), nodes.drop("clash"), shingles, salt
+    raise RuntimeError("different sets have equal keys under every salt")
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_shingles and component_id: one row for each row of docs."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = saved(texts.mapInArrow(_describe, "doc_id long, n long, key long, sketch binary"), "jaccard-docs")
-    nodes = saved(described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("sketch").alias("sketch")), "jaccard-nodes")
-    shingles = nodes.agg(F.sum("n")).first()[0] or 0
-    none = nodes.select(F.col("key").alias("node"), F.col("key").alias("label")).limit(0)
-    links, labels = none.select(F.col("node").alias("a"), F.col("label").alias("b")), none
+    described, nodes, shingles, salt = _sets(texts)
+    labels = nodes.select(F.col("key").alias("node"), F.col("key").alias("label")).limit(0)
 
     def verify(pairs: DataFrame) -> None:
-        nonlocal links, labels
-        if pairs.isEmpty():
-            return
-        links = links.unionByName(_linked(pairs, nodes, texts))
-        labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    def widen(pairs: DataFrame, first: bool = False) -> None:
-        """Links of likely pairs across components: one a set first, which settles most, then the rest."""
-        likely = _likely(pairs if first else _labelled(pairs, labels), nodes)
+        nonlocal labels
+        if not pairs.isEmpty():
+            labels = _joined(labels, _linked(pairs, nodes, texts, salt, limits))
+
+    def widen(pairs: DataFrame) -> None:
+        """Links of likely pairs: one a set first, which settles most, then the rest across components."""
+        likely = _likely(pairs, nodes)
         verify(saved(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-pairs"))
         verify(saved(_labelled(likely, labels), "jaccard-pairs"))
 
     some, amount, hot = texts, shingles, np.zeros(0, np.uint64)
-    unsafe = none.select(F.col("node").alias("key"))
-    for turn in range(ROUNDS):
-        found = _matches(some, amount, hot)
-        widen(found.where(F.col("kind") == PAIR).select("a", "b"), turn == 0)
-        unsafe = unsafe.unionByName(found.where(F.col("kind") == UNSAFE).select(F.col("b").alias("key")))
-        large = found.where(F.col("kind") == LARGE).select(F.col("a").alias("sig"), F.col("b").alias("key"))
-        label = F.coalesce("label", "key")
-        split = large.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").groupBy("sig").agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-        split = saved(split.select("sig", "size"), "jaccard-large")
+    unsafe = labels.select(F.col("node").alias("key"))
+    for turn in range(limits.rounds):
+        found = _matches(some, amount, hot, salt, limits)
+        of = lambda kind: found.where(F.col("kind") == kind).select("a", "b")  # noqa: B023, E731
+        widen(_labelled(of(PAIR), labels) if turn else of(PAIR))
+        widen(_across(of(GROUP), labels))
+        unsafe = unsafe.unionByName(of(UNSAFE).select(F.col("b").alias("key")))
+        split = saved(_divided(of(LARGE), labels), "jaccard-large")
         if split.isEmpty():
             break
-        keys = saved(large.join(split, "sig", "left_semi").select("key").distinct(), "jaccard-again")
-        if turn == ROUNDS - 1:
+        keys = saved(of(LARGE).join(split.select("a"), "a", "left_semi").select(F.col("b").alias("key")).distinct(), "jaccard-again")
+        if turn == limits.rounds - 1:
             unsafe = unsafe.unionByName(keys)
             break
-        top = split.orderBy(F.desc("size"), "sig").limit(HOT).select("sig").toPandas()["sig"].to_numpy(np.int64).view(np.uint64)
-        hot = np.union1d(hot, top)[: 2 * HOT] if len(hot) else np.sort(top)
-        some, amount = _of(texts, nodes, keys).select("doc_id", "text"), nodes.join(keys, "key", "left_semi").agg(F.sum("n")).first()[0] or 0
+        top = split.orderBy(F.desc("size"), "a").limit(limits.hot).select("a").toPandas()["a"].to_numpy(np.int64).view(np.uint64)
+        hot = np.union1d(hot, top)
+        some, amount = _of(texts, nodes, keys, limits), nodes.join(keys, "key", "left_semi").agg(F.sum("n")).first()[0] or 0
     unsafe = saved(unsafe.distinct(), "jaccard-unsafe")  # the last step looks at them once more
     if not unsafe.isEmpty():
-        widen(_rest(unsafe, nodes, labels))
-    label = labels.select(F.col("node").alias("key"), "label")
-    placed = saved(described.join(label, "key", "left").select("doc_id", "n", F.coalesce("label", "key").alias("label")), "jaccard-placed")
-    least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "label")
+        widen(_rest(unsafe, nodes, labels, limits.chunk))
+    placed = saved(nodes.select("key", "doc_id").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key")), "jaccard-placed")
+    least = saved(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    of_set = saved(placed.join(least, "label").select("key", "component_id"), "jaccard-components")
+    out = described.join(of_set, "key", "left")
     known = lambda c: F.nullif(c, F.lit(NO_ID))
     least = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(least).alias("component_id"))

@@ -7,14 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 
 _U = np.uint64
-_P = _U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = _U(pow(int(_P), -1, 1 << 64))
+_P = 0x9E3779B97F4A7C15
+_ALL = (1 << 64) - 1
 _Q = np.array([pow(0xD1342543DE82EF95, j + 1, 1 << 64) | 1 for j in range(16)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes hashed at a time, and places of a word whose factors are in one table.
+WINDOW, LOW = 1 << 18, 1 << 12
+_FACTOR = np.cumprod(np.full(LOW, _P, np.uint64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -24,26 +26,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_P, _INVERSE)):
-            table = np.full(2 * n, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.cumprod(table)
-    return _powers[0][:n], _powers[1][:n]
+def _factors(at: np.ndarray) -> np.ndarray:
+    """The power of a fixed odd number that belongs to each place of a word."""
+    out = _FACTOR[at & (LOW - 1)]
+    if len(at) and (top := int(at.max()) >> 12):
+        step = pow(_P, LOW, 1 << 64)
+        high = np.array([pow(step, k, 1 << 64) for k in range(top + 1)], np.uint64)
+        out = out * high[at >> 12]
+    return out
 
 
 def word_hashes(buffer: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every word (run of other than white space) of a byte buffer."""
-    if not len(buffer):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = ~_SPACE[buffer]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
-    up, down = powers(len(buffer) + 1)
-    total = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(((_LOWER[buffer] if lower else buffer).astype(np.uint64) + _U(1)) * down[:-1], out=total[1:])
-    return start, mixed((total[end] - total[start]) * up[start] + (end - start).astype(np.uint64) * _P)
+    """Start and hash of every word (run of other than white space) of a byte buffer.
+
+    A word's hash is a sum over its bytes, so the buffer is read in windows and
+    a word that a window cuts adds up over several; no table grows with the text.
+    """
+    starts, sums, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    open_ = False  # the last word may go on
+    for lo in range(0, len(buffer), WINDOW):
+        part = buffer[lo : lo + WINDOW]
+        inside = ~_SPACE[part]
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        start, end = edge[::2], edge[1::2]
+        if not len(start):
+            open_ = False
+            continue
+        length = end - start
+        first = np.cumsum(length) - length
+        at = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
+        goes_on = open_ and start[0] == 0
+        if goes_on:
+            at[: length[0]] += lengths[-1][-1]
+        text = part[inside]
+        total = np.add.reduceat(((_LOWER[text] if lower else text).astype(np.uint64) + _U(1)) * _factors(at), first)
+        if goes_on:
+            sums[-1][-1:] += total[:1]
+            lengths[-1][-1] += length[0]
+            start, total, length = start[1:], total[1:], length[1:]
+        open_ = bool(inside[-1])
+        if len(start):
+            starts.append(start + lo)
+            sums.append(total)
+            lengths.append(length)
+    return np.concatenate(starts), mixed(np.concatenate(sums) + np.concatenate(lengths).astype(np.uint64) * _U(_P))
 
 
 def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray]:
@@ -63,6 +89,6 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray
             yield np.unique(every[lo : hi - width + 1])
         elif hi > lo:
             w = word[lo:hi]
-            yield mixed((w * _Q[: hi - lo]).sum(keepdims=True, dtype=np.uint64) + _U(hi - lo) * _U(0xA24BAED4963EE407))
+            yield mixed((w * _Q[: hi - lo]).sum(keepdims=True, dtype=np.uint64) + _U(int(hi - lo) * 0xA24BAED4963EE407 & _ALL))
         else:
             yield np.zeros(0, np.uint64)

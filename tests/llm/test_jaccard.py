@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from barwright.llm import jaccard, shingles
 
 
@@ -56,14 +59,48 @@ def corpus(seed=1, n=170):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n\t "), (n + 3, rows[0][1])]
 
 
-def test_join_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL", 5)  # large signatures, thin and unsafe sets appear on few rows
-    for seed in (1,):
-        rows = corpus(seed)
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-        want = brute(rows)
-        assert got == want
-        assert len({c for _, c in want.values()}) < len(rows) - 20
+@pytest.mark.parametrize(
+    ("seed", "limits"),
+    [
+        (1, {"small": 5}),
+        (2, {"small": 2, "hot": 4, "chunk": 4, "held": 300, "seen": 3, "rounds": 2}),
+        (3, {"small": 3, "hot": 200, "chunk": 8, "broadcast": 1, "block": 100, "rounds": 1}),
+    ],
+)
+def test_join_is_exact(spark, seed, limits):
+    """Small limits, so that large signatures, thin and unsafe sets, several blocks and shuffled texts appear on few rows."""
+    rows = corpus(seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), limits=jaccard.Limits(**limits)).collect()}
+    want = brute(rows)
+    assert got == want
+    assert len({c for _, c in want.values()}) < len(rows) - 20
+
+
+def test_small_sets_share_a_signature():
+    """All pairs of similar sets of up to 16 elements, with and without hot signatures, meet in one signature or are unsafe."""
+    rng = np.random.default_rng(5)
+    for n in list(range(3, 17)) * 40:
+        x = rng.integers(1 << 63, size=n).astype(np.uint64)
+        lost = rng.integers(0, n // 7 + 2)
+        more = rng.integers(1 << 63, size=rng.integers(0, n // 3 + 1)).astype(np.uint64)
+        x, y = np.unique(x), np.unique(np.concatenate([x[lost:], more]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both < 75 * len(np.union1d(x, y)) or len(x) == len(y) == both:
+            continue
+        hot = np.zeros(0, np.uint64)
+        for _ in range(3):
+            (a, lost_a), (b, lost_b) = (jaccard.signatures(e, hot) for e in (x, y))
+            assert (lost_a and lost_b) or len(np.intersect1d(a, b))
+            hot = np.sort(np.concatenate([hot, rng.choice(a, len(a) // 2, replace=False)]))
+
+
+def test_very_long_texts_are_read_in_windows(spark):
+    """Sets of long texts and long words don't depend on where windows cut them."""
+    text = "lorem ipsum " * 60_000 + "x" * 700_000 + " end of it all"
+    short = " ".join(text.split())
+    assert all(np.array_equal(a, b) for a, b in [list(shingles.shingle_sets([text, short]))])
+    out = jaccard.join(spark.createDataFrame([(1, text), (2, short), (3, "other words than these here")], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == [(1, 7, 1), (2, 7, 1), (3, 1, 3)]
 
 
 def test_nulls_repeats_and_clashing_columns(spark):
