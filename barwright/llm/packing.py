@@ -14,10 +14,12 @@ a gap, in the order of part numbers and rows.
 
 Texts are cut before every space and around every newline. Where no two white
 space characters meet, no token crosses such a cut, so the ids of a text are
-those of its chunks, and the ids of chunks are kept in a bounded table, because
-most recur. New chunks go to the same vocabulary in its ranked form, if that is
-given, else to the tokenizer. Other texts, and texts with a special token's
-string, go to the tokenizer whole.
+those of its chunks, and the ids of chunks are kept in a table of bounded
+bytes, because most recur. New chunks go to the same vocabulary in its ranked
+form, if that is given, else to the tokenizer. Other texts, and texts with a
+special token's string, go to the tokenizer. Very long texts are read in
+segments cut before a lone space between two other characters, where a token
+always starts.
 
 Defined results: a null text is an empty text; every document, empty ones too,
 ends with the id 0; repeated rows are packed as separate documents; an empty
@@ -38,19 +40,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, slices
 
 SEQUENCE = 1024
 #: Where a cut before spaces and around newlines might change tokens.
 ODD = re.compile("\\s\\s|[\x00\x1c-\x1f]|<\\|endoftext\\|>")
 #: The split pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks kept in the table of one Python worker.
-KEEP = 1_000_000
+#: Where any text may be cut, and after how many characters that is done.
+CUT, SEGMENT = re.compile(r"(?<=\S) (?=\S)"), 1 << 16
+#: Bytes that the table of one Python worker may take, and what an entry takes besides its text.
+KEEP, ENTRY = 48 << 20, 180
 #: Run totals that may be broadcast (20 bytes each).
 BROADCAST_RUNS = 1 << 20
 
 
+def segments(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > SEGMENT and (cut := CUT.search(text, at + SEGMENT)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 class Ids:
     """Token ids of texts, with a table of chunks already seen."""
 
@@ -64,7 +76,7 @@ class Ids:
     def clear(self) -> None:
         self.code: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.used = self.held = 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
@@ -83,8 +95,15 @@ class Ids:
         self.start[at:end], self.length[at:end] = self.used + np.cumsum(lengths) - lengths, lengths
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        self.held += sum(map(len, chunks)) + ENTRY * len(chunks)
 
     def of(self, text: str) -> np.ndarray:
+        """The ids of a whole text."""
+        if len(text) <= SEGMENT:
+            return self._of(text)
+        return np.concatenate([self._of(part) for part in segments(text)])
+
+    def _of(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
         if ODD.search(text):
@@ -92,7 +111,7 @@ class Ids:
         chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         codes = list(map(self.code.get, chunks))
         if None in codes:
-            if len(self.code) > KEEP:
+            if self.held > KEEP:
                 self.clear()
                 codes = [None] * len(chunks)
             self.learn(list({c for c, k in zip(chunks, codes, strict=True) if k is None}))
@@ -132,8 +151,7 @@ def tokenise(vocabulary: str, ranks: str | None = None, end_id: int = 0):
         ids, pid, total = worker_ids(vocabulary, ranks), TaskContext.get().partitionId(), 0
         nth, file, row = 0, None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1, rows=256):
                 n = part.num_rows
                 blobs, counts, offsets, runs = [], [], [], []
                 placed = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True) if part.num_columns > 2 else itertools.repeat((None, None), n)
@@ -152,6 +170,7 @@ def tokenise(vocabulary: str, ranks: str | None = None, end_id: int = 0):
                 first_file, first_row = zip(*starts, strict=True)
                 columns = [part.column(0), pa.array([pid] * n, pa.int32()), pa.array(runs, pa.int32()), pa.array(first_file, pa.string()), pa.array(first_row, pa.int64()), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "pid", "run", "file", "row", "local", "n", "ids"])
+        ids.clear()  # the worker lives on for other tasks
 
     return run
 

@@ -12,9 +12,11 @@ word is fed with that mark, and what follows the first piece is matched from
 the root of the unmarked pieces. Bytes that no piece covers count one piece
 each.
 
-Words of a batch run through the automaton together, one byte column at a time
-in NumPy, each distinct word once; texts stay where they are read and nothing
-is shuffled.
+Words of a part of a batch (of bounded bytes) run through the automaton
+together, one byte column at a time in NumPy, each distinct word once; words of
+more than LONG bytes run alone, byte by byte. The counts of short words are
+kept in a table of bounded bytes. Texts stay where they are read and nothing is
+shuffled.
 
 Defined results: null and blank texts have no tokens; repeated rows are counted
 separately; other columns are not read; an empty table gives no row.
@@ -32,7 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK = 256  # the edge that stands for the start of a word
+from .common import slices
+
+#: Words of more bytes run alone.
+LONG = 512
+#: Bytes that the table of counted words may take, and what an entry takes besides its word.
+KEEP, ENTRY = 48 << 20, 130
 
 
 def byte_level(path: str) -> list[tuple[bool, bytes]]:
@@ -95,6 +102,7 @@ class Automaton:
             for c, w in edges[v].items():
                 queue.append((v, c, w))
         self.failure, self.pops = np.array(failure, np.int32), np.array(pops, np.int32)
+        self._edges: dict[int, int] | None = None
         key = np.array([v << 8 | b for v, out in enumerate(edges) for b in out], np.int64)
         to = np.array([w for out in edges for w in out.values()], np.int32)
         bits = max(4, int(4 * len(key)).bit_length())
@@ -130,8 +138,44 @@ class Automaton:
             open_, at = open_[more], (at[more] + 1) & mask
         return out
 
+    def count_long(self, word: bytes) -> int:
+        """Pieces of one word."""
+        edges = self._table()
+        failure, pops = self._links
+        v, n = 1, 0
+        for b in word:
+            while (to := edges.get(v << 8 | b)) is None:
+                if v == 1:
+                    v = 0
+                elif v == 0:
+                    n, to = n + 1, 0
+                    break
+                else:
+                    n += pops[v]
+                    v = failure[v]
+            v = to
+        while v > 2:
+            n += pops[v]
+            v = failure[v]
+        return n
+
+    def _table(self) -> dict[int, int]:
+        if self._edges is None:
+            used = self.slots >= 0
+            self._edges = dict(zip(self.slots[used].tolist(), self.target[used].tolist(), strict=True))
+            self._links = self.failure.tolist(), self.pops.tolist()
+        return self._edges
+
     def count(self, words: list[bytes]) -> np.ndarray:
         """Pieces of each word."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        if long:
+            total = np.zeros(len(words), np.int64)
+            short = np.ones(len(words), bool)
+            short[long] = False
+            total[short] = self.count([w for w in words if len(w) <= LONG])
+            total[long] = [self.count_long(words[k]) for k in long]
+            return total
         total = np.zeros(len(words), np.int64)
         if not words:
             return total
@@ -176,15 +220,14 @@ def automaton(path: str) -> Automaton:
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    machine, known = automaton(path), {}
+    machine, known, held = automaton(path), {}, 0
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for part in slices(batch, "text", rows=512):
             rows = [(t or "").encode().split() for t in part.column("text").to_pylist()]
+            if held > KEEP:
+                known, held = {}, 0
             new = list({w for r in rows for w in r if w not in known})
-            if len(known) > 1_000_000:
-                known.clear()
-                new = list({w for r in rows for w in r})
+            held += sum(map(len, new)) + ENTRY * len(new)
             known.update(zip(new, machine.count(new).tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array([sum(map(known.__getitem__, r)) for r in rows], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 

@@ -1,6 +1,7 @@
 """The automaton against greedy longest match."""
 
 import random
+import time
 
 from public_tokenizers import path
 
@@ -36,3 +37,20 @@ def test_public_vocabulary(spark):
     table = set(pieces)
     want = sorted((i, len((t or "").encode().split()), sum(greedy(table, w) for w in (t or "").encode().split())) for i, t in docs)
     assert sorted(map(tuple, out)) == want
+
+
+def test_long_words_run_alone(spark, monkeypatch):
+    rng = random.Random(6)
+    pieces = sorted({(rng.random() < 0.4, bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 5)))) for _ in range(12)})
+    words = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    machine = tokencount.Automaton(pieces)
+    want = [greedy(pieces, w) for w in words]
+    assert [machine.count_long(w) for w in words] == want
+    monkeypatch.setattr(tokencount, "LONG", 9)
+    assert machine.count(words).tolist() == want
+    text = "".join(rng.choice("abcdefgh") for _ in range(200_000))
+    begun = time.perf_counter()
+    assert tokencount.automaton(path("byte_bpe_50k.json")).count_long(text.encode()) > 0
+    assert time.perf_counter() - begun < 20
+    out = tokencount.count(spark.createDataFrame([(1, text, 7)], "doc_id long, text string, n_tokens int"), vocabulary=path("byte_bpe_50k.json")).first()
+    assert out.n_words == 1 and out.n_tokens == tokencount.automaton(path("byte_bpe_50k.json")).count_long(text.encode())
