@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +20,7 @@ SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 _scratch: list[tuple[SparkSession, str]] = []
+_owners = [_scratch]
 _at_exit: list[tuple[SparkSession, str]] = []
 
 
@@ -47,13 +50,15 @@ def slices(batch: pa.RecordBatch, column: int | str, step: int = 1 << 22, rows:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. It is set here only where the cluster has named none."""
+    """The folder that all executors see; a session on one machine that has none gets one here."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barwright-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -61,7 +66,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; release() or the end of the session removes it."""
     path = f"{shared_dir(spark).rstrip('/')}/barwright-scratch/{name}-{run_id()}"
-    _scratch.append((spark, path))
+    _owners[-1].append((spark, path))
     return path
 
 
@@ -81,13 +86,23 @@ def run_id() -> str:
     return uuid.uuid4().hex
 
 
+@contextlib.contextmanager
+def collected(tables: list[tuple[SparkSession, str]]) -> Iterator[None]:
+    """Scratch tables made inside belong to this list, for a release() of them alone."""
+    _owners.append(tables)
+    try:
+        yield
+    finally:
+        _owners.pop()
+
+
 def later(spark: SparkSession, path: str) -> None:
     """Delete path when Python ends."""
     _at_exit.append((spark, path))
 
 
 def release(paths: list[tuple[SparkSession, str]] = _scratch) -> None:
-    """Delete all scratch tables made so far. Call it once nothing lazy reads them any more."""
+    """Delete the scratch tables of a list, or all that belong to none. Call it once nothing lazy reads them any more."""
     while paths:
         spark, path = paths.pop()
         try:

@@ -63,8 +63,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import saved, slices
 from .graph import components
@@ -209,8 +210,9 @@ def _describe(batches: Iterator[pa.RecordBatch], salt: int = 0) -> Iterator[pa.R
     for batch in batches:
         for part, sets in _texts(batch):
             keys, other = (np.array([node_key(e, k) for e in sets], np.uint64) for k in (salt, salt + OTHER))
-            columns = [part.column("doc_id"), pa.array([len(e) for e in sets], pa.int64()), pa.array(_signed(keys)), pa.array(_signed(other)), pa.array([sketch(e) for e in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "other", "sketch"])
+            rest = [c for c in part.schema.names if c != "text"]
+            columns = [*(part.column(c) for c in rest), pa.array([len(e) for e in sets], pa.int64()), pa.array(_signed(keys)), pa.array(_signed(other)), pa.array([sketch(e) for e in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*rest, "n", "key", "other", "sketch"])
 
 
 def _ordered(held: list[np.ndarray]) -> np.ndarray:
@@ -491,22 +493,25 @@ def _rest(unsafe: DataFrame, nodes: DataFrame, labels: DataFrame, chunk: int) ->
     return both.groupBy("to", "from", "i", "j").applyInPandas(_blocked, "a long, b long")
 
 
-def _sets(texts: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
-    """doc_id, n and key of each row; the distinct sets with the least doc_id that stands for each; their shingles; the salt of the keys."""
+def _sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Size and key of each row (doc_id, text, row and others); the distinct sets with the first row of each; their shingles; the salt of the keys."""
+    rest = [f for f in rows.schema.fields if f.name != "text"]
+    made = [T.StructField(c, T.LongType()) for c in ("n", "key", "other")] + [T.StructField("sketch", T.BinaryType())]
     for salt in range(SALTS):
-        described = saved(texts.mapInArrow(functools.partial(_describe, salt=salt), "doc_id long, n long, key long, other long, sketch binary"), "jaccard-docs")
-        least = [F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("sketch").alias("sketch"), (F.min("other") != F.max("other")).alias("clash")]
-        nodes = saved(described.where("n > 0").groupBy("key").agg(*least), "jaccard-nodes")
+        described = saved(rows.mapInArrow(functools.partial(_describe, salt=salt), T.StructType(rest + made)), "jaccard-docs")
+        first = [F.min(F.struct("doc_id", "row")).alias("first"), F.min("n").alias("n"), F.max("sketch").alias("sketch"), (F.min("other") != F.max("other")).alias("clash")]
+        nodes = saved(described.where("n > 0").groupBy("key").agg(*first).withColumn("doc_id", F.col("first.doc_id")), "jaccard-nodes")
         shingles, clash = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("clash"), F.lit(False))).first()
         if not clash:
-            return described.select("doc_id", "n", "key"), nodes.drop("clash"), shingles, salt
+            return described.drop("other", "sketch"), nodes.drop("clash"), shingles, salt
     raise RuntimeError("different sets have equal keys under every salt")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """doc_id, n_shingles and component_id: one row for each row of docs."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _placed(docs: DataFrame, id_col: str, text_col: str, limits: Limits, *carried: Column) -> DataFrame:
+    """doc_id, row, n and first (doc_id and row of the first row of the component; null for empty sets) of each row of docs, and what is carried."""
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"), *carried)
     described, nodes, shingles, salt = _sets(texts)
+    texts = texts.select("doc_id", "text")
     labels = nodes.select(F.col("key").alias("node"), F.col("key").alias("label")).limit(0)
 
     def verify(pairs: DataFrame) -> None:
@@ -541,10 +546,20 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lim
     unsafe = saved(unsafe.distinct(), "jaccard-unsafe")  # the last step looks at them once more
     if not unsafe.isEmpty():
         widen(_rest(unsafe, nodes, labels, limits.chunk))
-    placed = saved(nodes.select("key", "doc_id").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key")), "jaccard-placed")
-    least = saved(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
-    of_set = saved(placed.join(least, "label").select("key", "component_id"), "jaccard-components")
-    out = described.join(of_set, "key", "left")
+    placed = saved(_named(nodes.select("key", "first"), ("key",), labels), "jaccard-placed")
+    least = saved(placed.groupBy("lkey").agg(F.min("first").alias("least")), "jaccard-least")
+    of_set = saved(placed.join(least, "lkey").select("key", F.col("least").alias("first")), "jaccard-components")
+    return described.join(of_set, "key", "left").drop("key")
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """doc_id, n_shingles and component_id: one row for each row of docs."""
     known = lambda c: F.nullif(c, F.lit(NO_ID))
-    least = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(least).alias("component_id"))
+    out = _placed(docs, id_col, text_col, limits)
+    return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("first.doc_id", "doc_id")).alias("component_id"))
+
+
+def distinct(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """One row of docs of each component, that of the least doc_id and of rows alike the first read; all rows without words."""
+    out = _placed(docs, id_col, text_col, limits, F.struct(*docs.columns).alias("doc"))
+    return out.where(F.col("first").isNull() | (F.col("first.row") == F.col("row"))).select("doc.*")

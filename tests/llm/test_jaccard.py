@@ -110,6 +110,16 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_distinct_keeps_one_row_of_each_component(spark):
+    rows = [(3, "zz", "a"), (3, "yy", "b"), (1, "yy", "c"), (5, "a b c d e f", "d"), (5, "a b c d e f", "e"), (None, "q", "f"), (None, "q", "g"), (None, "r", "h"), (7, None, "i"), (7, "", "j")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, first string")
+    left = jaccard.distinct(table)
+    assert left.columns == table.columns
+    got = sorted(left.collect(), key=str)
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "q"), (0, "r"), (1, "yy"), (3, "zz"), (5, "a b c d e f"), (7, ""), (7, "")]
+    assert jaccard.distinct(table.limit(0)).count() == 0
+
+
 def test_sketch_is_a_lower_bound():
     texts = [t for _, t in corpus(3, 60)]
     sets = list(shingles.shingle_sets(texts))

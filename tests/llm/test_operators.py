@@ -1,6 +1,7 @@
 """The corpus operators on small fixtures: brute force, round trips, held-out accuracy, and awkward rows."""
 
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -57,26 +58,49 @@ def test_schedules_invert(spark):
 
 
 def brute_dedup(rows):
+    """(doc_id, keep_id, group_size, kept, sha256) of each row; of rows alike, one is kept."""
     groups = collections.defaultdict(list)
-    for r in rows:
-        groups[SPACE.sub("", r[1] or "")].append(r)
-    keep = {k: min(v, key=lambda r: (-len(r[1] or ""), r[0] is not None, r[0] or 0))[0] for k, v in groups.items()}
-    return sorted(((r[0], keep[k], len(v)) for k, v in groups.items() for r in v), key=str)
+    for k, r in enumerate(rows):
+        groups[SPACE.sub("", r[1] or "")].append((-len(r[1] or ""), r[0] is not None, r[0] or 0, k))
+    out = []
+    for text, v in groups.items():
+        first = min(v)
+        out += [(rows[k][0], rows[first[3]][0], len(v), k == first[3], hashlib.sha256(text.encode()).hexdigest()) for *_, k in v]
+    return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("chars", "most"), [(64, 1 << 17), (1, 1 << 17), (1, 1)])
-def test_exact_dedup(spark, docs, none, chars, most):
-    out = exact.dedup(docs, digest_chars=chars, broadcast_digests=most)
-    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in out.collect()), key=str) == brute_dedup(AWKWARD)
+REPEATED = [*AWKWARD, (3, "zz", "en", "a", 2, "x", 1), (3, "yy", "en", "a", 2, "x", 1), (1, "y y", "en", "a", 3, "x", 1), (1, "y y", "en", "a", 3, "x", 1), (None, "a b", "en", "a", 3, "x", 4)]
+
+
+@pytest.mark.parametrize(("chars", "bits", "fan_in"), [(64, 1 << 26, 16), (1, 1 << 20, 2), (64, 8, 2), (2, 1 << 16, 3)])
+def test_exact_dedup(spark, docs, none, chars, bits, fan_in):
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(REPEATED, 7), DOCS)
+    out = exact.dedup(rows, digest_chars=chars, filter_bits=bits, fan_in=fan_in, memtable_rows=2)
+    assert sorted(map(tuple, out.collect()), key=str) == brute_dedup(REPEATED)
     assert exact.dedup(none, digest_chars=chars).count() == 0
 
 
+def test_distinct_keeps_one_row_of_each_text(spark, none):
+    rows = spark.createDataFrame(REPEATED, DOCS)
+    left = exact.distinct(rows)
+    assert left.columns == rows.columns
+    texts = [SPACE.sub("", r.text or "") for r in left.collect()]
+    assert sorted(texts) == sorted({SPACE.sub("", r[1] or "") for r in REPEATED}) and exact.distinct(none).count() == 0
+
+
 def test_run_lookup(spark, docs):
-    runs = exact.flush(exact.digested(docs, "doc_id", "text", 64), 2)
+    runs = exact.flush(docs, memtable_rows=2)
     digest = runs.where("doc_id = 6").first().digest
     assert [r.doc_id for r in exact.lookup(runs, [digest]).collect()] == [6]
 
 
+def test_filter_lets_all_repeated_digests_through(spark):
+    digests = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), "id")
+    hits = digests.where("id % 5 = 0").select("digest")
+    out = {r.id for r in exact.probed(digests, exact.repeated_filter(hits, 1 << 17), 1 << 17).collect()}
+    assert {k for k in range(0, 3000, 5)} <= out and len(out) < 640
+
+
 def test_packing_round_trip(spark, docs, none):
     from tokenizers import Tokenizer
 

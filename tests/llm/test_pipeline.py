@@ -32,7 +32,7 @@ def test_stages(spark, tmp_path):
     gone = set(ids("toxicity")) - set(ids("exact_dedup"))
     assert not [i for i in gone if labels.get(i) == 0]
 
-    kept = [i for i, keep, _ in brute_dedup([(r.doc_id, r.text) for r in inputs["exact_dedup"]]) if i == keep]
+    kept = [i for i, _, _, stays, _ in brute_dedup([(r.doc_id, r.text) for r in inputs["exact_dedup"]]) if stays]
     assert ids("ngram_jaccard_join") == sorted(kept)
 
     near = brute([(r.doc_id, r.text) for r in inputs["ngram_jaccard_join"]])
@@ -73,3 +73,24 @@ def test_packing_keeps_the_order_of_the_mix(spark, tmp_path):
         assert packed(str(tmp_path / "unequal")) == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_repeated_and_null_ids_lose_no_text(spark, tmp_path):
+    """Both dedup stages keep exactly one row of each text, where ids repeat, are null, or rows are wholly alike."""
+    rows = [(3, "zz"), (3, "yy"), (1, "yy"), (5, "same words here"), (5, "same words here"), (None, "lone text"), (None, "lone text"), (None, None), (8, ""), (9, " \n"), (3, "a b c d e f g h"), (4, "a b c d e f g h i"), (4, "x " * 50_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    stages = dict(corpus_pipeline.STAGES)
+    stages["exact_dedup"](spark, docs, DATA).write.parquet(str(tmp_path / "exact"))
+    left = spark.read.parquet(str(tmp_path / "exact"))
+    texts = lambda df: sorted("".join((r.text or "").split()) for r in df.collect())
+    want = sorted({"".join((t or "").split()) for _, t in rows})
+    assert left.columns == docs.columns and texts(left) == want
+    near = stages["ngram_jaccard_join"](spark, left, DATA)
+    assert near.columns == docs.columns and texts(near) == sorted(set(want) - {"abcdefghi"})
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, DATA)
+        assert out.count() == 0, name
+        if name == "source_mixing":
+            out.write.parquet(str(tmp_path / "none"))
+            empty = spark.read.parquet(str(tmp_path / "none"))
