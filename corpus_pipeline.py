@@ -20,15 +20,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    gone = exact.dedup(docs).where(~F.col("kept"))
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of equal texts, whatever ids repeat or are null."""
+    return exact.distinct(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the Jaccard join."""
-    gone = jaccard.join(docs).where(F.col("doc_id") != F.col("component_id"))
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """One row of each component of the Jaccard join, and all rows without words."""
+    return jaccard.distinct(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +39,16 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(packing.in_file_order(docs), vocabulary=vocabulary_path("byte_bpe_50k.json"), ranks=vocabulary_path("byte_bpe_50k.tiktoken"))
 
 
+_made: list = []
+
+
 def _staged(stage):
-    """Before a stage, the scratch tables of the one before go: its result has been written by then."""
+    """Before a stage, the scratch tables of the one before go: its result has been written by then. Tables of others stay."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release()
-        return stage(spark, docs, sf_dir)
+        common.release(_made)
+        with common.collected(_made):
+            return stage(spark, docs, sf_dir)
 
     run_stage.__name__, run_stage.__doc__ = stage.__name__, stage.__doc__
     return run_stage
