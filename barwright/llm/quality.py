@@ -1,13 +1,16 @@
 """Quality rules whose cutoffs are certified to reject few good documents.
 
 Base rules drop very short and very repetitive texts. Each further rule drops a
-text whose score reaches a cutoff. A cutoff is taken from a fixed grid: for
-every stratum (length class) and rule, the good documents of a labelled holdout
-that the cutoff would reject are counted, and the exact binomial tail
-P[Bin(n, alpha) <= rejected] is the p-value of "this cutoff rejects more than
-alpha of the good". With Bonferroni's correction over all strata, rules and
-cutoffs, every cutoff that passes is safe at once with probability 1 - delta;
-the strictest is used. A stratum and rule without one don't reject.
+text whose score reaches a cutoff, and a text goes if any rule drops it. So that
+all rules together reject at most alpha of a stratum's good documents, each may
+reject alpha / (number of rules). A cutoff is taken from a fixed grid: for every
+stratum (length class) and rule, the good documents of a labelled holdout that
+the cutoff would reject are counted, and the exact binomial tail
+P[Bin(n, alpha / rules) <= rejected] is the p-value of "this cutoff rejects more
+than its share". With Bonferroni's correction over all strata, rules and
+cutoffs, every cutoff that passes is safe at once with probability 1 - delta, and
+then so is every stratum's verdict as a whole; the strictest is used. A stratum
+and rule without one don't reject.
 
 All counts are made in the engine; what reaches the driver is one row for each
 stratum and rule (an array of counts over the grid), so it does not grow with
@@ -94,20 +97,39 @@ def _failed() -> Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P[Bin(n, p) <= k], exactly but for rounding."""
+    """P[Bin(n, p) <= k], exactly but for rounding: the incomplete beta function by its continued fraction, so n may be any size."""
     if k >= n:
         return 1.0
-    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return min(1.0, math.fsum(math.exp(log(i)) for i in range(k + 1)))
+    a, b, x = n - k, k + 1, 1 - p
+    turned = x > (a + 1) / (a + b + 2)  # the fraction converges fast on this side
+    if turned:
+        a, b, x = b, a, p
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    value, c, d = 1.0, 1.0, 0.0
+    for i in range(10_000_000):
+        m = i // 2
+        if i == 0:
+            step = 1.0
+        elif i % 2 == 0:
+            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + step * d)
+        c = 1 + step / c
+        value *= c * d
+        if abs(1 - c * d) < 1e-13:
+            break
+    tail = min(1.0, max(0.0, front * (value - 1)))
+    return 1 - tail if turned else tail
 
 
 def certify(counts: list[tuple[int, str, int, list[int]]], alpha: float, delta: float, tests: int | None = None) -> dict[tuple[int, str], float]:
-    """counts: stratum, rule, good documents, and how many of them each cutoff of GRID rejects."""
-    tests = tests or (len(STRATA) + 1) * len(RULES) * len(GRID)
+    """counts: stratum, rule, good documents, and how many of them each cutoff of GRID rejects. All rules together reject at most alpha."""
+    tests, share = tests or (len(STRATA) + 1) * len(RULES) * len(GRID), alpha / len(RULES)
     found = {}
     for stratum, rule, n, rejected in counts:
         for cutoff, k in zip(GRID, rejected, strict=True):
-            if n and binomial_tail(k, n, alpha) <= delta / tests:
+            if n and k < n * share and binomial_tail(k, n, share) <= delta / tests:
                 found[stratum, rule] = cutoff
                 break
     return found
@@ -134,7 +156,7 @@ def judge(counted: DataFrame, found: dict[tuple[int, str], float]) -> DataFrame:
 def _oracle() -> str:
     """SQL that repeats the counts, the certification and the verdict."""
     grid = ", ".join(f"{c}::DOUBLE" for c in GRID)
-    tests = (len(STRATA) + 1) * len(RULES) * len(GRID)
+    tests, share = (len(STRATA) + 1) * len(RULES) * len(GRID), f"{0.02 / len(RULES)}::DOUBLE"
     return rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -166,7 +188,7 @@ c AS (
   FROM s, unnest([{grid}]) AS q(cut) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM g) GROUP BY ALL),
 b AS (
   SELECT stratum, rule, min(cut) AS cut FROM c
-  WHERE (CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98)))) END) <= 0.05 / {tests}
+  WHERE (CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))) END) <= 0.05 / {tests}
   GROUP BY ALL),
 x AS (SELECT DISTINCT s.doc_id FROM s JOIN b ON s.stratum = b.stratum AND s.rule = b.rule WHERE s.score >= b.cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -1,6 +1,7 @@
 """The corpus operators on small fixtures: brute force, round trips, held-out accuracy, and awkward rows."""
 
 import collections
+import fractions
 import hashlib
 import math
 import re
@@ -209,17 +210,41 @@ def test_quality_counts(spark, docs, none):
 
 
 def test_certified_cutoffs():
-    assert quality.binomial_tail(3, 50, 0.1) == pytest.approx(sum(math.comb(50, i) * 0.1**i * 0.9 ** (50 - i) for i in range(4)))
-    counts = [(0, "symbols", 2000, [400, 10, *[0] * 11]), (1, "symbols", 20, [0] * 13)]
+    for k, n, p in [(3, 50, 0.1), (0, 20, 0.005), (10, 900, 0.005), (40, 900, 0.02), (899, 900, 0.9), (5, 7, 0.5), (0, 1, 0.3), (1, 3000, 0.005)]:
+        exact_tail = sum(fractions.Fraction(math.comb(n, i)) * fractions.Fraction(p) ** i * (1 - fractions.Fraction(p)) ** (n - i) for i in range(k + 1))
+        assert quality.binomial_tail(k, n, p) == pytest.approx(float(exact_tail), abs=1e-10)
+    assert 0.9 < quality.binomial_tail(2_003_000, 1_000_000_000, 0.002) < 1  # no sum over counts
+    counts = [(0, "symbols", 4000, [400, 3, *[0] * 11]), (1, "symbols", 20, [0] * 13)]
     assert quality.certify(counts, 0.02, 0.05) == {(0, "symbols"): quality.GRID[1]}  # 20 documents certify nothing
 
 
+def test_all_rules_together_keep_the_bound():
+    """Rules whose rejections don't overlap, each close to what one may reject: the strata's verdicts keep alpha, and each rule alone its share."""
+    rng = np.random.default_rng(3)
+    alpha, n, over = 0.02, 20_000, 0
+    names = list(quality.RULES)
+    for _ in range(60):
+        rates = {r: np.sort(rng.uniform(0, 2 * alpha / len(names), len(quality.GRID)))[::-1] for r in names}
+        counts = [(0, r, n, [int(rng.binomial(n, q)) for q in rates[r]]) for r in names]
+        found = quality.certify(counts, alpha, 0.05)
+        over += sum(rates[r][quality.GRID.index(c)] for (_, r), c in found.items()) > alpha
+        assert len(found) > 1 and all(rates[r][quality.GRID.index(c)] <= alpha / len(names) for (_, r), c in found.items())
+    assert over == 0
+
+
 def test_cutoffs_limit_false_rejection(spark):
-    counted = quality.measured(spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(120)) + (" ####" * 20 if k % 50 == 0 else "")) for k in range(1500)], "doc_id long, text string"))
-    labels = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
-    found = quality.cutoffs(counted, labels, alpha=0.01)
-    judged = quality.judge(counted, found)
-    assert judged.where("not kept").count() <= 15
+    """Three rules fire on different good documents; together they reject no more than alpha of them."""
+    word = lambda k, j: f"w{k}x{j}"
+    extra = {0: " ####" * 20, 1: "\nsame line here" * 6, 2: " long" + "g" * 1500}
+    text = lambda k: " ".join(word(k, j) for j in range(120)) + (extra[k % 3] if k % 150 < 3 else "")
+    counted = quality.measured(spark.createDataFrame([(k, text(k)) for k in range(3000)], "doc_id long, text string"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    for alpha in (0.02, 0.05, 0.12):
+        judged = quality.judge(counted, quality.cutoffs(counted, labels, alpha=alpha))
+        assert judged.where("not kept").count() <= alpha * 3000
+    found = quality.cutoffs(counted, labels, alpha=0.12)
+    assert len({rule for _, rule in found}) == 4 and quality.judge(counted, found).where("rule is not null").count() > 0
+    assert quality.judge(counted.withColumn("kept", F.lit(3)), found).columns.count("kept") == 1
 
 
 def brute_rule(url):
