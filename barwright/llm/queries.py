@@ -61,4 +61,4 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_source_mixing, op3_html_extraction, op4_ngram_jaccard_join, op5_toxicity, op6_exact_dedup, op7_packing, op8_token_counts, op9_quality_rules, op10_url_filters)}
-ORACLE = {"op2_source_mixing": mixing.ORACLE, "op6_exact_dedup": exact.ORACLE, "op9_quality_rules": quality.ORACLE}
+ORACLE = {"op2_source_mixing": mixing.ORACLE, "op6_exact_dedup": exact.ORACLE, "op9_quality_rules": quality.ORACLE, "op10_url_filters": urls.ORACLE}

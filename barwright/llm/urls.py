@@ -4,7 +4,9 @@ A host's labelled URLs form a tree of all their path segments; the end of a
 path is a branch of its own, named "". Segments that look variable (with a
 digit, or long) turn into wildcards. Sibling branches whose labelled counts a
 two-proportion test cannot tell apart merge into one wildcard branch, level by
-level from the deepest upwards; how many siblings there are plays no part. A
+level from the deepest upwards: many siblings with few labels each are alike by
+this test, so they become one branch, while a branch without siblings keeps its
+name. A literal segment * counts as variable. A
 template is rejected when the smoothed share of good labels under it falls
 below a cutoff; the smoothing starts from the host, and the host from the whole
 corpus, so a template with few labels follows its host. A branch that has all
@@ -91,7 +93,7 @@ def _merged(branches: DataFrame, parent: list[str], name: str) -> DataFrame:
     pooled = F.try_divide(F.col("pg"), F.col("pn"))
     spread = F.sqrt(F.greatest(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.lit(1.0), rest_n)), F.lit(0.0)))
     z = F.try_divide(F.abs(F.try_divide(F.col("good"), F.col("n")) - F.try_divide(rest_g, rest_n)), spread)
-    return told.withColumn("to", F.when(F.coalesce(z, F.lit(0.0)) < SAME_Z, F.lit("*")).otherwise(F.col(name))).drop("pg", "pn")
+    return told.withColumn("to", F.when((rest_n > 0) & (F.coalesce(z, F.lit(0.0)) < SAME_Z), F.lit("*")).otherwise(F.col(name))).drop("pg", "pn")
 
 
 def _summed(rows: DataFrame, *by: Column | str) -> DataFrame:
@@ -180,3 +182,57 @@ def labelled_by_document(pages: DataFrame, labels: DataFrame, url_col: str = "ur
     shown = parsed(pages.select(url_col), url_col).withColumn("doc_id", F.when(number != "", number).cast("long")).where("doc_id is not null")
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
     return shown.join(good, "doc_id").select("host", "segments", "good")
+
+
+def _oracle() -> str:
+    """SQL that repeats the tree, its purities and the walk, by recursion over the levels."""
+    rules = sorted(RULES, key=lambda r: (len(r[0] + r[1]), r), reverse=True)
+    case = lambda of: "CASE " + " ".join(f"WHEN (host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '{p}') THEN '{of(d, p, v)}'" for d, p, v in rules) + " END"
+    return rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+s AS (
+  SELECT *, list_append(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') OR length(x) > 24 THEN '*' ELSE x END), '') AS segs,
+         TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\.[a-z]+)?/?$', 1), '') AS BIGINT) AS doc_id
+  FROM p),
+g AS (
+  SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+l AS (
+  SELECT host, segs, sum(good)::DOUBLE AS good, count(*)::DOUBLE AS n FROM s JOIN g USING (doc_id) WHERE host <> '' AND good IS NOT NULL GROUP BY ALL),
+m AS (
+  SELECT (SELECT max(len(segs)) FROM l) AS d, host, segs, good, n FROM l
+  UNION ALL
+  SELECT d - 1, host, segs, sum(good), sum(n) FROM (
+    SELECT d, host, good, n,
+           CASE WHEN len(segs) >= d AND pn > bn AND coalesce(abs(bg / bn - (pg - bg) / (pn - bn)) / nullif(sqrt(greatest(pg / pn * (1 - pg / pn) * (1 / bn + 1 / (pn - bn)), 0)), 0), 0) < {SAME_Z}
+                THEN list_concat(list_append(segs[1:d - 1], '*'), segs[d + 1:]) ELSE segs END AS segs
+    FROM (
+      SELECT *, sum(good) OVER b AS bg, sum(n) OVER b AS bn, sum(good) OVER u AS pg, sum(n) OVER u AS pn
+      FROM m WHERE d > 0
+      WINDOW b AS (PARTITION BY host, len(segs) < d, segs[1:d]), u AS (PARTITION BY host, len(segs) < d, segs[1:d - 1])))
+  GROUP BY d, host, segs),
+r AS (SELECT host, segs, good, n FROM m WHERE d = 0),
+k AS (
+  SELECT host, u.depth, segs[1:u.depth] AS pre, sum(good) AS good, sum(n) AS n FROM r, unnest(range(1, len(segs) + 1)) AS u(depth) GROUP BY ALL),
+t AS (
+  SELECT host, 0::BIGINT AS depth, []::VARCHAR[] AS pre, (sum(good) + {PRIOR} * (SELECT sum(good) / sum(n) FROM r)) / (sum(n) + {PRIOR}) AS purity, sum(n) AS n FROM r GROUP BY host
+  UNION ALL
+  SELECT k.host, k.depth, k.pre, CASE WHEN k.n = t.n THEN t.purity ELSE (k.good + {PRIOR} * t.purity) / (k.n + {PRIOR}) END, k.n
+  FROM t JOIN k ON k.host = t.host AND k.depth = t.depth + 1 AND k.pre[1:k.depth - 1] = t.pre),
+w AS (
+  SELECT DISTINCT s.host, s.segs, 0::BIGINT AS depth, t.pre, t.purity FROM s JOIN t ON t.host = s.host AND t.depth = 0
+  UNION ALL
+  SELECT w.host, w.segs, w.depth + 1, coalesce(a.pre, b.pre), coalesce(a.purity, b.purity)
+  FROM w LEFT JOIN t a ON a.host = w.host AND a.depth = w.depth + 1 AND a.pre = list_append(w.pre, w.segs[w.depth + 1])
+         LEFT JOIN t b ON b.host = w.host AND b.depth = w.depth + 1 AND b.pre = list_append(w.pre, '*')
+  WHERE w.depth < len(w.segs) AND (a.pre IS NOT NULL OR b.pre IS NOT NULL)),
+e AS (SELECT host, segs, arg_max(purity, depth) AS purity FROM w GROUP BY ALL)
+SELECT page_id, s.host, path, {case(lambda d, p, v: d + p).replace("host", "s.host")} AS rule,
+       coalesce({case(lambda d, p, v: v).replace("host", "s.host")}, CASE WHEN coalesce(purity, 1) < {CUTOFF} THEN 'block' ELSE 'allow' END) AS verdict
+FROM s LEFT JOIN e ON e.host = s.host AND e.segs = s.segs
+"""
+
+
+ORACLE = _oracle()

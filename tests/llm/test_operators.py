@@ -286,6 +286,75 @@ def test_url_tree_has_all_segments(spark):
     assert out[asked[6]].purity == pytest.approx((0 + 8 * 120 / 242) / 10) and out[asked[7]].template is None
 
 
+def brute_purity(labelled, asked):
+    """Purity for each asked (host, segments), from labelled (host, segments, good), with dictionaries."""
+    rows = collections.Counter()
+    for h, segs, good in labelled:
+        rows[h, (*segs, ""), "good"] += good
+        rows[h, (*segs, ""), "n"] += 1
+    leaves = {(h, segs): (rows[h, segs, "good"], rows[h, segs, "n"]) for h, segs, _ in rows}
+
+    def summed(name):
+        out = {}
+        for key, (g, n) in leaves.items():
+            old = out.get(name(*key), (0, 0))
+            out[name(*key)] = old[0] + g, old[1] + n
+        return out
+
+    for d in range(max((len(s) for _, s in leaves), default=0), 0, -1):
+        own, all_ = (summed(lambda h, s, k=k, d=d: (h, s[:k] if len(s) >= d else None)) for k in (d, d - 1))
+
+        def merged(h, s, d=d, own=own, all_=all_):
+            if len(s) < d:
+                return h, s
+            (g, n), (pg, pn) = own[h, s[:d]], all_[h, s[: d - 1]]
+            if pn == n:
+                return h, s
+            p = pg / pn
+            spread = math.sqrt(p * (1 - p) * (1 / n + 1 / (pn - n)))
+            same = spread == 0 or abs(g / n - (pg - g) / (pn - n)) / spread < urls.SAME_Z
+            return h, (*s[: d - 1], "*" if same else s[d - 1], *s[d:])
+
+        leaves = summed(merged)
+    corpus = sum(g for g, _ in leaves.values()) / max(1, sum(n for _, n in leaves.values()))
+    known = {}
+    for depth in range(max((len(s) for _, s in leaves), default=0) + 1):
+        for (h, s), (g, n) in summed(lambda h, s, k=depth: (h, s[:k] if len(s) >= k else None)).items():
+            if s is None:
+                continue
+            above, n_above = known[h, s[:-1]] if s else (corpus, None)
+            known[h, s] = above if n == n_above else (g + urls.PRIOR * above) / (n + urls.PRIOR), n
+    out = []
+    for h, segs in asked:
+        at, purity = (), known.get((h, ()), (1.0, 0))[0]
+        for seg in (*segs, ""):
+            to = next((k for k in ((*at, seg), (*at, "*")) if (h, k) in known), None)
+            if (h, ()) not in known or to is None:
+                break
+            at, purity = to, known[h, to][0]
+        out.append(purity)
+    return out
+
+
+def test_url_tree_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    names = ["a", "b", "casino", "**", "*", "x" * 30]
+    url = lambda h, segs: f"http://{h}/" + "/".join(segs)
+    rows = []
+    for _ in range(900):
+        segs = [str(rng.choice(names)) for _ in range(rng.integers(0, 6))]
+        rows.append((str(rng.choice(["h.test", "h.test", "g.test"])), segs, int(rng.random() < (0.1 if "casino" in segs else 0.9))))
+    asked = [(str(rng.choice(["h.test", "g.test", "none.test"])), [str(rng.choice([*names, "new"])) for _ in range(rng.integers(0, 8))]) for _ in range(300)]
+    templates = urls.tree(urls.parsed(spark.createDataFrame([(url(h, s), g) for h, s, g in rows], "url string, good int")))
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(k, url(h, s), "old") for k, (h, s) in enumerate(asked)], "page_id long, url string, verdict string"), templates, rules=()).collect()}
+    shown = lambda segs: ["*" if len(x) > 24 or x == "*" else x for x in segs]
+    want = brute_purity([(h, shown(s), g) for h, s, g in rows], [(h, shown(s)) for h, s in asked])
+    for k, purity in enumerate(want):
+        assert (got[k].purity if got[k].purity is not None else 1.0) == pytest.approx(purity, abs=1e-12)
+        assert abs(purity - urls.CUTOFF) < 1e-9 or got[k].verdict == ("block" if purity < urls.CUTOFF else "allow")
+    assert len({round(x, 6) for x in want}) > 15
+
+
 def test_html(spark):
     field = htmltext.train(htmltext.training_pages(120))
     right = total = 0
