@@ -49,6 +49,18 @@ def slices(batch: pa.RecordBatch, column: int | str, step: int = 1 << 22, rows:
         at = to
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """What runs inside sends Arrow batches of so many bytes at most, which bounds the memory of both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see; a session on one machine that has none gets one here."""
     named = spark.conf.get("spark.checkpoint.dir", None)

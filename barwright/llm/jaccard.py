@@ -67,7 +67,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, slices
+from .common import saved, slices, small_batches
 from .graph import components
 from .shingles import mixed, shingle_sets
 
@@ -235,7 +235,8 @@ POST, MEMBERS, UNSAFES = 0, 1, 2
 
 def _blocks(held: list[np.ndarray], bits: int, aside: int, small: int) -> pa.RecordBatch:
     """held as blocks for ranges of signatures, and the sets of signatures that are here more than `small` times as one more."""
-    rows = _ordered(held)
+    rows = np.concatenate(held)
+    rows = rows[np.argsort(rows["sig"])]
     first, size = _runs(rows)
     many = np.repeat(size > small, size)
     members, lead = rows[many], np.zeros(len(rows), bool)
@@ -380,15 +381,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _light(ids: DataFrame, most: int) -> DataFrame:
-    """ids, to be broadcast if there are at most so many."""
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
-
-
-def _of(texts: DataFrame, nodes: DataFrame, keys: DataFrame, limits: Limits) -> DataFrame:
+def _of(texts: DataFrame, nodes: DataFrame, keys: DataFrame, light: bool) -> DataFrame:
     """Documents that stand for the sets; where ids repeat, also others of the same id."""
-    ids = saved(nodes.join(keys, "key", "left_semi").select("doc_id").distinct(), "jaccard-ids")
-    return texts.join(_light(ids, limits.broadcast), "doc_id", "left_semi")
+    ids = nodes.join(keys, "key", "left_semi").select("doc_id").distinct()
+    return texts.join(F.broadcast(ids) if light else ids, "doc_id", "left_semi")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -398,16 +394,17 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return saved(told.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched, "a long, b long"), "jaccard-likely")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, salt: int, limits: Limits) -> DataFrame:
+def _linked(pairs: DataFrame, sets: Sets, limits: Limits) -> DataFrame:
     """The pairs (a, b) of sets that are similar, by the whole sets. Each b's set goes to its pairs' a."""
     used = pairs.select(F.col("a").alias("key"), F.lit(True).alias("at_a")).unionByName(pairs.select(F.col("b").alias("key"), F.lit(False).alias("at_a")))
     keys = saved(used.groupBy("key").agg(F.max("at_a").alias("is_a"), F.min("at_a").alias("only_a")), "jaccard-keys")
-    made = _of(texts, nodes, keys, limits).select("text").mapInArrow(functools.partial(_whole, salt=salt), "key long, elements binary")
-    sets = saved(made.join(_light(keys, limits.broadcast), "key"), "jaccard-sets")
-    if sets.count() > keys.count():  # repeated ids
-        sets = sets.dropDuplicates(["key"])
-    far = pairs.join(sets.where("not only_a").select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
-    two = far.join(sets.where("is_a").select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a")
+    light = keys.count() <= limits.broadcast
+    made = _of(sets.texts, sets.nodes, keys, light).select("text").mapInArrow(functools.partial(_whole, salt=sets.salt), "key long, elements binary")
+    whole = saved(made.join(F.broadcast(keys) if light else keys, "key"), "jaccard-sets")
+    if sets.ids_repeat:
+        whole = whole.dropDuplicates(["key"])
+    far = pairs.join(whole.where("not only_a").select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
+    two = far.join(whole.where("is_a").select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a")
     return saved(two.select("a", "b", "ea", "eb").mapInArrow(_verified, "a long, b long"), "jaccard-links")
 
 
@@ -493,8 +490,19 @@ def _rest(unsafe: DataFrame, nodes: DataFrame, labels: DataFrame, chunk: int) ->
     return both.groupBy("to", "from", "i", "j").applyInPandas(_blocked, "a long, b long")
 
 
-def _sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
-    """Size and key of each row (doc_id, text, row and others); the distinct sets with the first row of each; their shingles; the salt of the keys."""
+class Sets(NamedTuple):
+    """What a join knows of the distinct sets."""
+
+    rows: DataFrame  # each row of the input with n and key
+    nodes: DataFrame  # key, n, sketch, first (row) and doc_id
+    texts: DataFrame  # doc_id and text
+    shingles: int
+    salt: int
+    ids_repeat: bool
+
+
+def _sets(rows: DataFrame) -> Sets:
+    """rows: doc_id, text, row and others that are carried along."""
     rest = [f for f in rows.schema.fields if f.name != "text"]
     made = [T.StructField(c, T.LongType()) for c in ("n", "key", "other")] + [T.StructField("sketch", T.BinaryType())]
     for salt in range(SALTS):
@@ -503,38 +511,36 @@ def _sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
         nodes = saved(described.where("n > 0").groupBy("key").agg(*first).withColumn("doc_id", F.col("first.doc_id")), "jaccard-nodes")
         shingles, clash = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("clash"), F.lit(False))).first()
         if not clash:
-            return described.drop("other", "sketch"), nodes.drop("clash"), shingles, salt
+            repeat = not described.groupBy("doc_id").count().where("count > 1").isEmpty()
+            return Sets(described.drop("other", "sketch"), nodes.drop("clash"), rows.select("doc_id", "text"), shingles, salt, repeat)
     raise RuntimeError("different sets have equal keys under every salt")
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, limits: Limits, *carried: Column) -> DataFrame:
     """doc_id, row, n and first (doc_id and row of the first row of the component; null for empty sets) of each row of docs, and what is carried."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"), *carried)
-    described, nodes, shingles, salt = _sets(texts)
-    texts = texts.select("doc_id", "text")
+    sets = _sets(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"), *carried))
+    nodes = sets.nodes
     labels = nodes.select(F.col("key").alias("node"), F.col("key").alias("label")).limit(0)
 
     def verify(pairs: DataFrame) -> None:
         nonlocal labels
-        if not pairs.isEmpty():
-            labels = _joined(labels, _linked(pairs, nodes, texts, salt, limits))
-
-    def widen(pairs: DataFrame) -> None:
-        """Links of likely pairs: one a set first, which settles most, then the rest across components."""
-        likely = _likely(pairs, nodes)
-        verify(saved(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-pairs"))
-        verify(saved(_labelled(likely, labels), "jaccard-pairs"))
+        pairs = saved(pairs, "jaccard-pairs")
+        if pairs.count():
+            labels = _joined(labels, _linked(pairs, sets, limits))
 
-    some, amount, hot = texts, shingles, np.zeros(0, np.uint64)
+    some, amount, hot = sets.texts, sets.shingles, np.zeros(0, np.uint64)
     unsafe = labels.select(F.col("node").alias("key"))
     for turn in range(limits.rounds):
-        found = _matches(some, amount, hot, salt, limits)
+        found = _matches(some, amount, hot, sets.salt, limits)
         of = lambda kind: found.where(F.col("kind") == kind).select("a", "b")  # noqa: B023, E731
-        widen(_labelled(of(PAIR), labels) if turn else of(PAIR))
-        widen(_across(of(GROUP), labels))
+        stars = of(PAIR).distinct()
+        likely = _likely(_labelled(stars, labels) if turn else stars, nodes)
+        # one link a set first, which settles most; then the rest across components
+        verify(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        verify(_labelled(likely, labels).unionByName(_likely(_across(of(GROUP), labels), nodes)).distinct())
         unsafe = unsafe.unionByName(of(UNSAFE).select(F.col("b").alias("key")))
         split = saved(_divided(of(LARGE), labels), "jaccard-large")
-        if split.isEmpty():
+        if not split.count():
             break
         keys = saved(of(LARGE).join(split.select("a"), "a", "left_semi").select(F.col("b").alias("key")).distinct(), "jaccard-again")
         if turn == limits.rounds - 1:
@@ -542,24 +548,28 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, limits: Limits, *carrie
             break
         top = split.orderBy(F.desc("size"), "a").limit(limits.hot).select("a").toPandas()["a"].to_numpy(np.int64).view(np.uint64)
         hot = np.union1d(hot, top)
-        some, amount = _of(texts, nodes, keys, limits), nodes.join(keys, "key", "left_semi").agg(F.sum("n")).first()[0] or 0
+        some, amount = _of(sets.texts, nodes, keys, keys.count() <= limits.broadcast), nodes.join(keys, "key", "left_semi").agg(F.sum("n")).first()[0] or 0
     unsafe = saved(unsafe.distinct(), "jaccard-unsafe")  # the last step looks at them once more
-    if not unsafe.isEmpty():
-        widen(_rest(unsafe, nodes, labels, limits.chunk))
+    if unsafe.count():
+        likely = _likely(_rest(unsafe, nodes, labels, limits.chunk), nodes)
+        verify(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        verify(_labelled(likely, labels))
     placed = saved(_named(nodes.select("key", "first"), ("key",), labels), "jaccard-placed")
     least = saved(placed.groupBy("lkey").agg(F.min("first").alias("least")), "jaccard-least")
     of_set = saved(placed.join(least, "lkey").select("key", F.col("least").alias("first")), "jaccard-components")
-    return described.join(of_set, "key", "left").drop("key")
+    return sets.rows.join(of_set, "key", "left").drop("key")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_shingles and component_id: one row for each row of docs."""
     known = lambda c: F.nullif(c, F.lit(NO_ID))
-    out = _placed(docs, id_col, text_col, limits)
+    with small_batches(docs.sparkSession):
+        out = _placed(docs, id_col, text_col, limits)
     return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("first.doc_id", "doc_id")).alias("component_id"))
 
 
 def distinct(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """One row of docs of each component, that of the least doc_id and of rows alike the first read; all rows without words."""
-    out = _placed(docs, id_col, text_col, limits, F.struct(*docs.columns).alias("doc"))
+    with small_batches(docs.sparkSession):
+        out = _placed(docs, id_col, text_col, limits, F.struct(*docs.columns).alias("doc"))
     return out.where(F.col("first").isNull() | (F.col("first.row") == F.col("row"))).select("doc.*")

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import saved, slices, small_batches
 
 SEQUENCE = 1024
 #: Where a cut before spaces and around newlines might change tokens.
@@ -210,7 +210,8 @@ def pack(docs: DataFrame, *, vocabulary: str, ranks: str | None = None, id_col:
     """One row for each piece of a document in a sequence; with keep_ids also its ids (little-endian 32-bit)."""
     place = [c for c in ("__file", "__row") if c in docs.columns]
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *place)
-    tokens = saved(text.mapInArrow(tokenise(vocabulary, ranks), "doc_id long, pid int, run int, file string, row long, local long, n long, ids binary"), "packing-ids")
+    with small_batches(docs.sparkSession):
+        tokens = saved(text.mapInArrow(tokenise(vocabulary, ranks), "doc_id long, pid int, run int, file string, row long, local long, n long, ids binary"), "packing-ids")
     totals = tokens.groupBy("pid", "run").agg(F.sum("n").alias("__n"), F.max("file").alias("file"), F.max("row").alias("row"))
     number = lambda pattern: F.regexp_extract("file", pattern, 1).try_cast("long")
     order = Window.orderBy(number(r"part-([0-9]+)[^/]*$"), number(r"-c([0-9]+)[^/]*$"), "file", "row", "pid", "run")

@@ -14,9 +14,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes hashed at a time, and places of a word whose factors are in one table.
-WINDOW, LOW = 1 << 18, 1 << 12
-_FACTOR = np.cumprod(np.full(LOW, _P, np.uint64))
+#: Bytes hashed at a time.
+WINDOW = 1 << 15
+#: What a byte adds to its word: one more than itself, in lower case if asked for, and nothing for white space.
+_VALUE = {lower: np.where(_SPACE, 0, (_LOWER if lower else np.arange(256)).astype(np.int64) + 1).astype(np.uint64) for lower in (True, False)}
+_FACTOR, _INVERSE = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(WINDOW - 1, f, np.uint64)])) for f in (_P, pow(_P, -1, 1 << 64)))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -26,43 +28,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _factors(at: np.ndarray) -> np.ndarray:
-    """The power of a fixed odd number that belongs to each place of a word."""
-    out = _FACTOR[at & (LOW - 1)]
-    if len(at) and (top := int(at.max()) >> 12):
-        step = pow(_P, LOW, 1 << 64)
-        high = np.array([pow(step, k, 1 << 64) for k in range(top + 1)], np.uint64)
-        out = out * high[at >> 12]
-    return out
-
-
 def word_hashes(buffer: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of every word (run of other than white space) of a byte buffer.
 
-    A word's hash is a sum over its bytes, so the buffer is read in windows and
-    a word that a window cuts adds up over several; no table grows with the text.
+    A word's hash is a sum over its bytes, each times a power of a fixed number
+    by its place, so the buffer is read in windows and a word that a window
+    cuts adds up over several; no table grows with the text.
     """
     starts, sums, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     open_ = False  # the last word may go on
     for lo in range(0, len(buffer), WINDOW):
         part = buffer[lo : lo + WINDOW]
         inside = ~_SPACE[part]
-        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-        start, end = edge[::2], edge[1::2]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edge = np.concatenate([[0] * int(inside[0]), edge, [len(part)] * int(inside[-1])]).astype(np.int64)
+        start, length = edge[::2], edge[1::2] - edge[::2]
         if not len(start):
             open_ = False
             continue
-        length = end - start
-        first = np.cumsum(length) - length
-        at = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
-        goes_on = open_ and start[0] == 0
-        if goes_on:
-            at[: length[0]] += lengths[-1][-1]
-        text = part[inside]
-        total = np.add.reduceat(((_LOWER[text] if lower else text).astype(np.uint64) + _U(1)) * _factors(at), first)
-        if goes_on:
-            sums[-1][-1:] += total[:1]
-            lengths[-1][-1] += length[0]
+        total = np.add.reduceat(_VALUE[lower][part] * _FACTOR[: len(part)], start) * _INVERSE[start]
+        if open_ and inside[0]:
+            sums[-1][-1:] += total[:1] * _U(pow(_P, int(lengths[-1][-1]), 1 << 64))
+            lengths[-1][-1:] += length[:1]
             start, total, length = start[1:], total[1:], length[1:]
         open_ = bool(inside[-1])
         if len(start):
