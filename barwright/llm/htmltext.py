@@ -11,9 +11,14 @@ training_pages() makes the labelled pages, a bounded number of them from a
 seed; train() takes any (html, texts of main blocks). Pages are decoded where
 they are read; the model, some thousand weights, travels with the task.
 
+Blocks share what their ancestors have: a tag that adds nothing new to the
+features of its parent holds a reference, and open tags are found by name, so
+time and memory grow with the page whatever its nesting.
+
 Defined results: null and empty html give an empty text; an unclosed comment,
-script or style runs to the end of the page; repeated rows are alike; other
-columns are not read; an empty table gives no row.
+script, style, noscript, template, iframe, textarea or title runs to the end of
+the page; closing tags without an opening one are skipped; repeated rows are
+alike; other columns are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: No part can run over another tag's start outside quotes, and none gives back what it took, so time grows with the page only.
 TOKEN = re.compile(r"<!--(?:.*?-->|>|.*\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:\"[^\"]*+\"|'[^']*+'|[^><\"'])*+|[^><]*+)>|<[!?][^><]*+>", re.S)
 ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -43,42 +50,80 @@ SCOPES = {"ul", "ol", "dl", "table", "article", "section", "main", "body", "div"
 
 
 class Block:
-    __slots__ = ("text", "tags", "names", "linked", "tag")
+    __slots__ = ("text", "above", "linked", "tag")
+
+    def __init__(self, text: str, above: frozenset[str], tag: str, linked: int):
+        self.text, self.above, self.tag, self.linked = text, above, tag, linked
+
+
+class Path:
+    """The open elements: names, features of all ancestors, and where the open ones of a name and those that are not inline are."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.above: list[frozenset[str]] = [frozenset()]
+        self.at: dict[str, list[int]] = {}
+        self.outer: list[int] = []
+        self.silent = 0
+
+    def enter(self, tag: str, names: Iterable[str]) -> None:
+        new = {f"name={n}" for n in names} | ({f"in={tag}"} if tag not in UNTOLD else set())
+        last = self.above[-1]
+        self.above.append(last if new <= last else last | new)
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.outer.append(len(self.tags))
+        self.tags.append(tag)
+        self.silent += tag in SILENT
+
+    def leave(self, upto: int) -> None:
+        while len(self.tags) > upto:
+            tag = self.tags.pop()
+            self.above.pop()
+            self.at[tag].pop()
+            if tag not in INLINE:
+                self.outer.pop()
+            self.silent -= tag in SILENT
+
+    def last(self, tag: str) -> int | None:
+        found = self.at.get(tag)
+        return found[-1] if found else None
+
+    def close(self, tag: str) -> None:
+        """An inline element closes only if all that is open inside it is inline."""
+        k = self.last(tag)
+        if k is not None and (tag not in INLINE or not self.outer or k > self.outer[-1]):
+            self.leave(k)
+
+    def tag(self) -> str:
+        return self.tags[self.outer[-1]] if self.outer else ""
+
 
-    def __init__(self, text: str, path: list[tuple[str, tuple[str, ...]]], linked: int):
-        self.text, self.linked = text, linked
-        self.tags = [t for t, _ in path]
-        self.names = [n for _, names in path for n in names]
-        self.tag = next((t for t in reversed(self.tags) if t not in INLINE), "")
+#: Tags that most pages have around everything.
+UNTOLD = {"html", "body", "div", "span"}
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's leaf blocks in order, texts with their references decoded and white space made one space."""
     out: list[Block] = []
-    path: list[tuple[str, tuple[str, ...]]] = []
+    path = Path()
     held: list[str] = []
-    linked = silent = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if held:
             if text := " ".join("".join(held).split()):
-                out.append(Block(text, path, linked))
+                out.append(Block(text, path.above[-1], path.tag(), linked))
             held.clear()
             linked = 0
 
-    def leave(upto: int) -> None:
-        nonlocal silent
-        for tag, _ in path[upto:]:
-            silent -= tag in SILENT
-        del path[upto:]
-
     page, at = page or "", 0
     while True:
         m = TOKEN.search(page, at)
-        if not silent and (chunk := page[at : m.start() if m else len(page)]):
+        if not path.silent and (chunk := page[at : m.start() if m else len(page)]):
             held.append(chunk := entities.unescape(chunk))
-            if any(t == "a" for t, _ in path):
+            if path.last("a") is not None:
                 linked += len(chunk.strip())
         if not m:
             break
@@ -88,31 +133,22 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag not in INLINE and tag != "br" and tag != "wbr":
             flush()
-        if tag == "br" and not silent:
+        if tag == "br" and not path.silent:
             held.append(" ")
         if m[1]:
-            k = next((k for k in range(len(path) - 1, -1, -1) if path[k][0] == tag), None)
-            if k is not None and (tag not in INLINE or all(t in INLINE for t, _ in path[k:])):
-                leave(k)
+            path.close(tag)
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
-        if tag in ENDS or tag not in INLINE:
-            ended, k = ENDS.get(tag, {"p"}), len(path) - 1
-            while k >= 0 and (path[k][0] in INLINE or path[k][0] in ended):
-                if path[k][0] in ended:
-                    leave(k)
-                    break
-                k -= 1
-        if tag == "body":
-            leave(next((k for k, (t, _) in enumerate(path) if t == "head"), len(path)))
-        names = tuple(sorted({w for a in ATTRIBUTE.finditer(m[3]) for w in re.split(r"[^a-z]+", (a[2] or a[3] or a[4] or "").lower()) if w}))
-        path.append((tag, names))
-        silent += tag in SILENT
+        if (tag in ENDS or tag not in INLINE) and path.tag() in ENDS.get(tag, {"p"}):
+            path.leave(path.outer[-1])
+        if tag == "body" and (head := path.last("head")) is not None:
+            path.leave(head)
+        path.enter(tag, (w for a in ATTRIBUTE.finditer(m[3]) for w in re.split(r"[^a-z]+", (a[2] or a[3] or a[4] or "").lower()) if w))
         if tag in RAW:
             end = re.compile(rf"(?i)</{tag}\s*>").search(page, at)
             at = end.end() if end else len(page)
-            leave(len(path) - 1)
+            path.leave(len(path.tags) - 1)
     flush()
     return out
 
@@ -124,7 +160,7 @@ SIGNS = re.compile(r"(?i)\b(cookies?|subscribe|newsletter|sign in|log ?in|privac
 def observed(block: Block, k: int, n: int) -> list[str]:
     words = len(block.text.split())
     out = {f"tag={block.tag}", f"words={min(words.bit_length(), 8)}", f"links={(4 * block.linked) // max(1, len(block.text))}", f"end={block.text[-1] in '.!?…:;»”'}", f"stop={min(2, sum(block.text.count(c) for c in '.!?'))}", "all"}
-    out |= {f"in={t}" for t in block.tags if t not in ("html", "body", "div", "span")} | {f"name={x}" for x in block.names}
+    out |= block.above
     if SIGNS.search(block.text):
         out.add(f"sign={min(words.bit_length(), 6)}")
     if k == 0:
@@ -162,56 +198,72 @@ class Field:
         return [bool(y) for y in reversed(out)]
 
 
-def train(pages: Iterable[tuple[str, set[str]]], *, rounds: int = 150, penalty: float = 0.3, rate: float = 0.1) -> Field:
-    """The field of greatest penalised likelihood; pages are (html, texts of the main blocks)."""
-    index: dict[str, int] = {}
-    rows, cols, labels, where = [], [], [], []
-    for p, (page, main) in enumerate(pages):
-        found = blocks(page)
-        for k, block in enumerate(found):
-            for f in observed(block, k, len(found)):
-                rows.append(len(labels))
-                cols.append(index.setdefault(f, len(index)))
-            labels.append(block.text in main)
-            where.append((p, k))
-    rows, cols, labels, where = np.array(rows), np.array(cols), np.array(labels, float), np.array(where)
-    n_pages, longest = where[:, 0].max() + 1, where[:, 1].max() + 1
-    mask = np.zeros((n_pages, longest), bool)
-    mask[where[:, 0], where[:, 1]] = True
-    truth = np.zeros((n_pages, longest), int)
-    truth[where[:, 0], where[:, 1]] = labels
-    size, f = mask.sum(axis=1), len(index)
-    theta = np.zeros(f + 8)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    seen = np.zeros_like(theta)
-    seen[:f] = np.bincount(cols, labels[rows], f)
-    pairs = mask[:, 1:]
-    np.add.at(seen, f + 2 * truth[:, :-1][pairs] + truth[:, 1:][pairs], 1)
-    np.add.at(seen, f + 4 + truth[:, 0], 1)
-    np.add.at(seen, f + 6 + truth[np.arange(n_pages), size - 1], 1)
-    page, pos = where.T
-    for t in range(1, rounds + 1):
-        step, ends = theta[f : f + 4].reshape(2, 2), theta[f + 4 :].reshape(2, 2)
-        score = np.zeros((n_pages, longest, 2))
-        score[page, pos, 1] = np.bincount(rows, theta[:f][cols], len(labels))
+class Likelihood:
+    """The log likelihood of labelled pages, as a function of the weights: those of the features, then step, then ends."""
+
+    def __init__(self, pages: Iterable[tuple[str, set[str]]]):
+        self.index: dict[str, int] = {}
+        rows, cols, labels, where = [], [], [], []
+        for p, (page, main) in enumerate(pages):
+            found = blocks(page)
+            for k, block in enumerate(found):
+                for f in observed(block, k, len(found)):
+                    rows.append(len(labels))
+                    cols.append(self.index.setdefault(f, len(self.index)))
+                labels.append(block.text in main)
+                where.append((p, k))
+        self.rows, self.cols, self.n = np.array(rows), np.array(cols), len(labels)
+        self.page, self.pos = np.array(where).T
+        n_pages, longest = self.page.max() + 1, self.pos.max() + 1
+        self.mask = np.zeros((n_pages, longest), bool)
+        self.mask[self.page, self.pos] = True
+        truth = np.zeros((n_pages, longest), int)
+        truth[self.page, self.pos] = labels
+        self.size, self.every, f = self.mask.sum(axis=1), np.arange(n_pages), len(self.index)
+        self.pairs = self.mask[:, 1:]
+        self.seen = np.zeros(f + 8)
+        self.seen[:f] = np.bincount(self.cols, np.array(labels, float)[self.rows], f)
+        np.add.at(self.seen, f + 2 * truth[:, :-1][self.pairs] + truth[:, 1:][self.pairs], 1)
+        np.add.at(self.seen, f + 4 + truth[:, 0], 1)
+        np.add.at(self.seen, f + 6 + truth[self.every, self.size - 1], 1)
+
+    def parts(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f = len(self.index)
+        return theta[:f], theta[f : f + 4].reshape(2, 2), theta[f + 4 :].reshape(2, 2)
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Value and slope: counts seen less counts expected, by the forward and backward sums."""
+        emission, step, ends = self.parts(theta)
+        mask, size, page, pos = self.mask, self.size, self.page, self.pos
+        score = np.zeros((*mask.shape, 2))
+        score[page, pos, 1] = np.bincount(self.rows, emission[self.cols], self.n)
         forward, backward = np.zeros_like(score), np.zeros_like(score)
         forward[:, 0] = score[:, 0] + ends[0]
-        for k in range(1, longest):
+        for k in range(1, mask.shape[1]):
             forward[:, k] = np.logaddexp(forward[:, k - 1, :1] + step[0], forward[:, k - 1, 1:] + step[1]) + score[:, k]
-        backward[np.arange(n_pages), size - 1] = ends[1]
-        for k in range(longest - 2, -1, -1):
+        backward[self.every, size - 1] = ends[1]
+        for k in range(mask.shape[1] - 2, -1, -1):
             go = backward[:, k + 1] + score[:, k + 1]
             value = np.logaddexp(step[:, 0] + go[:, :1], step[:, 1] + go[:, 1:])
             backward[:, k] = np.where((k < size - 1)[:, None], value, backward[:, k])
         whole = np.logaddexp(*(forward + backward)[:, 0].T)
         node = np.exp(forward + backward - whole[:, None, None]) * mask[:, :, None]
         edge = forward[:, :-1, :, None] + step + (score + backward)[:, 1:, None, :] - whole[:, None, None, None]
-        edge = np.exp(np.where(pairs[:, :, None, None], edge, -np.inf))
-        expected = np.concatenate([np.bincount(cols, node[page, pos, 1][rows], f), edge.sum(axis=(0, 1)).ravel(), node[:, 0].sum(axis=0), node[np.arange(n_pages), size - 1].sum(axis=0)])
-        slope = seen - expected - penalty * theta
+        edge = np.exp(np.where(self.pairs[:, :, None, None], edge, -np.inf))
+        expected = np.concatenate([np.bincount(self.cols, node[page, pos, 1][self.rows], len(emission)), edge.sum(axis=(0, 1)).ravel(), node[:, 0].sum(axis=0), node[self.every, size - 1].sum(axis=0)])
+        return float(theta @ self.seen - whole.sum()), self.seen - expected
+
+
+def train(pages: Iterable[tuple[str, set[str]]], *, rounds: int = 150, penalty: float = 0.3, rate: float = 0.1) -> Field:
+    """The field of greatest penalised likelihood; pages are (html, texts of the main blocks)."""
+    likelihood = Likelihood(pages)
+    theta = np.zeros(len(likelihood.seen))
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for t in range(1, rounds + 1):
+        slope = likelihood(theta)[1] - penalty * theta
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return Field(index, theta[:f], theta[f : f + 4].reshape(2, 2), theta[f + 4 :].reshape(2, 2))
+    return Field(likelihood.index, *likelihood.parts(theta))
 
 
 #: Class and id words of containers in the labelled pages (fixed values).
@@ -317,9 +369,10 @@ def main_text(page: str | None, field: Field) -> str:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(h.as_py(), field) for h in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    for whole in batches:
+        for batch in slices(whole, "html"):
+            texts = [main_text(h.as_py(), field) for h in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, field: Field, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -3,8 +3,10 @@
 import collections
 import fractions
 import hashlib
+import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -370,6 +372,64 @@ def test_html(spark):
     assert {(r.page_id, r.n_chars) for r in htmltext.extract(rows, field).collect() if r.page_id} == {(1, len("A & B\nOne two.\nThree’s text goes on, and on.")), (2, 0), (3, 0)}
 
 
+def test_viterbi_and_slope_by_brute_force():
+    """Viterbi against all labellings of short chains; the slope against differences of the likelihood, and that against the sum over labellings."""
+    rng = np.random.default_rng(2)
+    page = "<nav><a>x</a></nav><h1>A title</h1><p>Some text, here.<p>More<footer>c</footer>"
+    names = sorted({f for k, b in enumerate(htmltext.blocks(page)) for f in htmltext.observed(b, k, 5)})
+    for _ in range(40):
+        field = htmltext.Field({f: i for i, f in enumerate(names)}, rng.normal(size=len(names)), rng.normal(size=(2, 2)), rng.normal(size=(2, 2)))
+        for n in range(6):
+            chain = (htmltext.blocks(page) * 2)[:n]
+
+            def score(y, field=field, chain=chain):
+                if not y:
+                    return 0.0
+                main = [sum(field.weight.get(f, 0.0) for f in htmltext.observed(b, k, len(chain))) for k, b in enumerate(chain)]
+                return field.ends[0][y[0]] + field.ends[1][y[-1]] + sum(m * v for m, v in zip(main, y, strict=True)) + sum(field.step[a][b] for a, b in zip(y, y[1:], strict=False))
+
+            assert score(tuple(map(int, field.decode(chain)))) == pytest.approx(max(map(score, itertools.product((0, 1), repeat=n))))
+    likelihood = htmltext.Likelihood([(page, {"A title", "More"}), ("<p>one</p>", {"one"}), ("<div>x</div><p>y</p>", set())])
+    theta = rng.normal(size=len(likelihood.seen))
+    value, slope = likelihood(theta)
+    for k in range(len(theta)):
+        d = np.zeros_like(theta)
+        d[k] = 1e-5
+        assert slope[k] == pytest.approx((likelihood(theta + d)[0] - likelihood(theta - d)[0]) / 2e-5, abs=1e-6)
+    field, want = htmltext.Field(likelihood.index, *likelihood.parts(theta)), 0.0
+    for html, main in [(page, {"A title", "More"}), ("<p>one</p>", {"one"}), ("<div>x</div><p>y</p>", set())]:
+        chain = htmltext.blocks(html)
+        truth = tuple(int(b.text in main) for b in chain)
+        want += score(truth, field, chain) - math.log(sum(math.exp(score(y, field, chain)) for y in itertools.product((0, 1), repeat=len(chain))))
+    assert value == pytest.approx(want)
+
+
+def test_html_time_and_memory_grow_with_the_page_only():
+    def took(n):
+        begun = time.perf_counter()
+        found = htmltext.blocks("<div class='a'><b>t" * n + "x" + "</b></div>" * n)
+        assert len(found) == n and found[0].above is found[-1].above
+        return time.perf_counter() - begun
+
+    took(500)
+    assert took(40_000) < 40 * max(took(4_000), 0.02)
+
+
+HELD_OUT = [
+    ("<body><div class=topnav><a href=/>Home</a> <a href=/b>Blog</a></div><main><h2>Bread at home</h2><p>Mix flour &amp; water. Wait a night.</p><p>Bake it hot, for 40 minutes, and let it cool.</p></main><footer><p>&copy; 2020 Bakers</p></footer></body>", "Bread at home\nMix flour & water. Wait a night.\nBake it hot, for 40 minutes, and let it cool."),
+    ("<html><body><ul id=menu><li><a href=1>One</a><li><a href=2>Two</a></ul><article><h1>Rain</h1><p>It rained all day, and then it stopped. Nobody was out.</p><ul><li>First it was slow.</li><li>Then it was fast.</li></ul></article><div class='comments'><p>Great post! Reply</p></div></body></html>", "Rain\nIt rained all day, and then it stopped. Nobody was out.\nFirst it was slow.\nThen it was fast."),
+    ("<body><header><h1>The Daily</h1></header><div id=story><p>The council met on Monday. It talked for hours about the bridge.</p><p>A vote comes next week, the mayor said.</p></div><aside><h3>Related</h3><ul><li><a href=x>More news</a></li></ul></aside></body>", "The council met on Monday. It talked for hours about the bridge.\nA vote comes next week, the mayor said."),
+]
+
+
+def test_html_of_layouts_written_by_hand():
+    field = htmltext.train(htmltext.training_pages())
+    for page, text in HELD_OUT:
+        assert htmltext.main_text(page, field) == text
+    unclosed = "<p>before</p><textarea>after <p>and all"
+    assert [b.text for b in htmltext.blocks(unclosed)] == ["before"]
+
+
 def test_secrets(spark, docs, none):
     made = secrets.findings(spark, 1200).persist()
     forest = secrets.train(made.where("doc_id < 800"))
