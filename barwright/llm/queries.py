@@ -11,7 +11,9 @@ from .common import saved, table, word_count
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.findings(spark)), path_col="source")
+    docs = table(spark, sf_dir, "documents")
+    known = secrets.dictionary(docs)
+    return secrets.scan(docs, secrets.train(secrets.findings(spark, dictionary=known), known), path_col="source")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
