@@ -44,7 +44,8 @@ def boosted(events: DataFrame, found: DataFrame, window: int = 10) -> DataFrame:
     A break that turns needs a raid of the other side, one that goes on a run of its own.
     """
     weight = F.coalesce(*[F.when(F.col("classification") == k, w) for k, w in WEIGHTS.items()])
-    weight = F.least(weight + F.when(F.col("volume_score") > 0, 0.05).otherwise(0.0), F.lit(0.95))
+    traded = (F.col("volume_score") > 0) & (F.col("volume_source") == "multi_timeframe_index")  # a bar's own volume tells nothing more
+    weight = F.least(weight + F.when(traded, 0.05).otherwise(0.0), F.lit(0.95))
     signals = found.where("resolved_i is not null").select(*KEY, "side", "classification", "resolved_i", (F.col("resolved_i") + window).alias("__to"), weight.alias("w"))
     turn = F.col("type") == "CHOCH"
     want = F.when(turn == (F.col("direction") == "bull"), "sl").otherwise("sh")

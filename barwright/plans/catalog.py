@@ -104,6 +104,88 @@ def pivot_sql(k: int, ties: bool = False) -> str:
         WHERE ok AND i >= {k} AND i + {k} < n"""
 
 
+def zigzag_sql(source: str) -> str:
+    """Pivots in order, each a state that holds the last kept pivot and the price before it; a kept pivot ends with the next seq."""
+    return f"""SELECT symbol, 1 AS r, 1 AS seq, kind, i, price, confirmed_i, NULL::DOUBLE AS before FROM ({source}) WHERE r = 1
+        UNION ALL
+        SELECT symbol, r, seq + (step = 'add')::INT, CASE step WHEN 'stay' THEN kind ELSE nk END, CASE step WHEN 'stay' THEN i ELSE ni END, CASE step WHEN 'stay' THEN price ELSE np END,
+               CASE step WHEN 'stay' THEN confirmed_i ELSE nc END, CASE step WHEN 'add' THEN price ELSE before END
+        FROM (SELECT p.symbol, p.r, z.seq, z.kind, z.i, z.price, z.confirmed_i, z.before, p.kind AS nk, p.i AS ni, p.price AS np, p.confirmed_i AS nc,
+                CASE WHEN p.kind = z.kind THEN CASE WHEN CASE p.kind WHEN 'high' THEN p.price >= z.price ELSE p.price <= z.price END THEN 'turn' ELSE 'stay' END
+                     WHEN p.i = z.i THEN CASE WHEN abs(p.price - z.before) > abs(z.price - z.before) THEN 'turn' ELSE 'stay' END ELSE 'add' END AS step
+              FROM SELF z JOIN ({source}) p ON p.symbol = z.symbol AND p.r = z.r + 1)"""
+
+
+DAYS = "(SELECT *, min(i) OVER (PARTITION BY symbol, time // 86400) AS segment FROM bars)"
+NUMBERED = "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i, kind, price) AS r FROM pv9"
+SHALLOW = NUMBERED.replace("pv9", "pv3")
+PARTS |= {
+    "zz_all": zigzag_sql(NUMBERED).replace("SELF", "zz_all"),
+    "zz_cut": zigzag_sql(NUMBERED + " WHERE confirmed_i <= 150").replace("SELF", "zz_cut"),
+    "zz": "SELECT symbol, 60 AS tf, seq, arg_max(kind, r) AS kind, arg_max(i, r) AS i, arg_max(price, r) AS price, arg_max(confirmed_i, r) AS confirmed_i FROM zz_all GROUP BY symbol, seq",
+    "zz150": "SELECT symbol, 60 AS tf, seq, arg_max(kind, r) AS kind, arg_max(i, r) AS i, arg_max(price, r) AS price FROM zz_cut GROUP BY symbol, seq",
+    "zz_fine": zigzag_sql(SHALLOW).replace("SELF", "zz_fine"),
+    "piv": "SELECT 'internal' AS scope, * FROM pv3 UNION ALL SELECT 'external', * FROM pv9",
+    "fresh": """SELECT scope, symbol, confirmed_i, max(price) FILTER (kind = 'high') AS hp, max(i) FILTER (kind = 'high') AS hi, max(price) FILTER (kind = 'low') AS lp, max(i) FILTER (kind = 'low') AS li
+        FROM piv GROUP BY ALL""",
+    "steps": """SELECT s.scope, b.symbol, b.i, b.close, lag(b.close) OVER (PARTITION BY s.scope, b.symbol ORDER BY b.i) AS pc, f.hp, f.hi, f.lp, f.li
+        FROM bars b CROSS JOIN (VALUES ('internal'), ('external')) s(scope) LEFT JOIN fresh f ON f.scope = s.scope AND f.symbol = b.symbol AND f.confirmed_i = b.i""",
+    "brk": """SELECT scope, symbol, i, 0 AS trend, 0 AS was, NULL::DOUBLE AS hp, NULL::INT AS hi, NULL::DOUBLE AS lp, NULL::INT AS li, NULL::VARCHAR AS way, NULL::DOUBLE AS level, NULL::INT AS pivot_i FROM steps WHERE i = 0
+        UNION ALL
+        SELECT scope, symbol, i, CASE way WHEN 'bull' THEN 1 WHEN 'bear' THEN -1 ELSE trend END, trend, CASE WHEN way = 'bull' THEN NULL ELSE hp END, CASE WHEN way = 'bull' THEN NULL ELSE hi END,
+               CASE WHEN way = 'bear' THEN NULL ELSE lp END, CASE WHEN way = 'bear' THEN NULL ELSE li END, way, CASE way WHEN 'bull' THEN hp WHEN 'bear' THEN lp END, CASE way WHEN 'bull' THEN hi WHEN 'bear' THEN li END
+        FROM (SELECT *, CASE WHEN pc <= hp AND hp < close THEN 'bull' WHEN pc >= lp AND lp > close THEN 'bear' END AS way FROM (
+          SELECT s.scope, s.symbol, s.i, k.trend, s.pc, s.close, coalesce(s.hp, k.hp) AS hp, coalesce(s.hi, k.hi) AS hi, coalesce(s.lp, k.lp) AS lp, coalesce(s.li, k.li) AS li
+          FROM brk k JOIN steps s ON s.scope = k.scope AND s.symbol = k.symbol AND s.i = k.i + 1))""",
+    "broken": """SELECT symbol, 60 AS tf, CASE WHEN was = CASE way WHEN 'bull' THEN -1 ELSE 1 END THEN 'CHOCH' ELSE 'BOS' END AS type, scope, way AS direction, i, level, pivot_i,
+               pivot_i + CASE scope WHEN 'internal' THEN 3 ELSE 9 END AS pivot_confirmed_i, was AS previous_trend FROM brk WHERE way IS NOT NULL""",
+    "signals": """SELECT e.symbol, e.side, e.classification, e.resolved_i, least(CASE classification WHEN 'SWEEP' THEN 0.90 WHEN 'GRAB' THEN 0.82 WHEN 'BIG_GRAB' THEN 0.88 ELSE 0.85 END + CASE WHEN b.volume > 0 THEN 0.05 ELSE 0 END, 0.95)::DOUBLE AS w
+        FROM ends e JOIN bars b ON b.symbol = e.symbol AND b.i = coalesce(e.swept_i, e.i) WHERE resolved_i IS NOT NULL""",
+    "raised": """SELECT e.*, m.s IS NOT NULL AS boosted, coalesce(m.s.w, 0.5) AS probability_weight, m.s.c AS liquidity_signal FROM broken e LEFT JOIN (
+          SELECT e.symbol, e.direction, e.i, max({'w': g.w, 'c': g.classification}) AS s FROM broken e JOIN signals g ON g.symbol = e.symbol AND e.i BETWEEN g.resolved_i AND g.resolved_i + 10
+            AND g.side = CASE WHEN (e.type = 'CHOCH') = (e.direction = 'bull') THEN 'sl' ELSE 'sh' END AND (g.classification = 'RUN') <> (e.type = 'CHOCH')
+          WHERE e.scope = 'internal' GROUP BY ALL) m ON e.scope = 'internal' AND m.symbol = e.symbol AND m.direction = e.direction AND m.i = e.i""",
+    "super_": """SELECT b.symbol, b.i, b.close, (high + low) / 2 AS up, (high + low) / 2 AS down, 1 AS d FROM bars b WHERE i = 0
+        UNION ALL
+        SELECT symbol, i, close, CASE WHEN bu < up OR pc > up THEN bu ELSE up END, CASE WHEN bl > down OR pc < down THEN bl ELSE down END, CASE WHEN d = -1 AND close > up THEN 1 WHEN d = 1 AND close < down THEN -1 ELSE d END
+        FROM (SELECT b.symbol, b.i, b.close, s.close AS pc, s.up, s.down, s.d, (b.high + b.low) / 2 + 3 * coalesce(a.atr, 0) AS bu, (b.high + b.low) / 2 - 3 * coalesce(a.atr, 0) AS bl
+              FROM super_ s JOIN bars b ON b.symbol = s.symbol AND b.i = s.i + 1 LEFT JOIN atr10 a ON a.symbol = b.symbol AND a.i = b.i)""",
+    "pairs_": """SELECT symbol, i, close, max(high) OVER w AS hm, min(low) OVER w AS lm, avg(high) OVER w AS ha, avg(low) OVER w AS la, coalesce(lag(high) OVER o, high) AS ph, coalesce(lag(low) OVER o, low) AS pl
+        FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY i), w AS (PARTITION BY symbol ORDER BY i ROWS 1 PRECEDING)""",
+    "half_": """SELECT symbol, -1 AS i, 0 AS now, 0 AS waiting, low AS top, high AS floor_, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS flipped FROM bars WHERE i = 0
+        UNION ALL
+        SELECT symbol, i, n2, w2, t2, f2, CASE WHEN n2 = 0 THEN CASE WHEN turned THEN down ELSE greatest(t2, up) END ELSE up END,
+               CASE WHEN n2 = 1 THEN CASE WHEN turned THEN up WHEN down = 0 THEN f2 ELSE least(f2, down) END ELSE down END, turned::INT
+        FROM (SELECT *, i > 0 AND n2 <> now AS turned FROM (
+          SELECT *, CASE WHEN sell THEN 1 WHEN buy THEN 0 ELSE now END AS n2, CASE WHEN sell THEN 0 WHEN buy THEN 1 ELSE waiting END AS w2, CASE WHEN buy THEN lm ELSE t1 END AS t2, CASE WHEN sell THEN hm ELSE f1 END AS f2 FROM (
+            SELECT *, waiting = 1 AND ha < t1 AND close < pl AS sell, waiting = 0 AND la > f1 AND close > ph AS buy FROM (
+              SELECT p.*, h.now, h.waiting, h.up, h.down, CASE h.waiting WHEN 1 THEN greatest(h.top, p.lm) ELSE h.top END AS t1, CASE h.waiting WHEN 0 THEN least(h.floor_, p.hm) ELSE h.floor_ END AS f1
+              FROM half_ h JOIN pairs_ p ON p.symbol = h.symbol AND p.i = h.i + 1))))""",
+    "ways": """SELECT h.symbol, h.i, CASE h.now WHEN 0 THEN 1 ELSE -1 END AS main, s.d AS other, b.time FROM half_ h JOIN super_ s USING (symbol, i) JOIN bars b USING (symbol, i)""",
+    "turns": "SELECT * FROM (SELECT *, lag(main) OVER (PARTITION BY symbol ORDER BY i) AS before FROM ways) WHERE before <> main",
+    "found_": """SELECT t.symbol, t.i AS trigger_i, t.main, min(w.i) AS i FROM (SELECT *, lead(i) OVER (PARTITION BY symbol ORDER BY i) AS next FROM turns) t
+        JOIN ways w ON w.symbol = t.symbol AND w.i BETWEEN t.i AND t.i + 5 AND (t.next IS NULL OR w.i < t.next) AND w.other = t.main GROUP BY ALL""",
+    "bins_": """SELECT symbol, segment, bin, lo, hi, step, coalesce(sum(part), 0) AS v FROM (
+          SELECT e.symbol, e.segment, g.bin, e.lo, e.hi, (e.hi - e.lo) / 24 AS step,
+                 CASE WHEN d.high > d.low THEN d.volume * greatest(least(e.lo + (g.bin + 1) * ((e.hi - e.lo) / 24), d.high) - greatest(e.lo + g.bin * ((e.hi - e.lo) / 24), d.low), 0) / (d.high - d.low)
+                      ELSE d.volume END AS part
+          FROM (SELECT symbol, segment, CASE WHEN h > l THEN l ELSE l - greatest(abs(l) * 1e-9, 1e-9) / 2 END AS lo, CASE WHEN h > l THEN h ELSE h + greatest(abs(l) * 1e-9, 1e-9) / 2 END AS hi
+                FROM (SELECT symbol, segment, min(low) AS l, max(high) AS h FROM DAYS_ GROUP BY ALL)) e CROSS JOIN range(24) g(bin)
+          LEFT JOIN DAYS_ d ON d.symbol = e.symbol AND d.segment = e.segment AND d.volume > 0
+            AND g.bin BETWEEN least(greatest(floor((d.low - e.lo) / ((e.hi - e.lo) / 24)), 0), 23) AND least(greatest(floor((CASE WHEN d.high > d.low THEN d.high ELSE d.low END - e.lo) / ((e.hi - e.lo) / 24)), 0), 23))
+        GROUP BY symbol, segment, bin, lo, hi, step""",
+    "area_": """SELECT symbol, segment, lo, step, list(v ORDER BY bin) AS v, arg_min(bin, (-v, bin)) AS poc, arg_min(bin, (-v, bin)) AS a, arg_min(bin, (-v, bin)) AS b, max(v) AS held, total, 0 AS k
+        FROM bins_ JOIN (SELECT symbol, segment, sum(volume) AS total FROM DAYS_ WHERE volume > 0 GROUP BY ALL) USING (symbol, segment) GROUP BY symbol, segment, lo, step, total
+        UNION ALL
+        SELECT symbol, segment, lo, step, v, poc, CASE WHEN up >= down THEN a ELSE a - 1 END, CASE WHEN up >= down THEN b + 1 ELSE b END, held + greatest(up, down), total, k + 1
+        FROM (SELECT *, CASE WHEN b < 23 THEN v[b + 2] ELSE -1 END AS up, CASE WHEN a > 0 THEN v[a] ELSE -1 END AS down FROM area_) WHERE held < total * 0.7 AND greatest(up, down) >= 0""",
+    "value_": """SELECT symbol, segment, lo, step, poc, total, arg_max(a, k) AS a, arg_max(b, k) AS b FROM area_ GROUP BY ALL""",
+    "obs": """SELECT e.symbol, e.tf, e.type, e.scope, e.direction, e.i AS triggered_by, e.boosted, e.probability_weight, arg_min(b.i, (CASE e.direction WHEN 'bull' THEN b.low ELSE -b.high END, b.i)) AS i,
+               arg_min(b.high, (CASE e.direction WHEN 'bull' THEN b.low ELSE -b.high END, b.i)) AS top, arg_min(b.low, (CASE e.direction WHEN 'bull' THEN b.low ELSE -b.high END, b.i)) AS bottom, e.i AS confirmed_i
+        FROM raised e JOIN bars b ON b.symbol = e.symbol AND b.i BETWEEN e.pivot_i AND e.i WHERE e.pivot_i > 0
+        GROUP BY e.symbol, e.tf, e.type, e.scope, e.direction, e.i, e.boosted, e.probability_weight, e.pivot_i""",
+}
+PARTS = {k: v.replace("DAYS_", DAYS) for k, v in PARTS.items()}
 PARTS |= {"pv3": pivot_sql(3), "pv9": pivot_sql(9), "tied": pivot_sql(5, True)}
 
 
@@ -111,6 +193,8 @@ def with_(body: str) -> str:
     """The body with the parts that it names, in order of need."""
     import re
 
+    body = body.replace("DAYS_", DAYS)
+
     named: list[str] = []
 
     def need(text: str) -> None:
@@ -149,6 +233,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.with_volume_score(L.levels(bars), bars, B.volume_index(minutes(spark, sf_dir), 60))
 
 
+def lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaks with the liquidity events that raise their weight."""
+    return S.boosted(breaks(hourly(spark, sf_dir)), scored(spark, sf_dir))
+
+
 # ---- bars ---------------------------------------------------------------------------------------------------------
 
 
@@ -281,7 +370,7 @@ def p10_internal_pivots(spark, sf_dir):
     return P.pivots(hourly(spark, sf_dir), 5, left_ties=True).drop("time")
 
 
-@query()
+@query("""SELECT symbol, 60 AS tf, arg_max(kind, r) AS kind, arg_max(i, r) AS i, round(arg_max(price, r), 6) AS price, arg_max(confirmed_i, r) AS confirmed_i FROM zz_fine GROUP BY symbol, seq""")
 def p5_zigzag(spark, sf_dir):
     return P.compress(P.pivots(hourly(spark, sf_dir), 3))
 
@@ -292,12 +381,15 @@ def p6_hldv(spark, sf_dir):
     return P.labelled(external(hourly(spark, sf_dir))).select(*KEY, "kind", "i", "label")
 
 
-@query()
+@query("""SELECT symbol, tf, from_i, round(from_price, 6) AS from_price, i AS to_i, round(price, 6) AS to_price, confirmed_i, CASE WHEN price >= from_price THEN 'bull' ELSE 'bear' END AS direction FROM (
+  SELECT *, lag(i) OVER w AS from_i, lag(price) OVER w AS from_price FROM zz WINDOW w AS (PARTITION BY symbol ORDER BY i)) WHERE from_i IS NOT NULL AND from_i <> i""")
 def p8_segments(spark, sf_dir):
     return P.segments(P.compress(external(hourly(spark, sf_dir))))
 
 
-@query()
+@query("""SELECT b.symbol, 60 AS tf, CASE z.kind WHEN 'high' THEN 'low' ELSE 'high' END AS kind, CASE z.kind WHEN 'high' THEN arg_max(b.i, (-b.low, b.i)) ELSE arg_max(b.i, (b.high, b.i)) END AS i,
+       round(CASE z.kind WHEN 'high' THEN min(b.low) ELSE max(b.high) END, 6) AS price, 150 AS confirmed_i
+FROM bars b JOIN (SELECT symbol, arg_max(kind, i) AS kind, max(i) AS i FROM zz150 GROUP BY symbol) z ON z.symbol = b.symbol WHERE b.i > z.i AND b.i <= 150 GROUP BY b.symbol, z.kind""")
 def p7_developing(spark, sf_dir):
     bars = hourly(spark, sf_dir)
     return P.developing(P.compress(external(bars), 150), bars, 150)
@@ -383,14 +475,14 @@ def l8_levels_as_of(spark, sf_dir):
 # ---- structure ----------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""SELECT symbol, tf, type, scope, direction, i, round(level, 6) AS level, pivot_i, pivot_confirmed_i, previous_trend FROM broken""")
 def m1_bos_choch(spark, sf_dir):
     return breaks(hourly(spark, sf_dir))
 
 
-@query()
+@query("""SELECT symbol, tf, scope, direction, i, boosted, round(probability_weight, 6) AS probability_weight, liquidity_signal FROM raised""")
 def m2_boosted_breaks(spark, sf_dir):
-    return S.boosted(breaks(hourly(spark, sf_dir)), scored(spark, sf_dir)).select(*KEY, "scope", "direction", "i", "boosted", "probability_weight", "liquidity_signal")
+    return lifted(spark, sf_dir).select(*KEY, "scope", "direction", "i", "boosted", "probability_weight", "liquidity_signal")
 
 
 @query("SELECT symbol, tf, i, confirmed_i, direction, round(top, 6) AS top, round(bottom, 6) AS bottom FROM fvg")
@@ -413,22 +505,32 @@ def m5_fvg_lifecycle(spark, sf_dir):
     return S.lifecycle(bars, S.gaps(bars)).select(*KEY, "i", "direction", "end_i", "fill_ratio", "status")
 
 
-@query()
+@query("""SELECT symbol, tf, type, scope, direction, triggered_by, boosted, round(probability_weight, 6) AS probability_weight, i, round(top, 6) AS top, round(bottom, 6) AS bottom, confirmed_i FROM obs""")
 def m6_order_blocks(spark, sf_dir):
     bars = hourly(spark, sf_dir)
-    return S.order_blocks(bars, breaks(bars))
+    return S.order_blocks(bars, lifted(spark, sf_dir))
 
 
-@query()
+@query("""SELECT symbol, tf, type, scope, direction, triggered_by, boosted, round(probability_weight, 6) AS probability_weight, i, round(top, 6) AS top, round(bottom, 6) AS bottom, confirmed_i,
+       round(ar, 6) AS average_range, round(rr, 6) AS zone_range_ratio, round(ds, 6) AS displacement, round(vr, 6) AS volume_ratio,
+       round(least(ds, 4) * 0.70 + least(rr, 1.5) * 0.45 + least(vr, 3) * 0.20 + CASE scope WHEN 'external' THEN 1.25 ELSE 0 END + CASE WHEN boosted THEN 0.5 ELSE 0 END + probability_weight * 0.30, 6) AS relevance_score,
+       CASE scope WHEN 'external' THEN rr >= 0.20 AND ds >= 1.0 ELSE rr >= 0.25 AND ds >= 1.5 END AS relevant
+FROM (SELECT *, abs(top - bottom) / ar AS rr, abs(tc - (top + bottom) / 2) / ar AS ds, coalesce(CASE WHEN mv > 0 THEN tv / mv END, 1) AS vr FROM (
+  SELECT o.*, greatest(coalesce(CASE WHEN m.mr > 0 THEN m.mr END, abs(o.top - o.bottom)), 1e-12) AS ar, m.mv, t.close AS tc, t.volume AS tv FROM obs o
+  JOIN (SELECT symbol, i, avg(CASE WHEN high > low THEN high - low END) OVER w AS mr, avg(CASE WHEN high > low THEN volume END) OVER w AS mv FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 20 PRECEDING)) m ON m.symbol = o.symbol AND m.i = o.i
+  JOIN bars t ON t.symbol = o.symbol AND t.i = o.triggered_by))""")
 def m7_ob_relevance(spark, sf_dir):
     bars = hourly(spark, sf_dir)
-    return S.relevance(S.order_blocks(bars, breaks(bars)), bars)
+    return S.relevance(S.order_blocks(bars, lifted(spark, sf_dir)), bars)
 
 
-@query()
+@query("""SELECT symbol, tf, type, scope, direction, triggered_by, boosted, round(probability_weight, 6) AS probability_weight, i, round(top, 6) AS top, round(bottom, 6) AS bottom, confirmed_i, min(j) FILTER (d > 0) AS first_touch_i, end_i, round(coalesce(max(least(greatest(d, 0), 1)), 0), 6) AS fill_ratio, CASE WHEN end_i IS NULL THEN 'active' ELSE 'mitigated' END AS status FROM (
+  SELECT f.*, b.i AS j, CASE f.direction WHEN 'bull' THEN CASE WHEN b.low <= f.bottom THEN 1 ELSE (f.top - b.low) / (f.top - f.bottom) END ELSE CASE WHEN b.high >= f.top THEN 1 ELSE (b.high - f.bottom) / (f.top - f.bottom) END END AS d,
+         min(CASE WHEN CASE f.direction WHEN 'bull' THEN b.low <= f.bottom ELSE b.high >= f.top END THEN b.i END) OVER (PARTITION BY f.n) AS end_i
+  FROM (SELECT *, row_number() OVER () AS n FROM obs) f LEFT JOIN bars b ON b.symbol = f.symbol AND b.i > f.confirmed_i AND f.top > f.bottom) WHERE end_i IS NULL OR j <= end_i GROUP BY ALL""")
 def m8_ob_lifecycle(spark, sf_dir):
     bars = hourly(spark, sf_dir)
-    return S.lifecycle(bars, S.order_blocks(bars, breaks(bars))).drop("fills")
+    return S.lifecycle(bars, S.order_blocks(bars, lifted(spark, sf_dir))).drop("fills")
 
 
 @query("""SELECT l.symbol, 60 AS tf, l.direction, l.from_i, l.to_i, round(l.slope, 6) AS slope, l.confirmed_i, min(b.i) AS break_i FROM (
@@ -441,7 +543,14 @@ def m9_trendlines(spark, sf_dir):
     return S.trendlines(P.pivots(bars, 3), bars).select(*KEY, "direction", "from_i", "to_i", "slope", "confirmed_i", "break_i")
 
 
-@query()
+@query("""SELECT symbol, 60 AS tf, round(CASE WHEN t.p >= h.p THEN t.p ELSE h.p END, 6) AS top, CASE WHEN t.p >= h.p THEN t.i ELSE h.i END AS top_i, round(CASE WHEN b.p <= l.p THEN b.p ELSE l.p END, 6) AS bottom,
+       CASE WHEN b.p <= l.p THEN -b.i ELSE l.i END AS bottom_i, bias, CASE bias WHEN 'bearish' THEN 'strong_high' ELSE 'weak_high' END AS high_class, CASE bias WHEN 'bullish' THEN 'strong_low' ELSE 'weak_low' END AS low_class
+FROM (SELECT k.symbol, k.h, k.l, coalesce(d.bias, 'neutral') AS bias, max({'p': x.high, 'i': x.i}) FILTER (x.i > k.h.c) AS t, min({'p': x.low, 'i': -x.i}) FILTER (x.i > k.l.c) AS b
+  FROM (SELECT p.symbol, arg_max({'i': p.i, 'p': p.price, 'c': p.confirmed_i}, p.i) FILTER (kind = 'high') AS h, arg_max({'i': p.i, 'p': p.price, 'c': p.confirmed_i}, p.i) FILTER (kind = 'low') AS l
+        FROM pv9 p JOIN (SELECT symbol, max(i) AS c FROM bars GROUP BY symbol) e ON e.symbol = p.symbol WHERE p.confirmed_i < e.c GROUP BY p.symbol) k
+  JOIN bars x ON x.symbol = k.symbol
+  LEFT JOIN (SELECT n.symbol, CASE arg_max(n.direction, n.i) WHEN 'bull' THEN 'bullish' ELSE 'bearish' END AS bias FROM broken n JOIN (SELECT symbol, max(i) AS c FROM bars GROUP BY symbol) e ON e.symbol = n.symbol WHERE n.scope = 'external' AND n.i < e.c GROUP BY n.symbol) d ON d.symbol = k.symbol
+  WHERE k.h IS NOT NULL AND k.l IS NOT NULL GROUP BY k.symbol, k.h, k.l, d.bias)""")
 def m10_trailing(spark, sf_dir):
     bars = hourly(spark, sf_dir)
     return S.trailing(bars, external(bars), breaks(bars))
@@ -453,10 +562,17 @@ def m12_major_levels(spark, sf_dir):
     return S.major_levels(external(hourly(spark, sf_dir)), 150)
 
 
-@query()
+@query("""SELECT symbol, tf, i, confirmed_i, direction, round(CASE direction WHEN 'bull' THEN top - (top - bottom) * f ELSE top END, 6) AS top, round(CASE direction WHEN 'bear' THEN bottom + (top - bottom) * f ELSE bottom END, 6) AS bottom,
+       first_touch_i, end_i, round(f, 6) AS fill_ratio, CASE WHEN end_i IS NULL THEN 'active' ELSE 'mitigated' END AS status, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confirmed_i DESC, i DESC, direction) AS place FROM (
+    SELECT symbol, tf, i, confirmed_i, direction, top, bottom, end_i, min(j) FILTER (d > 0) AS first_touch_i, coalesce(max(least(greatest(d, 0), 1)) FILTER (j <= 228), 0) AS f FROM (
+      SELECT f.*, b.i AS j, CASE direction WHEN 'bull' THEN CASE WHEN b.low <= bottom THEN 1 ELSE (top - b.low) / (top - bottom) END ELSE CASE WHEN b.high >= top THEN 1 ELSE (b.high - bottom) / (top - bottom) END END AS d,
+             min(CASE WHEN CASE direction WHEN 'bull' THEN b.low <= bottom ELSE b.high >= top END THEN b.i END) OVER (PARTITION BY f.symbol, f.i) AS end_i
+      FROM fvg f LEFT JOIN bars b ON b.symbol = f.symbol AND b.i > f.confirmed_i) WHERE end_i IS NULL OR j <= end_i GROUP BY symbol, tf, i, confirmed_i, direction, top, bottom, end_i)
+  WHERE confirmed_i <= 228 AND (end_i IS NULL OR end_i > 228)) WHERE place <= 5""")
 def m13_active_zones(spark, sf_dir):
     bars = hourly(spark, sf_dir)
-    return S.active_zones(S.lifecycle(bars, S.gaps(bars)), 150, 5).drop("fills")
+    return S.active_zones(S.lifecycle(bars, S.gaps(bars)), 228, 5).drop("fills")
 
 
 @query("""SELECT f.symbol, f.tf, f.i, f.direction, EXISTS (SELECT 1 FROM ends e WHERE e.symbol = f.symbol AND e.resolved_i BETWEEN f.confirmed_i AND f.confirmed_i + 12 AND e.classification <> 'RUN'
@@ -494,7 +610,8 @@ def t1_supertrend(spark, sf_dir):
     return measured(spark, sf_dir).select(*KEY, "i", "st_value", "st_direction")
 
 
-@query()
+@query("""SELECT h.symbol, 60 AS tf, h.i, now AS ht_trend, round(v, 6) AS ht_value, round(v + coalesce(a.atr, 0), 6) AS ht_high, round(v - coalesce(a.atr, 0), 6) AS ht_low, flipped AS ht_flipped
+FROM (SELECT *, CASE now WHEN 0 THEN up ELSE down END AS v FROM half_ WHERE i >= 0) h LEFT JOIN atr10 a ON a.symbol = h.symbol AND a.i = h.i""")
 def t2_halftrend(spark, sf_dir):
     return measured(spark, sf_dir).select(*KEY, "i", "ht_trend", "ht_value", "ht_high", "ht_low", "ht_flipped")
 
@@ -515,15 +632,20 @@ def found_signals(spark, sf_dir):
     return T.signals(T.directions(measured(spark, sf_dir)), T.SignalConfig(main="halftrend", confirmations=("supertrend",), mode="OR", expiry=5))
 
 
-@query()
+@query("""SELECT f.symbol, 60 AS tf, f.i, w.time, CASE WHEN f.main > 0 THEN 'LONG' ELSE 'SHORT' END AS side, f.trigger_i, f.trigger_i + 5 AS expires_i, 1 AS passed, 1.0::DOUBLE AS confidence
+FROM found_ f JOIN ways w ON w.symbol = f.symbol AND w.i = f.i""")
 def t5_signals(spark, sf_dir):
     return found_signals(spark, sf_dir)
 
 
-@query()
+@query("""SELECT o.symbol, o.tf, o.type, o.scope, o.direction, o.triggered_by, o.boosted, round(o.probability_weight, 6) AS probability_weight, o.i, round(o.top, 6) AS top, round(o.bottom, 6) AS bottom, o.confirmed_i,
+       z.volume AS zone_volume, l.s[floor((len(l.s) - 1) * 0.7 + 0.5)::INT + 1] AS least, CASE o.direction WHEN 'bear' THEN 'supply' ELSE 'demand' END AS zone
+FROM obs o JOIN bars z ON z.symbol = o.symbol AND z.i = o.i
+JOIN (SELECT a.symbol, a.i, list_sort(list(b.volume) FILTER (b.volume > 0)) AS s FROM bars a JOIN bars b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 99 AND a.i GROUP BY a.symbol, a.i) l ON l.symbol = o.symbol AND l.i = o.confirmed_i
+WHERE z.volume >= coalesce(l.s[floor((len(l.s) - 1) * 0.7 + 0.5)::INT + 1], 0)""")
 def t8_supply_demand(spark, sf_dir):
     bars = hourly(spark, sf_dir)
-    return T.supply_demand(S.order_blocks(bars, breaks(bars)), bars)
+    return T.supply_demand(S.order_blocks(bars, lifted(spark, sf_dir)), bars)
 
 
 def backtested(spark, sf_dir, curve=False):
@@ -553,7 +675,10 @@ def z1_zona(spark, sf_dir):
     return Z.zone_levels(P.internal_zigzag(measured(spark, sf_dir)), 150)
 
 
-@query()
+@query("""SELECT symbol, 60 AS tf, ratio, round(price, 6) AS price, abs(price - close) <= close * 0.005 AS near_price FROM (
+  SELECT z.symbol, r.ratio, CASE WHEN l.i < h.i THEN h.p - (h.p - l.p) * r.ratio ELSE l.p + (h.p - l.p) * r.ratio END AS price, c.close FROM (
+    SELECT symbol, arg_max({'i': i, 'p': price}, i) FILTER (kind = 'high') AS h, arg_max({'i': i, 'p': price}, i) FILTER (kind = 'low') AS l FROM zz GROUP BY symbol) z
+  CROSS JOIN unnest([0.0::DOUBLE, 0.236, 0.382, 0.5, 0.618, 0.786, 1.0]) r(ratio) JOIN (SELECT symbol, arg_max(close, i) AS close FROM bars GROUP BY symbol) c ON c.symbol = z.symbol WHERE h IS NOT NULL AND l IS NOT NULL)""")
 def z2_fib(spark, sf_dir):
     bars = hourly(spark, sf_dir)
     return Z.fibonacci(P.compress(external(bars)), bars)
@@ -565,7 +690,6 @@ def z5_prev_hl(spark, sf_dir):
     return Z.previous_high_low(hourly(spark, sf_dir), "D").select(*KEY, "type", "price", "available_i")
 
 
-DAYS = "(SELECT *, min(i) OVER (PARTITION BY symbol, time // 86400) AS segment FROM bars)"
 
 
 @query(f"""SELECT symbol, tf, segment, bin, round(sum(CASE WHEN high > low THEN volume * greatest(least(lo + (bin + 1) * step, high) - greatest(lo + bin * step, low), 0) / (high - low) ELSE volume END), 6) AS volume FROM (
@@ -577,12 +701,15 @@ def a2_volume_profile(spark, sf_dir):
     return binned.where("volume > 0").select(*KEY, "segment", "bin", "volume")
 
 
-@query()
+@query("""SELECT symbol, 60 AS tf, v.segment, e.segment_end, round(total, 6) AS total, round(CASE WHEN e.h > e.l THEN lo + (poc + 0.5) * step ELSE e.l END, 6) AS poc, round(lo + (b + 1) * step, 6) AS vah, round(lo + a * step, 6) AS val
+FROM value_ v JOIN (SELECT symbol, segment, max(i) AS segment_end, min(low) AS l, max(high) AS h FROM DAYS_ GROUP BY ALL) e USING (symbol, segment)""")
 def a3_value_area(spark, sf_dir):
     return A.value_area(A.bins(A.session_segments(hourly(spark, sf_dir)))).drop("max_volume")
 
 
-@query()
+@query("""SELECT symbol, 60 AS tf, segment, round(poc, 6) AS poc, arg_min(d.i, (abs((d.high + d.low + d.close) / 3 - poc), d.i)) AS poc_i FROM (
+  SELECT symbol, v.segment, CASE WHEN e.h > e.l THEN lo + (poc + 0.5) * step ELSE e.l END AS poc FROM value_ v JOIN (SELECT symbol, segment, min(low) AS l, max(high) AS h FROM DAYS_ GROUP BY ALL) e USING (symbol, segment)) p
+JOIN DAYS_ d USING (symbol, segment) GROUP BY symbol, segment, poc""")
 def a4_poc_index(spark, sf_dir):
     days = A.session_segments(hourly(spark, sf_dir))
     return A.poc_index(A.value_area(A.bins(days)), days).select(*KEY, "segment", "poc", "poc_i")
@@ -646,7 +773,7 @@ def f3_last_closed(spark, sf_dir):
 def f8_snapshot_1h(spark, sf_dir):
     # six joins read these tables; kept, each is made once
     bars = hourly(spark, sf_dir).persist()
-    blocks = S.lifecycle(bars, S.order_blocks(bars, breaks(bars))).persist()
+    blocks = S.lifecycle(bars, S.order_blocks(bars, lifted(spark, sf_dir))).persist()
     events = P.ghost_trace(bars, 5).persist()
     return X.snapshot(events, bars, L.levels(bars).persist(), S.lifecycle(bars, S.gaps(bars)).persist(), blocks)
 
