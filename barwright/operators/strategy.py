@@ -202,16 +202,21 @@ def backtest(bars: DataFrame, found: DataFrame, config: BacktestConfig = Backtes
 
 
 def summary(results: DataFrame, config: BacktestConfig = BacktestConfig(), by: tuple[str, ...] = ()) -> DataFrame:
-    """Trades, wins, win rate, profit factor (null without losses), net result; and, of a curve, the largest drawdown."""
-    trades = results.where("row = 'trade'")
-    gain, loss = F.sum(F.when(F.col("net_pnl") > 0, F.col("net_pnl")).otherwise(0.0)), F.sum(F.when(F.col("net_pnl") < 0, -F.col("net_pnl")).otherwise(0.0))
-    wins = F.sum((F.col("net_pnl") > 0).cast("long"))
-    out = trades.groupBy(*KEY, *by).agg(F.count(F.lit(1)).alias("trades"), wins.alias("wins"), F.sum("net_pnl").alias("net_pnl"), gain.alias("gross_profit"), loss.alias("gross_loss"))
+    """Trades, wins, win rate, profit factor (null without losses) and net result.
+
+    Of a curve, a row for each series, also one without trades, with the largest
+    drawdown, the final equity and the return.
+    """
+    traded = F.col("row") == "trade"
+    net = F.when(traded, F.col("net_pnl"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    out = results.where(traded if by else F.col("row").isin("trade", "equity")).groupBy(*KEY, *by)
+    out = out.agg(F.count(net).alias("trades"), F.count(F.when(net > 0, 1)).alias("wins"), total(net).alias("net_pnl"), total(F.when(net > 0, net)).alias("gross_profit"), total(F.when(net < 0, -net)).alias("gross_loss"))
     factor = F.when(F.col("gross_loss") > 0, F.col("gross_profit") / F.col("gross_loss")).when(F.col("gross_profit") > 0, F.lit(None)).otherwise(0.0)
-    out = out.withColumn("losses", F.col("trades") - F.col("wins")).withColumn("win_rate", F.col("wins") / F.col("trades")).withColumn("profit_factor", factor)
+    out = out.withColumn("losses", F.col("trades") - F.col("wins")).withColumn("win_rate", F.when(F.col("trades") > 0, F.col("wins") / F.col("trades")).otherwise(0.0)).withColumn("profit_factor", factor)
     if by:
         return out
     line = results.where("row = 'equity'")
     peak = F.greatest(F.max("equity").over(along().rowsBetween(Window.unboundedPreceding, 0)), F.lit(config.initial_capital))
-    drawn = line.withColumn("dd", (peak - F.col("equity")) / peak).groupBy(*KEY).agg(F.max("dd").alias("max_drawdown"))
-    return out.join(drawn, KEY, "left")
+    drawn = line.withColumn("dd", (peak - F.col("equity")) / peak).groupBy(*KEY).agg(F.max("dd").alias("max_drawdown"), F.max_by("equity", "i").alias("final_equity"))
+    return out.join(drawn.withColumn("return_pct", (F.col("final_equity") / config.initial_capital - 1) * 100), KEY, "left")

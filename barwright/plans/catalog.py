@@ -165,6 +165,42 @@ PARTS |= {
     "turns": "SELECT * FROM (SELECT *, lag(main) OVER (PARTITION BY symbol ORDER BY i) AS before FROM ways) WHERE before <> main",
     "found_": """SELECT t.symbol, t.i AS trigger_i, t.main, min(w.i) AS i FROM (SELECT *, lead(i) OVER (PARTITION BY symbol ORDER BY i) AS next FROM turns) t
         JOIN ways w ON w.symbol = t.symbol AND w.i BETWEEN t.i AND t.i + 5 AND (t.next IS NULL OR w.i < t.next) AND w.other = t.main GROUP BY ALL""",
+    "near_": """SELECT b.symbol, b.i, bool_or(NOT o) AS inner_, bool_or(o) AS outer_
+        FROM (SELECT b.*, atr FROM bars b JOIN atr USING (symbol, i) WHERE atr > 0) b JOIN ends e ON e.symbol = b.symbol AND e.confirmed_i <= b.i AND (e.resolved_i IS NULL OR e.resolved_i > b.i), LATERAL (SELECT e.scope = 'external' AND e.scope_confirmed_i <= b.i AS o)
+        WHERE abs(b.close - e.price) <= atr * CASE WHEN o THEN 0.75 ELSE 0.5 END GROUP BY b.symbol, b.i""",
+    "seen_": """SELECT b.symbol, b.i, b.time, CASE WHEN a.atr > 0 THEN CASE WHEN n.outer_ THEN 'LIQUIDEZ_EXTERNA' WHEN n.inner_ THEN 'LIQUIDEZ_INTERNA' WHEN f.i <= b.i THEN 'ZONA_INTERNA' ELSE 'UNKNOWN' END ELSE 'UNKNOWN' END AS base,
+               CASE WHEN a.atr > 0 THEN CASE WHEN n.outer_ THEN 0.60 WHEN n.inner_ THEN 0.52 WHEN f.i <= b.i THEN 0.45 ELSE 0.35 END ELSE 0.30 END + CASE WHEN v.m > 0 AND b.volume >= v.m * 1.35 THEN 0.05 ELSE 0 END AS score,
+               coalesce(l.raid_out, false) AS raid_out, coalesce(l.raid_in, false) AS raid_in, coalesce(l.run_out, false) AS run_out, l.symbol IS NULL AND k.symbol IS NULL AS quiet, coalesce(k.bos, 0) AS bos, coalesce(k.choch, false) AS choch
+        FROM bars b LEFT JOIN atr a USING (symbol, i) LEFT JOIN near_ n USING (symbol, i) LEFT JOIN (SELECT symbol, min(confirmed_i) AS i FROM ends GROUP BY symbol) f ON f.symbol = b.symbol
+        LEFT JOIN (SELECT symbol, i, avg(volume) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING) AS m FROM bars) v USING (symbol, i)
+        LEFT JOIN (SELECT symbol, resolved_i AS i, bool_or(classification <> 'RUN' AND o) AS raid_out, bool_or(classification <> 'RUN' AND NOT o) AS raid_in, bool_or(classification = 'RUN' AND o) AS run_out
+                   FROM (SELECT *, scope = 'external' AND scope_confirmed_i <= resolved_i AS o FROM ends WHERE resolved_i IS NOT NULL) GROUP BY ALL) l USING (symbol, i)
+        LEFT JOIN (SELECT symbol, i, max(CASE WHEN scope = 'external' AND type = 'BOS' THEN CASE direction WHEN 'bull' THEN 2 ELSE 1 END END) AS bos, bool_or(scope = 'external' AND type = 'CHOCH') AS choch FROM broken GROUP BY ALL) k USING (symbol, i)""",
+    "regime_": """SELECT symbol, -1 AS i, 0::BIGINT AS time, 'UNKNOWN' AS state, 0.0::DOUBLE AS confidence FROM seen_ WHERE i = 0
+        UNION ALL
+        SELECT symbol, i, time, s, round(least(greatest(score + CASE w WHEN 1 THEN 0.30 WHEN 2 THEN CASE WHEN run_out THEN 0.35 ELSE 0.25 END WHEN 3 THEN 0.20 WHEN 4 THEN 0.10 WHEN 5 THEN -0.05 WHEN 6 THEN 0.05 ELSE 0 END, 0), 1), 2)::DOUBLE
+        FROM (SELECT n.*, CASE WHEN n.raid_out AND n.choch THEN 1 WHEN n.bos > 0 THEN 2 WHEN n.choch THEN 3 WHEN n.raid_in THEN 4 WHEN r.state = 'TRANSITION' AND n.base IN ('ZONA_INTERNA', 'LIQUIDEZ_INTERNA') THEN 5
+                       WHEN r.state IN ('TR_BULLISH', 'TR_BEARISH') AND n.quiet THEN 6 ELSE 0 END AS w,
+                CASE w WHEN 1 THEN 'TRANSITION' WHEN 2 THEN CASE n.bos WHEN 2 THEN 'TR_BULLISH' ELSE 'TR_BEARISH' END WHEN 3 THEN 'TRANSITION' WHEN 4 THEN 'ZM_MANIPULATION' WHEN 5 THEN 'ZM_MANIPULATION' WHEN 6 THEN r.state ELSE n.base END AS s
+              FROM regime_ r JOIN seen_ n ON n.symbol = r.symbol AND n.i = r.i + 1)""",
+    "fed_": """SELECT b.symbol, b.i, b.open, b.high, b.low, b.close, e.n, f.main AS side, a.atr AS sa FROM bars b JOIN (SELECT symbol, max(i) AS n FROM bars GROUP BY symbol) e ON e.symbol = b.symbol
+        LEFT JOIN found_ f ON f.symbol = b.symbol AND f.i = b.i - 1 LEFT JOIN atr a ON a.symbol = b.symbol AND a.i = b.i - 1""",
+    "book_": """SELECT symbol, -1 AS i, 10000.0::DOUBLE AS equity, NULL::INT AS way, NULL::INT AS sig, NULL::INT AS ei, NULL::DOUBLE AS entry, NULL::DOUBLE AS stop, NULL::DOUBLE AS target, NULL::DOUBLE AS units, NULL::DOUBLE AS paid,
+               false AS traded, NULL::INT AS tway, NULL::INT AS tsig, NULL::INT AS tei, NULL::DOUBLE AS tentry, NULL::DOUBLE AS price, NULL::VARCHAR AS reason, NULL::DOUBLE AS net, NULL::VARCHAR AS skipped, NULL::INT AS side, 10000.0::DOUBLE AS marked
+        FROM fed_ WHERE i = 0
+        UNION ALL
+        SELECT symbol, i, CASE WHEN gone THEN eq + gross - cost ELSE eq END, CASE WHEN NOT gone THEN cw END, CASE WHEN NOT gone THEN cs END, CASE WHEN NOT gone THEN ci END, CASE WHEN NOT gone THEN ce END, CASE WHEN NOT gone THEN cstop END, CASE WHEN NOT gone THEN ct END,
+               CASE WHEN NOT gone THEN cu END, CASE WHEN NOT gone THEN cp END, gone, cw, cs, ci, ce, price, why, gross - cp - cost, skipped, side, CASE WHEN gone THEN eq + gross - cost ELSE eq + coalesce(cw * (close - ce) * cu, 0) END
+        FROM (SELECT *, cw IS NOT NULL AND (stopped OR reached OR i = n) AS gone, CASE WHEN stopped THEN 'stop' WHEN reached THEN 'target' ELSE 'end_of_data' END AS why, raw * (1 - cw * 0.0001) AS price, cw * (price - ce) * cu AS gross, abs(price * cu) * 0.0002 AS cost FROM (
+          SELECT *, CASE WHEN stopped THEN CASE WHEN cw * open < cw * cstop THEN open ELSE cstop END WHEN reached THEN CASE WHEN cw * open > cw * ct THEN open ELSE ct END ELSE close END AS raw FROM (
+            SELECT *, CASE WHEN cw > 0 THEN low <= cstop ELSE high >= cstop END AS stopped, CASE WHEN cw > 0 THEN high >= ct ELSE low <= ct END AS reached FROM (
+              SELECT symbol, i, open, high, low, close, n, side, CASE WHEN way IS NOT NULL THEN way WHEN ok THEN side END AS cw, CASE WHEN way IS NOT NULL THEN sig WHEN ok THEN i - 1 END AS cs, CASE WHEN way IS NOT NULL THEN ei WHEN ok THEN i END AS ci,
+                     CASE WHEN way IS NOT NULL THEN entry WHEN ok THEN e2 END AS ce, CASE WHEN way IS NOT NULL THEN stop WHEN ok THEN s2 END AS cstop, CASE WHEN way IS NOT NULL THEN target WHEN ok THEN t2 END AS ct, CASE WHEN way IS NOT NULL THEN units WHEN ok THEN u2 END AS cu,
+                     CASE WHEN way IS NOT NULL THEN paid WHEN ok THEN abs(e2 * u2) * 0.0002 END AS cp, CASE WHEN way IS NULL AND ok THEN equity - abs(e2 * u2) * 0.0002 ELSE equity END AS eq,
+                     CASE WHEN side IS NOT NULL AND way IS NOT NULL THEN 'position_open_at_entry' WHEN side IS NOT NULL AND NOT ok THEN 'missing_or_invalid_risk_levels' END AS skipped
+              FROM (SELECT *, least(equity * 0.01 / abs(e2 - s2), equity / e2) AS u2, coalesce(sa > 0 AND side * s2 < side * e2 AND side * e2 < side * t2, false) AS ok FROM (
+                SELECT *, e2 - side * sa * 1.5 AS s2, e2 + (e2 - s2) * 2 AS t2 FROM (
+                  SELECT f.*, f.open * (1 + f.side * 0.0001) AS e2, k.equity, k.way, k.sig, k.ei, k.entry, k.stop, k.target, k.units, k.paid FROM book_ k JOIN fed_ f ON f.symbol = k.symbol AND f.i = k.i + 1)))))))""",
     "bins_": """SELECT symbol, segment, bin, lo, hi, step, coalesce(sum(part), 0) AS v FROM (
           SELECT e.symbol, e.segment, g.bin, e.lo, e.hi, (e.hi - e.lo) / 24 AS step,
                  CASE WHEN d.high > d.low THEN d.volume * greatest(least(e.lo + (g.bin + 1) * ((e.hi - e.lo) / 24), d.high) - greatest(e.lo + g.bin * ((e.hi - e.lo) / 24), d.low), 0) / (d.high - d.low)
@@ -593,7 +629,7 @@ def g1_nearest_level(spark, sf_dir):
     return L.nearest(bars, L.levels(bars)).select(*KEY, "i", "internal_i", "external_i")
 
 
-@query()
+@query("""SELECT symbol, 60 AS tf, i, time, state, confidence FROM regime_ WHERE i >= 0""")
 def g3_regime(spark, sf_dir):
     bars = measured(spark, sf_dir)
     return G.regime(bars, L.levels(bars), breaks(bars))
@@ -652,17 +688,24 @@ def backtested(spark, sf_dir, curve=False):
     return T.backtest(measured(spark, sf_dir), found_signals(spark, sf_dir), T.BacktestConfig(commission_bps=2, slippage_bps=1), curve=curve)
 
 
-@query()
+@query("""SELECT symbol, 60 AS tf, tsig AS signal_i, tei AS i, i AS exit_i, CASE WHEN tway > 0 THEN 'LONG' ELSE 'SHORT' END AS side, round(tentry, 6) AS entry_price, round(price, 6) AS exit_price, reason, round(net, 6) AS net_pnl, round(equity, 6) AS equity
+FROM book_ WHERE traded""")
 def b1_trades(spark, sf_dir):
     return backtested(spark, sf_dir).where("row = 'trade'").select(*KEY, "signal_i", "i", "exit_i", "side", "entry_price", "exit_price", "reason", "net_pnl", "equity")
 
 
-@query()
+@query("""SELECT symbol, 60 AS tf, i - 1 AS signal_i, i, CASE WHEN side > 0 THEN 'LONG' ELSE 'SHORT' END AS side, skipped AS reason FROM book_ WHERE skipped IS NOT NULL
+UNION ALL
+SELECT f.symbol, 60, f.i, f.i + 1, CASE WHEN f.main > 0 THEN 'LONG' ELSE 'SHORT' END, 'no_next_open' FROM found_ f JOIN (SELECT symbol, max(i) AS n FROM bars GROUP BY symbol) e ON e.symbol = f.symbol AND f.i = e.n""")
 def b6_skipped(spark, sf_dir):
     return backtested(spark, sf_dir).where("row = 'skipped'").select(*KEY, "signal_i", "i", "side", "reason")
 
 
-@query()
+@query("""SELECT symbol, 60 AS tf, trades, wins, round(net_pnl, 6) AS net_pnl, round(gain, 6) AS gross_profit, round(loss, 6) AS gross_loss, trades - wins AS losses, round(CASE WHEN trades > 0 THEN wins / trades ELSE 0 END, 6) AS win_rate,
+       round(CASE WHEN loss > 0 THEN gain / loss WHEN gain > 0 THEN NULL ELSE 0 END, 6) AS profit_factor, round(dd, 6) AS max_drawdown, round(final, 6) AS final_equity, round((final / 10000 - 1) * 100, 6) AS return_pct FROM (
+  SELECT symbol, count(*) FILTER (traded) AS trades, count(*) FILTER (traded AND net > 0) AS wins, coalesce(sum(net) FILTER (traded), 0) AS net_pnl, coalesce(sum(net) FILTER (traded AND net > 0), 0) AS gain, coalesce(-sum(net) FILTER (traded AND net < 0), 0) AS loss,
+         max((peak - marked) / peak) AS dd, arg_max(marked, i) AS final
+  FROM (SELECT *, greatest(max(marked) OVER (PARTITION BY symbol ORDER BY i), 10000) AS peak FROM book_ WHERE i >= 0) GROUP BY symbol)""")
 def b7_summary(spark, sf_dir):
     return T.summary(backtested(spark, sf_dir, curve=True))
 
