@@ -60,9 +60,10 @@ def invert(knots: Knots, share: Column) -> Column:
     return F.least(F.greatest(out, F.lit(float(knots[0][0]))), F.lit(float(knots[-1][0])))
 
 
-def order_hash(doc_id: Column) -> Column:
-    """60 bits that fix the order of a source's documents; md5, so that any SQL engine can repeat it."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def order_hash(doc_id: Column, size: Column) -> Column:
+    """60 bits that fix the order of a source's documents; md5, so that any SQL engine can repeat it. The size spreads rows of one id, null ids too."""
+    named = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), size.cast("string"))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(totals: DataFrame, schedules: Sequence[Knots], share: float, cap: float) -> DataFrame:
@@ -98,7 +99,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str | None = "text
     """
     new = ("size", "source_size", "target", "copies", "taken", "positions")
     base = docs.withColumn("__size", size if size is not None else word_count(F.col(text_col))).drop(*new)
-    base = base.withColumn("__h", order_hash(F.col(id_col))).withColumn("__s", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("")))
+    base = base.withColumn("__h", order_hash(F.col(id_col), F.col("__size"))).withColumn("__s", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("")))
     rows = base.select("__h").count()
     bits = max(0, math.ceil(math.log2(max(rows, 1)) / 2))
     base = base.withColumn("__b", F.shiftright("__h", 60 - bits))
@@ -135,10 +136,25 @@ def training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return mixed.withColumn("position", F.explode("positions")).drop("positions").orderBy("position", id_col)
 
 
-ORACLE = r"""
+def _inverse_sql(knots: Knots, share: str) -> str:
+    """SQL of invert()."""
+    whole, done, out = integral(knots), 0.0, []
+    for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False):
+        rest, slope = f"({share} * {whole}::DOUBLE - {done}::DOUBLE)", (w1 - w0) / (t1 - t0)
+        done += (t1 - t0) * (w0 + w1) / 2
+        out.append(f"WHEN {share} * {whole}::DOUBLE <= {done}::DOUBLE THEN {t0}::DOUBLE + 2 * {rest} / ({w0}::DOUBLE + sqrt(greatest({w0 * w0}::DOUBLE + {2 * slope}::DOUBLE * {rest}, 0)))")
+    return f"least(greatest(CASE {' '.join(out)} ELSE 1 END, 0), 1)"
+
+
+def _position_sql(copy: int) -> str:
+    share = f"((mid + {copy} * source_size) / nullif(target, 0))"
+    return f"round(CASE WHEN mid + {copy} * source_size < target THEN CASE rank % 3 {' '.join(f'WHEN {c} THEN {_inverse_sql(k, share)}' for c, k in enumerate(SCHEDULES))} END END, 6)"
+
+
+ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM d GROUP BY source),
@@ -150,12 +166,13 @@ l AS (
          / sum(weight) OVER (ORDER BY lim / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w),
 t AS (
-  SELECT source, source_size, least(lim, coalesce((SELECT level FROM l f WHERE f.level <= f.ratio ORDER BY f.ratio, f.rank LIMIT 1) * weight, lim)) AS target FROM l),
+  SELECT source, rank, source_size, least(lim, coalesce((SELECT level FROM l f WHERE f.level <= f.ratio ORDER BY f.ratio, f.rank LIMIT 1) * weight, lim)) AS target FROM l),
 m AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.rank,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size + d.size / 2.0::DOUBLE AS mid
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
-       (size * ((mid < target)::INT + (mid + source_size < target)::INT))::BIGINT AS taken
+       (size * ((mid < target)::INT + (mid + source_size < target)::INT))::BIGINT AS taken,
+       {_position_sql(0)} AS position_1, {_position_sql(1)} AS position_2
 FROM m
 """

@@ -20,8 +20,9 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "mixing-sizes")
     mixed = mixing.mix(sized, size=F.col("words"))
-    ordered = mixed.withColumn("__at", F.try_element_at("positions", F.lit(1))).orderBy(F.col("__at").asc_nulls_last(), "doc_id")
-    return ordered.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.col("taken").cast("long").alias("taken"))
+    at = lambda k: F.round(F.try_element_at("positions", F.lit(k)), 6).alias(f"position_{k}")
+    told = mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.col("taken").cast("long").alias("taken"), at(1), at(2))
+    return told.orderBy(F.col("position_1").asc_nulls_last(), "doc_id")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
