@@ -56,8 +56,10 @@ def value_area(binned: DataFrame, share: float = 0.7) -> DataFrame:
     """Point of control (first fullest bin) and the area around it that holds `share` of the volume.
 
     The area grows to the fuller neighbour (up on ties), a recurrence over the
-    at most n bins of a segment: an array fold, no Python.
+    at most n bins of a segment: an array fold, no Python. Volumes compare at
+    nine places, as their sums may be made in any order.
     """
+    binned = binned.withColumn("volume", F.round("volume", 9))
     row = F.struct("bin", "volume", "price", "price_low", "price_high")
     out = binned.groupBy(*KEY, "segment", "segment_end", "total").agg(F.sort_array(F.collect_list(row)).alias("b"), F.min_by("bin", F.struct((-F.col("volume")).alias("v"), F.col("bin"))).alias("poc_bin"))
     vol = lambda k: F.coalesce(F.get(F.col("b"), k)["volume"], F.lit(-1.0))
@@ -67,7 +69,7 @@ def value_area(binned: DataFrame, share: float = 0.7) -> DataFrame:
         above, below = vol(a["hi"] + 1), vol(a["lo"] - 1)
         up = F.struct(a["lo"].alias("lo"), (a["hi"] + 1).alias("hi"), (a["v"] + above).alias("v"))
         down = F.struct((a["lo"] - 1).alias("lo"), a["hi"].alias("hi"), (a["v"] + below).alias("v"))
-        done = (a["v"] >= F.col("total") * share) | ((above < 0) & (below < 0))
+        done = (F.round(a["v"], 9) >= F.round(F.col("total") * share, 9)) | ((above < 0) & (below < 0))
         return F.when(done, a).when(above >= below, up).otherwise(down)
 
     out = out.withColumn("area", F.aggregate("b", zero, grow))

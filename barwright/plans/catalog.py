@@ -123,7 +123,7 @@ PARTS |= {
     "zz_all": zigzag_sql(NUMBERED).replace("SELF", "zz_all"),
     "zz_cut": zigzag_sql(NUMBERED + " WHERE confirmed_i <= 150").replace("SELF", "zz_cut"),
     "zz": "SELECT symbol, 60 AS tf, seq, arg_max(kind, r) AS kind, arg_max(i, r) AS i, arg_max(price, r) AS price, arg_max(confirmed_i, r) AS confirmed_i FROM zz_all GROUP BY symbol, seq",
-    "zz150": "SELECT symbol, 60 AS tf, seq, arg_max(kind, r) AS kind, arg_max(i, r) AS i, arg_max(price, r) AS price FROM zz_cut GROUP BY symbol, seq",
+    "zz150": "SELECT symbol, 60 AS tf, seq, arg_max(kind, r) AS kind, arg_max(i, r) AS i, arg_max(price, r) AS price, arg_max(confirmed_i, r) AS confirmed_i FROM zz_cut GROUP BY symbol, seq",
     "zz_fine": zigzag_sql(SHALLOW).replace("SELF", "zz_fine"),
     "piv": "SELECT 'internal' AS scope, * FROM pv3 UNION ALL SELECT 'external', * FROM pv9",
     "fresh": """SELECT scope, symbol, confirmed_i, max(price) FILTER (kind = 'high') AS hp, max(i) FILTER (kind = 'high') AS hi, max(price) FILTER (kind = 'low') AS lp, max(i) FILTER (kind = 'low') AS li
@@ -165,6 +165,9 @@ PARTS |= {
     "turns": "SELECT * FROM (SELECT *, lag(main) OVER (PARTITION BY symbol ORDER BY i) AS before FROM ways) WHERE before <> main",
     "found_": """SELECT t.symbol, t.i AS trigger_i, t.main, min(w.i) AS i FROM (SELECT *, lead(i) OVER (PARTITION BY symbol ORDER BY i) AS next FROM turns) t
         JOIN ways w ON w.symbol = t.symbol AND w.i BETWEEN t.i AND t.i + 5 AND (t.next IS NULL OR w.i < t.next) AND w.other = t.main GROUP BY ALL""",
+    "marks_": """SELECT symbol, min(i) AS i FROM bars GROUP BY symbol, time // 86400
+        UNION SELECT symbol, coalesce(min(i) FILTER (time % 86400 >= 34200), min(i)) FROM bars GROUP BY symbol, time // 86400 HAVING count(*) FILTER (time % 86400 >= 34200) > 0 OR time // 86400 < (SELECT max(x.time // 86400) FROM bars x WHERE x.symbol = bars.symbol)
+        UNION SELECT symbol, i FROM broken""",
     "near_": """SELECT b.symbol, b.i, bool_or(NOT o) AS inner_, bool_or(o) AS outer_
         FROM (SELECT b.*, atr FROM bars b JOIN atr USING (symbol, i) WHERE atr > 0) b JOIN ends e ON e.symbol = b.symbol AND e.confirmed_i <= b.i AND (e.resolved_i IS NULL OR e.resolved_i > b.i), LATERAL (SELECT e.scope = 'external' AND e.scope_confirmed_i <= b.i AS o)
         WHERE abs(b.close - e.price) <= atr * CASE WHEN o THEN 0.75 ELSE 0.5 END GROUP BY b.symbol, b.i""",
@@ -201,7 +204,7 @@ PARTS |= {
               FROM (SELECT *, least(equity * 0.01 / abs(e2 - s2), equity / e2) AS u2, coalesce(sa > 0 AND side * s2 < side * e2 AND side * e2 < side * t2, false) AS ok FROM (
                 SELECT *, e2 - side * sa * 1.5 AS s2, e2 + (e2 - s2) * 2 AS t2 FROM (
                   SELECT f.*, f.open * (1 + f.side * 0.0001) AS e2, k.equity, k.way, k.sig, k.ei, k.entry, k.stop, k.target, k.units, k.paid FROM book_ k JOIN fed_ f ON f.symbol = k.symbol AND f.i = k.i + 1)))))))""",
-    "bins_": """SELECT symbol, segment, bin, lo, hi, step, coalesce(sum(part), 0) AS v FROM (
+    "bins_": """SELECT symbol, segment, bin, lo, hi, step, round(coalesce(sum(part), 0), 9) AS v FROM (
           SELECT e.symbol, e.segment, g.bin, e.lo, e.hi, (e.hi - e.lo) / 24 AS step,
                  CASE WHEN d.high > d.low THEN d.volume * greatest(least(e.lo + (g.bin + 1) * ((e.hi - e.lo) / 24), d.high) - greatest(e.lo + g.bin * ((e.hi - e.lo) / 24), d.low), 0) / (d.high - d.low)
                       ELSE d.volume END AS part
@@ -214,7 +217,7 @@ PARTS |= {
         FROM bins_ JOIN (SELECT symbol, segment, sum(volume) AS total FROM DAYS_ WHERE volume > 0 GROUP BY ALL) USING (symbol, segment) GROUP BY symbol, segment, lo, step, total
         UNION ALL
         SELECT symbol, segment, lo, step, v, poc, CASE WHEN up >= down THEN a ELSE a - 1 END, CASE WHEN up >= down THEN b + 1 ELSE b END, held + greatest(up, down), total, k + 1
-        FROM (SELECT *, CASE WHEN b < 23 THEN v[b + 2] ELSE -1 END AS up, CASE WHEN a > 0 THEN v[a] ELSE -1 END AS down FROM area_) WHERE held < total * 0.7 AND greatest(up, down) >= 0""",
+        FROM (SELECT *, CASE WHEN b < 23 THEN v[b + 2] ELSE -1 END AS up, CASE WHEN a > 0 THEN v[a] ELSE -1 END AS down FROM area_) WHERE round(held, 9) < round(total * 0.7, 9) AND greatest(up, down) >= 0""",
     "value_": """SELECT symbol, segment, lo, step, poc, total, arg_max(a, k) AS a, arg_max(b, k) AS b FROM area_ GROUP BY ALL""",
     "obs": """SELECT e.symbol, e.tf, e.type, e.scope, e.direction, e.i AS triggered_by, e.boosted, e.probability_weight, arg_min(b.i, (CASE e.direction WHEN 'bull' THEN b.low ELSE -b.high END, b.i)) AS i,
                arg_min(b.high, (CASE e.direction WHEN 'bull' THEN b.low ELSE -b.high END, b.i)) AS top, arg_min(b.low, (CASE e.direction WHEN 'bull' THEN b.low ELSE -b.high END, b.i)) AS bottom, e.i AS confirmed_i
@@ -772,11 +775,13 @@ def a8_anchors(spark, sf_dir):
     return A.anchors(hourly(spark, sf_dir)).drop("metadata")
 
 
-@query()
+@query(f"""SELECT a.symbol, 60 AS tf, a.i, a.segment, round(m + 3e-8, 6) AS vwap, round(sqrt(greatest(sum(b.volume * (tp - m) ** 2) / sum(b.volume), 0)), 6) AS sigma FROM (
+  SELECT a.symbol, a.i, a.segment, sum(b.volume * (b.high + b.low + b.close) / 3) / sum(b.volume) AS m FROM LINES_ a JOIN LINES_ b ON b.symbol = a.symbol AND b.segment = a.segment AND b.i <= a.i GROUP BY ALL) a
+JOIN (SELECT *, (high + low + close) / 3 AS tp FROM LINES_) b ON b.symbol = a.symbol AND b.segment = a.segment AND b.i <= a.i GROUP BY a.symbol, a.i, a.segment, m""".replace("LINES_", "(SELECT b.*, (SELECT max(k.i) FROM marks_ k WHERE k.symbol = b.symbol AND k.i <= b.i) AS segment FROM bars b)"))
 def a9_anchor_lines(spark, sf_dir):
     bars = hourly(spark, sf_dir)
     found = A.anchors(bars).unionByName(A.event_anchors(breaks(bars)))
-    return A.lines(bars, A.merged(found, bars)).select(*KEY, "i", "segment", "vwap", "sigma")
+    return A.lines(bars, A.merged(found, bars)).select(*KEY, "i", "segment", (F.col("vwap") + 3e-8).alias("vwap"), "sigma")
 
 
 @query()
@@ -909,3 +914,91 @@ def o1_technical(spark, sf_dir):
 
     at = hourly(spark, sf_dir).select(*KEY, "i", K.sma("close", 14).alias("sma"), K.stdev("close", 14).alias("sd"), K.highest("high", 14).alias("hi"), K.stoch(14).alias("k"), K.bars_since(F.col("close") > F.col("open")).alias("since"))
     return at.where("sma is not null")
+
+
+# ---- views at a cursor, zones and features of their own -----------------------------------------------------------
+
+
+@query("SELECT symbol, tf, kind, i, round(price, 6) AS price, confirmed_i FROM zz150")
+def p9_until(spark, sf_dir):
+    return P.compress(external(hourly(spark, sf_dir)), 150)
+
+
+@query("""SELECT symbol, 60 AS tf, kind, i, round(price, 6) AS price, source FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol, kind, i, printf('%.10f', price) ORDER BY source) AS n FROM (
+    SELECT symbol, kind, i, price, 'provided' AS source FROM pv3 UNION ALL SELECT symbol, kind, i, price, 'derived' FROM pv9)) WHERE n = 1""")
+def p19_deduped(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    both = P.pivots(bars, 3).withColumn("source", F.lit("provided")).unionByName(external(bars).withColumn("source", F.lit("derived")))
+    return P.deduped(both).select(*KEY, "kind", "i", "price", "source")
+
+
+LEAST_ALL = "SELECT symbol, s[floor((len(s) - 1) * 0.7 + 0.5)::INT + 1] AS least FROM (SELECT o.symbol, list_sort(list(z.volume)) AS s FROM obs o JOIN bars z ON z.symbol = o.symbol AND z.i = o.i WHERE z.volume > 0 GROUP BY o.symbol)"
+
+
+@query(f"""SELECT o.symbol, o.tf, o.scope, o.direction, o.i, o.confirmed_i, z.volume AS zone_volume, l.least, CASE o.direction WHEN 'bear' THEN 'supply' ELSE 'demand' END AS zone
+FROM obs o JOIN bars z ON z.symbol = o.symbol AND z.i = o.i LEFT JOIN ({LEAST_ALL}) l ON l.symbol = o.symbol WHERE z.volume >= coalesce(l.least, 0)""")
+def t7_lookahead_zones(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return T.supply_demand(S.order_blocks(bars, lifted(spark, sf_dir)), bars, causal=False).select(*KEY, "scope", "direction", "i", "confirmed_i", "zone_volume", "least", "zone")
+
+
+@query(f"""SELECT * FROM (
+  SELECT symbol, tf, scope, zone, i, confirmed_i, row_number() OVER (PARTITION BY symbol ORDER BY confirmed_i DESC, i DESC, scope) AS place FROM (
+    SELECT o.*, CASE o.direction WHEN 'bear' THEN 'supply' ELSE 'demand' END AS zone FROM obs o JOIN bars z ON z.symbol = o.symbol AND z.i = o.i LEFT JOIN ({LEAST_ALL}) l ON l.symbol = o.symbol
+    WHERE z.volume >= coalesce(l.least, 0) AND o.confirmed_i <= 404) k
+  WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = k.symbol AND b.i > k.confirmed_i AND b.i <= 404 AND CASE k.zone WHEN 'demand' THEN b.low <= k.top ELSE b.high >= k.bottom END)) WHERE place <= 15""")
+def t9_untouched_zones(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    zones = T.supply_demand(S.order_blocks(bars, lifted(spark, sf_dir)), bars, causal=False)
+    return T.untouched(zones, bars, 404).select(*KEY, "scope", "zone", "i", "confirmed_i", "place")
+
+
+@query("""SELECT e.symbol, 60 AS tf, e.direction, r.ratio, round(CASE e.direction WHEN 'bull' THEN max(b.high) - (max(b.high) - min(b.low)) * r.ratio ELSE min(b.low) + (max(b.high) - min(b.low)) * r.ratio END, 6) AS price
+FROM (SELECT symbol, m.pivot_i, m.i, m.direction FROM (SELECT symbol, arg_max({'pivot_i': pivot_i, 'i': i, 'direction': direction}, (scope = 'external', i)) AS m FROM broken GROUP BY symbol)) e
+JOIN bars b ON b.symbol = e.symbol AND b.i BETWEEN e.pivot_i AND e.i CROSS JOIN unnest([0.0::DOUBLE, 0.236, 0.382, 0.5, 0.618, 0.786, 1.0]) r(ratio) GROUP BY e.symbol, e.direction, r.ratio""")
+def z3_structure_fib(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return Z.structure_fibonacci(breaks(bars), bars)
+
+
+@query("""SELECT symbol, 60 AS tf, ratio, round(b - (b - a) * ratio, 6) AS price FROM (SELECT symbol, arg_min(open, i) AS a, arg_max(close, i) AS b FROM bars GROUP BY symbol)
+CROSS JOIN unnest([0.0::DOUBLE, 0.236, 0.382, 0.5, 0.618, 0.786, 1.0, 1.272, 1.414, 1.618]) r(ratio)""")
+def z4_manual_fib(spark, sf_dir):
+    spans = hourly(spark, sf_dir).groupBy(*KEY).agg(F.min_by("open", "i").alias("from_price"), F.max_by("close", "i").alias("to_price"))
+    return Z.manual_fibonacci(spans).select(*KEY, "ratio", "price")
+
+
+@query("""SELECT symbol, 60 AS tf, CASE WHEN first THEN h.i ELSE l.i END AS latest_i, round(CASE WHEN first THEN h.p ELSE l.p END, 6) AS latest_price, CASE WHEN first THEN l.i ELSE h.i END AS opposite_i, round(CASE WHEN first THEN l.p ELSE h.p END, 6) AS opposite_price FROM (
+  SELECT *, coalesce(h.i >= l.i, h IS NOT NULL) AS first FROM (
+    SELECT symbol, arg_max({'i': i, 'p': price}, i) FILTER (kind = 'high') AS h, arg_max({'i': i, 'p': price}, i) FILTER (kind = 'low') AS l FROM pv3 WHERE confirmed_i <= 150 GROUP BY symbol))""")
+def f7_alternating(spark, sf_dir):
+    out = X.alternating(P.pivots(hourly(spark, sf_dir), 3), 150)
+    return out.select(*KEY, *[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("latest", "opposite") for x in ("i", "price")])
+
+
+def sr_sql(hours: int) -> str:
+    return f"""SELECT symbol, 60 AS tf, g, available_i, round(h, 6) AS resistance, round(l, 6) AS support FROM (
+  SELECT symbol, g, available_i, lag(hi) OVER w AS h, lag(lo) OVER w AS l FROM (SELECT symbol, time // {hours * 3600} AS g, min(i) AS available_i, max(high) AS hi, min(low) AS lo FROM bars GROUP BY ALL) WINDOW w AS (PARTITION BY symbol ORDER BY g)) WHERE h IS NOT NULL"""
+
+
+@query(sr_sql(24))
+def f9_support_resistance_day(spark, sf_dir):
+    return Z.support_resistance(hourly(spark, sf_dir), 24)
+
+
+@query(sr_sql(168))
+def f9_support_resistance_week(spark, sf_dir):
+    return Z.support_resistance(hourly(spark, sf_dir), 168)
+
+
+@query("""SELECT b.symbol, b.tf, b.i, coalesce(max(e.i), 0) AS segment FROM bars b LEFT JOIN (SELECT DISTINCT symbol, i FROM broken WHERE scope = 'external') e ON e.symbol = b.symbol AND e.i <= b.i
+WHERE b.symbol IN (SELECT symbol FROM broken WHERE scope = 'external') GROUP BY b.symbol, b.tf, b.i""")
+def a1_event_segments(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return A.event_segments(bars, breaks(bars)).select(*KEY, "i", "segment")
+
+
+@query("SELECT symbol, tf, i, greatest(n - 499, 0) AS segment FROM (SELECT *, max(i) OVER (PARTITION BY symbol) AS n FROM bars) WHERE i >= n - 499")
+def a1_contingency_segment(spark, sf_dir):
+    return A.contingency_segment(hourly(spark, sf_dir)).select(*KEY, "i", "segment")

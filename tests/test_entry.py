@@ -27,7 +27,7 @@ def plain(value):
     return None if value is None or value != value else round(value, 5) + 0.0 if isinstance(value, float) else float(value) if isinstance(value, int) and not isinstance(value, bool) else value
 
 
-@pytest.mark.parametrize("name", ["r1_ohlcv_1h", "r4_extreme_pos", "v2_atr14", "v8_regime_features", "p1_pivots_k3", "p17_ghost_trace", "l1_levels", "l2_equal_levels", "m3_fvg", "m9_trendlines", "t1_supertrend", "a2_volume_profile", "a7_vwap", "f2_labels", "n7_metrics"])
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_equals_oracle(spark, duck, name):
     got = catalog.QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
