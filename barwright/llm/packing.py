@@ -12,14 +12,11 @@ partitions by size, so for tables whose files are in an order, in_file_order()
 names the place of each row; then a run is what a task reads of a file without
 a gap, in the order of part numbers and rows.
 
-Texts are cut before every space and around every newline. Where no two white
-space characters meet, no token crosses such a cut, so the ids of a text are
-those of its chunks, and the ids of chunks are kept in a table of bounded
-bytes, because most recur. New chunks go to the same vocabulary in its ranked
-form, if that is given, else to the tokenizer. Other texts, and texts with a
-special token's string, go to the tokenizer. Very long texts are read in
-segments cut before a lone space between two other characters, where a token
-always starts.
+Where no two white space characters meet, and without control characters and
+the special token's string, the vocabulary in its ranked form splits a text as
+the tokenizer does, in less time; such texts go to it, if it is given, and all
+others to the tokenizer. Very long texts are read in segments cut before a lone
+space between two other characters, where a token always starts.
 
 Defined results: a null text is an empty text; every document, empty ones too,
 ends with the id 0; repeated rows are packed as separate documents; an empty
@@ -43,14 +40,12 @@ from pyspark.sql import functions as F
 from .common import saved, slices, small_batches
 
 SEQUENCE = 1024
-#: Where a cut before spaces and around newlines might change tokens.
+#: Texts that only the tokenizer reads.
 ODD = re.compile("\\s\\s|[\x00\x1c-\x1f]|<\\|endoftext\\|>")
 #: The split pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Where any text may be cut, and after how many characters that is done.
 CUT, SEGMENT = re.compile(r"(?<=\S) (?=\S)"), 1 << 16
-#: Bytes that the table of one Python worker may take, and what an entry takes besides its text.
-KEEP, ENTRY = 48 << 20, 180
 #: Run totals that may be broadcast (20 bytes each).
 BROADCAST_RUNS = 1 << 20
 
@@ -64,62 +59,22 @@ def segments(text: str) -> Iterator[str]:
 
 
 class Ids:
-    """Token ids of texts, with a table of chunks already seen."""
+    """Token ids of texts."""
 
     def __init__(self, vocabulary: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.ranked = ranked(ranks) if ranks else None
-        self.clear()
-
-    def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = self.held = 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def learn(self, chunks: list[str]) -> None:
-        if self.ranked:
-            encoded = list(map(self.ranked.encode_ordinary, chunks))
-        else:
-            encoded = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(lengths.sum()))
-        at, end = len(self.code), len(self.code) + len(chunks)
-        while end > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.code.update(zip(chunks, range(at, end), strict=True))
-        self.start[at:end], self.length[at:end] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.held += sum(map(len, chunks)) + ENTRY * len(chunks)
 
     def of(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
-        if len(text) <= SEGMENT:
-            return self._of(text)
         return np.concatenate([self._of(part) for part in segments(text)])
 
     def _of(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        codes = list(map(self.code.get, chunks))
-        if None in codes:
-            if self.held > KEEP:
-                self.clear()
-                codes = [None] * len(chunks)
-            self.learn(list({c for c, k in zip(chunks, codes, strict=True) if k is None}))
-            codes = list(map(self.code.get, chunks))
-        codes = np.array(codes, np.int64)
-        lengths = self.length[codes]
-        ends = np.cumsum(lengths)
-        return self.flat[np.repeat(self.start[codes] - ends + lengths, lengths) + np.arange(ends[-1])]
+        if self.ranked and not ODD.search(text):
+            return np.array(self.ranked.encode_ordinary(text), np.uint32)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def ranked(path: str):
@@ -135,7 +90,7 @@ def ranked(path: str):
 
 @functools.cache
 def worker_ids(vocabulary: str, ranks: str | None) -> Ids:
-    """One table for all tasks of a Python worker."""
+    """One tokenizer for all tasks of a Python worker."""
     return Ids(vocabulary, ranks)
 
 
@@ -170,7 +125,6 @@ def tokenise(vocabulary: str, ranks: str | None = None, end_id: int = 0):
                 first_file, first_row = zip(*starts, strict=True)
                 columns = [part.column(0), pa.array([pid] * n, pa.int32()), pa.array(runs, pa.int32()), pa.array(first_file, pa.string()), pa.array(first_row, pa.int64()), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "pid", "run", "file", "row", "local", "n", "ids"])
-        ids.clear()  # the worker lives on for other tasks
 
     return run
 

@@ -130,6 +130,21 @@ def test_packing_round_trip(spark, docs, none):
     assert packing.pack(none, vocabulary=json_).count() == 0
 
 
+def test_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    json_ = vocabulary("byte_bpe_50k.json")
+    ids, tokenizer = packing.Ids(json_, vocabulary("byte_bpe_50k.tiktoken")), Tokenizer.from_file(json_)
+    rng = np.random.default_rng(4)
+    signs = list("ab zé日²'\n\t.,!  \u00a0\x1c\u2028٣") + ["'s", "<|endoftext|>", " the", "\r\n", "word", "12"]
+    for _ in range(4000):
+        text = "".join(rng.choice(signs, rng.integers(0, 24)))
+        assert ids.of(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    long = "Some words, and  more.\n" * 9000 + "x" * 70_000 + " end"
+    assert len(list(packing.segments(long))) > 2 and "".join(packing.segments(long)) == long
+    assert ids.of(long).tolist() == tokenizer.encode(long, add_special_tokens=False).ids
+
+
 def toxic_corpus(n, seed, bad=("grobbel", "snarfig", "wextor", "plonk")):
     """Every fifth document has bad words, in whole or with endings never seen before; kinds of them don't mix."""
     rng = np.random.default_rng(seed)
