@@ -55,21 +55,19 @@ def compress(found: DataFrame, cursor: int | None = None) -> DataFrame:
         found = found.where((F.col("i") <= cursor) & (F.col("confirmed_i") <= cursor))
 
     def kernel(p: dict[str, np.ndarray]) -> dict:
+        # runs of one kind give their extreme first; the second pivot of a bar is a run of its own, as it may win over the first
+        way, at, price = np.where(p["kind"] == "high", 1, -1), p["i"], p["price"]
+        doubled = np.concatenate([[False], at[1:] == at[:-1]])[: len(at)]
+        starts = np.concatenate([[True], (way[1:] != way[:-1]) | doubled[:-1]])[: len(at)]
+        run = np.cumsum(starts)
+        best = np.lexsort((at, way * price, run))[np.flatnonzero(np.diff(run, append=run[-1:] + 1))]
         kept: list[int] = []
-        kind, at, price = p["kind"], p["i"], p["price"]
-        for k in range(len(at)):
-            if not kept:
-                kept.append(k)
-                continue
-            last = kept[-1]
-            if kind[k] == kind[last]:
-                if price[k] >= price[last] if kind[k] == "high" else price[k] <= price[last]:
-                    kept[-1] = k
-            elif at[k] == at[last]:
-                if len(kept) > 1 and abs(price[k] - price[kept[-2]]) > abs(price[last] - price[kept[-2]]):
-                    kept[-1] = k
-            else:
+        for k in best:
+            move = lambda x: abs(price[x] - price[kept[-2]]) if len(kept) > 1 else 0.0
+            if not kept or (way[k] != way[kept[-1]] and at[k] != at[kept[-1]]):
                 kept.append(k)
+            elif way[k] * (price[k] - price[kept[-1]]) >= 0 if way[k] == way[kept[-1]] else move(k) > move(kept[-1]):
+                kept[-1] = k
         return {c: p[c][kept] for c in ("kind", "i", "price", "confirmed_i")}
 
     return fold(found.select("symbol", "tf", "kind", "i", "price", "confirmed_i"), kernel, PIVOT_SCHEMA, ["i", "kind", "price"])

@@ -103,33 +103,53 @@ def supertrend(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.nda
     return value, way, upper, lower
 
 
+def _rolling(x: np.ndarray, size: int, how: np.ufunc, fill: float) -> np.ndarray:
+    """how() over the last `size` values of each bar, fewer at the start."""
+    out = x.astype(float).copy()
+    for k in range(1, min(size, len(x))):
+        out[k:] = how(out[k:], x[:-k])
+    return out
+
+
 def halftrend(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.ndarray, amplitude: int, deviation: float) -> tuple[np.ndarray, ...]:
-    """trend (0 up, 1 down), value, atr_high, atr_low, flipped."""
+    """trend (0 up, 1 down), value, atr_high, atr_low, flipped.
+
+    A scan for turns first: it seeks a turn up (+1) or down (-1) from an edge,
+    the least of the rolling highs or the greatest of the rolling lows since the
+    turn before. Then the line, stretch by stretch: from the value before the
+    turn it only rises with the edge, or only falls.
+    """
     n = len(close)
-    trend, value, flips, band = np.zeros(n, int), np.empty(n), np.zeros(n, int), np.empty(n)
-    now = waiting = 0
-    ceiling, floor_ = low[0], high[0]
-    up = down = 0.0
+    top, bottom = _rolling(high, amplitude, np.maximum, -np.inf), _rolling(low, amplitude, np.minimum, np.inf)
+    size = np.minimum(np.arange(1, n + 1), amplitude)
+    mean = {1: _rolling(low, amplitude, np.add, 0.0) / size, -1: _rolling(high, amplitude, np.add, 0.0) / size}
+    past = {way: np.concatenate([x[:1], x[:-1]]) for way, x in ((1, high), (-1, low))}
+    edges, side = np.full(n, low[0]), np.ones(n, int)
+    edge, seek, first = high[0], 1, True
     for i in range(n):
-        lo = max(0, i - amplitude + 1)
-        h, l = high[lo : i + 1], low[lo : i + 1]
-        before = now
-        if waiting == 1:
-            ceiling = max(ceiling, l.min())
-            if sum(h) / len(h) < ceiling and close[i] < low[max(i - 1, 0)]:
-                now, waiting, floor_ = 1, 0, h.max()
-        else:
-            floor_ = min(floor_, h.max())
-            if sum(l) / len(l) > floor_ and close[i] > high[max(i - 1, 0)]:
-                now, waiting, ceiling = 0, 1, l.min()
-        turned = i > 0 and now != before
-        if now == 0:
-            up = down if turned else max(ceiling, up)
-        else:
-            down = up if turned else floor_ if down == 0 else min(floor_, down)
-        trend[i], flips[i], value[i] = now, turned, up if now == 0 else down
-        band[i] = deviation * (0.0 if np.isnan(atr[i]) else atr[i]) / 2
-    return trend, value, value + band, value - band, flips
+        edge = min(edge, top[i]) if seek > 0 else max(edge, bottom[i])
+        if seek * (mean[seek][i] - edge) > 0 and seek * (close[i] - past[seek][i]) > 0:
+            edge, seek, first = (bottom if seek > 0 else top)[i], -seek, False
+        side[i] = -seek if not first else 1
+        edges[i] = low[0] if first else edge
+    starts = np.flatnonzero(np.diff(side, prepend=side[0]))
+    value, before = np.empty(n), 0.0
+    for lo, hi in zip([0, *starts], [*starts, n], strict=True):
+        run = edges[lo:hi].copy()
+        if lo:
+            run[0] = before
+        elif n:
+            run[0] = max(run[0], before)
+        if side[lo] < 0 and run[0] == 0 and len(run) > 1:
+            run[0] = np.inf
+        value[lo:hi] = (np.maximum if side[lo] > 0 else np.minimum).accumulate(run)
+        if lo and np.isinf(value[lo]):
+            value[lo] = 0.0
+        before = value[hi - 1]
+    flips = np.zeros(n, int)
+    flips[starts] = 1
+    band = deviation * np.where(np.isnan(atr), 0.0, atr) / 2
+    return (side < 0).astype(int), value, value + band, value - band, flips
 
 
 def range_filter(close: np.ndarray, smooth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
