@@ -97,6 +97,26 @@ def developing(zigzag: DataFrame, bars: DataFrame, cursor: int) -> DataFrame:
     return out.select("symbol", "tf", F.when(F.col("after") == "high", "low").otherwise("high").alias("kind"), best["i"].alias("i"), best["price"].alias("price"), F.lit(cursor).alias("confirmed_i"))
 
 
+def closed_and_active(zigzag: DataFrame, bars: DataFrame, cursor: int) -> DataFrame:
+    """Legs between known pivots, and the one from the last pivot to the extreme so far (active)."""
+    last = zigzag.groupBy("symbol", "tf").agg(F.max_by(F.struct("i", "price"), "i").alias("p"))
+    open_ = developing(zigzag, bars, cursor).join(last, ["symbol", "tf"])
+    way = F.when(F.col("price") >= F.col("p.price"), "bull").otherwise("bear")
+    open_ = open_.select("symbol", "tf", F.col("p.i").alias("from_i"), F.col("p.price").alias("from_price"), F.col("i").alias("to_i"), F.col("price").alias("to_price"), F.lit(None).cast("int").alias("confirmed_i"), way.alias("direction"), F.lit(True).alias("active"))
+    return segments(zigzag).withColumn("active", F.lit(False)).unionByName(open_)
+
+
+def at_resolution(bars: DataFrame, coarse: DataFrame, k: int) -> DataFrame:
+    """Pivots of coarse bars (with high_index, low_index and source_end) placed on the finer bars: i is the bar of the
+    extreme, confirmed_i the last fine bar of the coarse bar that confirms."""
+    found = pivots(coarse, k)
+    own = coarse.select("symbol", "i", "high_index", "low_index")
+    end = coarse.select("symbol", F.col("i").alias("confirmed_i"), "source_end")
+    at = found.join(own, ["symbol", "i"]).join(end, ["symbol", "confirmed_i"])
+    placed = at.select("symbol", "kind", F.when(F.col("kind") == "high", F.col("high_index")).otherwise(F.col("low_index")).alias("i"), "price", F.col("source_end").alias("confirmed_i"))
+    return placed.join(bars.select("symbol", "tf", "i", "time"), ["symbol", "i"])
+
+
 INTERNAL_SCHEMA = "kind string, i int, price double, confirmed_i int"
 
 

@@ -149,11 +149,20 @@ def missed_anchor(missed: DataFrame, cursor: int) -> DataFrame:
 
 
 def range_vwap(bars: DataFrame, spans: DataFrame) -> DataFrame:
-    """VWAP over any (first, last) from running sums: two lookups a span instead of a scan."""
+    """VWAP and volume-weighted deviation over any (first, last) from running sums: two lookups a span instead of a scan.
+
+    Sums are of differences to the series' first price, so that squares don't cancel.
+    """
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3.0
     w = along().rowsBetween(Window.unboundedPreceding, 0)
-    sums = bars.select(*KEY, "i", F.sum("volume").over(w).alias("v"), F.sum(F.col("volume") * tp).over(w).alias("p"))
-    hi = sums.select(*KEY, F.col("i").alias("last"), F.col("v").alias("__v1"), F.col("p").alias("__p1"))
-    lo = sums.select(*KEY, (F.col("i") + 1).alias("first"), F.col("v").alias("__v0"), F.col("p").alias("__p0"))
-    out = spans.join(hi, [*KEY, "last"]).join(lo, [*KEY, "first"], "left").na.fill(0.0, ["__v0", "__p0"])
-    return out.withColumn("vwap", F.try_divide(F.col("__p1") - F.col("__p0"), F.col("__v1") - F.col("__v0"))).drop("__v0", "__v1", "__p0", "__p1")
+    at = bars.withColumn("__ref", F.first(tp).over(w))
+    d = tp - F.col("__ref")
+    sums = at.select(*KEY, "i", "__ref", F.sum("volume").over(w).alias("v"), F.sum(F.col("volume") * d).over(w).alias("p"), F.sum(F.col("volume") * d * d).over(w).alias("q"))
+    hi = sums.select(*KEY, "__ref", F.col("i").alias("last"), *[F.col(c).alias(f"__{c}1") for c in "vpq"])
+    lo = sums.select(*KEY, (F.col("i") + 1).alias("first"), *[F.col(c).alias(f"__{c}0") for c in "vpq"])
+    zero = [f"__{c}0" for c in "vpq"]
+    out = spans.join(hi, [*KEY, "last"]).join(lo, [*KEY, "first"], "left").na.fill(0.0, zero)
+    part = lambda c: F.col(f"__{c}1") - F.col(f"__{c}0")
+    mean = F.try_divide(part("p"), part("v"))
+    spread = F.greatest(F.try_divide(part("q"), part("v")) - mean * mean, F.lit(0.0))
+    return out.withColumn("vwap", F.col("__ref") + mean).withColumn("sigma", F.when(mean.isNotNull(), F.sqrt(spread))).drop("__ref", *zero, "__v1", "__p1", "__q1")

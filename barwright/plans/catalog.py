@@ -248,11 +248,11 @@ def with_(body: str) -> str:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candles_from_events(spark, sf_dir, 60)
+    return candles_from_events(spark, sf_dir, 60, offset=100)
 
 
 def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candles_from_events(spark, sf_dir, 1)
+    return candles_from_events(spark, sf_dir, 1, offset=100)
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -789,7 +789,9 @@ def a10_missed_anchor(spark, sf_dir):
     return A.missed_anchor(P.missed_pivots(hourly(spark, sf_dir), 5), 150)
 
 
-@query("""SELECT a.symbol, 60 AS tf, a.i AS last, a.i - 19 AS first, round(sum(b.volume * (b.high + b.low + b.close) / 3) / sum(b.volume) + 3e-8, 6) AS vwap FROM bars a JOIN bars b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 19 AND a.i WHERE a.i >= 19 GROUP BY a.symbol, a.i""")
+@query("""SELECT *, round(sqrt(greatest((SELECT sum(b.volume * ((b.high + b.low + b.close) / 3 - m) ** 2) / sum(b.volume) FROM bars b WHERE b.symbol = r.symbol AND b.i BETWEEN r.first AND r.last), 0)), 6) AS sigma FROM (
+  SELECT a.symbol, 60 AS tf, a.i AS last, a.i - 19 AS first, round(sum(b.volume * (b.high + b.low + b.close) / 3) / sum(b.volume) + 3e-8, 6) AS vwap, sum(b.volume * (b.high + b.low + b.close) / 3) / sum(b.volume) AS m
+  FROM bars a JOIN bars b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 19 AND a.i WHERE a.i >= 19 GROUP BY a.symbol, a.i) r""".replace("SELECT *, round(sqrt", "SELECT symbol, tf, last, first, vwap, round(sqrt"))
 def a12_range_vwap(spark, sf_dir):
     bars = hourly(spark, sf_dir)
     return A.range_vwap(bars, bars.where("i >= 19").select(*KEY, F.col("i").alias("last"), (F.col("i") - 19).alias("first"))).withColumn("vwap", F.col("vwap") + 3e-8)
@@ -1002,3 +1004,33 @@ def a1_event_segments(spark, sf_dir):
 @query("SELECT symbol, tf, i, greatest(n - 499, 0) AS segment FROM (SELECT *, max(i) OVER (PARTITION BY symbol) AS n FROM bars) WHERE i >= n - 499")
 def a1_contingency_segment(spark, sf_dir):
     return A.contingency_segment(hourly(spark, sf_dir)).select(*KEY, "i", "segment")
+
+
+@query("""SELECT symbol, tf, from_i, round(from_price, 6) AS from_price, i AS to_i, round(price, 6) AS to_price, confirmed_i, CASE WHEN price >= from_price THEN 'bull' ELSE 'bear' END AS direction, active FROM (
+  SELECT symbol, tf, i, price, confirmed_i, lag(i) OVER w AS from_i, lag(price) OVER w AS from_price, false AS active FROM zz150 WINDOW w AS (PARTITION BY symbol ORDER BY i)
+  UNION ALL
+  SELECT b.symbol, 60, CASE z.kind WHEN 'high' THEN arg_max(b.i, (-b.low, b.i)) ELSE arg_max(b.i, (b.high, b.i)) END, CASE z.kind WHEN 'high' THEN min(b.low) ELSE max(b.high) END, NULL, z.i, z.price, true
+  FROM bars b JOIN (SELECT symbol, arg_max(kind, i) AS kind, arg_max(price, i) AS price, max(i) AS i FROM zz150 GROUP BY symbol) z ON z.symbol = b.symbol WHERE b.i > z.i AND b.i <= 150 GROUP BY b.symbol, z.kind, z.i, z.price)
+WHERE from_i IS NOT NULL AND from_i <> i""")
+def p13_closed_and_active(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return P.closed_and_active(P.compress(external(bars), 150), bars, 150)
+
+
+@query("""SELECT p.symbol, m.tf, p.kind, m.i, m.time, round(p.price, 6) AS price, e.last AS confirmed_i
+FROM pv3 p JOIN (SELECT symbol, time // 3600 * 3600 AS h, arg_min(i, (-high, i)) AS hi, arg_min(i, (low, i)) AS li FROM minutes GROUP BY ALL) x ON x.symbol = p.symbol AND x.h = p.time
+JOIN bars c ON c.symbol = p.symbol AND c.i = p.confirmed_i JOIN (SELECT symbol, time // 3600 * 3600 AS h, max(i) AS last FROM minutes GROUP BY ALL) e ON e.symbol = p.symbol AND e.h = c.time
+JOIN minutes m ON m.symbol = p.symbol AND m.i = CASE p.kind WHEN 'high' THEN x.hi ELSE x.li END""")
+def p4_pivots_at_resolution(spark, sf_dir):
+    fine = minutes(spark, sf_dir)
+    return P.at_resolution(fine, B.resample_extremes(fine, 60), 3)
+
+
+@query("""SELECT symbol, tf, event_time, "Y_5m" AS "actual_Y_5m", p AS "prediction_Y_5m", "Y_5m" - p AS "residual_Y_5m" FROM (
+  SELECT symbol, 60 AS tf, time AS event_time, volume::BIGINT AS "Y_5m", coalesce(lag(volume) OVER (PARTITION BY symbol ORDER BY i), 0)::BIGINT AS p FROM bars)""")
+def s10_prediction_rows(spark, sf_dir):
+    from ..operators.core import along
+    from ..sources.candles import predictions
+
+    bars = hourly(spark, sf_dir).withColumn("event_time", F.col("time")).withColumn("Y_5m", F.col("volume").cast("long"))
+    return predictions(bars.withColumn("p", F.coalesce(F.lag("Y_5m").over(along()), F.lit(0).cast("long"))), ["Y_5m"], ["p"], [*KEY, "event_time"])

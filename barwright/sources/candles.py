@@ -6,6 +6,7 @@ A bar table has symbol, tf (minutes), i (0-based ordinal of the series), time
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 import hashlib
 import json
 from pathlib import Path
@@ -88,17 +89,17 @@ def check(bars: DataFrame, order: str = "time") -> DataFrame:
     return bars
 
 
-def candles_from_events(spark: SparkSession, sf_dir: str, tf: int = 60, symbol: str = "event_type") -> DataFrame:
-    """Bars of the tick-like events table: one series for each event type, or a single one for symbol=None."""
+def candles_from_events(spark: SparkSession, sf_dir: str, tf: int = 60, symbol: str = "event_type", offset: float = 0.0) -> DataFrame:
+    """Bars of the tick-like events table: one series for each event type, or a single one for symbol=None; `offset` is added to each value."""
     ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "value", *([symbol] if symbol else []))
-    return with_index(candles(ticks.withColumn("symbol", F.col(symbol) if symbol else F.lit("ALL")), tf))
+    return with_index(candles(ticks.withColumn("symbol", F.col(symbol) if symbol else F.lit("ALL")), tf, price=F.col("value") + offset))
 
 
-def candles(ticks: DataFrame, tf: int) -> DataFrame:
-    """Bars of ticks (symbol, ts, event_id, value); price is value + 100, volume the number of ticks."""
+def candles(ticks: DataFrame, tf: int, price: Column | str = "value") -> DataFrame:
+    """Bars of ticks (symbol, ts, event_id and a price); volume is the number of ticks."""
     second = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     at = F.struct("ts", "event_id")
-    px = F.col("value") + 100
+    px = F.col(price) if isinstance(price, str) else price
     priced = ticks.select("symbol", (F.floor(second / (tf * 60)) * (tf * 60)).alias("time"), px.alias("px"), at.alias("at"))
     return priced.groupBy("symbol", "time").agg(F.min_by("px", "at").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "at").alias("close"), F.count(F.lit(1)).cast("double").alias("volume")).select("symbol", F.lit(tf).alias("tf"), "time", *PRICES, "volume")
 
@@ -121,6 +122,21 @@ def write_rows(df: DataFrame, path: str, kind: str = "parquet", **options) -> No
     writer.csv(path, header=True, nullValue="", **options) if kind == "csv" else writer.parquet(path, **options)
 
 
+def write_features(df: DataFrame, path: str, metadata: Sequence[str], features: Sequence[str], targets: Sequence[str]) -> None:
+    """CSV of exactly these columns in this order: numbers with ten significant digits, nulls empty, quotes doubled."""
+    kinds = dict(df.dtypes)
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.[0-9]*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
+    shown = lambda c: bare(F.format_string("%.10g", F.col(c).cast("double"))) if kinds[c] in ("double", "float") else F.col(c)
+    columns = [F.when(F.col(c).isNotNull(), shown(c)).alias(c) for c in (*metadata, *features, *targets)]
+    df.select(columns).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", escape='"')
+
+
+def predictions(rows: DataFrame, targets: Sequence[str], predicted: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Kept columns, then actual_<t>, prediction_<t> and residual_<t> (actual less prediction) of each target."""
+    of = lambda t, p: (F.col(t).alias(f"actual_{t}"), F.col(p).alias(f"prediction_{t}"), (F.col(t) - F.col(p)).alias(f"residual_{t}"))
+    return rows.select(*keep, *[c for t, p in zip(targets, predicted, strict=True) for c in of(t, p)])
+
+
 def read_features(spark: SparkSession, path: str, targets: dict[str, int]) -> DataFrame:
     """Feature rows in time order; rows whose label is incomplete or negative are left out; impossible labels raise."""
     rows = (spark.read.csv(path, header=True, inferSchema=True) if path.endswith(".csv") else spark.read.parquet(path)).dropna(subset=list(targets))
@@ -134,5 +150,8 @@ def read_features(spark: SparkSession, path: str, targets: dict[str, int]) -> Da
 
 def report(path: str, values: dict, inputs: tuple[str, ...] = ()) -> None:
     """A JSON report with the SHA-256 of its local inputs."""
-    digest = {p: hashlib.sha256(Path(p).read_bytes()).hexdigest() for p in inputs}
+    digest = {}
+    for p in inputs:
+        with open(p, "rb") as f:
+            digest[p] = hashlib.file_digest(f, "sha256").hexdigest()
     Path(path).write_text(json.dumps(values | {"inputs": digest}, indent=2, sort_keys=True) + "\n")

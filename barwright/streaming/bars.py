@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 
-def live_bars(ticks: DataFrame, tf: int, late: str = "10 minutes") -> DataFrame:
-    """Bars of a stream of ticks (symbol, ts, event_id, value); ticks later than the watermark are dropped.
+def live_bars(ticks: DataFrame, tf: int, late: str = "10 minutes", price: str = "value") -> DataFrame:
+    """Bars of a stream of ticks (symbol, ts, event_id and a price); ticks later than the watermark are dropped.
 
     In append mode a bar is emitted once the watermark has passed its end; in
     update mode with every change.
     """
     stamped = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    at, px = F.struct("ts", "event_id"), F.col("value") + 100
+    at, px = F.struct("ts", "event_id"), F.col(price)
     bars = stamped.groupBy("symbol", F.window("ts", f"{tf} minutes").alias("w")).agg(F.min_by(px, at).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, at).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
     return bars.select("symbol", F.lit(tf).alias("tf"), F.unix_timestamp("w.start").alias("time"), "open", "high", "low", "close", "volume")
 

@@ -89,3 +89,14 @@ def test_zone_levels(spark):
     assert got[0] == (0, pytest.approx(106.18)) and len(got) == 8
     short = rows(Z.zone_levels(zigzag.where("i < 14").unionByName(zigzag.limit(1).selectExpr("symbol", "tf", "'high' kind", "14 i", "105.0D price", "14 confirmed_i")), 20), "ratio")
     assert short == [(0.618,), (0.786,), (1.0,)]
+
+
+def test_features_are_written_as_named(spark, tmp_path):
+    from barwright.sources.candles import predictions, write_features
+
+    rows = spark.createDataFrame([(1, 'a "b", c', 1 / 3, None, 2), (2, None, 1e20, 0.5, None)], "t long, name string, x double, y double, z int")
+    write_features(rows.coalesce(1), str(tmp_path / "f"), ["t", "name"], ["y", "x"], ["z"])
+    text = next((tmp_path / "f").glob("part-*")).read_text()
+    assert text == 't,name,y,x,z\n1,"a ""b"", c",,0.3333333333,2\n2,,0.5,1e+20,\n'
+    out = predictions(rows, ["x"], ["z"], ["t"])
+    assert out.columns == ["t", "actual_x", "prediction_x", "residual_x"] and out.first().residual_x == 1 / 3 - 2
