@@ -80,6 +80,11 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return rows.select("doc_id", "path", "word_index", "run_index", F.concat(left, run["run"], right).alias("word"), before.alias("before"), F.coalesce(run["after"], F.lit("")).alias("after"), run["run"].alias("finding"))
 
 
+def listed(items: Sequence[str]) -> Column:
+    """The items, which have no spaces, as one constant array: the plan holds a literal, whatever their number."""
+    return F.split(F.lit(" ".join(items)), " ") if items else F.array().cast("array<string>")
+
+
 def letters(text: Column) -> Column:
     """The distinct runs of 2 or more letters, in lower case, joined words apart."""
     apart = F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z])([A-Z])", "$1 $2")
@@ -110,9 +115,9 @@ def _around(word: Column, finding: Column, before: Column, after: Column) -> Col
 def _odds(around: Column, odds: dict[str, float]) -> Column:
     if not odds:
         return F.lit(0.0)
-    table = F.create_map(*[F.lit(x) for kv in sorted(odds.items()) for x in kv])
-    known = F.array_intersect(letters(around), F.array(*map(F.lit, sorted(odds))))
-    return F.aggregate(known, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
+    table = F.str_to_map(F.lit(" ".join(f"{w}:{x!r}" for w, x in sorted(odds.items()))), F.lit(" "), F.lit(":"))
+    known = F.array_intersect(letters(around), listed(sorted(odds)))
+    return F.aggregate(known, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(table, w).cast("double"), F.lit(0.0)))
 
 
 def described(found: DataFrame, knowledge: Knowledge) -> DataFrame:
@@ -123,7 +128,7 @@ def described(found: DataFrame, knowledge: Knowledge) -> DataFrame:
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(core, "[^A-Za-z0-9]", "-"), "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
     squeezed = F.length(F.regexp_replace(classes, r"(.)\1+", "$1"))
     has = lambda c, pattern: F.coalesce(c, F.lit("")).rlike(pattern).cast("double")
-    runs = F.array_intersect(letters(core), F.array(*map(F.lit, knowledge.dictionary)).cast("array<string>"))
+    runs = F.array_intersect(letters(core), listed(knowledge.dictionary))
     left = F.concat_ws(" ", "before", F.substring("word", F.lit(1), F.instr("word", core) - 1))
     out: dict[str, Column] = {
         "length": n,
@@ -153,7 +158,7 @@ def findings(spark: SparkSession, n: int = 4000, dictionary: Sequence[str] = ())
     r = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k))
     made = lambda salt: F.translate(F.substring(h(salt), 1, 7), "0123456789abcdef", "etaoinshrdlucmfg")
     real = [w for w in dictionary if w.isascii() and len(w) > 3] or ["about", "entry", "model", "value"]
-    known = lambda salt: F.element_at(F.array(*map(F.lit, real)), (r(salt, len(real)) + 1).cast("int"))
+    known = lambda salt: F.element_at(listed(real), (r(salt, len(real)) + 1).cast("int"))
     word = lambda salt: F.when(r(salt + "k", 2) == 0, known(salt)).otherwise(made(salt))
     pick = lambda salt, *texts: F.element_at(F.array(*[F.lit(t) for t in texts]), (r(salt, len(texts)) + 1).cast("int"))
     mixed = F.concat(F.substring(base64("a"), 1, 20), F.substring(h("d"), 1, 4), F.substring(base64("b"), 1, 16))
@@ -205,6 +210,7 @@ def _vectors(found: DataFrame, knowledge: Knowledge) -> DataFrame:
 def train(labelled: DataFrame, dictionary: Sequence[str] = (), *, trees: int = 24, depth: int = 7, seed: int = 11, known: int = 128) -> Scanner:
     """The scanner of labelled (doc_id, text, secret, and path if there is one)."""
     path = "path" if "path" in labelled.columns else None
+    labelled = saved(labelled.select("doc_id", "text", "secret", *([path] if path else [])), "secret-labels")
     rows = saved(candidates(labelled, path_col=path).join(labelled.select("doc_id", F.col("secret").cast("double").alias("secret")), "doc_id"), "secret-findings")
     around = _around(F.col("word"), F.col("finding"), F.col("before"), F.col("after"))
     knowledge = Knowledge(list(dictionary), learnt_odds(rows, around, known), learnt_odds(rows, F.col("path"), known))
