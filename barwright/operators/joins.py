@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +25,13 @@ def as_of(left: DataFrame, right: DataFrame, at: str, known: str, columns: list[
     return both.select("__l.*", *[F.col(f"__v.{c}").alias(prefix + c) for c in columns])
 
 
-def within(points: DataFrame, spans: DataFrame, at: str, first: str, last: str, bucket: int = BUCKET) -> DataFrame:
+def within(points: DataFrame, spans: DataFrame, at: str, first: str, last: str, bucket: int = BUCKET, also: Sequence[str] = ()) -> DataFrame:
     """Pairs of points and spans of a series with first <= at <= last (null last: open); each span meets its buckets only.
 
-    An open span lasts to its series' last point.
+    An open span lasts to its series' last point. Columns in `also` must be equal too.
     """
     end = points.groupBy(*KEY).agg(F.max(at).alias("__end"))
     s = spans.join(end, KEY).withColumn("__last", F.least(F.coalesce(last, "__end"), F.col("__end"))).where(F.col(first) <= F.col("__last"))
     s = s.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(first) / bucket), F.floor(F.col("__last") / bucket))))
     p = points.withColumn("__bucket", F.floor(F.col(at) / bucket))
-    return p.join(s, [*KEY, "__bucket"]).where((F.col(at) >= F.col(first)) & (F.col(at) <= F.col("__last"))).drop("__bucket", "__last", "__end")
+    return p.join(s, [*KEY, "__bucket", *also]).where((F.col(at) >= F.col(first)) & (F.col(at) <= F.col("__last"))).drop("__bucket", "__last", "__end")

@@ -134,12 +134,23 @@ def as_of(found: DataFrame, cursor: int) -> DataFrame:
 
 
 def nearest(bars: DataFrame, found: DataFrame, *, near_internal: float = 0.5, near_external: float = 0.75) -> DataFrame:
-    """For each bar the nearest open level of either scope within a multiple of atr (first in order on ties)."""
+    """For each bar the nearest open level of either scope within a multiple of atr (first in order on ties).
+
+    Bars and levels meet by stretch of time and by band of price, as wide as the
+    farthest that any bar of the series looks, so a bar doesn't see every level
+    that is still open.
+    """
     from .joins import within
 
+    known = bars.select(*KEY, "i", "close", "atr").where("atr > 0")
+    width = known.groupBy(*KEY).agg((F.max("atr") * max(near_internal, near_external)).alias("__w"))
+    band = lambda c: F.floor(F.col(c) / F.col("__w"))
+    known = known.join(width, KEY).withColumn("__band", band("close")).drop("__w")
+
     spans = found.withColumn("__to", F.col("resolved_i") - 1).withColumnRenamed("i", "level_i")
     spans = spans.select(*KEY, "level_i", "price", "type", "scope", "scope_confirmed_i", "confirmed_i", "__to", F.when(F.col("side") == "sh", 0).otherwise(1).alias("__o"))
-    two = within(bars.select(*KEY, "i", "close", "atr").where("atr > 0"), spans, "i", "confirmed_i", "__to")
+    spans = spans.join(width, KEY).withColumn("__band", F.explode(F.array(*[band("price") + k for k in (-1, 0, 1)]))).drop("__w")
+    two = within(known, spans, "i", "confirmed_i", "__to", also=["__band"])
     outer = (F.col("scope") == "external") & (F.col("scope_confirmed_i") <= F.col("i"))
     two = two.withColumn("outer", outer).withColumn("distance", F.abs(F.col("close") - F.col("price")))
     two = two.where(F.col("distance") <= F.col("atr") * F.when(F.col("outer"), near_external).otherwise(near_internal))
