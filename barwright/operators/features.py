@@ -85,16 +85,17 @@ def snapshot(events: DataFrame, bars: DataFrame, levels: DataFrame, gaps: DataFr
     points = reference_price(events, bars).withColumn("cursor", F.col("event_i") - 1).where("cursor >= 0")
     id_ = [*KEY, "event_i"]
     points = points.select(*id_, "event_time", "cursor", "ref")
-    out = points
-    open_levels = levels.withColumn("end_i", F.col("resolved_i"))
-    for side in ("sh", "sl"):
-        pairs = active(points, open_levels.where(F.col("side") == side).select(*KEY, "price", "confirmed_i", "end_i"), "cursor")
-        out = out.join(nearest_price(pairs, id_).select(*id_, F.col("pips").alias(f"level_{side}_pips")), id_, "left")
+    spans = levels.select(*KEY, F.concat(F.lit("level_"), "side").alias("what"), F.col("price").alias("top"), F.col("price").alias("bottom"), "confirmed_i", F.col("resolved_i").alias("end_i"))
     for name, zones in (("gap", gaps), ("block", blocks)):
-        for way in ("bull", "bear"):
-            pairs = active(points, zones.where(F.col("direction") == way).select(*KEY, "top", "bottom", "confirmed_i", "end_i"), "cursor")
-            out = out.join(nearest_zone(pairs, id_).select(*id_, F.col("pips").alias(f"{name}_{way}_pips")), id_, "left")
-    return out
+        spans = spans.unionByName(zones.select(*KEY, F.concat(F.lit(f"{name}_"), "direction").alias("what"), "top", "bottom", "confirmed_i", "end_i"))
+    mid = (F.col("top") + F.col("bottom")) / 2
+    is_level = F.col("what").startswith("level_")
+    nearer = F.struct(F.abs(mid - F.col("ref")).alias("d"), F.when(is_level, -mid).otherwise(-F.col("confirmed_i")).alias("tie"))
+    names = ("level_sh", "level_sl", "gap_bull", "gap_bear", "block_bull", "block_bear")
+    best = [F.min_by(F.when(F.col("what") == n, mid), F.when(F.col("what") == n, nearer)).alias(n) for n in names]
+    found = active(points, spans, "cursor").groupBy(*id_).agg(*best)
+    out = points.join(found, id_, "left")
+    return out.select(*points.columns, *[signed_pips(F.col(n), F.col("ref")).alias(f"{n}_pips") for n in names])
 
 
 def fit_scaler(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:

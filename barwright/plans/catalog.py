@@ -444,7 +444,7 @@ def p15_missed_pivots(spark, sf_dir):
     return P.missed_pivots(hourly(spark, sf_dir), 5)
 
 
-@query("""SELECT symbol, 60 AS tf, event_i, CASE WHEN opens THEN last[2] ELSE bar END AS ghost_i, round(abs(CASE WHEN opens THEN last[1] ELSE own END), 6) AS ghost_price, ghost_type, relocation, anchor_i, anchor_type, event_time FROM (
+GHOST = """SELECT symbol, 60 AS tf, event_i, CASE WHEN opens THEN last[2] ELSE bar END AS ghost_i, round(abs(CASE WHEN opens THEN last[1] ELSE own END), 6) AS ghost_price, ghost_type, relocation, anchor_i, anchor_type, event_time FROM (
   SELECT b.symbol, b.i AS event_i, b.time AS event_time, s.anchor AS anchor_i, CASE WHEN s.kind = 'high' THEN 'high' ELSE 'low' END AS anchor_type,
          CASE WHEN s.kind = 'high' THEN 'low' ELSE 'high' END AS ghost_type, b.i = greatest(s.known, 1) AS opens,
          CASE WHEN b.i = greatest(s.known, 1) THEN 'appearance' ELSE 'move' END AS relocation,
@@ -456,7 +456,10 @@ def p15_missed_pivots(spark, sf_dir):
     SELECT symbol, known, arg_max(anchor, kind = 'low') AS anchor, arg_max(kind, kind = 'low') AS kind FROM (
       SELECT symbol, confirmed_i AS known, i AS anchor, kind FROM tied) GROUP BY symbol, known
     UNION ALL SELECT DISTINCT symbol, 0, 0, 'initial' FROM bars) s ON s.symbol = b.symbol AND b.i >= s.known WHERE b.i >= 1)
-WHERE opens OR own > best""")
+WHERE opens OR own > best"""
+
+
+@query(GHOST)
 def p17_ghost_trace(spark, sf_dir):
     return P.ghost_trace(hourly(spark, sf_dir), 5)
 
@@ -819,13 +822,22 @@ def f3_last_closed(spark, sf_dir):
     return X.last_closed(bars, minutes(spark, sf_dir), 1, "time").select(*KEY, "i", "closed_i")
 
 
-@query()
+@query(f"""SELECT symbol, tf, event_i, event_time, cursor, round(ref, 6) AS ref, round((level_sh - ref) / 0.25, 6) AS level_sh_pips, round((level_sl - ref) / 0.25, 6) AS level_sl_pips, round((gap_bull - ref) / 0.25, 6) AS gap_bull_pips,
+       round((gap_bear - ref) / 0.25, 6) AS gap_bear_pips, round((block_bull - ref) / 0.25, 6) AS block_bull_pips, round((block_bear - ref) / 0.25, 6) AS block_bear_pips FROM (
+  SELECT p.symbol, p.tf, p.event_i, p.event_time, p.cursor, p.ref, {', '.join(f"arg_min(z.mid, (abs(z.mid - p.ref), z.tie)) FILTER (z.what = '{w}') AS {w}" for w in ("level_sh", "level_sl", "gap_bull", "gap_bear", "block_bull", "block_bear"))}
+  FROM (SELECT e.symbol, e.tf, e.event_i, e.event_time, e.event_i - 1 AS cursor, (g.high + g.low + g.close) / 3 AS ref FROM ({GHOST}) e JOIN bars g ON g.symbol = e.symbol AND g.i = e.ghost_i WHERE e.event_i >= 1) p
+  LEFT JOIN (
+    SELECT symbol, 'level_' || side AS what, price AS mid, -price AS tie, confirmed_i, resolved_i AS end_i FROM ends
+    UNION ALL
+    SELECT f.symbol, f.what || '_' || f.direction, (f.top + f.bottom) / 2, -f.confirmed_i, f.confirmed_i, min(b.i) FROM (
+      SELECT 'gap' AS what, symbol, direction, top, bottom, confirmed_i, i AS k FROM fvg UNION ALL SELECT 'block', symbol, direction, top, bottom, confirmed_i, row_number() OVER () FROM obs) f
+    LEFT JOIN bars b ON b.symbol = f.symbol AND b.i > f.confirmed_i AND f.top > f.bottom AND CASE f.direction WHEN 'bull' THEN b.low <= f.bottom ELSE b.high >= f.top END
+    GROUP BY f.symbol, f.what, f.direction, f.top, f.bottom, f.confirmed_i, f.k) z ON z.symbol = p.symbol AND z.confirmed_i <= p.cursor AND (z.end_i IS NULL OR z.end_i > p.cursor)
+  GROUP BY ALL)""")
 def f8_snapshot_1h(spark, sf_dir):
-    # six joins read these tables; kept, each is made once
-    bars = hourly(spark, sf_dir).persist()
-    blocks = S.lifecycle(bars, S.order_blocks(bars, lifted(spark, sf_dir))).persist()
-    events = P.ghost_trace(bars, 5).persist()
-    return X.snapshot(events, bars, L.levels(bars).persist(), S.lifecycle(bars, S.gaps(bars)).persist(), blocks)
+    bars = hourly(spark, sf_dir)
+    blocks = S.lifecycle(bars, S.order_blocks(bars, lifted(spark, sf_dir)))
+    return X.snapshot(P.ghost_trace(bars, 5), bars, L.levels(bars), S.lifecycle(bars, S.gaps(bars)), blocks)
 
 
 @query("""SELECT symbol, 60 AS tf, available_i, round(h, 6) AS resistance, round(l, 6) AS support FROM (
