@@ -14,28 +14,32 @@ from barwright.llm import common, exact, jaccard, mixing, packing, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity chain doesn't reject."""
+    """Documents that the toxicity chain doesn't reject; null and blank texts stay, repeated rows are judged each, without usable labels all stay."""
     chain = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain).where(~F.col("toxic")).select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, whatever ids repeat or are null."""
+    """One row of each group of equal texts (white space aside): the longest, then of least doc_id, null first, then the first
+    read; null counts as empty, and ids may repeat or be null."""
     return exact.distinct(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of the Jaccard join, and all rows without words."""
+    """One row of each component of the Jaccard join: of least doc_id, null first, then the first read; and all rows without
+    words, which are linked with nothing. Ids may repeat or be null."""
     return jaccard.distinct(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies that the mix takes, in training order; a document taken twice is there twice."""
+    """The copies that the mix takes, in training order; a document taken twice is there twice, null and blank texts have no
+    words and are copied as their place says; a null source is a source of its own."""
     return mixing.training_order(mixing.mix(docs)).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens, in the order of the mix, which the files that docs are read from keep."""
+    """Pieces of sequences of 1024 tokens, in the order of the mix, which the files that docs are read from keep; null and blank
+    texts give their ids and the end id, repeated rows are packed each, no rows give no piece."""
     return packing.pack(packing.in_file_order(docs), vocabulary=vocabulary_path("byte_bpe_50k.json"), ranks=vocabulary_path("byte_bpe_50k.tiktoken"))
 
 
