@@ -6,7 +6,7 @@ from public_tokenizers import path as VOCABULARY
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, htmltext, jaccard, mixing, packing, quality, secrets, tokencount, toxicity, urls
+from . import decontaminate, exact, htmltext, jaccard, mixing, packing, quality, secrets, tokencount, toxicity, urls
 from .common import saved, table, word_count
 
 
@@ -63,5 +63,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, templates).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_source_mixing, op3_html_extraction, op4_ngram_jaccard_join, op5_toxicity, op6_exact_dedup, op7_packing, op8_token_counts, op9_quality_rules, op10_url_filters)}
-ORACLE = {"op2_source_mixing": mixing.ORACLE, "op6_exact_dedup": exact.ORACLE, "op9_quality_rules": quality.ORACLE, "op10_url_filters": urls.ORACLE}
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = decontaminate.scan(table(spark, sf_dir, "documents"), decontaminate.windows(table(spark, sf_dir, "benchmark")))
+    return told.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_source_mixing, op3_html_extraction, op4_ngram_jaccard_join, op5_toxicity, op6_exact_dedup, op7_packing, op8_token_counts, op9_quality_rules, op10_url_filters, op12_benchmark_decontamination)}
+ORACLE = {"op2_source_mixing": mixing.ORACLE, "op6_exact_dedup": exact.ORACLE, "op9_quality_rules": quality.ORACLE, "op10_url_filters": urls.ORACLE, "op12_benchmark_decontamination": decontaminate.ORACLE}
