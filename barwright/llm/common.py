@@ -94,6 +94,22 @@ def saved(df: DataFrame, name: str, **options) -> DataFrame:
     return written(df, name, **options)[0]
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], share: int = 1000) -> DataFrame:
+    """left with the columns of right (one row for each key, none null), null where it has no such key; left is read three times.
+
+    At most `share` keys have more than 1/share of left's rows each; what right
+    has of them is broadcast, so that no task gets all rows of such a key. The
+    other rows are shuffled.
+    """
+    most = left.count() / share
+    hot = saved(left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select(*on), "hot-keys")
+    near = F.broadcast(saved(right.join(F.broadcast(hot), on, "left_semi"), "hot-rows"))
+    columns = [*left.columns, *[c for c in right.columns if c not in on]]
+    some = left.join(F.broadcast(hot), on, "left_semi").join(near, on, "left")
+    others = left.join(F.broadcast(hot), on, "left_anti").join(right, on, "left")
+    return some.select(*columns).unionByName(others.select(*columns))
+
+
 def run_id() -> str:
     return uuid.uuid4().hex
 

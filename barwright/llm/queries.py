@@ -6,7 +6,7 @@ from public_tokenizers import path as VOCABULARY
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, htmltext, jaccard, mixing, packing, quality, secrets, tokencount, toxicity, urls
+from . import conversations, decontaminate, exact, htmltext, jaccard, mixing, packing, phrases, quality, secrets, tokencount, toxicity, urls
 from .common import saved, table, word_count
 
 
@@ -63,10 +63,24 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, templates).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.repair(conversations.damage(rows))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    told = rows.select("conv_id").distinct().withColumn("key", conversations.key_of(F.col("conv_id")))
+    told = told.join(found.audits.drop("conv_id"), "key", "left").join(conversations.hashed(found.rows), "key", "left")
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return told.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", empty).alias("repaired_sha256"))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = decontaminate.scan(table(spark, sf_dir, "documents"), decontaminate.windows(table(spark, sf_dir, "benchmark")))
     return told.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_source_mixing, op3_html_extraction, op4_ngram_jaccard_join, op5_toxicity, op6_exact_dedup, op7_packing, op8_token_counts, op9_quality_rules, op10_url_filters, op12_benchmark_decontamination)}
-ORACLE = {"op2_source_mixing": mixing.ORACLE, "op6_exact_dedup": exact.ORACLE, "op9_quality_rules": quality.ORACLE, "op10_url_filters": urls.ORACLE, "op12_benchmark_decontamination": decontaminate.ORACLE}
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_source_mixing, op3_html_extraction, op4_ngram_jaccard_join, op5_toxicity, op6_exact_dedup, op7_packing, op8_token_counts, op9_quality_rules, op10_url_filters, op11_conversation_repair, op12_benchmark_decontamination, op13_phrase_collocations)}
+ORACLE = {"op2_source_mixing": mixing.ORACLE, "op6_exact_dedup": exact.ORACLE, "op9_quality_rules": quality.ORACLE, "op10_url_filters": urls.ORACLE, "op11_conversation_repair": conversations.ORACLE, "op12_benchmark_decontamination": decontaminate.ORACLE, "op13_phrase_collocations": phrases.ORACLE}
