@@ -221,15 +221,17 @@ def solved(told: DataFrame, fan: int) -> DataFrame:
     signatures = told.select("signature").distinct()
     solutions = saved(signatures.mapInPandas(_solve_all, "signature string, costs array<long>, ways array<string>"), "conversation-solutions")
     known = saved(hot_join(told, solutions, ["signature"]), "conversation-known")
-    several = known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    long = saved(known.join(several, "key", "left_semi").select("key", F.col("piece").alias("at"), "costs", "ways"), "conversation-long")
+    # places within the conversation, from its begin and from its end, so that the levels grow with its own length
+    several = known.groupBy("key").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low < high")
+    long = known.join(several, "key").select("key", "piece", (F.col("piece") - F.col("low")).alias("at"), (F.col("high") - F.col("piece")).alias("back"), "costs", "ways")
+    long = saved(long, "conversation-long")
     turned = F.array(*[F.get("costs", F.lit(4 * i + j)) for j in range(4) for i in range(4)])
-    after = carried(long.select("key", (-F.col("at")).alias("at"), turned.alias("m")), [c for c, _ in ENDINGS], fan).select("key", (-F.col("at")).alias("at"), F.col("before").alias("after"))
-    leads = long.join(after, ["key", "at"])
+    after = carried(long.select("key", F.col("back").alias("at"), turned.alias("m")), [c for c, _ in ENDINGS], fan).select("key", F.col("at").alias("back"), F.col("before").alias("after"))
+    long = saved(long.join(after, ["key", "back"]).drop("back"), "conversation-after")
     lead = lambda i: F.transform(F.array(*[F.lit(j) for j in range(4)]), lambda j: F.when(j == _way(F.lit(i), F.col("after"))["exit"], F.lit(0)).otherwise(F.lit(NEVER)).cast("long"))
-    steps = leads.select("key", "at", F.flatten(F.array(*[lead(i) for i in range(4)])).alias("m"))
+    steps = long.select("key", "at", F.flatten(F.array(*[lead(i) for i in range(4)])).alias("m"))
     enters = carried(saved(steps, "conversation-leads"), [0, NEVER, NEVER, NEVER], fan).select("key", F.col("at"), (F.array_position("before", F.lit(0).cast("long")) - 1).cast("int").alias("enter"))
-    place = after.join(enters, ["key", "at"]).withColumnRenamed("at", "piece")
+    place = long.select("key", "at", "piece", "after").join(enters, ["key", "at"]).drop("at")
     both = known.join(place, ["key", "piece"], "left").withColumn("enter", F.coalesce("enter", F.lit(0))).withColumn("after", F.coalesce("after", _endings()))
     both = both.withColumn("way", _way(F.col("enter"), F.col("after")))
     cost = F.col("way.cost") - F.get("after", F.col("way.exit"))
