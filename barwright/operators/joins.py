@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,3 +39,59 @@ def within(points: DataFrame, spans: DataFrame, at: str, first: str, last: str,
     s = s.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(first) / bucket), F.floor(F.col("__last") / bucket))))
     p = points.withColumn("__bucket", F.floor(F.col(at) / bucket))
     return p.join(s, [*KEY, "__bucket", *also]).where((F.col(at) >= F.col(first)) & (F.col(at) <= F.col("__last"))).drop("__bucket", "__last", "__end")
+
+
+NEAR_SCHEMA = "symbol string, tf int, {point} int, kind string, value double, width double, tie double"
+
+
+def nearest_open(points: DataFrame, spans: DataFrame, *, point: str, at: str, ref: str, chunk: int = 4096) -> DataFrame:
+    """For each point and kind of spans, the span open there whose value is nearest to the point's price: value, width, tie.
+
+    spans: kind, value, tie (the greatest wins among equally near ones), width,
+    first and last (the bars at which it is seen; a null last is open). points:
+    an integer id, a bar and a price. A series is cut into stretches of `chunk`
+    bars; each is swept with the open spans of a kind in the order of their
+    values, so a point costs two searches, not all open spans, and stretches run
+    in parallel. A span is sent to each stretch that it reaches.
+    """
+    end = points.groupBy(*KEY).agg(F.max(at).alias("__end"))
+    s = spans.join(end, KEY).withColumn("__last", F.least(F.coalesce("last", "__end"), F.col("__end"))).where("first <= __last")
+    s = s.select(*[F.col(c).alias(f"__{c}") for c in KEY], F.explode(F.sequence(F.floor(F.col("first") / chunk), F.floor(F.col("__last") / chunk))).alias("__chunk"), F.col("kind"), F.col("value"), F.col("tie"), F.col("width"), F.col("first").cast("long").alias("first"), F.col("__last").cast("long").alias("last"))
+    p = points.select(*KEY, F.floor(F.col(at) / chunk).alias("chunk"), F.col(point).cast("int").alias("id"), F.col(at).cast("long").alias("at"), F.col(ref).alias("ref"))
+
+    def sweep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if not left.empty and not right.empty:
+            key = (left["symbol"].iloc[0], int(left["tf"].iloc[0]))
+            left = left.sort_values("at", kind="stable")
+            asked = list(zip(left["id"].tolist(), left["at"].tolist(), left["ref"].tolist(), strict=True))
+            for kind, own in right.sort_values(["first", "last", "value", "tie"]).groupby("kind", sort=True):
+                out += [(*key, i, kind, *found) for i, found in _swept(asked, list(zip(*[own[c].tolist() for c in ("first", "last", "value", "tie", "width")], strict=True)))]
+        return pd.DataFrame(out, columns=["symbol", "tf", point, "kind", "value", "width", "tie"])
+
+    return p.groupBy(*KEY, "chunk").cogroup(s.groupBy(*[f"__{c}" for c in KEY], "__chunk")).applyInPandas(sweep, NEAR_SCHEMA.format(point=point))
+
+
+def _swept(asked: list[tuple], spans: list[tuple]) -> list[tuple]:
+    """Points (id, at, ref) by at and spans (first, last, value, tie, width) by first: (id, (value, width, tie)) of the nearest open ones."""
+    seen: list[tuple] = []  # open spans by value, tie, width
+    ends: list[tuple] = []
+    out, nxt = [], 0
+    for i, at, ref in asked:
+        while nxt < len(spans) and spans[nxt][0] <= at:
+            _, last, value, tie, width = spans[nxt]
+            bisect.insort(seen, (value, tie, -width))
+            heapq.heappush(ends, (last, value, tie, -width))
+            nxt += 1
+        while ends and ends[0][0] < at:
+            gone = heapq.heappop(ends)[1:]
+            seen.pop(bisect.bisect_left(seen, gone))
+        if not seen or ref != ref:
+            continue
+        up = bisect.bisect_left(seen, (ref,))
+        near = [seen[up - 1]] if up else []
+        if up < len(seen):
+            near.append(seen[bisect.bisect_right(seen, (seen[up][0], math.inf, math.inf)) - 1])
+        value, tie, width = min(near, key=lambda x: (abs(x[0] - ref), -x[1]))
+        out.append((i, (value, -width, tie)))
+    return out

@@ -166,3 +166,14 @@ def range_vwap(bars: DataFrame, spans: DataFrame) -> DataFrame:
     mean = F.try_divide(part("p"), part("v"))
     spread = F.greatest(F.try_divide(part("q"), part("v")) - mean * mean, F.lit(0.0))
     return out.withColumn("vwap", F.col("__ref") + mean).withColumn("sigma", F.when(mean.isNotNull(), F.sqrt(spread))).drop("__ref", *zero, "__v1", "__p1", "__q1")
+
+
+def range_profile(bars: DataFrame, spans: DataFrame, n: int = 50, share: float = 0.7) -> DataFrame:
+    """poc, vah, val of the bars of any spans (first, last), which may overlap; a flat span has its one price for all three, one without volume none."""
+    from .joins import within
+
+    at = within(bars.select(*KEY, "i", "open", "high", "low", "close", "volume"), spans.select(*KEY, "first", "last"), "i", "first", "last").withColumn("segment", F.struct("first", "last")).drop("first", "last")
+    edge = at.groupBy(*KEY, "segment").agg(F.min("low").alias("__lo"), F.max("high").alias("__hi"))
+    areas = value_area(bins(at, n), share).join(edge, [*KEY, "segment"])
+    flat = F.col("__hi") <= F.col("__lo")
+    return areas.select(*KEY, F.col("segment.first").alias("first"), F.col("segment.last").alias("last"), "total", "poc", *[F.when(flat, F.col("__lo")).otherwise(F.col(c)).alias(c) for c in ("vah", "val")])

@@ -88,7 +88,8 @@ def lifecycle(bars: DataFrame, zones: DataFrame) -> DataFrame:
     Open zones wait in the order of their near edge, so a bar visits only the
     zones that it enters.
     """
-    extra = zones.withColumn("zone", F.xxhash64(*zones.columns))
+    # numbered by all columns: zones alike in all of them have one life, whichever has which number
+    extra = zones.withColumn("zone", F.row_number().over(Window.partitionBy(*KEY).orderBy(*[c for c in zones.columns if c not in KEY])).cast("long"))
 
     def kernel(b: dict[str, np.ndarray], rows: list[dict]) -> list[tuple]:
         import bisect
@@ -127,7 +128,7 @@ def lifecycle(bars: DataFrame, zones: DataFrame) -> DataFrame:
         return [(r["zone"], *s) for r, s in zip(rows, state, strict=True)]
 
     life = fold_two(bars.select(*KEY, "i", "high", "low"), extra.select(*KEY, "zone", "confirmed_i", "direction", "top", "bottom"), kernel, LIFE_SCHEMA, ["confirmed_i", "zone"])
-    out = extra.join(life.dropDuplicates(["symbol", "tf", "zone"]), [*KEY, "zone"]).drop("zone")
+    out = extra.join(life, [*KEY, "zone"]).drop("zone")
     return out.withColumn("status", F.when(F.col("end_i").isNull(), "active").otherwise("mitigated"))
 
 

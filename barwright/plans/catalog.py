@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
+from ..operators import extract as E
 from ..operators import features as X
 from ..operators import learning as M
 from ..operators import levels as Z
@@ -840,6 +841,123 @@ def f8_snapshot_1h(spark, sf_dir):
     return X.snapshot(P.ghost_trace(bars, 5), bars, L.levels(bars), S.lifecycle(bars, S.gaps(bars)), blocks)
 
 
+#: Three timeframes as series of their own (symbol|minutes), so that the parts above hold for all of them.
+FRAMES = {
+    "bars": """SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY time) - 1)::INT AS i FROM (
+        SELECT symbol || '|' || m AS symbol, m AS tf, es // (m * 60) * (m * 60) AS time, arg_min(px, (ts, event_id)) AS open, max(px) AS high, min(px) AS low,
+               arg_max(px, (ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM ev, (VALUES (1), (10), (60)) AS t(m) GROUP BY ALL)""",
+    "pv9": pivot_sql(10),
+    "tied": pivot_sql(50, True),
+}
+PARTS |= {
+    "triples_": """SELECT * FROM (
+          SELECT a.symbol, a.i AS ai, a.price AS ap, c.i AS ci, c.price AS cp, c.confirmed_i AS e, c.z, a.z AS az, (c.price - a.price) / (c.i - a.i) AS slope, (tc.time - ta.time) / 60 AS minutes,
+                 row_number() OVER (PARTITION BY c.symbol, c.z ORDER BY a.z DESC) AS try
+          FROM LOWS_ c JOIN LOWS_ a ON a.symbol = c.symbol AND a.z BETWEEN c.z - 30 AND c.z - 2 JOIN bars tc ON tc.symbol = c.symbol AND tc.i = c.i JOIN bars ta ON ta.symbol = a.symbol AND ta.i = a.i
+          WHERE tc.time - ta.time >= 7200) WHERE try <= 3""",
+    "middles_": """SELECT t.*, m.i AS mi, m.price AS mp FROM triples_ t JOIN LOWS_ m ON m.symbol = t.symbol AND m.z > t.az AND m.z < t.z AND m.price > least(ap, cp) AND m.price < greatest(ap, cp)
+        QUALIFY row_number() OVER (PARTITION BY t.symbol, t.z, t.az ORDER BY abs(m.price - ap - slope * (m.i - ai)), m.z) = 1""",
+    "widths_": """SELECT m.symbol, m.z, m.az, m.ai, m.mi, m.ci, m.ap, m.slope, m.e, m.minutes, m.try, m.mp, m.cp, avg(x.atr) FILTER (x.atr > 0) AS mean, max(b.high - (m.ap + m.slope * (b.i - m.ai))) AS width
+        FROM middles_ m JOIN bars b ON b.symbol = m.symbol AND b.i BETWEEN m.ai AND m.e LEFT JOIN atr x ON x.symbol = b.symbol AND x.i = b.i GROUP BY ALL""",
+    "inside_": """SELECT w.*, avg((b.low >= ap + slope * (b.i - ai) - 0.25 * coalesce(x.atr, mean) AND b.high <= ap + slope * (b.i - ai) + width + 0.25 * coalesce(x.atr, mean))::INT) AS share
+        FROM widths_ w JOIN bars b ON b.symbol = w.symbol AND b.i BETWEEN w.ai AND w.e LEFT JOIN atr x ON x.symbol = b.symbol AND x.i = b.i
+        WHERE mean IS NOT NULL AND abs(mp - (ap + slope * (mi - ai))) <= 0.25 * mean AND ap + mp + cp <> 0 AND mean / abs((ap + mp + cp) / 3) <= 1.0 AND width > 0.75 * mean AND width < 8 * mean GROUP BY ALL""",
+    "three_": """SELECT w.symbol, w.ai AS base_i, w.mi AS middle_i, w.ci AS last_i, w.ap AS base_price, w.slope, w.width, w.e AS confirmed_i, w.minutes,
+               min(b.i) FILTER (b.close < ap + slope * (b.i - ai) - 0.25 * coalesce(x.atr, mean) OR b.close > ap + slope * (b.i - ai) + width + 0.25 * coalesce(x.atr, mean)) AS break_i
+        FROM (SELECT * FROM inside_ WHERE share >= 0.85 QUALIFY row_number() OVER (PARTITION BY symbol, z ORDER BY try) = 1) w
+        LEFT JOIN bars b ON b.symbol = w.symbol AND b.i > w.e LEFT JOIN atr x ON x.symbol = b.symbol AND x.i = b.i
+        GROUP BY w.symbol, w.z, w.ai, w.mi, w.ci, w.ap, w.slope, w.width, w.e, w.minutes""",
+    "ghosts_": f"SELECT * FROM ({ORACLE['p17_ghost_trace'][ORACLE['p17_ghost_trace'].index('SELECT symbol, 60 AS tf, event_i'):]}) WHERE symbol LIKE '%|1'",
+    "asked_": """SELECT *, split_part(symbol, '|', 1) AS name FROM (
+          SELECT e.*, (g.high + g.low + g.close) / 3 AS ref, b.volume, a.atr, row_number() OVER (PARTITION BY e.symbol ORDER BY e.event_i) - 1 AS serial, (SELECT max(time) FROM bars x WHERE x.symbol = e.symbol) >= e.event_time + 900 AS complete,
+                 COUNTS_
+          FROM ghosts_ e JOIN bars g ON g.symbol = e.symbol AND g.i = e.ghost_i JOIN bars b ON b.symbol = e.symbol AND b.i = e.event_i LEFT JOIN atr a ON a.symbol = e.symbol AND a.i = e.event_i)
+        WHERE atr IS NOT NULL AND complete""".replace("COUNTS_", ", ".join(f"count(*) OVER (PARTITION BY e.symbol ORDER BY e.event_time RANGE BETWEEN 1 FOLLOWING AND {n * 60} FOLLOWING) AS y{n}" for n in (3, 5, 10, 15))),
+    "cursors_": """SELECT p.name, p.event_i, p.ref, t.m, p.name || '|' || t.m AS symbol, max(b.i) AS cursor FROM asked_ p, (VALUES (1), (10), (60)) AS t(m)
+        JOIN bars b ON b.symbol = p.name || '|' || t.m AND b.time + t.m * 60 <= p.event_time GROUP BY ALL""",
+    "zones_": """SELECT f.what, f.symbol, f.i, f.direction, f.top, f.bottom, f.confirmed_i, f.k, min(b.i) AS end_i FROM (
+          SELECT 'fvg' AS what, symbol, direction, top, bottom, confirmed_i, i, i AS k FROM fvg UNION ALL SELECT 'ob', symbol, direction, top, bottom, confirmed_i, i, row_number() OVER () FROM obs) f
+        LEFT JOIN bars b ON b.symbol = f.symbol AND b.i > f.confirmed_i AND f.top > f.bottom AND CASE f.direction WHEN 'bull' THEN b.low <= f.bottom ELSE b.high >= f.top END GROUP BY ALL""",
+    "recent_": "SELECT a.symbol, a.i, list_sort(list(b.volume) FILTER (b.volume > 0)) AS s FROM bars a JOIN bars b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 99 AND a.i GROUP BY a.symbol, a.i",
+    "twins_": """SELECT n.symbol, n.side, n.i, p.i AS p_i, (p.price + n.price) / 2 AS eq_price, greatest(p.confirmed_i, n.confirmed_i) AS known FROM (SELECT l.*, a.atr FROM levels l JOIN atr_late a USING (symbol, i)) n
+        JOIN (SELECT l.*, a.atr FROM levels l LEFT JOIN atr_late a USING (symbol, i)) p ON p.symbol = n.symbol AND p.side = n.side AND p.i < n.i AND n.i - p.i <= 100
+        WHERE abs(p.price - n.price) <= 0.05 * coalesce((p.atr + n.atr) / 2, n.atr) AND NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = n.symbol AND b.i > p.confirmed_i AND b.i < n.i
+          AND CASE n.side WHEN 'sh' THEN b.high > p.price + 0.05 * coalesce((p.atr + n.atr) / 2, n.atr) ELSE b.low < p.price - 0.05 * coalesce((p.atr + n.atr) / 2, n.atr) END)
+        QUALIFY row_number() OVER (PARTITION BY n.symbol, n.side, n.i ORDER BY p.i DESC) = 1""",
+    "equals_": """SELECT e.symbol, coalesce(o.eq_price, e.price) AS price, least(o.known, q.known) AS known, e.swept_i FROM (SELECT l.*, s.swept_i FROM levels l LEFT JOIN sweeps s USING (symbol, kind, i)) e
+        LEFT JOIN twins_ o ON o.symbol = e.symbol AND o.side = e.side AND o.i = e.i LEFT JOIN (SELECT symbol, side, p_i, min(known) AS known FROM twins_ GROUP BY ALL) q ON q.symbol = e.symbol AND q.side = e.side AND q.p_i = e.i
+        WHERE o.known IS NOT NULL OR q.known IS NOT NULL""",
+    "streams_": """SELECT what, symbol, (top + bottom) / 2 AS v, confirmed_i::DOUBLE AS tie, abs(top - bottom) AS width, confirmed_i AS first, end_i - 1 AS last FROM zones_
+        UNION ALL SELECT 'supply_demand', z.symbol, (top + bottom) / 2, confirmed_i, abs(top - bottom), confirmed_i, end_i - 1 FROM zones_ z JOIN bars o ON o.symbol = z.symbol AND o.i = z.i JOIN recent_ l ON l.symbol = z.symbol AND l.i = z.confirmed_i
+          WHERE z.what = 'ob' AND o.volume >= coalesce(l.s[floor((len(l.s) - 1) * 0.7 + 0.5)::INT + 1], 0)
+        UNION ALL SELECT 'structure', symbol, level, level, 0, i, i + 500 FROM broken
+        UNION ALL SELECT 'resolved', symbol, price, price, 0, resolved_i, resolved_i + 500 FROM ends WHERE resolved_i IS NOT NULL AND classification IS NOT NULL
+        UNION ALL SELECT 'equal', symbol, price, price, 0, known, swept_i - 1 FROM equals_""",
+    "nearest_": """SELECT c.name, c.event_i, c.m, s.what, arg_min((s.v, s.width), (abs(s.v - c.ref), -s.tie, s.width)) AS x FROM cursors_ c JOIN streams_ s ON s.symbol = c.symbol AND s.first <= c.cursor AND (s.last IS NULL OR s.last >= c.cursor) GROUP BY ALL""",
+    "turned_": """SELECT symbol, confirmed_i, arg_max(h, (i, kind)) AS h, arg_max(l, (i, kind)) AS l, arg_max(kind, (i, kind)) AS kind FROM (
+          SELECT *, last_value(CASE kind WHEN 'high' THEN {'i': i, 'p': price} END IGNORE NULLS) OVER w AS h, last_value(CASE kind WHEN 'low' THEN {'i': i, 'p': price} END IGNORE NULLS) OVER w AS l FROM pv9
+          WINDOW w AS (PARTITION BY symbol ORDER BY confirmed_i, i, kind ROWS UNBOUNDED PRECEDING)) GROUP BY symbol, confirmed_i""",
+    "legs_": """SELECT c.*, CASE t.kind WHEN 'high' THEN t.h ELSE t.l END AS a, CASE t.kind WHEN 'high' THEN t.l ELSE t.h END AS b FROM cursors_ c ASOF JOIN turned_ t ON t.symbol = c.symbol AND c.cursor >= t.confirmed_i""",
+    "vwaps_": """SELECT name, event_i, m, vwap, sqrt(greatest(sum(b.volume * ((b.high + b.low + b.close) / 3 - vwap) ** 2) / sum(b.volume), 0)) AS sd FROM (
+          SELECT l.name, l.event_i, l.m, l.symbol, l.cursor, l.b.i AS start, sum(b.volume * (b.high + b.low + b.close) / 3) / sum(b.volume) AS vwap FROM legs_ l JOIN bars b ON b.symbol = l.symbol AND b.i BETWEEN l.b.i AND l.cursor GROUP BY ALL) v
+        JOIN bars b ON b.symbol = v.symbol AND b.i BETWEEN v.start AND v.cursor GROUP BY name, event_i, m, vwap""",
+    "parts_": "SELECT b.*, {'f': s.f, 't': s.t} AS segment FROM (SELECT DISTINCT symbol, least(a.i, b.i) AS f, greatest(a.i, b.i) AS t FROM legs_ WHERE b IS NOT NULL) s JOIN bars b ON b.symbol = s.symbol AND b.i BETWEEN s.f AND s.t",
+}
+PARTS |= {k: v.replace("LOWS_", "(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confirmed_i, i) - 1 AS z FROM pv3 WHERE kind = 'low')") for k, v in PARTS.items()}
+FRAMES |= {k: PARTS[k].replace(DAYS, "parts_").replace("range(24)", "range(50)").replace("/ 24", "/ 50").replace(", 23)", ", 49)").replace("b < 23", "b < 49") for k in ("bins_", "area_", "value_")}
+
+
+def over_frames(body: str) -> str:
+    """with_() over the three timeframes in place of hourly bars."""
+    hourly_ = {k: PARTS[k] for k in FRAMES}
+    PARTS.update(FRAMES)
+    try:
+        return with_(body)
+    finally:
+        PARTS.update(hourly_)
+
+
+def _extract_sql() -> str:
+    near = lambda prices: f"list_sort([{{'d': abs(z - p.ref), 'n': -z}} FOR z IN [{', '.join(prices)}] IF z IS NOT NULL])[1].n * -1"
+    pips = lambda v: f"round(({v} - p.ref) / 0.25, 6)"
+    kinds = {"ob": "ob", "fvg": "fvg", "structure": "bos_choch", "equal": "eqh_eql", "resolved": "sweep_grab_run", "supply_demand": "supply_demand"}
+    columns, joins = [], []
+    for m in (1, 10, 60):
+        joins.append(f"LEFT JOIN legs_ l{m} ON l{m}.name = p.name AND l{m}.event_i = p.event_i AND l{m}.m = {m} AND l{m}.b IS NOT NULL LEFT JOIN vwaps_ v{m} ON v{m}.name = p.name AND v{m}.event_i = p.event_i AND v{m}.m = {m}")
+        joins.append(f"LEFT JOIN value_ q{m} ON q{m}.symbol = p.name || '|{m}' AND q{m}.segment = {{'f': least(l{m}.a.i, l{m}.b.i), 't': greatest(l{m}.a.i, l{m}.b.i)}}")
+        each = ", ".join(f"max(x) FILTER (what = '{k}') AS {k}" for k in kinds)
+        joins.append(f"LEFT JOIN (SELECT name, event_i, {each} FROM nearest_ WHERE m = {m} GROUP BY ALL) n{m} ON n{m}.name = p.name AND n{m}.event_i = p.event_i")
+        joins.append(f"""LEFT JOIN (SELECT c.name, c.event_i, arg_min({{'lo': base_price + slope * (cursor - base_i), 'w': width}}, (least(abs(base_price + slope * (cursor - base_i) - ref), abs(base_price + slope * (cursor - base_i) + width - ref)), confirmed_i, base_i)) AS x
+            FROM cursors_ c JOIN three_ t ON t.symbol = c.symbol AND t.confirmed_i <= c.cursor AND (t.break_i IS NULL OR t.break_i > c.cursor) WHERE c.m = {m} GROUP BY ALL) k{m} ON k{m}.name = p.name AND k{m}.event_i = p.event_i""")
+        own = {f"{out}_dist_pips": pips(f"n{m}.{k}[1]") for k, out in kinds.items()} | {f"{k}_width_pips": f"round(n{m}.{k}[2] / 0.25, 6)" for k in ("ob", "fvg", "supply_demand")}
+        low, size = f"least(l{m}.a.p, l{m}.b.p)", f"abs(l{m}.a.p - l{m}.b.p)"
+        own |= {"fib_dist_pips": f"CASE WHEN l{m}.b IS NOT NULL THEN {pips(near([f'{low} + {size} * {r}::DOUBLE' for r in E.RATIOS]))} END", "vwap_dist_pips": pips(f"v{m}.vwap")}
+        own |= {f"vwap_band{n}_dist_pips": f"CASE WHEN v{m}.vwap IS NOT NULL THEN {pips(near([f'v{m}.vwap - {n} * v{m}.sd', f'v{m}.vwap + {n} * v{m}.sd']))} END" for n in (1, 2)}
+        for c, at in (("poc", f"q{m}.lo + (q{m}.poc + 0.5) * q{m}.step"), ("vah", f"q{m}.lo + (q{m}.b + 1) * q{m}.step"), ("val", f"q{m}.lo + q{m}.a * q{m}.step")):
+            own[f"vp_{c}_dist_pips"] = pips(at)
+        own |= {"channel_dist_pips": f"CASE WHEN k{m}.x IS NOT NULL THEN {pips(near([f'k{m}.x.lo', f'k{m}.x.lo + k{m}.x.w']))} END", "channel_width_pips": f"round(abs(k{m}.x.w) / 0.25, 6)"}
+        columns += [f"{own[c]} AS tf{m}_{c}" for c in E.OF_TIMEFRAME]
+    for name, key in (("4h", "time // 14400"), ("d", "time // 86400"), ("w", "time // 86400 - (time // 86400 + 3) % 7")):
+        joins.append(f"""LEFT JOIN (SELECT symbol, g, lag(h) OVER w AS h, lag(l) OVER w AS l FROM (SELECT symbol, {key} AS g, max(high) AS h, min(low) AS l FROM bars GROUP BY ALL) WINDOW w AS (PARTITION BY symbol ORDER BY g)) r{name}
+            ON r{name}.symbol = p.symbol AND r{name}.g = {key.replace('time', 'p.event_time')}""")
+        columns.append(f"CASE WHEN r{name}.h IS NOT NULL THEN {pips(near([f'r{name}.h', f'r{name}.l']))} END AS sr_{name}_dist_pips")
+    return f"""SELECT p.name AS symbol, concat_ws('_', 'ghost_relocated', ghost_type, p.event_i, ghost_i, serial) AS event_id, event_time AS event_timestamp, strftime(make_timestamp(event_time * 1000000), '%Y-%m-%d') AS event_date,
+        (event_time % 86400 // 3600)::INT AS event_hour, (event_time % 3600 // 60)::INT AS event_minute, p.event_i AS event_index, ghost_i AS ghost_index, complete, round(ghost_price, 6) AS ghost_price, round(p.ref, 6) AS ghost_hlc3,
+        round(p.atr, 6) AS atr_1m, p.volume AS volume_1m, round(em.e, 6) AS volume_ema9_1m, {', '.join(columns)}, ghost_type, relocation, y3 AS "Y_3m", y5 AS "Y_5m", y10 AS "Y_10m", y15 AS "Y_15m"
+      FROM asked_ p LEFT JOIN (SELECT symbol, i, e FROM ema_) em ON em.symbol = p.symbol AND em.i = p.event_i {' '.join(joins)}"""
+
+
+PARTS["ema_"] = """SELECT symbol, i, volume AS e FROM bars WHERE i = 0 UNION ALL SELECT b.symbol, b.i, 0.2 * b.volume + 0.8 * m.e FROM ema_ m JOIN bars b ON b.symbol = m.symbol AND b.i = m.i + 1"""
+
+
+@query()
+def f11_extract(spark, sf_dir):
+    return E.extract(minutes(spark, sf_dir), channel_atr_share=1.0)
+
+
+ORACLE["f11_extract"] = over_frames(_extract_sql())
+
+
 @query("""SELECT symbol, 60 AS tf, available_i, round(h, 6) AS resistance, round(l, 6) AS support FROM (
   SELECT symbol, min(i) AS available_i, lag(max(high)) OVER w AS h, lag(min(low)) OVER w AS l FROM bars GROUP BY symbol, time // 14400 WINDOW w AS (PARTITION BY symbol ORDER BY time // 14400)) WHERE h IS NOT NULL""")
 def f9_sr(spark, sf_dir):
@@ -912,7 +1030,7 @@ def t10_trend_channels(spark, sf_dir):
     return channels.channels(measured(spark, sf_dir))
 
 
-@query()
+@query("""SELECT symbol, 60 AS tf, base_i, middle_i, last_i, round(base_price, 6) AS base_price, round(slope, 6) AS slope, round(width, 6) AS width, confirmed_i, break_i, round(minutes, 6) AS minutes FROM three_""")
 def t11_three_low_channels(spark, sf_dir):
     from ..operators import channels
 
