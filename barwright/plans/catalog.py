@@ -24,6 +24,7 @@ from ..operators import regime as G
 from ..operators import series as V
 from ..operators import strategy as T
 from ..operators import structure as S
+from ..operators import views as W
 from ..sources.candles import candles_from_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -907,14 +908,14 @@ PARTS |= {k: v.replace("LOWS_", "(SELECT *, row_number() OVER (PARTITION BY symb
 FRAMES |= {k: PARTS[k].replace(DAYS, "parts_").replace("range(24)", "range(50)").replace("/ 24", "/ 50").replace(", 23)", ", 49)").replace("b < 23", "b < 49") for k in ("bins_", "area_", "value_")}
 
 
-def over_frames(body: str) -> str:
-    """with_() over the three timeframes in place of hourly bars."""
-    hourly_ = {k: PARTS[k] for k in FRAMES}
-    PARTS.update(FRAMES)
+def with_parts(body: str, own: dict[str, str]) -> str:
+    """with_() with some parts replaced."""
+    before = {k: PARTS[k] for k in own}
+    PARTS.update(own)
     try:
         return with_(body)
     finally:
-        PARTS.update(hourly_)
+        PARTS.update(before)
 
 
 def _extract_sql() -> str:
@@ -955,7 +956,7 @@ def f11_extract(spark, sf_dir):
     return E.extract(minutes(spark, sf_dir), channel_atr_share=1.0)
 
 
-ORACLE["f11_extract"] = over_frames(_extract_sql())
+ORACLE["f11_extract"] = with_parts(_extract_sql(), FRAMES)
 
 
 @query("""SELECT symbol, 60 AS tf, available_i, round(h, 6) AS resistance, round(l, 6) AS support FROM (
@@ -1164,3 +1165,91 @@ def s10_prediction_rows(spark, sf_dir):
 
     bars = hourly(spark, sf_dir).withColumn("event_time", F.col("time")).withColumn("Y_5m", F.col("volume").cast("long"))
     return predictions(bars.withColumn("p", F.coalesce(F.lag("Y_5m").over(along()), F.lit(0).cast("long"))), ["Y_5m"], ["p"], [*KEY, "event_time"])
+
+
+# ---- views at every cursor ----------------------------------------------------------------------------------------
+
+
+PREFIXES = f"(SELECT b.symbol, b.i, b.open, b.high, b.low, b.close, b.volume, {{'f': c.segment, 't': c.i}} AS segment FROM {DAYS} c JOIN {DAYS} b ON b.symbol = c.symbol AND b.segment = c.segment AND b.i <= c.i)"
+
+
+@query()
+def a5_profiles_at(spark, sf_dir):
+    return W.profiles_at(A.session_segments(hourly(spark, sf_dir)))
+
+
+ORACLE["a5_profiles_at"] = with_parts(
+    f"""SELECT v.symbol, 60 AS tf, v.segment.f AS segment, v.segment.t AS cursor, round(v.total, 6) AS total, round(lo + (poc + 0.5) * step, 6) AS poc, round(lo + (b + 1) * step, 6) AS vah, round(lo + a * step, 6) AS val, v.segment.t < e.e AS truncated
+    FROM value_ v JOIN (SELECT symbol, segment, max(i) AS e FROM {DAYS} GROUP BY ALL) e ON e.symbol = v.symbol AND e.segment = v.segment.f""",
+    {k: PARTS[k].replace(DAYS, PREFIXES) for k in ("bins_", "area_", "value_")},
+)
+
+
+@query()
+def a10_missed_line(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return W.missed_lines(bars, P.missed_pivots(bars, 5)).select(*KEY, "cursor", "anchor_i", "pivot_type", "confirmed_i", (F.col("vwap") + 3e-8).alias("vwap"), "sigma")
+
+
+#: Lines (symbol, cursor, a, and any more) with VWAP and deviation at the cursor.
+ENDS = """SELECT l.*, round(m.vwap + 3e-8, 6) AS vwap, round(sqrt(greatest(m.q, 0)), 6) AS sigma FROM lines_ l JOIN (
+  SELECT s.symbol, s.a, s.cursor, s.vwap, sum(b.volume * ((b.high + b.low + b.close) / 3 - s.vwap) ** 2) / sum(b.volume) AS q FROM (
+    SELECT d.symbol, d.a, d.cursor, sum(b.volume * (b.high + b.low + b.close) / 3) / sum(b.volume) AS vwap FROM (SELECT DISTINCT symbol, a, cursor FROM lines_) d JOIN bars b ON b.symbol = d.symbol AND b.i BETWEEN d.a AND d.cursor GROUP BY ALL) s
+  JOIN bars b ON b.symbol = s.symbol AND b.i BETWEEN s.a AND s.cursor GROUP BY ALL) m ON m.symbol = l.symbol AND m.a = l.a AND m.cursor = l.cursor"""
+PARTS["ghost_now_"] = """SELECT b.symbol, b.i AS cursor, s.known, s.anchor, s.kind,
+         (SELECT max((CASE WHEN s.kind = 'high' THEN -x.low ELSE x.high END, x.i)) FROM bars x WHERE x.symbol = b.symbol AND x.i > s.anchor AND x.i <= b.i)[2] AS ghost
+  FROM bars b ASOF JOIN (
+    SELECT symbol, known, arg_max(anchor, kind = 'low') AS anchor, arg_max(kind, kind = 'low') AS kind FROM (SELECT symbol, confirmed_i AS known, i AS anchor, kind FROM tied) GROUP BY symbol, known
+    UNION ALL SELECT DISTINCT symbol, 0, 0, 'initial' FROM bars) s ON s.symbol = b.symbol AND b.i >= s.known"""
+PARTS["lines_"] = """SELECT symbol, cursor, 'ghost_regular_pivot' AS source, kind AS pivot_type, anchor AS a, known AS confirmed_i FROM ghost_now_ WHERE kind <> 'initial'
+  UNION ALL SELECT symbol, cursor, 'ghost_live', CASE kind WHEN 'high' THEN 'low' ELSE 'high' END, ghost, NULL FROM ghost_now_ WHERE ghost IS NOT NULL"""
+
+
+@query(f"SELECT symbol, 60 AS tf, cursor, source, pivot_type, a AS anchor_i, confirmed_i, vwap, sigma FROM ({ENDS})")
+def a11_ghost_lines(spark, sf_dir):
+    return W.ghost_lines(hourly(spark, sf_dir), 5).select(*KEY, "cursor", "source", "pivot_type", "anchor_i", "confirmed_i", (F.col("vwap") + 3e-8).alias("vwap"), "sigma")
+
+
+@query()
+def a13_lines_at(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    found = W.known_anchors(bars, breaks(bars))
+    return W.lines_at(bars, found, bars.select(*KEY, F.col("i").alias("cursor"))).withColumn("vwap", F.col("vwap") + 3e-8)
+
+
+ORACLE["a13_lines_at"] = with_parts(
+    f"SELECT symbol, 60 AS tf, shown AS cursor, a AS anchor_i, cursor AS end_i, vwap, sigma FROM ({ENDS})",
+    {
+        "lines_": """SELECT c.symbol, c.i AS shown, k.i AS a, coalesce(lead(k.i) OVER (PARTITION BY c.symbol, c.i ORDER BY k.i) - 1, c.i) AS cursor FROM bars c JOIN (
+          SELECT symbol, i, min(known) AS known FROM (
+            SELECT symbol, min(i) AS i, min(i) AS known FROM bars GROUP BY symbol, time // 86400
+            UNION ALL SELECT symbol, coalesce(open_, first_), coalesce(open_, lead(first_) OVER (PARTITION BY symbol ORDER BY day)) FROM (SELECT symbol, time // 86400 AS day, min(i) AS first_, min(i) FILTER (time % 86400 >= 34200) AS open_ FROM bars GROUP BY ALL)
+            UNION ALL SELECT symbol, i, i FROM broken) WHERE known IS NOT NULL GROUP BY symbol, i) k ON k.symbol = c.symbol AND k.known <= c.i"""
+    },
+)
+
+
+def structure_items(bars: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    inner, outer, events = P.pivots(bars, 3), external(bars), breaks(bars)
+    known = lambda df, c: df.withColumn("known_i", F.col(c))
+    items = {f"{name}_{kind}": known(found.where(F.col("kind") == kind), "confirmed_i") for name, found in (("swing", inner), ("external", outer)) for kind in ("high", "low")}
+    items |= {kind.lower(): known(events.where(F.col("type") == kind), "i") for kind in ("BOS", "CHOCH")}
+    items |= {"fvg": known(S.lifecycle(bars, S.gaps(bars)), "confirmed_i"), "order_block": known(S.lifecycle(bars, S.order_blocks(bars, events)), "confirmed_i")}
+    return items | {"trendline": known(S.trendlines(inner, bars).withColumnRenamed("break_i", "end_i"), "confirmed_i")}, events, outer
+
+
+_counts = {f"n_{name}_{kind}": f"SELECT count(*) FROM {part} x WHERE x.symbol = b.symbol AND x.kind = '{kind}' AND x.confirmed_i <= b.i" for name, part in (("swing", "pv3"), ("external", "pv9")) for kind in ("high", "low")}
+_counts |= {f"n_{kind.lower()}": f"SELECT count(*) FROM broken x WHERE x.symbol = b.symbol AND x.type = '{kind}' AND x.i <= b.i" for kind in ("BOS", "CHOCH")}
+for _name, _rows in (("fvg", "(SELECT * FROM zones_ WHERE what = 'fvg')"), ("order_block", "(SELECT * FROM zones_ WHERE what = 'ob')"), ("trendline", f"(SELECT *, break_i AS end_i FROM ({ORACLE['m9_trendlines'][ORACLE['m9_trendlines'].index('SELECT l.symbol, 60 AS tf, l.direction'):]}))")):
+    _counts[f"n_{_name}"] = f"SELECT count(*) FROM {_rows} x WHERE x.symbol = b.symbol AND x.confirmed_i <= b.i"
+    _counts[f"open_{_name}"] = f"SELECT count(*) FROM {_rows} x WHERE x.symbol = b.symbol AND x.confirmed_i <= b.i AND (x.end_i IS NULL OR x.end_i > b.i)"
+
+
+@query(f"""SELECT symbol, tf, cursor, {', '.join(_counts)}, w.type AS last_type, w.scope AS last_scope, w.direction AS last_direction, round(w.level, 6) AS last_level, round(h, 6) AS major_high, round(l, 6) AS major_low, round((h + l) / 2, 6) AS equilibrium FROM (
+  SELECT b.symbol, 60 AS tf, b.i AS cursor, {', '.join(f'({v}) AS {k}' for k, v in _counts.items())},
+         (SELECT arg_max({{'type': type, 'scope': scope, 'direction': direction, 'level': level}}, (i, scope = 'external', direction = 'bear')) FROM broken x WHERE x.symbol = b.symbol AND x.i <= b.i) AS w,
+         (SELECT arg_max(price, i) FROM pv9 x WHERE x.symbol = b.symbol AND x.kind = 'high' AND x.confirmed_i <= b.i) AS h, (SELECT arg_max(price, i) FROM pv9 x WHERE x.symbol = b.symbol AND x.kind = 'low' AND x.confirmed_i <= b.i) AS l
+  FROM bars b)""")
+def m11_snapshot(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    return W.structure_at(bars, *structure_items(bars))
