@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each written and reread before the next.
 
-run() applies them. The first four return the columns of documents; the last
-returns the pieces of packed sequences.
+run() applies them. The first four return the columns of documents, whatever
+these are called, with their own values; the last returns the pieces of packed
+sequences.
 """
 
 from __future__ import annotations
@@ -13,10 +14,21 @@ from pyspark.sql import functions as F
 from barwright.llm import common, exact, jaccard, mixing, packing, toxicity
 
 
+def _aside(docs: DataFrame, *read: str) -> DataFrame:
+    """docs whose columns, but those that a stage reads, have names that no operator adds or replaces."""
+    return docs.toDF(*[c if c in read else f"own {k}" for k, c in enumerate(docs.columns)])
+
+
+def _back(rows: DataFrame, docs: DataFrame, *read: str) -> DataFrame:
+    """The columns of docs again, of rows made from _aside(docs)."""
+    return rows.select(*[F.col(c if c in read else f"`own {k}`").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity chain doesn't reject; null and blank texts stay, repeated rows are judged each, without usable labels all stay."""
     chain = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain).where(~F.col("toxic")).select(docs.columns)
+    read = ("doc_id", "text")
+    return _back(toxicity.score(_aside(docs, *read), chain).where(~F.col("toxic")), docs, *read)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +46,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies that the mix takes, in training order; a document taken twice is there twice, null and blank texts have no
     words and are copied as their place says; a null source is a source of its own."""
-    return mixing.training_order(mixing.mix(docs)).select(docs.columns)
+    read = ("doc_id", "text", "source")
+    return _back(mixing.training_order(mixing.mix(_aside(docs, *read))), docs, *read)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
