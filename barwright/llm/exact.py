@@ -132,8 +132,8 @@ WITH d AS (
   FROM documents),
 g AS (
   SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
-         first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
-         row_number() OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id, r) = 1 AS kept
+         first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS FIRST) AS keep_id,
+         row_number() OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS FIRST, r) = 1 AS kept
   FROM d)
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
 """

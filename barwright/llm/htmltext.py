@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: No part can run over another tag's start outside quotes, and none gives back what it took, so time grows with the page only.
-TOKEN = re.compile(r"<!--(?:.*?-->|>|.*\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:\"[^\"]*+\"|'[^']*+'|[^><\"'])*+|[^><]*+)>|<[!?][^><]*+>", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:\"[^\"]*+\"|'[^']*+'|[^><\"'])*+|[^><]*+)>|<[!?][^><]*+>", re.S)
 ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 #: Elements without text of the page, and elements that never close.
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "textarea", "select", "button", "canvas", "math"}

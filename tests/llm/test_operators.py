@@ -519,3 +519,18 @@ def test_secrets_of_one_word(spark, scanner):
     assert (by[3, 0].word, by[3, 0].before, by[3, 0].after) == (f"token={key}", "x", "y")
     out = secrets.scan(rows, forest).collect()
     assert len(out) == len(want) and [r.secret for r in out if r.doc_id == 0 and r.run_index == 1] == [True]
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- a -->", "<!-- a --!>", "<!---->"])
+def test_html_comments_end_where_they_end(comment):
+    words = " ".join(b.text for b in htmltext.blocks(f"<p>Before.</p>{comment}<p>Hello there my friend. Yes.</p><!-- x --><p>After.</p>"))
+    assert words.split() == "Before. Hello there my friend. Yes. After.".split()
+
+
+def test_dedup_sql_puts_null_ids_first(spark):
+    import duckdb
+
+    documents = spark.createDataFrame([(None, ""), (2, None), (3, "a b"), (None, "ab "), (4, "ab ")], "doc_id long, text string").toPandas()  # noqa: F841  the view of the SQL
+    want = duckdb.sql(exact.ORACLE.replace("FROM documents", "FROM (SELECT doc_id::BIGINT AS doc_id, text FROM documents)")).fetchall()
+    got = exact.dedup(spark.createDataFrame([(None, ""), (2, None), (3, "a b"), (None, "ab "), (4, "ab ")], "doc_id long, text string")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))

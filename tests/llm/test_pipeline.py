@@ -94,3 +94,17 @@ def test_repeated_and_null_ids_lose_no_text(spark, tmp_path):
         if name == "source_mixing":
             out.write.parquet(str(tmp_path / "none"))
             empty = spark.read.parquet(str(tmp_path / "none"))
+
+
+def test_columns_of_the_caller_keep_their_values(spark):
+    own = {"toxic": 7, "p_toxic": "mine", "size": 99, "target": "keep", "positions": "p", "copies": -1, "position": 0.5, "own 3": 4, "doc": "d"}
+    rows = [(k, f"some words of text number {k}", "en", f"s{k % 3}", 5, *own.values()) for k in range(30)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *own])
+    stages = dict(corpus_pipeline.STAGES)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    assert labels.count() > 0
+    for name in ("toxicity", "source_mixing"):
+        out = stages[name](spark, docs, DATA)
+        assert out.columns == docs.columns and out.schema == docs.schema
+        got = {tuple(r) for r in out.collect()}
+        assert got <= set(rows) and (name != "toxicity" or got)
