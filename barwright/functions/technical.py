@@ -1,15 +1,17 @@
 """Bar functions as window expressions: moving averages, oscillators, crossings.
 
 Each takes column names or columns of a bar table and looks back along the
-series. Exponential averages are recurrences; see operators.series.
+series. What needs more than one window takes and returns bars (with_…); the
+parabolic stop and reverse is operators.channels.parallel_stop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..operators.core import along, rows_between
+from ..operators.core import KEY, along, rows_between
+from ..operators.series import decayed
 
 
 def _back(n: int) -> WindowSpec:
@@ -106,11 +108,46 @@ def bars_since(condition: Column) -> Column:
     return F.col("i") - F.last(F.when(condition, F.col("i")), ignorenulls=True).over(along().rowsBetween(-(1 << 63), 0))
 
 
-def value_when(condition: Column, x: Column | str, occurrence: int = 0) -> Column:
-    """x at the last bar that met the condition, or an earlier such bar."""
+def value_when(condition: Column, x: Column | str) -> Column:
+    """x at the last bar that met the condition."""
     x = F.col(x) if isinstance(x, str) else x
-    met = F.collect_list(F.when(condition, x)).over(along().rowsBetween(-(1 << 63), 0))
-    return F.try_element_at(met, F.lit(-1 - occurrence))
+    return F.last(F.when(condition, F.struct(x.alias("x"))), ignorenulls=True).over(along().rowsBetween(-(1 << 63), 0))["x"]
+
+
+def with_value_when(bars: DataFrame, condition: Column, x: Column | str, occurrence: int, to: str) -> DataFrame:
+    """bars with `to`, x at the bar that met the condition `occurrence` such bars before the last one (0: the last).
+
+    Bars that meet it are numbered, and a bar looks up the number that it is
+    due: no bar carries the ones before it.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    upto = along().rowsBetween(-(1 << 63), 0)
+    at = bars.withColumn("__met", F.coalesce(condition, F.lit(False))).withColumn("__n", F.count_if("__met").over(upto))
+    hits = at.where("__met").select(*KEY, F.col("__n").alias("__due"), x.alias(to))
+    return at.withColumn("__due", F.col("__n") - occurrence).join(hits, [*KEY, "__due"], "left").select(*bars.columns, to)
+
+
+def with_rma(bars: DataFrame, x: str, n: int, to: str, first: int = 0) -> DataFrame:
+    """bars with `to`, Wilder's average of x from bar `first` on, null before its seed, the mean of its first n."""
+    seed_at = first + n - 1
+    at = bars.withColumn("__mean", F.avg(x).over(_back(n)))
+    step = F.when(F.col("i") > seed_at, F.col(x) / n).when(F.col("i") == seed_at, F.col("__mean")).otherwise(0.0)
+    out = decayed(at, step, (n - 1) / n, to) if n > 1 else at.withColumn(to, F.col(x))
+    return out.withColumn(to, F.when(F.col("i") >= seed_at, F.col(to))).drop("__mean")
+
+
+def with_rsi(bars: DataFrame, n: int = 14, to: str = "rsi", x: str = "close") -> DataFrame:
+    """bars with `to`, the relative strength index: Wilder's averages of rises and falls, 100 without falls."""
+    at = bars.withColumn("__d", change(x)).withColumns({"__up": F.greatest("__d", F.lit(0.0)), "__down": F.greatest(-F.col("__d"), F.lit(0.0))})
+    at = with_rma(with_rma(at, "__up", n, "__ru", 1), "__down", n, "__rd", 1)
+    value = F.when(F.col("__rd") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.try_divide(F.col("__ru"), F.col("__rd"))))
+    return at.withColumn(to, F.when(F.col("__rd").isNotNull(), value)).select(*bars.columns, to)
+
+
+def with_hma(bars: DataFrame, x: str, n: int, to: str) -> DataFrame:
+    """bars with `to`, the Hull average: the weighted average, over sqrt(n) bars, of twice that of n / 2 less that of n."""
+    at = bars.withColumn("__raw", 2 * wma(x, n // 2) - wma(x, n))
+    return at.withColumn(to, wma("__raw", round(n**0.5))).drop("__raw")
 
 
 def pivot_points() -> dict[str, Column]:

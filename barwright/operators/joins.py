@@ -8,7 +8,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import KEY
@@ -41,6 +41,48 @@ def within(points: DataFrame, spans: DataFrame, at: str, first: str, last: str,
     return p.join(s, [*KEY, "__bucket", *also]).where((F.col(at) >= F.col(first)) & (F.col(at) <= F.col("__last"))).drop("__bucket", "__last", "__end")
 
 
+def first_beyond(asked: DataFrame, bars: DataFrame, *, after: str, price: str, way: str, to: str, fan: int = 64) -> DataFrame:
+    """asked with `to`: the first bar after `after` whose high is above `price` (way 1) or whose low is below it (way -1), null if none.
+
+    Bars stand in blocks of `fan`, blocks with their extremes in blocks of
+    `fan`, and so on. A row looks at what follows in its own block, then at what
+    follows that block in the next larger one, and so on up; where one has an
+    extreme beyond the price it goes down into it. Each step is a join by block,
+    with at most `fan` values looked at: 2 log(bars) steps, whatever the distance.
+    """
+    each = F.explode(F.array(F.struct(F.lit(1).alias("__way"), F.col("high").alias("v")), F.struct(F.lit(-1).alias("__way"), (-F.col("low")).alias("v"))))
+    level = bars.select(*KEY, F.col("i").cast("long").alias("at"), each.alias("x")).select(*KEY, "at", "x.*")
+    last = bars.agg(F.max("i")).first()[0] or 0
+    depth = 1
+    while last >= fan**depth:
+        depth += 1
+    blocks = []
+    for _ in range(depth):
+        held = level.groupBy(*KEY, "__way", F.floor(F.col("at") / fan).alias("__block")).agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("__v"))
+        blocks.append(held.withColumn("__v", F.transform("__v", lambda x: x["v"])))
+        level = level.groupBy(*KEY, "__way", F.floor(F.col("at") / fan).alias("at")).agg(F.max("v").alias("v"))
+    rows = asked.withColumn("__way", F.col(way)).withColumn("__at", F.col(after).cast("long")).withColumn("__price", F.col(price) * F.col(way)).withColumn("__level", F.lit(None).cast("int"))
+
+    def looked(rows: DataFrame, block: Column, beyond: Column, k: int) -> DataFrame:
+        """rows with __hit, the first place in their block of level k after the offset `beyond` that lies beyond the price."""
+        met = rows.withColumn("__block", block).join(blocks[k], [*KEY, "__way", "__block"], "left")
+        flags = F.transform("__v", lambda v, j: (j > beyond) & (v > F.col("__price")))
+        place = F.array_position(flags, F.lit(True))
+        return met.withColumn("__hit", F.when(place > 0, F.col("__block") * fan + place - 1)).drop("__v", "__block")
+
+    for k in range(depth):
+        asks = F.col("__level").isNull()
+        rows = looked(rows, F.when(asks, F.floor(F.col("__at") / fan)), F.pmod(F.col("__at"), F.lit(fan)), k)
+        found = F.col("__hit").isNotNull()
+        rows = rows.withColumn("__at", F.when(asks & found, F.col("__hit")).when(asks, F.floor(F.col("__at") / fan)).otherwise(F.col("__at")))
+        rows = rows.withColumn("__level", F.when(asks & found, F.lit(k)).otherwise(F.col("__level"))).drop("__hit")
+    for k in range(depth - 2, -1, -1):
+        goes = F.col("__level") > k
+        rows = looked(rows, F.when(goes, F.col("__at")), F.lit(-1), k)
+        rows = rows.withColumn("__at", F.when(goes, F.col("__hit")).otherwise(F.col("__at"))).drop("__hit")
+    return rows.withColumn(to, F.when(F.col("__level").isNotNull(), F.col("__at")).cast("int")).drop("__way", "__at", "__price", "__level")
+
+
 NEAR_SCHEMA = "symbol string, tf int, {point} int, kind string, value double, width double, tie double"
 
 

@@ -28,13 +28,14 @@ def previous_high_low(bars: DataFrame, period: str, offset: int = 0) -> DataFram
     return out.withColumn("x", each).select(*KEY, F.col("x.type").alias("type"), "period", F.col("x.price").alias("price"), F.col("x.anchor_i").alias("anchor_i"), "available_i")
 
 
-def levels_at(levels: DataFrame, bars: DataFrame) -> DataFrame:
-    """bars with each level type's price as known there."""
+def levels_at(levels: DataFrame, bars: DataFrame, kinds: tuple[str, ...] = ("PDH", "PDL", "PWH", "PWL")) -> DataFrame:
+    """bars with each level type's price as known there: types are columns of one table, so one join serves all of them."""
     from .joins import as_of
 
-    for kind in sorted(r.type for r in levels.select("type").distinct().collect()):  # four kinds at most
-        bars = as_of(bars, levels.where(F.col("type") == kind), "i", "available_i", ["price"], prefix=f"{kind.lower()}_")
-    return bars
+    wide = levels.groupBy(*KEY, "available_i").agg(*[F.max(F.when(F.col("type") == k, F.col("price"))).alias(k.lower()) for k in kinds])
+    w = Window.partitionBy(*KEY).orderBy("available_i").rowsBetween(Window.unboundedPreceding, 0)
+    held = wide.select(*KEY, "available_i", *[F.last(k.lower(), ignorenulls=True).over(w).alias(f"{k.lower()}_price") for k in kinds])
+    return as_of(bars, held, "i", "available_i", [f"{k.lower()}_price" for k in kinds])
 
 
 def support_resistance(bars: DataFrame, hours: int = 4, offset: int = 0) -> DataFrame:

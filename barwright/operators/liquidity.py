@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import KEY, fold_two, rows_between
+from .core import KEY, along, rows_between
+from .joins import first_beyond, nearest_open
 from .pivots import pivots, scoped
 
 LEVEL_SCHEMA = "i int, price double, type string, side string, confirmed_i int, scope string, scope_confirmed_i int, swept_i int, resolved_i int, classification string, bars_out int"
@@ -23,53 +21,29 @@ def base_levels(bars: DataFrame, k: int = 3, external_k: int = 9) -> DataFrame:
     return found.withColumn("type", F.when(high, "BSL").otherwise("SSL")).withColumn("side", F.when(high, "sh").otherwise("sl"))
 
 
-def resolve(n_accept: int):
-    def kernel(b: dict[str, np.ndarray], levels: list[dict]) -> list[tuple]:
-        high, low, close, n = b["high"], b["low"], b["close"], len(b["high"])
-        swept: dict[int, int] = {}
-        waiting = sorted(range(len(levels)), key=lambda x: levels[x]["confirmed_i"])
-        above: list[tuple[float, int]] = []  # open levels, the nearest first: a bar sweeps a prefix
-        below: list[tuple[float, int]] = []
-        nxt = 0
-        for i in range(n):
-            while above and above[0][0] < high[i]:
-                swept[heapq.heappop(above)[1]] = i
-            while below and -below[0][0] > low[i]:
-                swept[heapq.heappop(below)[1]] = i
-            while nxt < len(waiting) and levels[waiting[nxt]]["confirmed_i"] <= i:
-                x = waiting[nxt]
-                heapq.heappush(*((above, (levels[x]["price"], x)) if levels[x]["side"] == "sh" else (below, (-levels[x]["price"], x))))
-                nxt += 1
-        out = []
-        for x, v in enumerate(levels):
-            at, resolved, what, bars_out = swept.get(x), None, None, None
-            if at is not None:
-                end = min(at + LOOK, n - 1)
-                bars_out = end - at
-                for i in range(at, end + 1):
-                    outside = close[i] > v["price"] if v["side"] == "sh" else close[i] < v["price"]
-                    if outside and i - at + 1 >= n_accept:
-                        resolved, what, bars_out = i, "RUN", None
-                        break
-                    if not outside:
-                        resolved, bars_out = i, i - at
-                        what = "SWEEP" if bars_out == 0 or bars_out > 3 else "BIG_GRAB" if v["scope"] == "external" else "GRAB"
-                        break
-            out.append((v["i"], v["price"], v["type"], v["side"], v["confirmed_i"], v["scope"], v["scope_confirmed_i"], at, resolved, what, bars_out))
-        return out
-
-    return kernel
-
-
 def levels(bars: DataFrame, k: int = 3, external_k: int = 9, n_accept: int = 3) -> DataFrame:
     """base_levels with the bar that swept each, the bar that resolved it and as what.
 
-    A level is swept by the first later bar beyond its price; the levels that a
-    bar sweeps are the nearest of those open, so a heap finds them in n log n.
+    A level is swept by the first later bar beyond its price. It resolves at the
+    first close back inside (SWEEP at once or after more than three bars, else
+    GRAB, BIG_GRAB if external) or at the last of n_accept closes outside (RUN),
+    whichever comes first; the closes looked at are those of n_accept bars.
     """
     base = base_levels(bars, k, external_k).select(*KEY, "i", "price", "type", "side", "confirmed_i", "scope", "scope_confirmed_i")
-    out = fold_two(bars.select(*KEY, "i", "high", "low", "close"), base, resolve(n_accept), LEVEL_SCHEMA, ["i", "side"])
-    return out
+    rows = base.withColumn("__side", F.when(F.col("side") == "sh", 1).otherwise(-1))
+    swept = first_beyond(rows, bars, after="confirmed_i", price="price", way="__side", to="swept_i")
+    looked = min(n_accept, LOOK + 1)
+    closes = bars.select(*KEY, F.col("i").alias("swept_i"), F.collect_list("close").over(rows_between(0, looked - 1)).alias("__c"), F.lead("i", LOOK).over(along()).alias("__far"), F.max("i").over(Window.partitionBy(*KEY)).alias("__end"))
+    at = swept.join(closes, [*KEY, "swept_i"], "left")
+    inside = F.array_position(F.transform("__c", lambda c: ~(c * F.col("__side") > F.col("price") * F.col("__side"))), F.lit(True)) - 1
+    at = at.withColumn("__in", inside)
+    back = F.col("__in") >= 0
+    run = (F.col("__in") < 0) & (F.size("__c") >= n_accept)
+    name = F.when((F.col("__in") == 0) | (F.col("__in") > 3), "SWEEP").when(F.col("scope") == "external", "BIG_GRAB").otherwise("GRAB")
+    out = at.withColumn("resolved_i", F.when(back, F.col("swept_i") + F.col("__in")).when(run, F.col("swept_i") + n_accept - 1).cast("int"))
+    out = out.withColumn("classification", F.when(back, name).when(run, "RUN"))
+    out = out.withColumn("bars_out", F.when(back, F.col("__in")).when(~run, F.coalesce("__far", "__end") - F.col("swept_i")).cast("int"))
+    return out.select(*KEY, *[x.split()[0] for x in LEVEL_SCHEMA.split(", ")])
 
 
 def equal_levels(base: DataFrame, bars: DataFrame, *, tolerance: float = 0.05, reach: int = 100) -> DataFrame:
@@ -136,27 +110,24 @@ def as_of(found: DataFrame, cursor: int) -> DataFrame:
 def nearest(bars: DataFrame, found: DataFrame, *, near_internal: float = 0.5, near_external: float = 0.75) -> DataFrame:
     """For each bar the nearest open level of either scope within a multiple of atr (first in order on ties).
 
-    Bars and levels meet by stretch of time and by band of price, as wide as the
-    farthest that any bar of the series looks, so a bar doesn't see every level
-    that is still open.
+    A level is internal until its external scope is confirmed. Open levels are
+    swept in the order of their prices, so a bar looks at its two neighbours,
+    however many levels are open and however far a single bar's atr reaches.
     """
-    from .joins import within
-
     known = bars.select(*KEY, "i", "close", "atr").where("atr > 0")
-    width = known.groupBy(*KEY).agg((F.max("atr") * max(near_internal, near_external)).alias("__w"))
-    band = lambda c: F.floor(F.col(c) / F.col("__w"))
-    known = known.join(width, KEY).withColumn("__band", band("close")).drop("__w")
-
-    spans = found.withColumn("__to", F.col("resolved_i") - 1).withColumnRenamed("i", "level_i")
-    spans = spans.select(*KEY, "level_i", "price", "type", "scope", "scope_confirmed_i", "confirmed_i", "__to", F.when(F.col("side") == "sh", 0).otherwise(1).alias("__o"))
-    spans = spans.join(width, KEY).withColumn("__band", F.explode(F.array(*[band("price") + k for k in (-1, 0, 1)]))).drop("__w")
-    two = within(known, spans, "i", "confirmed_i", "__to", also=["__band"])
-    outer = (F.col("scope") == "external") & (F.col("scope_confirmed_i") <= F.col("i"))
-    two = two.withColumn("outer", outer).withColumn("distance", F.abs(F.col("close") - F.col("price")))
-    two = two.where(F.col("distance") <= F.col("atr") * F.when(F.col("outer"), near_external).otherwise(near_internal))
-    pick = lambda cond: F.min(F.when(cond, F.struct("distance", "level_i", "__o", "type")))
-    out = two.groupBy(*KEY, "i").agg(pick(~F.col("outer")).alias("n"), pick(F.col("outer")).alias("e"))
-    return out.select(*KEY, "i", F.col("n.level_i").alias("internal_i"), F.col("n.type").alias("internal_type"), F.col("e.level_i").alias("external_i"), F.col("e.type").alias("external_type"))
+    outer = F.col("scope") == "external"
+    place = -(F.col("i") * 2 + F.when(F.col("side") == "sh", 0).otherwise(1)).cast("double")
+    turn = F.greatest("confirmed_i", "scope_confirmed_i")
+    end = F.col("resolved_i") - 1
+    base = found.select(*KEY, "scope", F.col("price").alias("value"), place.alias("tie"), F.lit(0.0).alias("width"), "confirmed_i", turn.alias("turn"), end.alias("end"))
+    each = F.array_compact(F.array(F.struct(F.lit("internal").alias("kind"), F.col("confirmed_i").alias("first"), F.when(outer, F.least("end", F.col("turn") - 1)).otherwise(F.col("end")).alias("last")), F.when(outer, F.struct(F.lit("external").alias("kind"), F.col("turn").alias("first"), F.col("end").alias("last")))))
+    near = nearest_open(known, base.withColumn("x", F.explode(each)).select(*KEY, "x.kind", "value", "tie", "width", "x.first", "x.last"), point="i", at="i", ref="close")
+    reach = F.col("atr") * F.when(F.col("kind") == "external", near_external).otherwise(near_internal)
+    near = near.join(known, [*KEY, "i"]).where(F.abs(F.col("close") - F.col("value")) <= reach)
+    level = F.struct(F.floor(-F.col("tie") / 2).cast("int").alias("i"), F.when(F.pmod(-F.col("tie"), F.lit(2)) == 0, "BSL").otherwise("SSL").alias("type"))
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, level))
+    out = near.groupBy(*KEY, "i").agg(pick("internal").alias("n"), pick("external").alias("e"))
+    return out.select(*KEY, "i", F.col("n.i").alias("internal_i"), F.col("n.type").alias("internal_type"), F.col("e.i").alias("external_i"), F.col("e.type").alias("external_type"))
 
 
 def running_top(found: DataFrame, n: int) -> DataFrame:

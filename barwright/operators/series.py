@@ -1,16 +1,19 @@
 """Numbers for each bar: ranges, averages, trend filters, regime features.
 
-Frames that look back a fixed number of bars are windows. Recurrences run in
+Frames that look back a fixed number of bars are windows, and averages that
+decay are sums over stretches of bars. Recurrences with a choice in them run in
 one fold that returns all of them, so a series crosses to Python once.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import along, fold, rows_between
+from .core import KEY, along, fold, rows_between
 
 NaN = float("nan")
 
@@ -79,6 +82,46 @@ def ema(x: np.ndarray, period: int) -> np.ndarray:
     return out
 
 
+def decayed(rows: DataFrame, step: Column, decay: float, to: str) -> DataFrame:
+    """rows with `to`, the recurrence y(i) = decay y(i - 1) + step(i) from 0, without a pass from bar to bar.
+
+    A series is cut into stretches over which the decay falls to about 1e-8.
+    Within one, y is a running sum of steps weighted by their age; what came
+    before a stretch enters through the weighted sums of the three stretches
+    before it, as older ones weigh less than 1e-24. So stretches of one series
+    are computed in parallel, by windows that hold a stretch each.
+    """
+    if not 0 < decay < 1:
+        raise ValueError("decay lies between 0 and 1")
+    n = max(1, math.ceil(math.log(1e-8) / math.log(decay)))
+    at = rows.withColumn("__c", F.floor(F.col("i") / n)).withColumn("__k", F.col("i") - F.col("__c") * n).withColumn("__b", step)
+    own = F.sum(F.col("__b") * F.pow(F.lit(decay), -F.col("__k"))).over(Window.partitionBy(*KEY, "__c").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    ends = at.groupBy(*KEY, "__c").agg(F.sum(F.col("__b") * F.pow(F.lit(decay), n - 1 - F.col("__k"))).alias("e"))
+    later = F.explode(F.array(*[F.struct((F.col("__c") + k + 1).alias("__c"), (F.col("e") * decay ** (n * k)).alias("e")) for k in range(3)]))
+    carried = ends.select(*KEY, later.alias("x")).groupBy(*KEY, F.col("x.__c").alias("__c")).agg(F.sum("x.e").alias("__e"))
+    y = F.pow(F.lit(decay), F.col("__k")) * own + F.pow(F.lit(decay), F.col("__k") + 1) * F.coalesce("__e", F.lit(0.0))
+    return at.join(carried, [*KEY, "__c"], "left").withColumn(to, y).select(*rows.columns, to)
+
+
+def average_true_range(bars: DataFrame, period: int = 14, *, late: bool = False, to: str = "atr") -> DataFrame:
+    """bars with Wilder's average of the true range, null before its seed: the mean of the first `period` ranges, or (late) of those after the first bar."""
+    seed_at = period if late else period - 1
+    at = true_range(bars).withColumn("__mean", F.avg("tr").over(rows_between(-(period - 1), 0)))
+    step = F.when(F.col("i") > seed_at, F.col("tr") / period).when(F.col("i") == seed_at, F.col("__mean")).otherwise(0.0)
+    if period == 1:
+        return at.withColumn(to, F.when(F.col("i") >= seed_at, F.col("tr"))).drop("tr", "__mean")
+    out = decayed(at, step, (period - 1) / period, to)
+    return out.withColumn(to, F.when(F.col("i") >= seed_at, F.col(to))).drop("tr", "__mean")
+
+
+def exponential_average(bars: DataFrame, value: str, period: int, to: str) -> DataFrame:
+    """bars with the exponential average of a column, which begins with its first value."""
+    k = 2 / (period + 1)
+    if period == 1:
+        return bars.withColumn(to, F.col(value))
+    return decayed(bars, F.when(F.col("i") == 0, F.col(value)).otherwise(F.col(value) * k), 1 - k, to)
+
+
 def supertrend(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.ndarray, times: float) -> tuple[np.ndarray, ...]:
     """value, direction, upper, lower: bands only tighten until the close before has crossed them."""
     n = len(close)

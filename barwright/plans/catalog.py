@@ -346,12 +346,12 @@ def v1_true_range(spark, sf_dir):
 
 @query("SELECT b.symbol, b.tf, b.i, round(atr, 6) AS atr FROM bars b LEFT JOIN atr USING (symbol, i)")
 def v2_atr14(spark, sf_dir):
-    return measured(spark, sf_dir).select(*KEY, "i", "atr")
+    return V.average_true_range(hourly(spark, sf_dir)).select(*KEY, "i", "atr")
 
 
 @query("SELECT b.symbol, b.tf, b.i, round(atr, 6) AS atr_late FROM bars b LEFT JOIN atr_late USING (symbol, i)")
 def v3_atr_liquidity(spark, sf_dir):
-    return measured(spark, sf_dir).select(*KEY, "i", "atr_late")
+    return V.average_true_range(hourly(spark, sf_dir), late=True, to="atr_late").select(*KEY, "i", "atr_late")
 
 
 @query("SELECT b.symbol, b.tf, b.i, round(coalesce(a.atr, (SELECT x.atr FROM atr10 x WHERE x.symbol = b.symbol AND x.i = 10)), 6) AS atr_zero FROM bars b LEFT JOIN atr10 a USING (symbol, i)")
@@ -362,7 +362,7 @@ def v4_atr_backfill(spark, sf_dir):
 @query(""", ema AS (SELECT symbol, i, volume AS e FROM bars WHERE i = 0 UNION ALL SELECT b.symbol, b.i, b.volume * 0.2 + e.e * (1 - 0.2) FROM ema e JOIN bars b ON b.symbol = e.symbol AND b.i = e.i + 1)
 SELECT symbol, 60 AS tf, i, round(e, 6) AS ema_volume FROM ema""")
 def v6_ema9_volume(spark, sf_dir):
-    return measured(spark, sf_dir).select(*KEY, "i", "ema_volume")
+    return V.exponential_average(hourly(spark, sf_dir), "volume", 9, "ema_volume").select(*KEY, "i", "ema_volume")
 
 
 @query("""SELECT symbol, tf, i, round(m, 6) AS volume_average, m > 0 AND volume >= m * 1.35 AS high_volume FROM (
@@ -381,9 +381,9 @@ def v8_regime_features(spark, sf_dir):
 
 
 @query("""SELECT b.symbol, b.tf, n, round(s, 6) AS slope, round(max(greatest(high - s * i - c, 0)), 6) AS upper, round(max(greatest(s * i + c - low, 0)), 6) AS lower
-FROM bars b JOIN (SELECT symbol, regr_slope(close, i) AS s, regr_intercept(close, i) AS c, count(*) AS n FROM bars WHERE i < 200 GROUP BY symbol) USING (symbol) WHERE i < 200 GROUP BY b.symbol, b.tf, n, s, c""")
+FROM bars b JOIN (SELECT symbol, regr_slope(close, i) AS s, regr_intercept(close, i) AS c, count(*) AS n FROM bars GROUP BY symbol) USING (symbol) GROUP BY b.symbol, b.tf, n, s, c""")
 def v9_regression_channel(spark, sf_dir):
-    return V.regression_channel(B.prefix(hourly(spark, sf_dir), 199)).select(*KEY, "n", "slope", "upper", "lower")
+    return V.regression_channel(hourly(spark, sf_dir)).select(*KEY, "n", "slope", "upper", "lower")
 
 
 @query("""SELECT p.symbol, p.tf, n, round(s, 6) AS slope, round(sqrt(sum((price - s * i - c) ** 2) / n), 6) AS sigma
@@ -1049,6 +1049,24 @@ def o1_technical(spark, sf_dir):
     return at.where("sma is not null")
 
 
+_rma = """SELECT symbol, 14 AS i, avg(greatest(d, 0)) AS u, avg(greatest(-d, 0)) AS f FROM steps14_ WHERE i BETWEEN 1 AND 14 GROUP BY symbol HAVING count(*) = 14
+  UNION ALL SELECT s.symbol, s.i, (r.u * 13 + greatest(s.d, 0)) / 14, (r.f * 13 + greatest(-s.d, 0)) / 14 FROM rsi_ r JOIN steps14_ s ON s.symbol = r.symbol AND s.i = r.i + 1"""
+PARTS |= {"steps14_": "SELECT symbol, i, close - lag(close) OVER (PARTITION BY symbol ORDER BY i) AS d FROM bars", "rsi_": _rma}
+_wma = lambda x, n: "(" + " + ".join(f"{n - k} * lag({x}, {k}) OVER w" for k in range(n)) + f") / {n * (n + 1) // 2}.0"
+
+
+@query(f"""SELECT b.symbol, 60 AS tf, b.i, round(CASE WHEN r.f = 0 THEN 100 ELSE 100 - 100 / (1 + r.u / r.f) END, 6) AS rsi, round(h.hma, 6) AS hma, round(v.close, 6) AS second_rise
+FROM bars b LEFT JOIN rsi_ r ON r.symbol = b.symbol AND r.i = b.i
+JOIN (SELECT symbol, i, {_wma('raw', 4)} AS hma FROM (SELECT symbol, i, 2 * {_wma('close', 8)} - {_wma('close', 16)} AS raw FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY i)) WINDOW w AS (PARTITION BY symbol ORDER BY i)) h ON h.symbol = b.symbol AND h.i = b.i
+LEFT JOIN (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY i) AS n FROM bars WHERE close > open) v
+  ON v.symbol = b.symbol AND v.n = (SELECT count(*) FROM bars x WHERE x.symbol = b.symbol AND x.i <= b.i AND x.close > x.open) - 1""")
+def o2_oscillators(spark, sf_dir):
+    from ..functions import technical as K
+
+    at = K.with_hma(K.with_rsi(hourly(spark, sf_dir)), "close", 16, "hma")
+    return K.with_value_when(at, F.col("close") > F.col("open"), "close", 1, "second_rise").select(*KEY, "i", "rsi", "hma", "second_rise")
+
+
 # ---- views at a cursor, zones and features of their own -----------------------------------------------------------
 
 
