@@ -25,6 +25,7 @@ from ..operators import series as V
 from ..operators import strategy as T
 from ..operators import structure as S
 from ..operators import views as W
+from ..operators.scratch import kept
 from ..sources.candles import candles_from_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,14 +270,20 @@ def breaks(bars: DataFrame) -> DataFrame:
     return S.breaks(bars, P.pivots(bars, 3), "internal").unionByName(S.breaks(bars, external(bars), "external"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = hourly(spark, sf_dir)
+def once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars for a query with several branches: written, so that the ticks are read once."""
+    return kept(hourly(spark, sf_dir), "hourly")
+
+
+def scored(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    bars = once(spark, sf_dir) if bars is None else bars
     return L.with_volume_score(L.levels(bars), bars, B.volume_index(minutes(spark, sf_dir), 60))
 
 
-def lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lifted(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
     """Breaks with the liquidity events that raise their weight."""
-    return S.boosted(breaks(hourly(spark, sf_dir)), scored(spark, sf_dir))
+    bars = once(spark, sf_dir) if bars is None else bars
+    return S.boosted(kept(breaks(bars), "breaks"), scored(spark, sf_dir, bars))
 
 
 # ---- bars ---------------------------------------------------------------------------------------------------------
@@ -483,18 +490,18 @@ def l2_equal_levels(spark, sf_dir):
 
 @query("SELECT symbol, 60 AS tf, side, l.i, swept_i FROM levels l JOIN sweeps USING (symbol, kind, i)")
 def l3_sweeps(spark, sf_dir):
-    return L.levels(hourly(spark, sf_dir)).where("swept_i is not null").select(*KEY, "side", "i", "swept_i")
+    return L.levels(once(spark, sf_dir)).where("swept_i is not null").select(*KEY, "side", "i", "swept_i")
 
 
 @query("SELECT symbol, type, scope, coalesce(classification, CASE WHEN swept_i IS NULL THEN 'DETECTED' ELSE 'SWEPT' END) AS outcome, count(*) AS n FROM ends GROUP BY ALL")
 def l4_liquidity_class(spark, sf_dir):
     outcome = F.coalesce("classification", F.when(F.col("swept_i").isNull(), "DETECTED").otherwise("SWEPT"))
-    return L.levels(hourly(spark, sf_dir)).groupBy("symbol", "type", "scope", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return L.levels(once(spark, sf_dir)).groupBy("symbol", "type", "scope", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT symbol, 60 AS tf, i, side, scope, swept_i, resolved_i, classification FROM ends")
 def l1_levels(spark, sf_dir):
-    return L.levels(hourly(spark, sf_dir)).select(*KEY, "i", "side", "scope", "swept_i", "resolved_i", "classification")
+    return L.levels(once(spark, sf_dir)).select(*KEY, "i", "side", "scope", "swept_i", "resolved_i", "classification")
 
 
 VOLUME = "(SELECT e.*, 3 * b.volume AS volume_score FROM ends e JOIN bars b ON b.symbol = e.symbol AND b.i = coalesce(e.swept_i, e.i))"
@@ -513,7 +520,7 @@ def l7_weighted(spark, sf_dir):
 
 @query("SELECT symbol, 60 AS tf, i, side, CASE WHEN swept_i <= 120 THEN swept_i END AS swept_i, CASE WHEN resolved_i <= 120 THEN classification END AS classification, CASE WHEN scope_confirmed_i > 120 THEN 'internal' ELSE scope END AS scope FROM ends WHERE confirmed_i <= 120")
 def l8_levels_as_of(spark, sf_dir):
-    return L.as_of(L.levels(hourly(spark, sf_dir)), 120).select(*KEY, "i", "side", "swept_i", "classification", "scope")
+    return L.as_of(L.levels(once(spark, sf_dir)), 120).select(*KEY, "i", "side", "swept_i", "classification", "scope")
 
 
 # ---- structure ----------------------------------------------------------------------------------------------------
@@ -551,8 +558,8 @@ def m5_fvg_lifecycle(spark, sf_dir):
 
 @query("""SELECT symbol, tf, type, scope, direction, triggered_by, boosted, round(probability_weight, 6) AS probability_weight, i, round(top, 6) AS top, round(bottom, 6) AS bottom, confirmed_i FROM obs""")
 def m6_order_blocks(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    return S.order_blocks(bars, lifted(spark, sf_dir))
+    bars = once(spark, sf_dir)
+    return S.order_blocks(bars, lifted(spark, sf_dir, bars))
 
 
 @query("""SELECT symbol, tf, type, scope, direction, triggered_by, boosted, round(probability_weight, 6) AS probability_weight, i, round(top, 6) AS top, round(bottom, 6) AS bottom, confirmed_i,
@@ -564,8 +571,8 @@ FROM (SELECT *, abs(top - bottom) / ar AS rr, abs(tc - (top + bottom) / 2) / ar
   JOIN (SELECT symbol, i, avg(CASE WHEN high > low THEN high - low END) OVER w AS mr, avg(CASE WHEN high > low THEN volume END) OVER w AS mv FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 20 PRECEDING)) m ON m.symbol = o.symbol AND m.i = o.i
   JOIN bars t ON t.symbol = o.symbol AND t.i = o.triggered_by))""")
 def m7_ob_relevance(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    return S.relevance(S.order_blocks(bars, lifted(spark, sf_dir)), bars)
+    bars = once(spark, sf_dir)
+    return S.relevance(S.order_blocks(bars, lifted(spark, sf_dir, bars)), bars)
 
 
 @query("""SELECT symbol, tf, type, scope, direction, triggered_by, boosted, round(probability_weight, 6) AS probability_weight, i, round(top, 6) AS top, round(bottom, 6) AS bottom, confirmed_i, min(j) FILTER (d > 0) AS first_touch_i, end_i, round(coalesce(max(least(greatest(d, 0), 1)), 0), 6) AS fill_ratio, CASE WHEN end_i IS NULL THEN 'active' ELSE 'mitigated' END AS status FROM (
@@ -573,8 +580,8 @@ def m7_ob_relevance(spark, sf_dir):
          min(CASE WHEN CASE f.direction WHEN 'bull' THEN b.low <= f.bottom ELSE b.high >= f.top END THEN b.i END) OVER (PARTITION BY f.n) AS end_i
   FROM (SELECT *, row_number() OVER () AS n FROM obs) f LEFT JOIN bars b ON b.symbol = f.symbol AND b.i > f.confirmed_i AND f.top > f.bottom) WHERE end_i IS NULL OR j <= end_i GROUP BY ALL""")
 def m8_ob_lifecycle(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    return S.lifecycle(bars, S.order_blocks(bars, lifted(spark, sf_dir))).drop("fills")
+    bars = once(spark, sf_dir)
+    return S.lifecycle(bars, S.order_blocks(bars, lifted(spark, sf_dir, bars))).drop("fills")
 
 
 @query("""SELECT l.symbol, 60 AS tf, l.direction, l.from_i, l.to_i, round(l.slope, 6) AS slope, l.confirmed_i, min(b.i) AS break_i FROM (
@@ -633,13 +640,13 @@ def m14_matched_reaction(spark, sf_dir):
 FROM (SELECT b.*, atr FROM bars b JOIN atr USING (symbol, i) WHERE atr > 0) b JOIN (SELECT * FROM ends) e ON e.symbol = b.symbol AND e.confirmed_i <= b.i AND (e.resolved_i IS NULL OR e.resolved_i > b.i), LATERAL (SELECT e.scope = 'external' AND e.scope_confirmed_i <= b.i AS o)
 WHERE abs(b.close - e.price) <= atr * CASE WHEN o THEN 0.75 ELSE 0.5 END GROUP BY b.symbol, b.i""")
 def g1_nearest_level(spark, sf_dir):
-    bars = measured(spark, sf_dir)
+    bars = kept(measured(spark, sf_dir), "measured")
     return L.nearest(bars, L.levels(bars)).select(*KEY, "i", "internal_i", "external_i")
 
 
 @query("""SELECT symbol, 60 AS tf, i, time, state, confidence FROM regime_ WHERE i >= 0""")
 def g3_regime(spark, sf_dir):
-    bars = measured(spark, sf_dir)
+    bars = kept(measured(spark, sf_dir), "measured")
     return G.regime(bars, L.levels(bars), breaks(bars))
 
 
@@ -688,8 +695,8 @@ FROM obs o JOIN bars z ON z.symbol = o.symbol AND z.i = o.i
 JOIN (SELECT a.symbol, a.i, list_sort(list(b.volume) FILTER (b.volume > 0)) AS s FROM bars a JOIN bars b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 99 AND a.i GROUP BY a.symbol, a.i) l ON l.symbol = o.symbol AND l.i = o.confirmed_i
 WHERE z.volume >= coalesce(l.s[floor((len(l.s) - 1) * 0.7 + 0.5)::INT + 1], 0)""")
 def t8_supply_demand(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    return T.supply_demand(S.order_blocks(bars, lifted(spark, sf_dir)), bars)
+    bars = once(spark, sf_dir)
+    return T.supply_demand(S.order_blocks(bars, lifted(spark, sf_dir, bars)), bars)
 
 
 def backtested(spark, sf_dir, curve=False):
@@ -837,8 +844,8 @@ def f3_last_closed(spark, sf_dir):
     GROUP BY f.symbol, f.what, f.direction, f.top, f.bottom, f.confirmed_i, f.k) z ON z.symbol = p.symbol AND z.confirmed_i <= p.cursor AND (z.end_i IS NULL OR z.end_i > p.cursor)
   GROUP BY ALL)""")
 def f8_snapshot_1h(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    blocks = S.lifecycle(bars, S.order_blocks(bars, lifted(spark, sf_dir)))
+    bars = once(spark, sf_dir)
+    blocks = S.lifecycle(bars, S.order_blocks(bars, lifted(spark, sf_dir, bars)))
     return X.snapshot(P.ghost_trace(bars, 5), bars, L.levels(bars), S.lifecycle(bars, S.gaps(bars)), blocks)
 
 
@@ -1090,8 +1097,8 @@ LEAST_ALL = "SELECT symbol, s[floor((len(s) - 1) * 0.7 + 0.5)::INT + 1] AS least
 @query(f"""SELECT o.symbol, o.tf, o.scope, o.direction, o.i, o.confirmed_i, z.volume AS zone_volume, l.least, CASE o.direction WHEN 'bear' THEN 'supply' ELSE 'demand' END AS zone
 FROM obs o JOIN bars z ON z.symbol = o.symbol AND z.i = o.i LEFT JOIN ({LEAST_ALL}) l ON l.symbol = o.symbol WHERE z.volume >= coalesce(l.least, 0)""")
 def t7_lookahead_zones(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    return T.supply_demand(S.order_blocks(bars, lifted(spark, sf_dir)), bars, causal=False).select(*KEY, "scope", "direction", "i", "confirmed_i", "zone_volume", "least", "zone")
+    bars = once(spark, sf_dir)
+    return T.supply_demand(S.order_blocks(bars, lifted(spark, sf_dir, bars)), bars, causal=False).select(*KEY, "scope", "direction", "i", "confirmed_i", "zone_volume", "least", "zone")
 
 
 @query(f"""SELECT * FROM (
@@ -1100,8 +1107,8 @@ def t7_lookahead_zones(spark, sf_dir):
     WHERE z.volume >= coalesce(l.least, 0) AND o.confirmed_i <= 404) k
   WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = k.symbol AND b.i > k.confirmed_i AND b.i <= 404 AND CASE k.zone WHEN 'demand' THEN b.low <= k.top ELSE b.high >= k.bottom END)) WHERE place <= 15""")
 def t9_untouched_zones(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
-    zones = T.supply_demand(S.order_blocks(bars, lifted(spark, sf_dir)), bars, causal=False)
+    bars = once(spark, sf_dir)
+    zones = T.supply_demand(S.order_blocks(bars, lifted(spark, sf_dir, bars)), bars, causal=False)
     return T.untouched(zones, bars, 404).select(*KEY, "scope", "zone", "i", "confirmed_i", "place")
 
 
@@ -1269,5 +1276,5 @@ for _name, _rows in (("fvg", "(SELECT * FROM zones_ WHERE what = 'fvg')"), ("ord
          (SELECT arg_max(price, i) FROM pv9 x WHERE x.symbol = b.symbol AND x.kind = 'high' AND x.confirmed_i <= b.i) AS h, (SELECT arg_max(price, i) FROM pv9 x WHERE x.symbol = b.symbol AND x.kind = 'low' AND x.confirmed_i <= b.i) AS l
   FROM bars b)""")
 def m11_snapshot(spark, sf_dir):
-    bars = hourly(spark, sf_dir)
+    bars = once(spark, sf_dir)
     return W.structure_at(bars, *structure_items(bars))
