@@ -1192,6 +1192,19 @@ def s10_prediction_rows(spark, sf_dir):
     return predictions(bars.withColumn("p", F.coalesce(F.lag("Y_5m").over(along()), F.lit(0).cast("long"))), ["Y_5m"], ["p"], [*KEY, "event_time"])
 
 
+@query()
+def n3_train_evaluate(spark, sf_dir):
+    """Metrics of held-out predictions of the counts of ghost events, from the features of the bar where each appears."""
+    from ..operators import training as R
+
+    bars = once(spark, sf_dir)
+    events = X.labels(P.ghost_trace(bars, 5), bars, (180, 300, 600, 900)).where("complete")
+    measured_ = V.regime_features(V.average_true_range(bars), F.col("atr")).select(*KEY, F.col("i").alias("event_i"), *M.FEATURES)
+    targets = [f"Y_{n}m" for n in (180, 300, 600, 900)]
+    _, told, _ = R.evaluated(events.join(measured_, [*KEY, "event_i"]), M.FEATURES, targets, length=4, limits=(3, 5, 10, 15), hidden=8, batches=2, epochs=4)
+    return told
+
+
 # ---- views at every cursor ----------------------------------------------------------------------------------------
 
 
