@@ -1,19 +1,23 @@
 """Quality rules whose cutoffs are certified to reject few good documents.
 
-Base rules drop very short and very repetitive texts. Each further rule drops a
-text whose score reaches a cutoff, and a text goes if any rule drops it. So that
-all rules together reject at most alpha of a stratum's good documents, each may
-reject alpha / (number of rules). A cutoff is taken from a fixed grid: for every
-stratum (length class) and rule, the good documents of a labelled holdout that
-the cutoff would reject are counted, and the exact binomial tail
-P[Bin(n, alpha / rules) <= rejected] is the p-value of "this cutoff rejects more
-than its share". With Bonferroni's correction over all strata, rules and
-cutoffs, every cutoff that passes is safe at once with probability 1 - delta, and
-then so is every stratum's verdict as a whole; the strictest is used. A stratum
-and rule without one don't reject.
+Base rules drop very short and very repetitive texts. Four further rules score
+a text, on scales on which 0 is usual; its joint score is the greatest of them,
+and it goes if that reaches its stratum's cutoff. Strata are length classes.
+
+Cutoffs are taken from a fixed grid. For a cutoff, the good documents of a
+labelled holdout that it would reject are counted, and the exact binomial tail
+P[Bin(n, alpha) <= rejected] is the p-value of "it rejects more than alpha of
+the good documents". In a stratum the cutoffs are tested from the most lenient
+to the strictest, in that fixed order and up to the first that fails, so no
+correction is needed within a stratum: the first cutoff that rejects too much
+must pass its own test to do harm. Of the cutoffs that pass, the one is used
+whose shares of bad and of good documents rejected differ most. Over the strata Bonferroni's correction
+shares out delta. With probability 1 - delta every stratum's verdict is safe. A
+stratum where no cutoff passes (with alpha 2 % and delta 5 %, one with fewer
+than 217 good documents) doesn't reject.
 
 All counts are made in the engine; what reaches the driver is one row for each
-stratum and rule (an array of counts over the grid), so it does not grow with
+stratum (counts over the grid), so it does not grow with
 the corpus. The four counts of a text are made in its own row by array
 functions: no shuffle.
 
@@ -34,12 +38,13 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, saved, words
 
-#: Scores by name; a text is rejected when a score is at or above its cutoff.
+#: Scores by name. Weights and offsets put what good texts have near 0 (fixed values): twice the share of symbols, half the shares of
+#: repeated lines and words, tenths of the characters of a mean word beyond six.
 RULES = {
-    "symbols": lambda: F.try_divide(F.col("n_symbols").cast("double"), F.col("word_chars")),
-    "duplicate_lines": lambda: F.try_divide(F.col("n_dup_lines").cast("double"), F.col("n_lines")),
-    "repeated_words": lambda: F.try_divide(F.col("n_repeat_words").cast("double"), F.col("n_words")),
-    "long_words": lambda: F.try_divide(F.col("word_chars").cast("double"), F.col("n_words")) / 50,
+    "symbols": lambda: 2 * F.try_divide(F.col("n_symbols").cast("double"), F.col("word_chars")),
+    "duplicate_lines": lambda: F.try_divide(F.col("n_dup_lines").cast("double"), F.col("n_lines")) / 2,
+    "repeated_words": lambda: F.try_divide(F.col("n_repeat_words").cast("double"), F.col("n_words")) / 2,
+    "long_words": lambda: (F.try_divide(F.col("word_chars").cast("double"), F.col("n_words")) - 6) / 10,
 }
 #: Cutoffs tried, strictest first.
 GRID = (0.01, 0.02, 0.05, 0.08, 0.12, 0.16, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.8)
@@ -123,40 +128,52 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return 1 - tail if turned else tail
 
 
-def certify(counts: list[tuple[int, str, int, list[int]]], alpha: float, delta: float, tests: int | None = None) -> dict[tuple[int, str], float]:
-    """counts: stratum, rule, good documents, and how many of them each cutoff of GRID rejects. All rules together reject at most alpha."""
-    tests, share = tests or (len(STRATA) + 1) * len(RULES) * len(GRID), alpha / len(RULES)
+def joint() -> Column:
+    """The greatest of the rules' scores, at least 0."""
+    return F.greatest(F.lit(0.0), *[F.coalesce(f(), F.lit(0.0)) for f in RULES.values()])
+
+
+def certify(counts: list[tuple[int, int, list[int], int, list[int]]], alpha: float, delta: float, strata: int = len(STRATA) + 1) -> dict[int, float]:
+    """A certified cutoff by stratum. counts: stratum, good documents and how many of them each cutoff of GRID rejects, bad ones and how many of them.
+
+    Of the certified ones, that with the greatest share of bad less share of good documents rejected, the most lenient on ties.
+    """
     found = {}
-    for stratum, rule, n, rejected in counts:
-        for cutoff, k in zip(GRID, rejected, strict=True):
-            if n and k < n * share and binomial_tail(k, n, share) <= delta / tests:
-                found[stratum, rule] = cutoff
+    for stratum, n, rejected, n_bad, bad in counts:
+        best = None
+        for cutoff, k, b in reversed(list(zip(GRID, rejected, bad, strict=True))):
+            if not n or binomial_tail(k, n, alpha) > delta / strata:
                 break
+            gain = (b / n_bad if n_bad else 0.0) - k / n
+            if best is None or gain > best:
+                best, found[stratum] = gain, cutoff
     return found
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, *, alpha: float = 0.02, delta: float = 0.05) -> dict[tuple[int, str], float]:
-    """Certified cutoffs by stratum and rule, from the good documents (quality 1) of labels."""
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    held = counted.where(~_failed()).join(good.select("doc_id"), "doc_id", "left_semi")
-    held = held.select(_stratum().alias("stratum"), F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(f(), F.lit(0.0)).alias("score")) for k, f in RULES.items()])).alias("x"))
-    rows = held.groupBy("stratum", "x.rule").agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("x.score") >= c).cast("long")).alias(f"c{i}") for i, c in enumerate(GRID)))
-    return certify([(r.stratum, r.rule, r.n, [r[f"c{i}"] for i in range(len(GRID))]) for r in rows.collect()], alpha, delta)
+def cutoffs(counted: DataFrame, labels: DataFrame, *, alpha: float = 0.02, delta: float = 0.05) -> dict[int, float]:
+    """Certified cutoffs by stratum, from the good and bad documents (quality 1 and 0) of labels."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    held = counted.where(~_failed()).join(known, "doc_id").select(_stratum().alias("stratum"), "good", joint().alias("score"))
+    sums = [F.count_if((F.col("good") == side) & (F.col("score") >= c)).alias(f"{name}{i}") for name, side in (("g", True), ("b", False)) for i, c in enumerate(GRID)]
+    rows = held.groupBy("stratum").agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("m"), *sums)
+    each = lambda r, name: [r[f"{name}{i}"] for i in range(len(GRID))]
+    return certify([(r.stratum, r.n, each(r, "g"), r.m, each(r, "b")) for r in rows.collect()], alpha, delta)
 
 
-def judge(counted: DataFrame, found: dict[tuple[int, str], float]) -> DataFrame:
-    """counted with base_failed, kept and the first rule that rejects."""
-    rule = F.lit(None).cast("string")
-    for (stratum, name), cutoff in sorted(found.items(), reverse=True):
-        rule = F.when((_stratum() == stratum) & (F.coalesce(RULES[name](), F.lit(0.0)) >= cutoff), F.lit(name)).otherwise(rule)
+def judge(counted: DataFrame, found: dict[int, float]) -> DataFrame:
+    """counted with base_failed, kept and, of a text that the cutoff rejects, the rule of the greatest score (the first by name on ties)."""
+    cutoff = F.lit(None).cast("double")
+    for stratum, value in sorted(found.items()):
+        cutoff = F.when(_stratum() == stratum, F.lit(value)).otherwise(cutoff)
     failed = _failed()
-    return counted.withColumn("base_failed", failed).withColumn("rule", F.when(~failed, rule)).withColumn("kept", ~failed & F.col("rule").isNull())
+    worst = F.array_min(F.array(*[F.struct((-F.coalesce(f(), F.lit(0.0))).alias("s"), F.lit(k).alias("rule")) for k, f in RULES.items()]))["rule"]
+    rejected = ~failed & F.coalesce(joint() >= cutoff, F.lit(False))
+    return counted.withColumn("base_failed", failed).withColumn("rule", F.when(rejected, worst)).withColumn("kept", ~failed & F.col("rule").isNull())
 
 
 def _oracle() -> str:
     """SQL that repeats the counts, the certification and the verdict."""
     grid = ", ".join(f"{c}::DOUBLE" for c in GRID)
-    tests, share = (len(STRATA) + 1) * len(RULES) * len(GRID), f"{0.02 / len(RULES)}::DOUBLE"
     return rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -165,32 +182,31 @@ w AS (
 v AS (
   SELECT doc_id, u.i AS i, w[u.i] || ' ' || w[u.i + 1] || ' ' || w[u.i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
 r AS (SELECT doc_id, i FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
-p AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (VALUES (0), (1), (2)) AS x(o) GROUP BY doc_id),
+y AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (VALUES (0), (1), (2)) AS x(o) GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
-         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines
-  FROM w LEFT JOIN p ON p.doc_id = w.doc_id),
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(y.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines
+  FROM w LEFT JOIN y ON y.doc_id = w.doc_id),
 f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          {' + '.join(f'(n_words >= {s})::INT' for s in STRATA)} AS stratum
   FROM m),
 s AS (
-  SELECT doc_id, stratum, base_failed, unnest([
-      {{'rule': 'symbols', 'score': coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0)}},
-      {{'rule': 'duplicate_lines', 'score': coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0)}},
-      {{'rule': 'repeated_words', 'score': coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0)}},
-      {{'rule': 'long_words', 'score': coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0) / 50}}], recursive := true)
+  SELECT doc_id, stratum, base_failed, greatest(0, coalesce(2 * (n_symbols::DOUBLE / nullif(word_chars, 0)), 0), coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0) / 2, 0),
+         coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0) / 2, 0), coalesce((word_chars::DOUBLE / nullif(n_words, 0) - 6) / 10, 0)) AS score
   FROM f),
-g AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+g AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 c AS (
-  SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (score >= cut) AS k
-  FROM s, unnest([{grid}]) AS q(cut) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM g) GROUP BY ALL),
+  SELECT stratum, cut, count(*) FILTER (good) AS n, count(*) FILTER (good AND score >= cut) AS k, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (NOT good AND score >= cut) AS bad
+  FROM s JOIN g ON g.doc_id = s.doc_id, unnest([{grid}]) AS q(cut) WHERE NOT base_failed GROUP BY ALL),
+p AS (
+  SELECT *, n > 0 AND (CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02::DOUBLE) + (n - i) * ln(0.98::DOUBLE)))) END) <= 0.05 / {len(STRATA) + 1} AS ok
+  FROM c),
 b AS (
-  SELECT stratum, rule, min(cut) AS cut FROM c
-  WHERE (CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))) END) <= 0.05 / {tests}
-  GROUP BY ALL),
-x AS (SELECT DISTINCT s.doc_id FROM s JOIN b ON s.stratum = b.stratum AND s.rule = b.rule WHERE s.score >= b.cut)
+  SELECT stratum, arg_max(cut, (coalesce(bad::DOUBLE / nullif(n_bad, 0), 0) - k::DOUBLE / n, cut)) AS cut FROM p
+  WHERE ok AND cut > coalesce((SELECT max(x.cut) FROM p AS x WHERE x.stratum = p.stratum AND NOT x.ok), -1) GROUP BY stratum),
+x AS (SELECT doc_id FROM s JOIN b ON s.stratum = b.stratum WHERE s.score >= b.cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM x) AS kept
 FROM f
