@@ -41,7 +41,7 @@ def within(points: DataFrame, spans: DataFrame, at: str, first: str, last: str,
     return p.join(s, [*KEY, "__bucket", *also]).where((F.col(at) >= F.col(first)) & (F.col(at) <= F.col("__last"))).drop("__bucket", "__last", "__end")
 
 
-def first_beyond(asked: DataFrame, bars: DataFrame, *, after: str, price: str, way: str, to: str, fan: int = 64) -> DataFrame:
+def first_beyond(asked: DataFrame, bars: DataFrame, *, after: str, price: str, way: str, to: str, fan: int = 1024) -> DataFrame:
     """asked with `to`: the first bar after `after` whose high is above `price` (way 1) or whose low is below it (way -1), null if none.
 
     Bars stand in blocks of `fan`, blocks with their extremes in blocks of
