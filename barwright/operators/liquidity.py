@@ -22,15 +22,19 @@ def base_levels(bars: DataFrame, k: int = 3, external_k: int = 9) -> DataFrame:
 
 
 def levels(bars: DataFrame, k: int = 3, external_k: int = 9, n_accept: int = 3) -> DataFrame:
-    """base_levels with the bar that swept each, the bar that resolved it and as what.
+    """base_levels as resolved() tells how they end."""
+    return resolved(bars, base_levels(bars, k, external_k), n_accept)
+
+
+def resolved(bars: DataFrame, base: DataFrame, n_accept: int = 3) -> DataFrame:
+    """base levels with the bar that swept each, the bar that resolved it and as what.
 
     A level is swept by the first later bar beyond its price. It resolves at the
     first close back inside (SWEEP at once or after more than three bars, else
     GRAB, BIG_GRAB if external) or at the last of n_accept closes outside (RUN),
     whichever comes first; the closes looked at are those of n_accept bars.
     """
-    base = base_levels(bars, k, external_k).select(*KEY, "i", "price", "type", "side", "confirmed_i", "scope", "scope_confirmed_i")
-    rows = base.withColumn("__side", F.when(F.col("side") == "sh", 1).otherwise(-1))
+    rows = base.select(*KEY, "i", "price", "type", "side", "confirmed_i", "scope", "scope_confirmed_i").withColumn("__side", F.when(F.col("side") == "sh", 1).otherwise(-1))
     swept = first_beyond(rows, bars, after="confirmed_i", price="price", way="__side", to="swept_i")
     looked = min(n_accept, LOOK + 1)
     closes = bars.select(*KEY, F.col("i").alias("swept_i"), F.collect_list("close").over(rows_between(0, looked - 1)).alias("__c"), F.lead("i", LOOK).over(along()).alias("__far"), F.max("i").over(Window.partitionBy(*KEY)).alias("__end"))

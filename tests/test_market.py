@@ -21,9 +21,8 @@ def level(spark, at, closes, scope="internal", n_accept=3):
     """One high level at 110 (bar 0, known at bar 0), then bars of (high, close)."""
     table = bars(spark, [(110, 100, 105), *[(h, 90, c) for h, c in closes]])
     base = spark.createDataFrame([("X", 1, 0, 110.0, "BSL", "sh", 0, scope, 0)], LEVEL)
-    kernel = L.resolve(n_accept)
-    out = kernel({c: np.array([r[c] for r in table.orderBy("i").collect()]) for c in ("high", "low", "close")}, [r.asDict() for r in base.collect()])
-    return out[0][7:10]
+    (out,) = L.resolved(table, base, n_accept).collect()
+    return out.swept_i, out.resolved_i, out.classification
 
 
 @pytest.mark.parametrize(
