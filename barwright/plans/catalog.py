@@ -647,7 +647,7 @@ def g1_nearest_level(spark, sf_dir):
 @query("""SELECT symbol, 60 AS tf, i, time, state, confidence FROM regime_ WHERE i >= 0""")
 def g3_regime(spark, sf_dir):
     bars = kept(measured(spark, sf_dir), "measured")
-    return G.regime(bars, L.levels(bars), breaks(bars))
+    return G.regime(bars, kept(L.levels(bars), "levels"), kept(breaks(bars), "breaks"))
 
 
 @query(""", st AS (
