@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import KEY, along
 
+#: Volumes at nine places whose sums are the same in any order.
+EXACT = "decimal(30,9)"
+
 
 def session_segments(bars: DataFrame, open_seconds: int = 0) -> DataFrame:
     """bars with segment: the first bar of their session (days that start open_seconds after midnight UTC)."""
@@ -52,29 +57,52 @@ def bins(segmented: DataFrame, n: int = 24) -> DataFrame:
     return out.select(*key, "segment_end", "bin", (F.col("lo") + F.col("bin") * F.col("step")).alias("price_low"), (F.col("lo") + (F.col("bin") + 1) * F.col("step")).alias("price_high"), F.coalesce("flat_price", F.col("lo") + (F.col("bin") + 0.5) * F.col("step")).alias("price"), "volume", "up_volume", "down_volume", "total")
 
 
+def whole(price: Column) -> Column:
+    """A price (up to 9e9) in billionths, so that edges, overlaps and ties are exact."""
+    return F.floor(price * 1e9 + 0.5)
+
+
+def bin_at(price: Column, lo: Column, hi: Column, n: int) -> Column:
+    """The bin of a whole() price, one of n from lo to hi; the last has its upper edge, too."""
+    at, span = (price - lo) * n, F.greatest(hi - lo, F.lit(1))
+    return F.when(hi > lo, F.least(((at - at % span) / span).cast("int"), F.lit(n - 1))).otherwise(n // 2)
+
+
+def part(volume: Column, low: Column, high: Column, lo: Column, hi: Column, number: Column, n: int) -> Column:
+    """What bin `number` of n gets of a bar's volume, of whole() prices and at nine places: bins covered in full get exactly the same."""
+    left, span = number * (hi - lo), hi - lo
+    overlap = F.least(left + span, (high - lo) * n) - F.greatest(left, (low - lo) * n)
+    counted = F.when(high > low, volume * overlap / ((high - low) * n)).otherwise(volume) * 1e9 + 0.5
+    return ((counted - counted % 1) / 1e9).cast(EXACT)
+
+
 def value_area(binned: DataFrame, share: float = 0.7) -> DataFrame:
     """Point of control (first fullest bin) and the area around it that holds `share` of the volume.
 
     The area grows to the fuller neighbour (up on ties), a recurrence over the
     at most n bins of a segment: an array fold, no Python. Volumes compare at
-    nine places, as their sums may be made in any order.
+    nine places, as their sums may be made in any order; volumes that are
+    EXACT compare as they are, and a column slack (EXACT) is what the area may
+    lack, as parts were rounded.
     """
-    binned = binned.withColumn("volume", F.round("volume", 9))
+    binned = binned.withColumn("volume", F.col("volume").cast(EXACT))
+    slack = ["slack"] if "slack" in binned.columns else []
+    enough = F.col("total").cast(EXACT) * F.lit(Decimal(str(share))) - (F.col("slack") if slack else F.lit(0))
     row = F.struct("bin", "volume", "price", "price_low", "price_high")
-    out = binned.groupBy(*KEY, "segment", "segment_end", "total").agg(F.sort_array(F.collect_list(row)).alias("b"), F.min_by("bin", F.struct((-F.col("volume")).alias("v"), F.col("bin"))).alias("poc_bin"))
-    vol = lambda k: F.coalesce(F.get(F.col("b"), k)["volume"], F.lit(-1.0))
+    out = binned.groupBy(*KEY, "segment", "segment_end", "total", *slack).agg(F.sort_array(F.collect_list(row)).alias("b"), F.min_by("bin", F.struct((-F.col("volume")).alias("v"), F.col("bin"))).alias("poc_bin"))
+    vol = lambda k: F.coalesce(F.get(F.col("b"), k)["volume"], F.lit(-1).cast(EXACT))
     zero = F.struct(F.col("poc_bin").alias("lo"), F.col("poc_bin").alias("hi"), vol(F.col("poc_bin")).alias("v"))
 
     def grow(a: Column, _: Column) -> Column:
         above, below = vol(a["hi"] + 1), vol(a["lo"] - 1)
-        up = F.struct(a["lo"].alias("lo"), (a["hi"] + 1).alias("hi"), (a["v"] + above).alias("v"))
-        down = F.struct((a["lo"] - 1).alias("lo"), a["hi"].alias("hi"), (a["v"] + below).alias("v"))
-        done = (F.round(a["v"], 9) >= F.round(F.col("total") * share, 9)) | ((above < 0) & (below < 0))
+        up = F.struct(a["lo"].alias("lo"), (a["hi"] + 1).alias("hi"), (a["v"] + above).cast(EXACT).alias("v"))
+        down = F.struct((a["lo"] - 1).alias("lo"), a["hi"].alias("hi"), (a["v"] + below).cast(EXACT).alias("v"))
+        done = (a["v"] >= enough) | ((above < 0) & (below < 0))
         return F.when(done, a).when(above >= below, up).otherwise(down)
 
     out = out.withColumn("area", F.aggregate("b", zero, grow))
     at = lambda k, c: F.get(F.col("b"), k)[c]
-    return out.select(*KEY, "segment", "segment_end", "total", at(F.col("poc_bin"), "price").alias("poc"), at(F.col("area.hi"), "price_high").alias("vah"), at(F.col("area.lo"), "price_low").alias("val"), vol(F.col("poc_bin")).alias("max_volume"))
+    return out.select(*KEY, "segment", "segment_end", "total", at(F.col("poc_bin"), "price").alias("poc"), at(F.col("area.hi"), "price_high").alias("vah"), at(F.col("area.lo"), "price_low").alias("val"), vol(F.col("poc_bin")).cast("double").alias("max_volume"))
 
 
 def poc_index(areas: DataFrame, segmented: DataFrame) -> DataFrame:

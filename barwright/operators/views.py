@@ -24,32 +24,34 @@ def profiles_at(segmented: DataFrame, n: int = 24, share: float = 0.7) -> DataFr
     A segment that is over shows what its last bar saw. The bins' edges move
     only with a new high or low. Between two of those the histogram grows by
     each bar's own part, so it is made anew once for each move of the edges and
-    summed on from there, not once for each cursor.
+    summed on from there, not once for each cursor. Parts are counted exactly
+    (profile.part()), so bins that are equally full tie however much volume
+    there is, and the first of them is the point of control. An area that holds
+    the share but for what rounding took, half a billionth a part, holds it.
     """
     key = [*KEY, "segment"]
     w = Window.partitionBy(*key).orderBy("i")
     upto = w.rowsBetween(*UPTO)
     at = segmented.withColumn("lo", F.min("low").over(upto)).withColumn("hi", F.max("high").over(upto)).withColumn("total", F.sum(F.when(F.col("volume") > 0, F.col("volume"))).over(upto))
+    at = at.withColumn("slack", (F.count(F.when(F.col("volume") > 0, 1)).over(upto) * n * 5e-10).cast(A.EXACT))
     moved = F.coalesce((F.lag("lo").over(w) != F.col("lo")) | (F.lag("hi").over(w) != F.col("hi")), F.lit(True))
     at = at.withColumn("__moved", moved).withColumn("stretch", F.sum(F.col("__moved").cast("int")).over(upto))
     flat = F.col("hi") <= F.col("lo")
     pad = F.greatest(F.abs("lo") * 1e-9, F.lit(1e-9))
     low_edge, high_edge = F.when(flat, F.col("lo") - pad / 2).otherwise(F.col("lo")), F.when(flat, F.col("hi") + pad / 2).otherwise(F.col("hi"))
     edges = {"__lo": low_edge, "step": (high_edge - low_edge) / n}
-    stretches = at.where("__moved").select(*key, "stretch", F.col("i").alias("begin"), *[v.alias(c) for c, v in edges.items()])
-    own = at.where("volume > 0").select(*key, "i", "high", "low", "volume", F.col("stretch").alias("__own"))
+    stretches = at.where("__moved").select(*key, "stretch", F.col("i").alias("begin"), *[A.whole(F.col(c)).alias(c) for c in ("lo", "hi")])
+    own = at.where("volume > 0").select(*key, "i", *[A.whole(F.col(c)).alias(c) for c in ("low", "high")], "volume", F.col("stretch").alias("__own"))
     parts = own.join(stretches, key).where("__own <= stretch")
-    place = lambda c: F.least(F.greatest(((F.col(c) - F.col("__lo")) / F.col("step")).cast("int"), F.lit(0)), F.lit(n - 1))
-    parts = parts.withColumn("bin", F.explode(F.sequence(place("low"), F.when(F.col("high") > F.col("low"), place("high")).otherwise(place("low")))))
-    left = F.col("__lo") + F.col("bin") * F.col("step")
-    overlap = F.greatest(F.least(left + F.col("step"), F.col("high")) - F.greatest(left, F.col("low")), F.lit(0.0))
-    part = F.when(F.col("high") > F.col("low"), F.col("volume") * F.try_divide(overlap, F.col("high") - F.col("low"))).otherwise(F.col("volume"))
+    lo, hi, low, high = map(F.col, ("lo", "hi", "low", "high"))
+    parts = parts.withColumn("bin", F.explode(F.sequence(A.bin_at(low, lo, hi, n), A.bin_at(high, lo, hi, n))))
+    part = A.part(F.col("volume"), low, high, lo, hi, F.col("bin"), n)
     parts = parts.groupBy(*key, "stretch", F.greatest("i", "begin").alias("i"), "bin").agg(F.sum(part).alias("part"))
-    grid = at.withColumns(edges).select(*key, "stretch", "i", "total", "__lo", "step", F.when(flat, F.col("lo")).alias("flat_price"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
+    grid = at.withColumns(edges).select(*key, "stretch", "i", "total", "slack", "__lo", "step", F.when(flat, F.col("lo")).alias("flat_price"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
     grid = grid.join(parts, [*key, "stretch", "i", "bin"], "left")
-    volume = F.sum(F.coalesce("part", F.lit(0.0))).over(Window.partitionBy(*key, "stretch", "bin").orderBy("i").rowsBetween(*UPTO))
+    volume = F.sum(F.coalesce("part", F.lit(0).cast(A.EXACT))).over(Window.partitionBy(*key, "stretch", "bin").orderBy("i").rowsBetween(*UPTO))
     low = F.col("__lo") + F.col("bin") * F.col("step")
-    binned = grid.where("total > 0").select(*KEY, F.struct("segment", "i").alias("segment"), F.col("i").alias("segment_end"), "total", "bin", volume.alias("volume"), low.alias("price_low"), (F.col("__lo") + (F.col("bin") + 1) * F.col("step")).alias("price_high"), F.coalesce("flat_price", F.col("__lo") + (F.col("bin") + 0.5) * F.col("step")).alias("price"))
+    binned = grid.where("total > 0").select(*KEY, F.struct("segment", "i").alias("segment"), F.col("i").alias("segment_end"), "total", "slack", "bin", volume.alias("volume"), low.alias("price_low"), (F.col("__lo") + (F.col("bin") + 1) * F.col("step")).alias("price_high"), F.coalesce("flat_price", F.col("__lo") + (F.col("bin") + 0.5) * F.col("step")).alias("price"))
     out = A.value_area(binned, share).select(*KEY, F.col("segment.segment").alias("segment"), F.col("segment.i").alias("cursor"), "total", "poc", "vah", "val")
     last = segmented.groupBy(*key).agg(F.max("i").alias("__end"))
     return out.join(last, key).withColumn("truncated", F.col("cursor") < F.col("__end")).drop("__end")

@@ -1210,6 +1210,26 @@ def n3_train_evaluate(spark, sf_dir):
 
 PREFIXES = f"(SELECT b.symbol, b.i, b.open, b.high, b.low, b.close, b.volume, {{'f': c.segment, 't': c.i}} AS segment FROM {DAYS} c JOIN {DAYS} b ON b.symbol = c.symbol AND b.segment = c.segment AND b.i <= c.i)"
 
+#: bins_ and area_ of all prefixes. Prices are whole billionths, and parts are rounded half up to whole billionths of a tick
+#: and summed as such: bins equally full are equal in any order of the sums and at any volume. An area may lack half a
+#: billionth a part of its share.
+EXACT_PARTS = {
+    "bins_": f"""SELECT e.symbol, e.segment, g.bin, e.lo, e.step,
+               coalesce(sum(floor(CASE WHEN d.h > d.l THEN volume * (least((g.bin + 1) * (e.h - e.l), (d.h - e.l) * 24) - greatest(g.bin * (e.h - e.l), (d.l - e.l) * 24)) / ((d.h - d.l) * 24) ELSE volume END * 1e9 + 0.5)::HUGEINT), 0)::HUGEINT AS v
+        FROM edges_ e CROSS JOIN range(24) g(bin) LEFT JOIN (SELECT symbol, segment, volume, floor(low * 1e9 + 0.5)::BIGINT AS l, floor(high * 1e9 + 0.5)::BIGINT AS h FROM {PREFIXES} WHERE volume > 0) d
+          ON d.symbol = e.symbol AND d.segment = e.segment AND g.bin BETWEEN CASE WHEN e.h > e.l THEN least((d.l - e.l) * 24 // (e.h - e.l), 23) ELSE 12 END AND CASE WHEN e.h > e.l THEN least((d.h - e.l) * 24 // (e.h - e.l), 23) ELSE 12 END
+        GROUP BY ALL""",
+    "area_": f"""SELECT symbol, segment, lo, step, list(v ORDER BY bin) AS v, arg_min(bin, (-v, bin)) AS poc, arg_min(bin, (-v, bin)) AS a, arg_min(bin, (-v, bin)) AS b, max(v) AS held, total, parts, 0 AS k
+        FROM bins_ JOIN (SELECT symbol, segment, sum(volume) AS total, count(*) * 24 AS parts FROM {PREFIXES} WHERE volume > 0 GROUP BY ALL) USING (symbol, segment) GROUP BY symbol, segment, lo, step, total, parts
+        UNION ALL
+        SELECT symbol, segment, lo, step, v, poc, CASE WHEN up >= down THEN a ELSE a - 1 END, CASE WHEN up >= down THEN b + 1 ELSE b END, held + greatest(up, down), total, parts, k + 1
+        FROM (SELECT *, CASE WHEN b < 23 THEN v[b + 2] ELSE -1 END AS up, CASE WHEN a > 0 THEN v[a] ELSE -1 END AS down FROM area_) WHERE held * 10 + parts * 5 < floor(total * 1e9 + 0.5)::HUGEINT * 7 AND greatest(up, down) >= 0""",
+}
+PARTS["edges_"] = f"""SELECT symbol, segment, lo, (hi - lo) / 24 AS step, l, h FROM (
+          SELECT symbol, segment, CASE WHEN x.h > x.l THEN x.l ELSE x.l - greatest(abs(x.l) * 1e-9, 1e-9) / 2 END AS lo, CASE WHEN x.h > x.l THEN x.h ELSE x.h + greatest(abs(x.l) * 1e-9, 1e-9) / 2 END AS hi,
+                 floor(x.l * 1e9 + 0.5)::BIGINT AS l, floor(x.h * 1e9 + 0.5)::BIGINT AS h
+          FROM (SELECT symbol, segment, min(low) AS l, max(high) AS h FROM {PREFIXES} GROUP BY ALL) x)"""
+
 
 @query()
 def a5_profiles_at(spark, sf_dir):
@@ -1219,7 +1239,7 @@ def a5_profiles_at(spark, sf_dir):
 ORACLE["a5_profiles_at"] = with_parts(
     f"""SELECT v.symbol, 60 AS tf, v.segment.f AS segment, v.segment.t AS cursor, round(v.total, 6) AS total, round(lo + (poc + 0.5) * step, 6) AS poc, round(lo + (b + 1) * step, 6) AS vah, round(lo + a * step, 6) AS val, v.segment.t < e.e AS truncated
     FROM value_ v JOIN (SELECT symbol, segment, max(i) AS e FROM {DAYS} GROUP BY ALL) e ON e.symbol = v.symbol AND e.segment = v.segment.f""",
-    {k: PARTS[k].replace(DAYS, PREFIXES) for k in ("bins_", "area_", "value_")},
+    EXACT_PARTS,
 )
 
 

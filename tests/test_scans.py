@@ -1,5 +1,6 @@
 """First crossings, decaying averages and live views against loops over one series."""
 
+from fractions import Fraction
 import random
 
 import numpy as np
@@ -85,3 +86,35 @@ def test_missed_lines_and_line_points(spark):
     line = spark.createDataFrame([("X", 1, 1, 4)], "symbol string, tf int, anchor_i int, cursor int")
     points = W.line_points(rows, line).orderBy("cursor").collect()
     assert [r.cursor for r in points] == [1, 2, 3, 4] and points[0].sigma == 0 and points[0].end_i == 4 and points[-1].vwap == pytest.approx(np.mean(tp[1:5]))
+
+
+def exact_area(session, n=24):
+    """poc, vah, val of (high, low, volume), prices in cents, in exact fractions."""
+    lo, hi = min(low for _, low, _ in session), max(high for high, _, _ in session)
+    place, volumes = lambda cents: Fraction((cents - lo) * n, hi - lo), [Fraction(0)] * n
+    for high, low, volume in session:
+        a, b = place(low), place(high)
+        for k in range(min(int(a), n - 1), min(int(b), n - 1) + 1):
+            volumes[k] += volume * max(min(b, k + 1) - max(a, k), 0) / (b - a) if b > a else volume
+    first = last = poc = volumes.index(max(volumes))
+    while sum(volumes[first : last + 1]) * 10 < sum(volumes) * 7:
+        above, below = volumes[last + 1] if last + 1 < n else -1, volumes[first - 1] if first else -1
+        first, last = (first, last + 1) if above >= below else (first - 1, last)
+    return [pytest.approx(float(lo + Fraction(hi - lo, n) * k) / 100) for k in (poc + Fraction(1, 2), last + 1, first)]
+
+
+def test_profiles_at_every_cursor_equal_exact_fractions(spark):
+    """Bins equally full tie at any volume, and an area that holds just its share has it."""
+    some = random.Random(3)
+    sessions = [[(10031, 10012, 873397)], [(10087, 10069, 6454)], [(13299, 10024, 699842)], [(10205, 10195, 2), (11099, 10013, 8)], [(12195, 12195, 4), (10674, 10665, 4), (12721, 12705, 6), (11608, 11607, 9)]]
+    for most in (10, 10000, 10**6) * 8:
+        low = [some.randint(10000, 10300) for _ in range(5)]
+        sessions.append([(x + some.choice([0, 19, some.randint(1, 3000)]), x, some.randint(1, most)) for x in low])
+    table = bars(spark, [(h / 100, low / 100, h / 100, low / 100, v) for s in sessions for h, low, v in s])
+    starts = [sum(map(len, sessions[:k])) for k in range(len(sessions))]
+    table = table.withColumn("segment", sum(F.when(F.col("i") >= b, b - a).otherwise(0) for a, b in zip(starts, starts[1:], strict=False)))
+    got = {(r.segment, r.cursor): [r.poc, r.vah, r.val] for r in W.profiles_at(table).collect()}
+    for start, session in zip(starts, sessions, strict=True):
+        for k in range(len(session)):
+            if len({x for bar in session[: k + 1] for x in bar[:2]}) > 1:
+                assert got[start, start + k] == exact_area(session[: k + 1]), session[: k + 1]
