@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,9 +97,13 @@ def with_volume_score(found: DataFrame, bars: DataFrame, index: DataFrame) -> Da
 
 
 def weighted(found: DataFrame, percentile: float = 0.7) -> DataFrame:
-    """Levels whose score reaches the nearest-rank percentile of positive scores (of the whole sample: it looks ahead)."""
+    """Levels whose score reaches the nearest-rank percentile of positive scores (of the whole sample: it looks ahead).
+
+    The rank is counted in decimals: as a double, 45 * 0.7 + 0.5 is less than 32.
+    """
     scores = found.where("volume_score > 0").groupBy(*KEY).agg(F.sort_array(F.collect_list("volume_score")).alias("s"))
-    least = scores.select(*KEY, F.get("s", F.floor((F.size("s") - 1) * percentile + 0.5).cast("int")).alias("least"))
+    rank = F.floor((F.size("s") - 1) * F.lit(Decimal(str(percentile))) + F.lit(Decimal("0.5"))).cast("int")
+    least = scores.select(*KEY, F.get("s", rank).alias("least"))
     return found.join(least, KEY).where("volume_score >= least").drop("least")
 
 

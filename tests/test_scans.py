@@ -118,3 +118,11 @@ def test_profiles_at_every_cursor_equal_exact_fractions(spark):
         for k in range(len(session)):
             if len({x for bar in session[: k + 1] for x in bar[:2]}) > 1:
                 assert got[start, start + k] == exact_area(session[: k + 1]), session[: k + 1]
+
+
+def test_nearest_rank_is_exact(spark):
+    """Ranks that end on a half go up, for any number of scores: as doubles, those of 46, 86 and 166 went down."""
+    sizes = [1, 2, 6, 16, 45, 46, 47, 86, 166, 176, 326]
+    found = spark.createDataFrame([(f"s{n}", 1, i, float(i + 1)) for n in sizes for i in range(n)], "symbol string, tf int, i int, volume_score double")
+    got = {r.symbol: r.least for r in L.weighted(found).groupBy("symbol").agg(F.min("i").alias("least")).collect()}
+    assert got == {f"s{n}": ((n - 1) * 7 + 5) // 10 for n in sizes}
